@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import bpe
+from weftline.llm import bpe, simhash, suffixes
 from weftline.llm.common import table
 
 
@@ -16,12 +17,27 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fields(column: str, *names: str) -> list[Column]:
+    return [F.col(f"{column}.{n}").alias(n) for n in names]
+
+
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup(docs).select("doc_id", *fields("_cut", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
