@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, recompress, simhash, suffixes
+from weftline.llm import bpe, quality, recompress, simhash, suffixes
 from weftline.llm.common import table
 
 
@@ -39,11 +39,18 @@ def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.dedup(docs).select("doc_id", *fields("_cut", "n_words", "n_removed", "kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_recompression_dedup": op6_recompression_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
