@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text that a Python worker holds at once are cut to about this many bytes.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch between Spark and Python, as texts can be long.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's Arrow batches to BATCH_ROWS rows unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,6 +52,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:

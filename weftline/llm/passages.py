@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, slices
 
 #: Tokens that are hashed at once; longer documents are taken in overlapping stretches.
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -132,7 +133,7 @@ def span_rows(docs: DataFrame, unit: Unit) -> DataFrame:
     """(key, h, text) to a row (a, s, key, h, pos) per span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 2) for b in batches):
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for ids, base, codes, offsets in _pieces(unit, raw):
                 doc, first, count, place, a, s = unit.spans(codes, offsets)

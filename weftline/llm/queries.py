@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, packing, pii, quality, recompress, simhash, suffixes
+from weftline.llm import bpe, embeddings, packing, pii, quality, recompress, simhash, suffixes
 from weftline.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return recompress.dedup(docs).select("doc_id", *fields("_cut", "n_words", "n_removed", "kept_sha256"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_recompression_dedup": op6_recompression_dedup,
     "op7_packing": op7_packing,
     "op9_pii": op9_pii,
