@@ -1,18 +1,70 @@
-"""A training corpus from raw documents in five stages, each one operator of weftline.llm."""
+"""A training corpus from raw documents in five stages, each one operator of weftline.llm.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the
+last return the columns of documents. Null texts are empty and fall to the quality rules; extra columns stay until the
+last stage; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import packing, pii, quality, simhash, suffixes
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they now are."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go."""
+    return quality.keep_good(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
 
-STAGES: list = []
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes and more that start twice or more leave the texts; documents with no text left stay, empty."""
+    return _sized(suffixes.dedup_texts(docs))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kinds in brackets."""
+    return _sized(pii.redact(docs))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("pii", pii_redaction),
+    ("packing", sequence_packing),
+]
 
 #: The stages run models and sorts that SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents table."""
+    """All stages, one after the other, over the documents table; each result is a table in the shared folder."""
+    from weftline.llm.common import Scratch
+
+    scratch = Scratch(spark)
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         out = stage(spark, out, sf_dir)
+        if name != STAGES[-1][0]:
+            out = scratch.put(out)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, embeddings, packing, pii, quality, recompress, simhash, suffixes
+from weftline.llm import bpe, embeddings, licenses, packing, pii, quality, recompress, simhash, suffixes, urls
 from weftline.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    return urls.filter_urls(pages, urls.entries(spark), "page_id", "url", "fetched")
+
+
 def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return recompress.dedup(docs).select("doc_id", *fields("_cut", "n_words", "n_removed", "kept_sha256"))
@@ -47,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -62,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_url_filters": op5_url_filters,
     "op6_recompression_dedup": op6_recompression_dedup,
     "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE}
