@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Scratch, slices
+from weftline.llm.common import Scratch, slices, slices
 
 #: Tokens that are hashed at once; longer documents are taken in overlapping stretches.
 TOKENS = 1 << 18
