@@ -57,8 +57,8 @@ def empty_artefacts(spark: SparkSession, root: str, remove: bool = False) -> lis
     found = []
     for s in fs.listStatus(at) if fs.exists(at) else []:
         path = s.getPath().toString()
-        small = s.isFile() and s.getLength() <= 4
-        if small and (s.getLength() == 0 or "".join(r.value for r in spark.read.text(path).collect()).strip() == "[]"):
+        small = s.isFile() and s.getLen() <= 4
+        if small and (s.getLen() == 0 or "".join(r.value for r in spark.read.text(path).collect()).strip() == "[]"):
             found.append(path)
             if remove:
                 fs.delete(s.getPath(), False)
