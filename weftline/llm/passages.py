@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Scratch, slices, slices
+from weftline.llm.common import Scratch, slices
 
 #: Tokens that are hashed at once; longer documents are taken in overlapping stretches.
 TOKENS = 1 << 18
@@ -200,11 +199,41 @@ def contexts(docs: DataFrame, edges: DataFrame, per_doc: Callable, schema: str)
     return met.select("d.key", "d.h", "d.z", "o.own").mapInArrow(per_doc, schema)
 
 
-def window_hits(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(w1, w2, single, key, h, at) rows of edge windows to (key, h, at) of the single ones that occur twice or more."""
-    kept = scratch.put(windows.distinct())
-    twice = kept.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    return kept.filter("single").join(twice, ["w1", "w2"]).select("key", "h", "at")
+def stretches(count: int, anchor: int, first: int, step: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """A span's windows in stretches of up to step windows, cut at multiples of step before the anchor, so that equal
+    windows of a class stand in stretches of one place. Yields first window, windows, and from and to of the core: the
+    tokens that all windows of such a stretch share."""
+    at, place = first, first + anchor
+    while at < first + count:
+        block, over = divmod(place - at, step)
+        n = min(over + 1, first + count - at)
+        core = place - block * step
+        yield at, n, core, core - step + 1 + width
+        at += n
+
+
+def window_hits(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Stretches (d1, d2, single, key, h, first, n, wins, core) to (key, h, first, last) of the single edges' windows
+    that occur twice or more.
+
+    d1, d2: hash of the stretch's content; core: of its core; wins: 16 bytes of hash for each of its n windows. A
+    stretch that occurs twice is repeated as a whole. One whose core occurs once holds no repeated window. Of each
+    other one, and of one row for each repeated one with such a core, the windows are counted.
+    """
+    kept = scratch.put(rows)
+    one = F.min_by(F.struct("single", "key", "h", "first", "wins"), F.struct(~F.col("single"), "key", "h", "first"))
+    classes = scratch.put(kept.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.first("core").alias("core"), one.alias("one")))
+    whole = kept.filter("single").join(classes.filter("times > 1").select("d1", "d2"), ["d1", "d2"])
+    whole = whole.select("key", "h", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    cores = scratch.put(classes.groupBy("core").agg(F.count("*").alias("k"), F.count_if((F.col("times") == 1) & F.col("one.single")).alias("open")).filter("k > 1 and open > 0").select("core"))
+    each = classes.join(cores, "core").select(
+        (F.col("one.single") & (F.col("times") == 1)).alias("single"), "one.key", "one.h", F.col("one.first").alias("first"), "one",
+        F.explode(F.sequence(F.lit(0), (F.length("one.wins") / 16).cast("int") - 1)).alias("i"),
+    )
+    wins = scratch.put(each.select(F.substring("one.wins", F.col("i") * 16 + 1, F.lit(16)).alias("w"), "single", "key", "h", (F.col("first") + F.col("i")).alias("first")))
+    twice = wins.groupBy("w").agg(F.count("*").alias("times")).filter("times > 1").select("w")
+    parts = wins.filter("single").join(twice, "w").select("key", "h", "first", F.col("first").alias("last"))
+    return whole.union(parts)
 
 
 def ranges(found: Found, hits: DataFrame) -> DataFrame:

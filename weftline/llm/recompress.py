@@ -8,8 +8,8 @@ following symbol of side 1, sides being drawn by a hash of the symbol and the ro
 names, so that all tasks give equal strings equal names with no exchange; symbols that would span over LIMITS words
 stay apart. A boundary is thus set by at most MARGIN words on either side of it, so equal windows hold equal symbols
 inside their margins, at least one of them whole (LIMITS[-1] <= (WIDTH - 2 * MARGIN + 1) // 2). A window's anchor is
-the leftmost of its interior symbols with the least hash; `passages` counts shared anchors and classes, and the
-windows at the edges of repeats are verified one by one by a hash of 128 bits over their words.
+the leftmost of its interior symbols with the least hash, taken with its margins; `passages` counts shared anchors and classes, and the
+windows at the edges of repeats are verified, in stretches and then one by one, by hashes of 128 bits over their words.
 
 Defined results: null text has no words; texts of under WIDTH words stay whole; repeated rows are copies of each
 other; no rows give no rows; extra columns stay.
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from weftline.llm import passages
 from weftline.llm.common import Scratch
@@ -35,6 +34,8 @@ WIDTH = 35
 LIMITS = (4, 8)
 #: 2 for runs, then the longest symbol before each round of pairs (2 and 4).
 MARGIN = 8
+#: Windows of a stretch at the edges of repeats.
+STRETCH = 6
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -85,33 +86,40 @@ def _spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             np.minimum(least, sliding_min(at, reach)[MARGIN : MARGIN + windows], out=least)
     doc, first, count = runs(least.astype(np.int64), offsets, WIDTH)
     place = (least[first] & low).astype(np.int64)
-    by_place = np.zeros(len(codes), np.int64)
-    by_place[start] = np.arange(len(start))
+    reach = np.zeros(len(codes), np.int64)
+    reach[start] = length
+    # a symbol alone may be a common word: its margins, which every window that names it holds, go into the anchor
+    around = mix(Prefix(codes, _BASE).of(place - MARGIN, place + reach[place] + MARGIN))
     whole = mix(Prefix(codes, _SECOND).of(first, first + count - 1 + WIDTH))
-    return doc, first, count, place, name[by_place[place]], whole
+    return doc, first, count, place, around, whole
 
 
 WORDS = Unit(WIDTH, _codes, _spans)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of edges, in stretches."""
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
         raw, lists = unpacked(batch.column(2)), batch.column(3).to_pylist()
-        take, single, at, digest = [], [], [], []
-        for i, own in enumerate(lists):
+        take, single, first, size, own, wins, core = [], [], [], [], [], [], []
+        for i, edges in enumerate(lists):
             words = raw[i].split()
-            for e in own:
-                first = e["pos"] >> 18
-                for w in range(first, first + (e["pos"] >> 9 & 511)):
+            for e in edges:
+                pos = e["pos"]
+                for at, n, low, high in passages.stretches(pos >> 9 & 511, pos & 511, pos >> 18, STRETCH, WIDTH):
                     take.append(i)
                     single.append(e["n"] == 1)
-                    at.append(w)
-                    digest.append(xxhash.xxh3_128_digest(b" ".join(words[w : w + WIDTH])))
+                    first.append(at)
+                    size.append(n)
+                    own.append(digest(b" ".join(words[at : at + n - 1 + WIDTH])))
+                    wins.append(b"".join([digest(b" ".join(words[w : w + WIDTH])) for w in range(at, at + n)]))
+                    core.append(digest(b" ".join(words[low:high])))
         row = pa.array(take, pa.int64())
-        two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+        two = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64())],
-            names=["w1", "w2", "single", "key", "h", "at"],
+            [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(wins, pa.binary()), pa.array(core, pa.binary())],
+            names=["d1", "d2", "single", "key", "h", "first", "n", "wins", "core"],
         )
 
 
@@ -120,9 +128,8 @@ def repeats(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame
     rows = passages.keyed(docs, text, key)
     found = passages.find(rows, WORDS, scratch)
     kind = rows.schema["key"].dataType.simpleString()
-    windows = passages.contexts(rows, found.edges, _window_rows, f"w1 long, w2 long, single boolean, key {kind}, h long, at long")
-    hits = passages.window_hits(windows, scratch)
-    hits = scratch.put(hits.select("key", "h", F.col("at").alias("first"), F.col("at").alias("last")))
+    schema = f"d1 long, d2 long, single boolean, key {kind}, h long, first long, n long, wins binary, core binary"
+    hits = scratch.put(passages.window_hits(passages.contexts(rows, found.edges, _stretches, schema), scratch))
     scratch.release()
     return passages.ranges(found, hits)
 
