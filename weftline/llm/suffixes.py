@@ -8,7 +8,7 @@ repeated passages come, with their bytes, to their anchor's bucket. There the su
 sorted by a mergesort whose comparisons find two suffixes' common extension by binary search over prefix polynomial
 hashes. In suffix order, the windows that start `o` bytes before the anchor are equal where neighbours share the
 WIDTH - o bytes after it and the hash of the o bytes before it; equal windows are then compared byte by byte.
-Buckets of over BUCKET classes are not gathered: their windows go out one by one under a hash of 128 bits, and
+Buckets of over BUCKET classes are not gathered: their windows go out in stretches under hashes of 128 bits, and
 counting finds the repeated ones.
 
 Defined results: null text has no bytes; texts of under WIDTH bytes stay whole; rows repeated with the same key and
@@ -33,6 +33,8 @@ from weftline.llm.passages import Prefix, Unit, mix, removed, runs, sliding_min,
 WIDTH = 200
 GRAM = 32
 BUCKET = 1000
+#: Windows of a stretch in such buckets.
+STRETCH = 8
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -158,49 +160,49 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, off
     return np.concatenate(rows), np.concatenate(windows)
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts for the suffix sort."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with their bytes."""
     for batch in batches:
         raw, lists = unpacked(batch.column(2)), batch.column(3).to_pylist()
-        take, a, n, pos, body = [], [], [], [], []
+        take, a, k, single, pos, body = [], [], [], [], [], []
         for i, own in enumerate(lists):
             for e in own:
-                if e["k"] <= BUCKET:
-                    first, count = e["pos"] >> 18, e["pos"] >> 9 & 511
-                    take.append(i)
-                    a.append(e["a"])
-                    n.append(e["n"] == 1)
-                    pos.append(e["pos"])
-                    body.append(raw[i][first : first + count - 1 + WIDTH])
+                first, count = e["pos"] >> 18, e["pos"] >> 9 & 511
+                take.append(i)
+                a.append(e["a"])
+                k.append(e["k"])
+                single.append(e["n"] == 1)
+                pos.append(e["pos"])
+                body.append(raw[i][first : first + count - 1 + WIDTH])
         row = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(n, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int64()), pa.array(body, pa.binary())],
-            names=["a", "single", "key", "h", "pos", "body"],
+            [pa.array(a, pa.int64()), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int64()), pa.array(body, pa.binary()), pa.array(k, pa.int64())],
+            names=["a", "single", "key", "h", "pos", "body", "k"],
         )
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of edges in buckets that are too large to sort."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of edges in buckets that are too large to sort."""
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        raw, lists = unpacked(batch.column(2)), batch.column(3).to_pylist()
-        for i, own in enumerate(lists):
-            take, single, at, digest = [], [], [], []
-            for e in own:
-                if e["k"] > BUCKET:
-                    first = e["pos"] >> 18
-                    for w in range(first, first + (e["pos"] >> 9 & 511)):
-                        take.append(i)
-                        single.append(e["n"] == 1)
-                        at.append(w)
-                        digest.append(xxhash.xxh3_128_digest(raw[i][w : w + WIDTH]))
-            if not take:
-                continue
-            row = pa.array(take, pa.int64())
-            two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64())],
-                names=["w1", "w2", "single", "key", "h", "at"],
-            )
+        if not batch.num_rows:
+            continue
+        take, first, size, own, wins, core = [], [], [], [], [], []
+        for i, (pos, body) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            start = pos >> 18
+            for at, n, low, high in passages.stretches(pos >> 9 & 511, pos & 511, start, STRETCH, WIDTH):
+                take.append(i)
+                first.append(at)
+                size.append(n)
+                own.append(digest(body[at - start : at - start + n - 1 + WIDTH]))
+                wins.append(b"".join([digest(body[w : w + WIDTH]) for w in range(at - start, at - start + n)]))
+                core.append(digest(body[low - start : high - start]))
+        row = pa.array(take, pa.int64())
+        two = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(two[:, 0]), pa.array(two[:, 1]), *(batch.column(c).take(row) for c in (1, 2, 3)), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(wins, pa.binary()), pa.array(core, pa.binary())],
+            names=["d1", "d2", "single", "key", "h", "first", "n", "wins", "core"],
+        )
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,15 +250,16 @@ def repeats(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame
     rows = passages.keyed(docs, text, key)
     found = passages.find(rows, BYTES, scratch)
     kind = rows.schema["key"].dataType.simpleString()
-    edges = found.edges
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bodies = passages.contexts(rows, edges.filter(F.col("k") <= BUCKET), _bucket_rows, f"a long, single boolean, key {kind}, h long, pos long, body binary")
-    hits = bodies.repartition(parts, "a").sortWithinPartitions("a", "key", "h", "pos").mapInArrow(_sorted_buckets, f"key {kind}, h long, first long, last long")
-    hot = scratch.put(edges.filter(F.col("k") > BUCKET))
+    schema = f"a long, single boolean, key {kind}, h long, pos long, body binary, k long"
+    bodies = scratch.put(passages.contexts(rows, found.edges, _bodies, schema))
+    scratch.release()
+    small = bodies.filter(F.col("k") <= BUCKET).drop("k").repartition(parts, "a").sortWithinPartitions("a", "key", "h", "pos")
+    hits = small.mapInArrow(_sorted_buckets, f"key {kind}, h long, first long, last long")
+    hot = bodies.filter(F.col("k") > BUCKET)
     if not hot.isEmpty():
-        windows = passages.contexts(rows, hot, _window_rows, f"w1 long, w2 long, single boolean, key {kind}, h long, at long")
-        more = passages.window_hits(windows, scratch)
-        hits = hits.union(more.select("key", "h", F.col("at").alias("first"), F.col("at").alias("last")))
+        cut = hot.mapInArrow(_stretches, f"d1 long, d2 long, single boolean, key {kind}, h long, first long, n long, wins binary, core binary")
+        hits = hits.union(passages.window_hits(cut, scratch))
     hits = scratch.put(hits)
     scratch.release()
     return passages.ranges(found, hits)
