@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component: that of the smallest key (null keys last), repeated rows once."""
+    """One row of each component: that of the smallest key. Repeated rows stay once; rows with a null key stay if none of
+    their component has one."""
     found = near_duplicates(docs, text, key)
     kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
     joined = docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.dropDuplicates([key])
+    return joined.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
