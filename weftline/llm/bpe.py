@@ -23,11 +23,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from weftline.llm.common import by_batch, texts
 
 #: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: First characters of chunks' keys: the chunk alone, one word, a special token. Texts that hold them are cut into words.
+AS_IS, WORD, SPECIAL = "\x1c", "\x1d", "\x1e"
+#: Marks that are words of their own behind a word of letters.
+PLAIN_MARKS = tuple(",.!?;:|")
 #: No merge: larger than any rank and position.
 NONE = np.int64(1) << 62
 _POS = 32  # low bits of a tree entry hold the position
@@ -153,34 +158,50 @@ class Codec:
             import public_tokenizers
 
             self.words = regex.compile(public_tokenizers.PATTERN)
-        self.rare = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.strange = re.compile("[\x1c-\x1f\u0250-\U0010ffff]").search
+        self.library = Tokenizer.from_file(path)
         self.byte = {c: b for b, c in enumerate(byte_chars())}
-        self.cache: dict[str, object] = {}
+        self.cache: dict[str, object] = {}  # chunks
+        self.known: dict[str, object] = {}  # words
 
     def pieces(self, text: str) -> list[str]:
-        """Chunks of a text whose encodings, put together, are the text's encoding.
+        """Keys of chunks whose encodings, put together, are the text's encoding.
 
-        Where white space is dropped, the chunks are what stands between it, in NFC and lower case (of each code
-        point alone, so that a final sigma is an ordinary one). Else a single space starts a word of its own, and a
-        text with longer white space or rare separators is cut into words right away.
+        Where white space is dropped, chunks are what stands between it, in NFC and lower case (of each code point
+        alone). Else a single space starts a word of its own: a key stands
+        for itself behind a space, or for itself alone behind AS_IS; a text with longer or rare white space is cut into
+        words right away (behind WORD). Texts with code points above Latin are normalised and cut by the library.
         """
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to Python only
+        if self.strange(text):
+            if self.lower:
+                return [AS_IS + w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
+            return [WORD + w for w in self.library_words(text)]
         if self.lower:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
-            return regex.split(r"\p{White_Space}+", text) if odd else text.split()
-        if odd or "  " in text or self.rare(text):
-            return self.words.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def ids_of(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk by its words' merges."""
-        find = self.words.findall
-        words = [find(c) for c in chunks]
-        each = list({w for ws in words for w in ws})
-        ids = dict(zip(each, self.merger.encode([w.encode() for w in each]), strict=True))
-        return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in words]
+            return unicodedata.normalize("NFC", text).lower().split()
+        if "  " in text or "\x85" in text or "\xa0" in text:
+            return [WORD + w for w in self.words.findall(text)]
+        out = text.split(" ")
+        out[0] = AS_IS + out[0]
+        return out
+
+    def library_words(self, text: str) -> list[str]:
+        """Words by the library's own classes of characters, for code points whose classes differ between versions."""
+        cut = self.library.pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(self.byte[c] for c in w).decode() for w, _ in cut]
+
+    def words_of(self, key: str) -> list[str]:
+        """The words of a chunk."""
+        if key[:1] == WORD:
+            return [key[1:]]
+        lead = "" if self.lower or key[:1] == AS_IS else " "
+        body = key[1:] if key[:1] == AS_IS else key
+        if self.strange(body):
+            return self.library_words(lead + body)
+        if body.isalpha():
+            return [lead + body]
+        if body[-1:] in PLAIN_MARKS and body[:-1].isalpha():
+            return [lead + body[:-1], body[-1]]
+        return self.words.findall(lead + body)
 
     def split(self, text: str) -> list[str]:
         """The text's ordinary stretches and, at odd places, special tokens."""
@@ -188,36 +209,48 @@ class Codec:
             return [text]
         return self.split_special.split(text)
 
-    def fill(self, texts: list[str], make: Callable[[list[int]], object]) -> list[list]:
-        """For each text the values of its chunks; make(ids) gives the value of a chunk not yet in the cache.
+    def fill(self, texts: list[str], make: Callable[[list[int]], object], join: Callable[[list], object]) -> list[list]:
+        """For each text the values of its chunks: make(ids) gives a word's value, join(values) a chunk's.
 
-        The cache keeps the first CACHE_WORDS chunks, which hold the frequent ones; later ones are made each time.
+        The caches keep the first CACHE_WORDS chunks and words, which hold the frequent ones; later ones are made each
+        time.
         """
-        cache, cut = self.cache, []
+        cache, known = self.cache, self.known
+        flat: list = []
+        ends = []
         for text in texts:
-            own: list = []
             for k, part in enumerate(self.split(text)):
                 if k % 2:
-                    own.append((self.special[part],))
+                    flat.append(SPECIAL + part)
                 elif part:
-                    own += self.pieces(part)
-            cut.append(own)
-        new = set().union(*cut) - cache.keys()
-        chunks = [p for p in new if isinstance(p, str)]
-        made = {p: make(ids) for p, ids in zip(chunks, self.ids_of(chunks), strict=True)}
-        made |= {p: make(list(p)) for p in new if not isinstance(p, str)}
-        room = len(cache) < CACHE_WORDS
-        cache.update(made)
-        out = [list(map(cache.__getitem__, own)) for own in cut]
+                    flat += self.pieces(part)
+            ends.append(len(flat))
+        values = list(map(cache.get, flat))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        new = {flat[i] for i in gaps}
+        made = {p: make([self.special[p[1:]]]) for p in new if p[:1] == SPECIAL}
+        cut = {p: self.words_of(p) for p in new if p[:1] != SPECIAL}
+        fresh = list({w for ws in cut.values() for w in ws} - known.keys())
+        words = dict(zip(fresh, map(make, self.merger.encode([w.encode() for w in fresh])), strict=True))
+        room = len(known) < CACHE_WORDS
+        known.update(words)
+        for p, ws in cut.items():
+            made[p] = known[ws[0]] if len(ws) == 1 else join([known[w] for w in ws])
         if not room:
-            for p in made:
-                del cache[p]
-        return out
+            for w in fresh:
+                del known[w]
+        if len(cache) < CACHE_WORDS:
+            cache.update(made)
+        for i in gaps:
+            values[i] = made[flat[i]]
+        return [values[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        self.cache.clear()
-        got = self.fill(texts, list)
-        self.cache.clear()
+        """Ids of each text, with caches of their own."""
+        held = self.cache, self.known
+        self.cache, self.known = {}, {}
+        got = self.fill(texts, list, lambda parts: [i for p in parts for i in p])
+        self.cache, self.known = held
         return [[i for ids in x for i in ids] for x in got]
 
     def decode(self, ids) -> str:
@@ -242,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        got = [[i for ids in x for i in ids] for x in c.fill(texts(batch.column(1)), list)]
+        got = [[i for ids in x for i in ids] for x in c.fill(texts(batch.column(1)), list, lambda parts: [i for p in parts for i in p])]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(got, pa.list_(pa.int32())), pa.array([c.decode(x) for x in got])], names=["key", "ids", "decoded"]
         )
@@ -268,8 +301,12 @@ def round_trips(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
         def make(ids: list[int]) -> tuple:
             return len(ids), " ".join([number[i] for i in ids]), " ".join([c.token[i] for i in ids]) if joined else ids
 
+        def join(parts: list[tuple]) -> tuple:
+            n, a, b = zip(*parts) if parts else ((), (), ())
+            return sum(n), " ".join(a), " ".join(b) if joined else [i for x in b for i in x]
+
         counts, digests, decoded = [], [], []
-        for parts in c.fill(texts(batch.column(1)), make):
+        for parts in c.fill(texts(batch.column(1)), make, join):
             parts = [p for p in parts if p[0]]
             counts.append(sum([p[0] for p in parts]))
             digests.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())

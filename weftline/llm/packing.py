@@ -11,6 +11,7 @@ occur; ties of size go by the order of key, text hash and start; no rows give no
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,10 @@ CAPACITY = 2048
 GROUP = 4096
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tournament:
     """Free capacities of bins; `place` takes the first bin that has room."""
 
@@ -129,8 +134,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, text: str = "tex
 
     def ids_of(batch: list[str]) -> list[bytes]:
         c = codec(path)
-        end = np.array([end_id], "<u4").tobytes()
-        return [b"".join(x) + end for x in c.fill(batch, lambda ids: np.array(ids, "<u4").tobytes())]
+        end = pack_ids([end_id])
+        return [b"".join(x) + end for x in c.fill(batch, pack_ids, b"".join)]
 
     groups = max(1, -(-docs.count() // GROUP))
     return pack(pieces(docs, ids_of, text, key, capacity), groups, capacity).drop("h").withColumnRenamed("key", key)
