@@ -66,10 +66,10 @@ ORDERS = """ol AS (SELECT o_custkey AS user_id, row_number() OVER (PARTITION BY
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem rows as lines of ordered sources: the key may stand in the base file and in retries."""
     li = load(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") % 3).alias("source_rank"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_suppkey").alias("payload"))
+    return li.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") % 3).alias("source_rank"), ((F.col("l_partkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")).alias("seq"), F.col("l_suppkey").alias("payload"))
 
 
-ATTEMPTS = "att AS (SELECT l_orderkey AS key, l_linenumber % 3 AS source_rank, l_partkey * 10 + l_linenumber AS seq, l_suppkey AS payload FROM lineitem)"
+ATTEMPTS = "att AS (SELECT l_orderkey AS key, l_linenumber % 3 AS source_rank, (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey AS seq, l_suppkey AS payload FROM lineitem)"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

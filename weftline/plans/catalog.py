@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import json as J
 from weftline.functions import text as X
 from weftline.operators import folds, history, lists, merging, ranking, sessions, vectors
 from weftline.plans import adapters as A
+from weftline.plans import builders
 from weftline.plans.adapters import ATTEMPTS, CANDIDATES, ORDERS, SESSION, WATCH, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -628,3 +630,82 @@ def stream_session_state(spark, d):
     name = f"moments_{uuid.uuid4().hex}"
     S.run_once(S.running_moments(S.event_stream(spark, f"{d}/events.parquet*")), name, "update", folds.shared(spark))
     return spark.table(name).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("s1", "n").alias("s1"), F.max_by("s2", "n").alias("s2"))
+
+
+# --- composite builders
+
+
+@query(f"""WITH {SESSION}, x AS (SELECT a.user_id, a.session_num, b.event_id, b.pos FROM sess a JOIN s b ON a.user_id = b.user_id AND b.session_num BETWEEN a.session_num - 2 AND a.session_num)
+SELECT user_id, session_num, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY pos) AS log FROM x GROUP BY 1, 2""")
+def build_behavior_windows(spark, d):
+    out = builders.behavior_windows(_sessions(spark, d))
+    return out.select("user_id", "session_num", F.array_join(F.col("log").cast("array<string>"), ",").alias("log"))
+
+
+@query(f"""WITH {ORDERS}, x AS (SELECT * FROM ol WHERE o_orderkey % 4 > 0)
+SELECT user_id, step, coalesce(lag(memory) OVER w, 'seed') AS b0, memory AS b2, coalesce(string_agg(status, ',') OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS o0,
+ string_agg(status, ',') OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS o2, step - coalesce(lag(step) OVER w, 0) AS n_new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY step)""")
+def build_nine_components(spark, d):
+    o = A.orders_log(spark, d)
+    w = history.along("user_id", "step").rowsBetween(W.unboundedPreceding, 0)
+    states = o.select("user_id", "step", F.col("memory").alias("after_behavior"), F.collect_list("memory").over(w).alias("events"), F.array("status").alias("outcomes"))
+    extracted = o.filter("o_orderkey % 4 > 0").select("user_id", "step", F.lit("x").alias("current_behavior"))
+    out = builders.nine_components(states, extracted, F.lit("seed"))
+    return out.select(
+        "user_id", "step", F.col("behavior.before_update").alias("b0"), F.col("behavior.after_update").alias("b2"), F.array_join("outcomes.before_update", ",").alias("o0"),
+        F.array_join("outcomes.after_update", ",").alias("o2"), F.size("events.current_extraction").cast("long").alias("n_new"),
+    )
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_partkey AS item_number, p_brand AS title, CAST(p_size AS DOUBLE) AS release_year, p_size % 2 = 0 AS for_kids, p_type AS actors FROM part")
+def build_item_catalogue(spark, d):
+    p = load(spark, d, "part")
+    none = F.lit(" NaN ")
+    rows = p.select(
+        F.col("p_partkey").cast("string").alias("item_id"), F.col("p_type").alias("content_type"), F.lit("none").alias("title"), F.col("p_brand").alias("title_orig"),
+        F.col("p_size").cast("string").alias("release_year"), none.alias("genres"), F.lit("UK").alias("countries"), F.when(F.col("p_size") % 2 == 0, "T").otherwise("0").alias("for_kids"),
+        none.alias("age_rating"), none.alias("description"), none.alias("keywords"), none.alias("actors"), F.col("p_type").alias("actors_translated"), none.alias("directors"), none.alias("directors_translated"),
+    )
+    return builders.item_catalogue(rows).select("item_id", "item_number", "title", "release_year", "for_kids", "actors")
+
+
+@query(f"""WITH {ORDERS}, n AS (SELECT *, lead(memory) OVER (PARTITION BY user_id ORDER BY step) AS nxt FROM ol)
+SELECT CASE WHEN user_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, user_id || '_' || step AS id, memory || chr(10) || status AS prompt, nxt AS answer FROM n WHERE nxt IS NOT NULL""")
+def build_update_samples(spark, d):
+    crs = A.orders_log(spark, d).withColumnRenamed("step", "session_num")
+    split = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("split"))
+    out = builders.update_samples(crs, split, "system", "memory", "status")
+    return out.select("split", "id", F.col("messages")[1].content.alias("prompt"), F.col("messages")[2].content.alias("answer"))
+
+
+@query(f"""WITH {ORDERS}, c AS (SELECT user_id, step, list(memory) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS ev FROM ol),
+n AS (SELECT *, lead(ev) OVER (PARTITION BY user_id ORDER BY step) AS nx FROM c)
+SELECT user_id || '_' || step AS id, '{{"episodic_memory":[' || CASE WHEN list_contains(ev, nx[-1]) THEN '' ELSE '"' || nx[-1] || '"' END || '],"recommendation_outcomes":[]}}' AS answer FROM n WHERE nx IS NOT NULL""")
+def build_dialogue_samples(spark, d):
+    w = history.along("user_id", "step").rowsBetween(W.unboundedPreceding, 0)
+    o = A.orders_log(spark, d)
+    crs = o.select(
+        "user_id", F.col("step").alias("session_num"), F.lit("2024-01-01").alias("date"), F.lit("Monday").alias("weekday"), F.array(F.struct(F.lit("u").alias("speaker"), F.col("status").alias("text"))).alias("turns"),
+        F.collect_list("memory").over(w).alias("events"), F.expr("cast(array() as array<struct<item: string, reaction: string>>)").alias("outcomes"),
+    )
+    split = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("train").alias("split"))
+    out = builders.dialogue_samples(crs, split, "system")
+    return out.select("id", F.col("messages")[2].content.alias("answer"))
+
+
+@query(f"""WITH {CANDIDATES}, n AS (SELECT query FROM top GROUP BY 1 HAVING count(*) = 50) SELECT query || '_1_w' || k AS id FROM n, range(4) AS g(k)""")
+def build_ranking_samples(spark, d):
+    top = ranking.top_candidates(A.candidates(spark, d), "query", "item", "score").filter(F.size("items") == 50)
+    candidates = top.select(F.col("query").alias("user_id"), F.lit(1).alias("session_num"), F.lit(0).alias("seq"), F.element_at("items", 25).alias("target_id"), F.col("items").alias("top50"))
+    turn = F.struct(F.lit("user").alias("speaker"), F.col("s_name").alias("text"), F.lit(False).alias("is_target"))
+    crs = load(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.lit(7).alias("session_num"), F.array(turn).alias("turns"), F.array("s_name").alias("persona"))
+    items = load(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("genres"))
+    return builders.ranking_samples(crs, candidates, items).select("id")
+
+
+@query("SELECT conv_id AS id, CASE WHEN arg_max(role, turn) = 'assistant' THEN arg_max(text, turn) ELSE '' END AS gold FROM conversations WHERE conv_id % 3 > 0 GROUP BY 1")
+def build_responses(spark, d):
+    messages = F.transform("turns", lambda t: F.struct(t.speaker.alias("role"), t.text.alias("content")))
+    samples = A.turns(spark, d).select(F.col("conv_id").alias("id"), messages.alias("messages"))
+    done = samples.filter("id % 3 = 0").select("id")
+    return builders.responses(samples, done, folds.offline).select("id", "gold")
