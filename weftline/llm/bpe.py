@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from weftline.llm.common import by_batch, texts
+from weftline.llm.common import by_batch, claim, texts
 
 #: Words that a worker's cache holds before it starts anew.
 CACHE_WORDS = 400_000
@@ -265,9 +265,21 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
+def _codec(path: str) -> Codec:
+    return Codec(path)
+
+
+def _forget() -> None:
+    _codec.cache_clear()
+    gc.enable()
+    gc.collect()
+
+
 def codec(path: str) -> Codec:
+    """The worker's codec of a file, with its caches."""
+    claim("codec", _forget)
     gc.disable()  # a worker's cache holds no cycles, and walking it again and again costs more than all merges
-    return Codec(path)
+    return _codec(path)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

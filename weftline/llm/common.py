@@ -77,6 +77,18 @@ class Scratch:
             pass
 
 
+_owner: list = [None, None]
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by an operator's function in a Python worker: a worker serves one stage after another, and what an earlier
+    operator keeps in it (a tokenizer's caches) goes when another one begins."""
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [owner, clear]
+
+
 def by_batch(fn: Callable[..., pa.RecordBatch | None], text_at: int) -> Callable:
     """A mapInArrow function that calls fn on slices whose texts (column text_at) sum to about CHUNK_BYTES."""
 

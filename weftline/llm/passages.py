@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Scratch, slices
+from weftline.llm.common import Scratch, claim, slices
 
 #: Tokens that are hashed at once; longer documents are taken in overlapping stretches.
 TOKENS = 1 << 18
@@ -133,6 +133,7 @@ def span_rows(docs: DataFrame, unit: Unit) -> DataFrame:
     """(key, h, text) to a row (a, s, key, h, pos) per span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for batch in chain.from_iterable(slices(b, 2) for b in batches):
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for ids, base, codes, offsets in _pieces(unit, raw):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_batch, small_batches, texts
+from weftline.llm.common import by_batch, claim, small_batches, texts
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "national", "identity", "account", "hardware", "secret")
@@ -298,6 +298,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("pii")
         base, added = find(texts(batch.column(1)), trees, limits)
         counts = [pa.array([sum(s[2] == k for s in own) for own in base], pa.int64()) for k in BASE]
         digest = [hashlib.sha256(_join(own).encode()).hexdigest() for own in base]
@@ -328,6 +329,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def masked(column: pa.Array) -> pa.Array:
+        claim("pii")
         raw = column.to_pylist()
         base, added = find([t or "" for t in raw], trees, limits)
         return pa.array([None if t is None else mask(t, _all(b, a)) for t, b, a in zip(raw, base, added)], pa.string())

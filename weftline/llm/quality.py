@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, by_batch, texts
+from weftline.llm.common import Scratch, by_batch, claim, texts
 
 MIN_WORDS = 50
 CHAR_GUARD, WORD_GUARD = 200, 50
@@ -116,6 +116,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
     """Per row: key, h (the text's hash), group (language or other), base counts, base_failed, both histograms."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("quality")
         langs = batch.column(2).to_pylist()
         rows = [measure(t, g) for t, g in zip(texts(batch.column(3)), langs)]
         cols = list(zip(*rows))

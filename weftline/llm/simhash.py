@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, by_batch
+from weftline.llm.common import Scratch, by_batch, claim
 from weftline.llm.components import components, spanning
 
 #: Fingerprints of one signature that are compared in one tile.
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """Per row: key and fingerprint (the 64 bits as a long)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("simhash")
         raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_arrays(raw).view(np.int64))], names=["key", "fp"])
 
