@@ -156,6 +156,26 @@ def test_fold_gap_ends_user(spark):
     assert got == {(1, 1): 1, (2, 1): 5, (1, 2): 3}
 
 
+def test_fold_reaches_last_session(spark):
+    rows = spark.createDataFrame([(1, n, n) for n in range(1, 8)] + [(2, 1, 5), (2, 2, 6), (2, 4, 7)], "u int, n int, v int")
+    seed = rows.filter("n = 1").select("u", F.col("v").alias("state"))
+    got = {(r.u, r.n): r.state for r in folds.fold_sessions(rows, seed, "u", "n", "v", lambda s, v: s + v).collect()}
+    assert got == {(1, n): n * (n + 1) // 2 for n in range(1, 8)} | {(2, 1): 5, (2, 2): 11}
+
+
+def test_fold_user_state_covers_every_session(spark):
+    from itertools import accumulate
+
+    from weftline.plans import catalog
+
+    d, want = "/root/testdata/sf0.001", {}
+    for r in sorted(sessions.summarize_sessions(catalog._sessions(spark, d)).collect(), key=lambda r: r.session_num):
+        want.setdefault(r.user_id, []).append(r.n_items)
+    got = {(r.user_id, r.session_num): r.state for r in catalog.QUERIES["fold_user_state"](spark, d).collect()}
+    assert max(map(len, want.values())) > 4
+    assert got == {(u, n): s for u, v in want.items() for n, s in enumerate(accumulate(v), 1)}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0])], "id long, v array<double>")
     assert vectors.mean_pairwise_distance(df, "v").first().avg_distance == pytest.approx(2 / 3, abs=1e-6)

@@ -95,15 +95,20 @@ def retry_until_valid(rows: DataFrame, prompt: str, call: Caller, valid: Callabl
     return done
 
 
-def fold_sessions(sessions: DataFrame, seed: DataFrame, user: str, step: str, value: str, update: Callable[[Column, Column], Column], last: int) -> DataFrame:
+def longest(sessions: DataFrame, step: str) -> int:
+    """The greatest step of all sessions; 0 where there are none."""
+    return sessions.agg(F.max(step)).first()[0] or 0
+
+
+def fold_sessions(sessions: DataFrame, seed: DataFrame, user: str, step: str, value: str, update: Callable[[Column, Column], Column], last: int | None = None) -> DataFrame:
     """Per-user state along sessions: state n needs state n - 1 and a row of session n, so that a gap ends the user.
 
     sessions: (user, step, value); seed: (user, state) at step 1. A wave per step joins the users still going with
-    their next session; each wave is a table.
+    their next session, up to their last one or to step `last` where it is given; each wave is a table.
     """
     state = written(seed.select(user, F.lit(1).alias(step), "state"))
     out = state
-    for n in range(2, last + 1):
+    for n in range(2, (longest(sessions, step) if last is None else last) + 1):
         rows = sessions.filter(F.col(step) == n).select(user, F.col(value).alias("_v"))
         state = written(state.join(rows, user).select(user, F.lit(n).alias(step), update(F.col("state"), F.col("_v")).alias("state")))
         if state.isEmpty():

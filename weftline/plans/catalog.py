@@ -612,7 +612,7 @@ SELECT user_id, session_num, CAST(total AS BIGINT) AS state FROM RECURSIVE_FREE
 def fold_user_state(spark, d):
     rows = folds.written(sessions.summarize_sessions(_sessions(spark, d)).select("user_id", "session_num", "n_items"))
     seed = rows.filter("session_num = 1").select("user_id", F.col("n_items").alias("state"))
-    return folds.fold_sessions(rows, seed, "user_id", "session_num", "n_items", lambda s, v: s + v, 4)
+    return folds.fold_sessions(rows, seed, "user_id", "session_num", "n_items", lambda s, v: s + v)
 
 
 @query()
