@@ -176,6 +176,41 @@ def test_fold_user_state_covers_every_session(spark):
     assert got == {(u, n): s for u, v in want.items() for n, s in enumerate(accumulate(v), 1)}
 
 
+def literal_events(rows):
+    """Event of each (user, session), one call after the other."""
+    import json
+
+    out, held = {}, {}
+    for u, n, item in sorted(rows):
+        events = held.setdefault(u, [])
+        told = f"next | {item} | {json.dumps(events, separators=(',', ':'), ensure_ascii=False)} | {events[-1]}" if events else f"initial | {item}"
+        candidates = folds.offline([told])[0]
+        event = json.loads(folds.offline_choice([f"select | {told} | {candidates}"])[0]).get("refined_event", "No event selected.")
+        events.append(event)
+        out[u, n] = event
+    return out
+
+
+def test_event_chain_covers_every_session(spark):
+    from weftline.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = literal_events([(r.user_id, r.session_num, r.date) for r in sessions.summarize_sessions(catalog._sessions(spark, d)).collect()])
+    got = catalog.QUERIES["event_chain"](spark, d).collect()
+    assert len(got) == len(want) and {(r.user_id, r.session_num): r.event for r in got} == want
+    assert max(n for _, n in want) > 3 and "No event selected." in want.values()
+
+
+def test_event_chain_gaps_and_bad_answers(spark):
+    rows = [(1, 1, "a"), (1, 3, "b"), (1, 7, "c"), (2, 2, "d")]
+    df = spark.createDataFrame(rows, "u int, n int, v string")
+    got = {(r.u, r.n): r.event for r in folds.chain_events(df, "u", "n", "v", folds.offline, folds.offline_choice).collect()}
+    assert got == literal_events(rows)
+    bad = folds.chain_events(df, "u", "n", "v", folds.offline, lambda p, k: ["no json"] * len(p)).collect()
+    assert [r.event for r in bad] == ["No event selected."] * 4
+    assert folds.chain_events(df.limit(0), "u", "n", "v", folds.offline, folds.offline_choice).count() == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0])], "id long, v array<double>")
     assert vectors.mean_pairwise_distance(df, "v").first().avg_distance == pytest.approx(2 / 3, abs=1e-6)

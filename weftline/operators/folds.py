@@ -14,10 +14,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Caller = Callable[[list[str], int], list[str]]
+#: The event of a session whose selecting call names none.
+NO_EVENT = "No event selected."
 
 
 def offline(prompts: list[str], attempt: int = 0) -> list[str]:
@@ -25,6 +27,12 @@ def offline(prompts: list[str], attempt: int = 0) -> list[str]:
     return [json.dumps({"text": p[:40], "code": zlib.crc32(p.encode()) % 1000, "attempt": attempt}) for p in prompts]
 
 
+def offline_choice(prompts: list[str], attempt: int = 0) -> list[str]:
+    """Deterministic selections for each prompt; some name no event."""
+    codes = [zlib.crc32(p.encode()) for p in prompts]
+    return [json.dumps({"refined_event": f"event {c}"} if c % 5 else {}) for c in codes]
+
+
 def with_backoff(call: Caller, attempts: int = 6, first: float = 1.0, longest: float = 60.0, sleep=time.sleep) -> Caller:
     """Repeats a failing call after growing pauses; in the end '{}' for each prompt."""
 
@@ -117,22 +125,33 @@ def fold_sessions(sessions: DataFrame, seed: DataFrame, user: str, step: str, va
     return out
 
 
-def chain_events(sessions: DataFrame, user: str, step: str, item: str, call: Caller, last: int) -> DataFrame:
-    """Waves of event texts: each session's prompt holds the user's last event; the first has none."""
-    out = None
-    previous = None
-    for n in range(1, last + 1):
-        rows = sessions.filter(F.col(step) == n)
+def chain_events(sessions: DataFrame, user: str, step: str, item: str, generate: Caller, select: Caller) -> DataFrame:
+    """Waves of event texts, wave n for the n-th session of every user that has one.
+
+    Each session takes two calls: the first proposes candidates, the second selects among them; its refined_event, or
+    NO_EVENT where it gives none, is the event. From the second wave on both prompts hold the user's events so far and
+    the last one. Each call's answers are a table.
+    """
+    turn = F.row_number().over(Window.partitionBy(user).orderBy(step))
+    ranked = written(sessions.select(user, step, F.col(item).cast("string").alias("_item"), turn.alias("_n")))
+    out = previous = None
+    for n in range(1, longest(ranked, "_n") + 1):
+        rows = ranked.filter(F.col("_n") == n)
         if previous is None:
-            asked = rows.withColumn("prompt", F.concat(F.lit("initial: "), F.col(item)))
+            asked = rows.withColumn("events", F.array().cast("array<string>"))
+            told = F.concat_ws(" | ", F.lit("initial"), "_item")
         else:
-            asked = rows.join(previous, user, "left").withColumn("prompt", F.concat_ws(" | ", F.lit("next: "), item, "event")).drop("event")
-        made = written(call_model(asked, "prompt", call).select(user, step, F.col("response").alias("event")))
-        if made.isEmpty():
-            break
-        previous = made.select(user, "event")
-        out = made if out is None else out.unionByName(made)
-    return out
+            asked = rows.join(previous, user)
+            told = F.concat_ws(" | ", F.lit("next"), "_item", F.to_json("events"), F.element_at("events", -1))
+        proposed = written(call_model(asked.withColumn("_told", told), "_told", generate).withColumnRenamed("response", "_candidates"))
+        choice = proposed.withColumn("prompt", F.concat_ws(" | ", F.lit("select"), "_told", "_candidates"))
+        event = F.coalesce(F.get_json_object("response", "$.refined_event"), F.lit(NO_EVENT))
+        chosen = call_model(choice, "prompt", select).withColumn("event", event)
+        made = written(chosen.select(user, step, "event", F.concat("events", F.array("event")).alias("events")))
+        previous = made.select(user, "events")
+        wave = made.select(user, step, "event")
+        out = wave if out is None else out.unionByName(wave)
+    return ranked.select(user, step, F.col("_item").alias("event")).limit(0) if out is None else out
 
 
 def resume_state(log: DataFrame, user: str, step: str) -> DataFrame:

@@ -618,7 +618,7 @@ def fold_user_state(spark, d):
 @query()
 def event_chain(spark, d):
     rows = folds.written(sessions.summarize_sessions(_sessions(spark, d)).select("user_id", "session_num", F.col("date").alias("item")))
-    return folds.chain_events(rows, "user_id", "session_num", "item", folds.offline, 3)
+    return folds.chain_events(rows, "user_id", "session_num", "item", folds.offline, folds.offline_choice)
 
 
 @query(f"WITH {WATCH}, c AS (SELECT user_id, CAST(round(coalesce(watched_pct, 0) * 100) AS BIGINT) AS c FROM wl) SELECT user_id, count(*) AS n, CAST(sum(c) AS BIGINT) AS s1, CAST(sum(c * c) AS BIGINT) AS s2 FROM c GROUP BY 1")
