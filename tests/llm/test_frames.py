@@ -204,6 +204,17 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped_and_outside_templates(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    gpl = "This program is free software: you can redistribute it\nand/or modify it under the terms of the\nGNU General Public License"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    prose = "it was the best of times and they may not have any use for it by the river or at an inn which is under the hill, with a copy of the book that you can read as you like\n" * 6
+    rows = [(1, f"start\n \n{mit}\n\nend\n"), (2, f"\n{bsd}\n\n{gpl}"), (3, mpl), (3, mpl), (4, prose), (5, f"x\n\nReleased under the MIT License.\nmore\n\n{mit}")]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 2, "mit"), (2, 1, "bsd"), (2, 5, "gpl-3.0"), (3, 0, "unknown-licence"), (3, 0, "unknown-licence"), (5, 2, "mit"), (5, 5, "mit")]
+
+
 def test_empty_tables(none):
     assert suffixes.dedup(none).count() == 0 and recompress.dedup(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 

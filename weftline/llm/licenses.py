@@ -1,15 +1,17 @@
 """License scans: a trained paragraph classifier and template comparison, scored by DataFrame operations only.
 
-Paragraphs are lines. A multinomial logistic regression over sparse word n-grams (one and two words, presence) gives
-each licence family's probability beside an unknown class, calibrated by a temperature fitted on held-out rows. A
-paragraph is reported under its best family if that probability reaches LIMIT and one of the family's templates
-confirms it: at least CONFIRM of the template's three-word windows stand in the paragraph. A paragraph that only the
-classifier or only a template holds for a licence is reported as unknown-licence.
+Paragraphs are lines, and blocks of lines between blank ones, joined, so that wrapped notices are whole. A multinomial
+logistic regression over sparse word n-grams (one and two words, presence) gives each licence family's probability
+beside an unknown class, calibrated by a temperature fitted on held-out rows. A paragraph is reported under its best
+family if that probability reaches LIMIT and one of the family's templates confirms it: at least CONFIRM of the
+template's three-word windows stand in the paragraph. A paragraph that only the classifier or only a template holds for
+a licence is reported as unknown-licence. A block is reported where it names a family that none of its lines names,
+in place of those lines' partial hits, or where none of its lines is reported.
 
 The regression is trained here, on TRAIN_ROWS paragraphs written from the templates with a fixed seed, and its
-VOCABULARY heaviest n-grams are kept. No paragraph can be confirmed without one of the gate words (`gate`), which are
-chosen so that each template's windows without any of them stay under CONFIRM; lines without them are never reported
-and leave the plan at the scan. Equal paragraphs are scored once and joined back.
+VOCABULARY heaviest n-grams are kept. No template can confirm a paragraph without one of the gate words (`gate`), which
+are chosen so that each template's windows without any of them stay under CONFIRM, and `_sure` bounds what the
+classifier can hold; paragraphs that pass neither are never reported and leave the plan at the scan. Equal paragraphs are scored once and joined back.
 
 Defined results: null text has no paragraphs; ties of probability go to the first family by name; repeated rows are
 reported as often as they occur; no rows give no rows; extra columns stay out of the result.
@@ -19,12 +21,15 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.common import Scratch
+
 TRAIN_ROWS = 1500
 VOCABULARY = 600
 LIMIT = 0.5
@@ -65,6 +70,10 @@ NEGATIVES = [
 ]
 
 
+# Function words, of which long prose holds nearly all.
+PLAIN = "the of and to a in is that it was for on are with as be by this at from or an have not you he they which any may can under use 2 3 4 0".split()
+
+
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
@@ -87,8 +96,10 @@ def training(rows: int, seed: int = 3) -> tuple[list[list[str]], np.ndarray]:
         k = r.randrange(len(FAMILIES))
         if FAMILIES[k] == UNKNOWN:
             kind = r.random()
-            if kind < 0.4:
+            if kind < 0.25:
                 ws = words_of(r.choice(NEGATIVES))
+            elif kind < 0.4:
+                ws = [r.choice(PLAIN) if r.random() < 0.5 else word() for _ in range(r.randint(30, 400))]
             elif kind < 0.7:
                 ws = [r.choice(pool) if r.random() < 0.4 else word() for _ in range(r.randint(3, 25))]
             else:
@@ -168,16 +179,40 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of value, which is evaluated once."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _sure(words: Column, weights: dict[str, list[float]], bias: list[float]) -> Column:
+    """False only where no family outdoes the unknown class; n-grams that speak for no family are left out."""
+    lift = {g: [x - v[-1] for x in v[:-1]] for g, v in weights.items() if max(v[:-1]) > v[-1]}
+    names, worth = F.array(*map(F.lit, lift)), [F.array(*[F.lit(v[k]) for v in lift.values()]) for k in range(len(bias) - 1)]
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    held = _let(words, lambda w: F.array_intersect(F.concat(w, pairs(w)), names))
+    at = F.transform(held, lambda g: F.array_position(names, g).cast("int"))
+    over = lambda a, k: F.aggregate(a, F.lit(bias[k] - bias[-1]), lambda s, i: s + F.element_at(worth[k], i))
+    return _let(at, lambda a: F.greatest(*[over(a, k) for k in range(len(bias) - 1)]) >= -1e-3)
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per licence paragraph: key, paragraph (its line, from 0), family, probability and coverage (of the template)."""
+    """Per licence paragraph: key, paragraph (its first line, from 0), family, probability and coverage (of the template)."""
     spark = docs.sparkSession
     weights, bias = model()
     k = len(FAMILIES)
     gated = r"(?i)(?<![a-z0-9])(?:" + "|".join(gate()) + r")(?![a-z0-9])"
-    lines = F.transform(F.split(docs[text].cast("string"), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line")))
-    rows = docs.filter(docs[text].rlike(gated)).select(docs[key].alias("key"), F.explode(F.filter(lines, lambda l: l.line.rlike(gated))).alias("p"))
-    norm = F.trim(F.regexp_replace(F.lower("p.line"), "[^a-z0-9]+", " "))
-    rows = rows.select("key", "p.paragraph", norm.alias("body"))
+    lines = F.transform(F.split(docs[text].cast("string"), "\n"), lambda x, i: F.when(x.rlike("[A-Za-z0-9]"), F.concat(i.cast("string"), F.lit("\x01"), x)).otherwise(""))
+    blocks = docs.select(docs[key].alias("key"), F.explode(F.split(F.array_join(lines, "\n"), "\n{2,}")).alias("block")).filter("block <> ''")
+    blocks = blocks.select("key", F.monotonically_increasing_id().alias("at"), F.split(F.btrim("block", F.lit("\n")), "\n").alias("lines"))
+    units = F.transform("lines", lambda x: F.struct(F.substring_index(x, "\x01", 1).cast("int").alias("paragraph"), F.lit(False).alias("whole"), _normal(F.regexp_replace(x, "^[0-9]+\x01", "")).alias("body")))
+    whole = lambda u: F.struct(u[0].paragraph.alias("paragraph"), F.lit(True).alias("whole"), F.array_join(F.filter(u.body, lambda b: b != ""), " ").alias("body"))
+    blocks = blocks.select("key", "at", F.explode(_let(units, lambda u: F.when(F.size(u) > 1, F.concat(u, F.array(whole(u)))).otherwise(u))).alias("p"))
+    reached = F.col("body").rlike(gated) | _sure(F.split("body", " "), weights, bias)
+    rows = Scratch(spark).put(blocks.select("key", "at", "p.*").filter("body <> ''").filter(reached))
     seen = rows.groupBy("body").agg(F.count("*").alias("n")).select("body", F.split("body", " ").alias("w"))
     wide = _values(spark, [f"('{g}', array({', '.join(f'{x}D' for x in v)}))" for g, v in weights.items()], "gram, weight")
     scored = seen.select("body", F.explode(F.array_distinct(F.concat(_grams(F.col("w"), 1), _grams(F.col("w"), 2)))).alias("gram")).join(wide, "gram")
@@ -195,6 +230,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     by = judged.join(cover, "body", "left")
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= LIMIT)
     held_up = F.coalesce(F.col("coverage") >= CONFIRM, F.lit(False))
-    family = F.when(sure & held_up & (F.col("best") == F.col("held")), F.col("best")).when(sure & (F.col("coverage") >= CONFIRM / 2) | held_up, F.lit("unknown-licence"))
-    found = by.select("body", family.alias("family"), "probability", F.round("coverage", 4).alias("coverage")).filter("family is not null")
-    return rows.join(found, "body").select(F.col("key").alias(key), "paragraph", "family", "probability", "coverage")
+    family = F.when(sure & held_up & (F.col("best") == F.col("held")), F.col("best")).when(sure | held_up, F.lit("unknown-licence"))
+    found = by.select("body", family.alias("family"), "best", "held", "probability", F.round("coverage", 4).alias("coverage")).filter("family is not null")
+    hits = rows.join(found, "body").drop("body")
+    # Of a block and its lines: the block where it names a family that none of its lines does, or where no line is reported.
+    of = Window.partitionBy("at")
+    named = F.max(F.when(F.col("whole") & (F.col("family") != "unknown-licence"), F.col("family"))).over(of)
+    said = F.collect_set(F.when(~F.col("whole"), F.col("family"))).over(of)
+    judged = hits.withColumns({"named": named, "said": said})
+    stands = F.when(F.col("family") == "unknown-licence", F.size("said") == 0).otherwise(~F.array_contains("said", F.col("family")))
+    part = (F.col("family") == "unknown-licence") & F.col("named").isNotNull() & ~F.array_contains("said", F.col("named")) & (F.coalesce(F.col("held") == F.col("named"), F.lit(False)) | (F.col("best") == F.col("named")))
+    kept = judged.filter(F.when(F.col("whole"), stands).otherwise(~F.coalesce(part, F.lit(False))))
+    return kept.select(F.col("key").alias(key), "paragraph", "family", "probability", "coverage")
