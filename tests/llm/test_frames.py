@@ -188,6 +188,13 @@ def test_pii(spark, docs, none):
     assert pii.redact(docs).filter("text is null").count() == 1
 
 
+def test_pii_long_tokens_and_upper_case_addresses(spark):
+    token = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(3))
+    rows = [(1, f'token = "{token}" y'), (2, "device DE:AD:BE:EF:CA:FE up"), (3, "word " + "a" * 300)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 'token = "[SECRET]" y', 2: "device [HARDWARE] up", 3: rows[2][1]}
+
+
 def test_urls(spark):
     rows = [(1, "http://U:p@Spam-Farm.example.org:80/x", "2024-02-01"), (2, "https://a.spam-farm.example.org.", "2024-06-15"), (3, None, "2024-03-01"), (4, "no url", "2024-03-01"),
             (5, "https://x.cheap-pills.example.com", "2024-03-15"), (6, "https://notspam-farm.example.org", "2024-02-02"), (7, "https://spam-farm.example.org", None), (1, "http://U:p@Spam-Farm.example.org:80/x", "2024-02-01")]

@@ -93,9 +93,10 @@ _PROPOSE = {
     "identity": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "account": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "hardware": re.compile(r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,128}(?![A-Za-z0-9_+/-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"),
 }
-_GATE = re.compile(r"[\d:\[(][\d:a-z]|[A-Za-z0-9_+/-]{20}| at ")
+#: Every generator's match holds a match of this.
+_GATE = re.compile(r"[\d:\[(][\d:A-Za-z]|[A-Za-z0-9_+/-]{20}| at ")
 # Words that stand before or after the kinds' values.
 CUES = {
     "address": {"mail", "email", "contact", "write", "reach", "send", "courriel", "correo"},
