@@ -179,6 +179,18 @@ def test_quality(docs, none):
     assert quality.verdicts(none).count() == 0
 
 
+def test_quality_reference_per_language(spark):
+    import random
+
+    r = random.Random(4)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(150)) + "."
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
+    rows = [(i, text(latin), "it") for i in range(90)] + [(100 + i, text(cyrillic), "ru") for i in range(10)]
+    rows += [(200, " ".join("#$% 1 2 & 77 |" for _ in range(1)) + " " + " ".join(f"{i * i}#" for i in range(150)), "ru"), (201, text("0123456789#$"), "it")]
+    got = {x.doc_id: x.kept for x in quality.verdicts(spark.createDataFrame(rows, SCHEMA.split(",")[0] + ", text string, lang string")).collect()}
+    assert got == {i: i < 200 for i, _, _ in rows}
+
+
 def test_pii(spark, docs, none):
     df = spark.createDataFrame([(1, 'a@b.co x token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" y', "k")], "doc_id long, text string, key string")
     row = pii.spans(df).first()

@@ -3,8 +3,8 @@
 A document is held against its language's reference: the Jensen-Shannon distance of its histogram over character
 classes, and of its histogram over the language's common words, to those of all documents in that language that pass
 the base rules, and once more to those of them that the first reference finds near (TRIM), so that junk does not shape
-the reference. The references are sums over the whole table, one row for each listed language and one for all other
-values, so that what reaches the driver has a fixed size.
+the reference; where none is near, the first reference stands. The references are sums over the whole table, one row for
+each value of the language column, joined back; the words of languages that are not listed are those of all that are.
 
 Base rules, over words (runs of characters other than space and \\t..\\r): under MIN_WORDS words, or over half of the
 words in three-word windows that the text holds twice or more, fail.
@@ -13,7 +13,7 @@ A document fails beyond the limit of the character distance alone, or beyond bot
 stray further from any reference by chance, so that wider limits hold below LONG words. Neither distance counts where
 the document or the reference has fewer than CHAR_GUARD characters or WORD_GUARD words.
 
-Defined results: null text is the empty text and fails the base rules; null or unknown languages share one reference;
+Defined results: null text is the empty text and fails the base rules; rows with a null language share one reference;
 repeated rows get equal verdicts; no rows give no rows; extra columns stay out of the features.
 """
 
@@ -45,7 +45,6 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ha es".split(),
 }
-LANGS = [*sorted(COMMON), "other"]
 _WORDS = {k: {w: i for i, w in enumerate(v)} for k, v in COMMON.items()}
 _WORDS["other"] = {w: i for i, w in enumerate(sorted(set(chain(*COMMON.values()))))}
 _WIDTH = max(map(len, _WORDS.values())) + 1
@@ -113,7 +112,7 @@ def measure(text: str, lang: str | None) -> tuple:
 
 
 def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row: key, h (the text's hash), group (language or other), base counts, base_failed, both histograms."""
+    """Per row: key, h (the text's hash), grp (language), base counts, base_failed, both histograms."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         claim("quality")
@@ -122,9 +121,8 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
         cols = list(zip(*rows))
         ints = [pa.array(c, pa.int64()) for c in cols[:5]]
         failed = pa.array([n < MIN_WORDS or 100 * r > 50 * n for n, r in zip(cols[0], cols[4])])
-        group = pa.array([g if g in COMMON else "other" for g in langs])
         hists = [pa.array(list(c), pa.list_(pa.int64())) for c in cols[5:]]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), group, *ints, failed, *hists], names=names)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *ints, failed, *hists], names=names)
 
     names = ["key", "h", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common"]
     kind = docs.schema[key].dataType.simpleString()
@@ -137,13 +135,12 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
     )
 
 
-def references(measured: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Histogram sums of each language's documents that pass the base rules: at most len(LANGS) rows."""
-    total = measured.filter("not base_failed").groupBy("grp").agg(
-        F.array(*[F.sum(F.col("classes")[i]) for i in range(CLASSES)]).alias("classes"),
-        F.array(*[F.sum(F.col("common")[i]) for i in range(_WIDTH)]).alias("common"),
+def references(measured: DataFrame) -> DataFrame:
+    """Histogram sums of each language's documents that pass the base rules: ref_grp, ref_classes, ref_common."""
+    return measured.filter("not base_failed").groupBy(F.col("grp").alias("ref_grp")).agg(
+        F.array(*[F.sum(F.col("classes")[i]) for i in range(CLASSES)]).alias("ref_classes"),
+        F.array(*[F.sum(F.col("common")[i]) for i in range(_WIDTH)]).alias("ref_common"),
     )
-    return {r.grp: (r.classes, r.common) for r in total.collect()}
 
 
 def distance(count: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -157,16 +154,15 @@ def distance(count: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0))
 
 
-def judged(measured: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
+def judged(measured: DataFrame, refs: DataFrame) -> DataFrame:
     """measured with char_distance, word_distance (null under their guards) and kept."""
 
-    def side(counts: pa.Array, group: list[str], which: int, guard: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.array(counts.to_pylist(), np.float64).reshape(len(group), -1)
-        out, use = np.zeros(len(group)), np.zeros(len(group), bool)
-        for g, pair in refs.items():
-            own = np.flatnonzero(np.array([x == g for x in group]))
-            reference = np.array(pair[which], np.float64)
-            if len(own) and reference.sum() >= guard:
+    def side(counts: pa.Array, groups: list[np.ndarray], refs: pa.Array, guard: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.array(counts.to_pylist(), np.float64).reshape(len(counts), -1)
+        out, use = np.zeros(len(counts)), np.zeros(len(counts), bool)
+        for own in groups:
+            reference = np.array(refs[int(own[0])].as_py() or [0], np.float64)
+            if reference.sum() >= guard:
                 out[own] = distance(rows[own], reference)
                 use[own] = rows[own].sum(1) >= guard
         return out, use
@@ -176,28 +172,36 @@ def judged(measured: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) ->
             if not batch.num_rows:
                 continue
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            group = batch.column(at["grp"]).to_pylist()
-            c, use_c = side(batch.column(at["classes"]), group, 0, CHAR_GUARD)
-            w, use_w = side(batch.column(at["common"]), group, 1, WORD_GUARD)
+            places: dict[str | None, list[int]] = {}
+            for i, g in enumerate(batch.column(at["grp"]).to_pylist()):
+                places.setdefault(g, []).append(i)
+            groups = [np.array(x) for x in places.values()]
+            c, use_c = side(batch.column(at["classes"]), groups, batch.column(at["ref_classes"]), CHAR_GUARD)
+            w, use_w = side(batch.column(at["common"]), groups, batch.column(at["ref_common"]), WORD_GUARD)
             failed = batch.column(at["base_failed"]).to_numpy(zero_copy_only=False)
             long = batch.column(at["n_words"]).to_numpy() >= LONG
             alone = c > np.where(long, ALONE[True], ALONE[False])
             both = (c > np.where(long, PAIR[True][0], PAIR[False][0])) & (w > np.where(long, PAIR[True][1], PAIR[False][1]))
             kept = ~(failed | use_c & alone | use_c & use_w & both)
             extra = [pa.array(c, mask=~use_c), pa.array(w, mask=~use_w), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "char_distance", "word_distance", "kept"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(at[n]) for n in own_names], *extra], names=[*own_names, "char_distance", "word_distance", "kept"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema)
-    return measured.mapInArrow(run, schema + ", char_distance double, word_distance double, kept boolean")
+    own_names = measured.columns
+    return measured.join(refs, measured["grp"].eqNullSafe(refs["ref_grp"]), "left").mapInArrow(run, schema + ", char_distance double, word_distance double, kept boolean")
 
 
 def verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Per row: key, h, base counts, base_failed, both distances, kept."""
     scratch = Scratch(docs.sparkSession)
     measured = scratch.put(features(docs, text, key, lang))
-    first = judged(measured, references(measured))
+    # Written, so that Spark knows their size and broadcasts them only where they are small.
+    wide = scratch.put(references(measured))
+    first = judged(measured, wide)
     near = first.filter((F.coalesce("char_distance", F.lit(0.0)) <= TRIM[0]) & (F.coalesce("word_distance", F.lit(0.0)) <= TRIM[1]))
-    return judged(measured, references(near)).drop("classes", "common").withColumnRenamed("key", key)
+    trimmed = references(near).select(F.col("ref_grp").alias("_g"), F.col("ref_classes").alias("_c"), F.col("ref_common").alias("_w"))
+    second = wide.join(trimmed, wide["ref_grp"].eqNullSafe(trimmed["_g"]), "left").select("ref_grp", F.coalesce("_c", "ref_classes").alias("ref_classes"), F.coalesce("_w", "ref_common").alias("ref_common"))
+    return judged(measured, scratch.put(second)).drop("classes", "common").withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
