@@ -58,7 +58,7 @@ def check_suffixes(docs):
         kept = bytes(b for b, x in zip(t, c) if not x)
         spans = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
         want.append((k, len(t), int(c.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    got = [(r.doc_id, r.c.n_bytes, r.c.n_removed, r.c.n_spans, r.c.kept_sha256) for r in suffixes.dedup(docs).select("doc_id", F.col("_cut").alias("c")).collect()]
+    got = [(r.doc_id, r.c.n_bytes, r.c.n_removed, r.c.n_spans, r.c.kept_sha256) for r in suffixes.dedup(docs).select("row.doc_id", F.col("cut").alias("c")).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     return sum(w[2] for w in want)
 
@@ -80,7 +80,7 @@ def test_recompress(docs):
         c = covered(t, recompress.WIDTH, count)
         kept = b" ".join(w for w, x in zip(t, c) if not x)
         want.append((k, len(t), int(c.sum()), hashlib.sha256(kept).hexdigest()))
-    got = [(r.doc_id, r.c.n_words, r.c.n_removed, r.c.kept_sha256) for r in recompress.dedup(docs).select("doc_id", F.col("_cut").alias("c")).collect()]
+    got = [(r.doc_id, r.c.n_words, r.c.n_removed, r.c.kept_sha256) for r in recompress.dedup(docs).select("row.doc_id", F.col("cut").alias("c")).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(w[2] for w in want) > 0
 
 

@@ -2,20 +2,22 @@
 
 A window is `width` consecutive tokens (bytes or words) of one document. Every window names one anchor in it by a
 rule that looks at the window's content alone, so equal windows name equal anchors. A run of windows with the same
-anchor is a span. Spans, one per dozens of bytes, are all that is shuffled:
+anchor is a span.
 
-1. anchors that occur once cannot be in a repeated window: only spans of repeated anchors go on;
-2. spans of an anchor with equal content form a class, counted with map-side sums. A class of two or more is
-   repeated as a whole, as are all spans of an anchor with only one class;
-3. the other spans (passages' edges) are compared with their anchor's classes, one span standing for each class,
-   by the caller's method.
+1. Equal texts become one row with a count, grouped byte by byte (`distinct_texts`); all else is done once for each
+   different text, whatever its copies.
+2. Anchors that occur once cannot be in a repeated window: only spans of repeated anchors go on (`spans_of`).
+3. Spans of an anchor with equal content form a class, grouped by the content itself and counted with map-side sums
+   (`classes_of`). A class of two or more is repeated as a whole.
+4. The windows of single spans are compared with those of the anchor's other classes by the caller's method.
 
-No step gathers a hot anchor's rows: they are counted, joined with a key's single row (which Spark may split), and
-compared class by class.
+No hash decides: anchors only bring together what may be equal. No step gathers a hot anchor's rows: they are counted,
+and joined with a key's single row (which Spark may split).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.llm.common import Scratch, claim, slices
 
@@ -96,7 +99,7 @@ class Unit:
     """Tokens of a text, the window width, and the spans of a buffer of tokens.
 
     codes: text bytes to an array of uint64. spans: (codes, offsets) to document, first window, number of windows,
-    anchor place, anchor hash and content hash of each span.
+    anchor place and anchor hash of each span.
     """
 
     width: int
@@ -129,59 +132,64 @@ def _pieces(unit: Unit, raw: list[bytes]) -> Iterator[tuple[list[int], list[int]
         yield out()
 
 
-def span_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(key, h, text) to a row (a, s, key, h, pos) per span."""
+def body_of(docs: DataFrame, text: str) -> Column:
+    return F.coalesce(docs[text].cast("string"), F.lit(""))
+
+
+@dataclass
+class Texts:
+    """rows: (h, m, z), each different text once: h names it, m is 1 or, for any number of copies, 2, z is the text in
+    zstd. seed: h is the text's xxhash64 under it."""
+
+    rows: DataFrame
+    seed: int
+
+    def name(self, docs: DataFrame, text: str) -> Column:
+        return F.xxhash64(F.lit(self.seed), body_of(docs, text))
+
+
+def distinct_texts(docs: DataFrame, text: str, scratch: Scratch) -> Texts:
+    """Texts are grouped by their bytes; a seed under which two of them had one name is thrown away."""
+    for seed in itertools.count(42):
+        body = body_of(docs, text)
+        named = docs.select(F.xxhash64(F.lit(seed), body).alias("h"), packed(body).alias("z"))
+        rows = scratch.put(named.groupBy("h", "z").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("m")))
+        if rows.groupBy("h").count().filter("count > 1").isEmpty():
+            return Texts(rows, seed)
+        scratch.drop(rows)
+
+
+def span_rows(texts: DataFrame, unit: Unit) -> DataFrame:
+    """(h, m, z) to a row (a, h, pos, m) per span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("passages")
         for batch in chain.from_iterable(slices(b, 2) for b in batches):
-            raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            for ids, base, codes, offsets in _pieces(unit, raw):
-                doc, first, count, place, a, s = unit.spans(codes, offsets)
+            for ids, base, codes, offsets in _pieces(unit, unpacked(batch.column(2))):
+                doc, first, count, place, a = unit.spans(codes, offsets)
                 local = first - offsets[:-1][doc] + np.array(base, np.int64)[doc]
                 row = pa.array(np.array(ids, np.int64)[doc])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(pack(local, count, place - first))],
-                    names=["a", "s", "key", "h", "pos"],
+                    [pa.array(a.view(np.int64)), batch.column(0).take(row), pa.array(pack(local, count, place - first)), batch.column(1).take(row)], names=["a", "h", "pos", "m"]
                 )
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "h", "text").mapInArrow(run, f"a long, s long, key {kind}, h long, pos long")
-
-
-def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, h, text): rows with equal key and text are told apart from others by the text's hash h."""
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(docs[key].alias("key"), F.xxhash64(body).alias("h"), body.alias("text"))
-
-
-@dataclass
-class Found:
-    """spans: (key, h, pos) of every span of a repeated anchor. edges: (a, s, n, k, key, h, pos), a row per class of
-    the anchors with k > 1 classes; those with n = 1 are single spans still to be compared."""
-
-    spans: DataFrame
-    edges: DataFrame
+    return texts.select("h", "m", "z").mapInArrow(run, "a long, h long, pos long, m int")
 
 
-def find(docs: DataFrame, unit: Unit, scratch: Scratch) -> Found:
-    """docs: (key, h, text)."""
-    rows = span_rows(docs, unit)
-    often = scratch.put(rows.groupBy("a").count().filter("count > 1").select("a"))
-    scratch.release()
+def spans_of(texts: Texts, unit: Unit, scratch: Scratch) -> DataFrame:
+    """(a, h, pos, m) of every span whose anchor occurs twice or more."""
+    rows = scratch.put(span_rows(texts.rows, unit))
+    often = scratch.put(rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a"))
     spans = scratch.put(rows.join(often, "a"))
+    scratch.drop(rows)
     scratch.drop(often)
-    classes = scratch.put(spans.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("key", "h", "pos")).alias("one")))
-    many = classes.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1")
-    edges = scratch.put(classes.join(many, "a").select("a", "s", "n", "k", "one.key", "one.h", "one.pos"))
-    scratch.drop(classes)
     scratch.release()
-    return Found(spans, edges)
+    return spans
 
 
 @F.arrow_udf(T.BinaryType())
 def packed(text: pa.Array) -> pa.Array:
-    """Texts in zstd, for shuffles."""
+    """Texts in zstd, for shuffles. Equal texts give equal bytes."""
     press = zstandard.ZstdCompressor(level=3).compress
     return pa.array([None if t is None else press(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
@@ -191,101 +199,89 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else open_(t) if t else b"" for t in column.to_pylist()]
 
 
-def contexts(docs: DataFrame, edges: DataFrame, per_doc: Callable, schema: str) -> DataFrame:
-    """Edges with their texts: per_doc(rows of a batch) makes rows of schema. It gets (key, h, z, own) batches."""
-    own = edges.groupBy("key", "h").agg(F.collect_list(F.struct("a", "n", "k", "pos")).alias("own"))
-    texts = docs.select("key", "h", packed("text").alias("z"))
-    met = texts.alias("d").join(own.alias("o"), F.col("d.key").eqNullSafe(F.col("o.key")) & (F.col("d.h") == F.col("o.h")))
-    # repeated rows of one key and text are told apart by nothing: one of them has the text that is needed
-    return met.select("d.key", "d.h", "d.z", "o.own").mapInArrow(per_doc, schema)
+def with_texts(texts: Texts, rows: DataFrame, per_text: Callable, schema: str, *fields: str) -> DataFrame:
+    """rows (h, fields) gathered by text and met with it: per_text(raw texts, batch of (h, z, own)) makes rows of
+    schema. A text's rows are bounded by its length."""
+    own = rows.groupBy("h").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    met = texts.rows.select("h", "z").join(own, "h").select("h", "z", "own")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
+            yield from per_text(unpacked(batch.column(1)), batch.column(0), batch.column(2))
 
-def stretches(count: int, anchor: int, first: int, step: int, width: int) -> Iterator[tuple[int, int, int, int]]:
-    """A span's windows in stretches of up to step windows, cut at multiples of step before the anchor, so that equal
-    windows of a class stand in stretches of one place. Yields first window, windows, and from and to of the core: the
-    tokens that all windows of such a stretch share."""
-    at, place = first, first + anchor
-    while at < first + count:
-        block, over = divmod(place - at, step)
-        n = min(over + 1, first + count - at)
-        core = place - block * step
-        yield at, n, core, core - step + 1 + width
-        at += n
+    return met.mapInArrow(run, schema)
 
 
-def window_hits(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Stretches (d1, d2, single, key, h, first, n, wins, core) to (key, h, first, last) of the single edges' windows
-    that occur twice or more.
+def flat(own: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """A list column of structs as the row of each entry and its fields."""
+    size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+    each = pc.list_flatten(own)
+    return np.repeat(np.arange(len(own)), size), *(pc.struct_field(each, f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def contested(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes of anchors that have several, one of them a single span."""
+    many = scratch.put(classes.groupBy("a").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("open")).filter("k > 1 and open > 0").select("a"))
+    return classes.join(many, "a")
 
-    d1, d2: hash of the stretch's content; core: of its core; wins: 16 bytes of hash for each of its n windows. A
-    stretch that occurs twice is repeated as a whole. One whose core occurs once holds no repeated window. Of each
-    other one, and of one row for each repeated one with such a core, the windows are counted.
-    """
-    kept = scratch.put(rows)
-    one = F.min_by(F.struct("single", "key", "h", "first", "wins"), F.struct(~F.col("single"), "key", "h", "first"))
-    classes = scratch.put(kept.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.first("core").alias("core"), one.alias("one")))
-    whole = kept.filter("single").join(classes.filter("times > 1").select("d1", "d2"), ["d1", "d2"])
-    whole = whole.select("key", "h", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    cores = scratch.put(classes.groupBy("core").agg(F.count("*").alias("k"), F.count_if((F.col("times") == 1) & F.col("one.single")).alias("open")).filter("k > 1 and open > 0").select("core"))
-    each = classes.join(cores, "core").select(
-        (F.col("one.single") & (F.col("times") == 1)).alias("single"), "one.key", "one.h", F.col("one.first").alias("first"), "one",
-        F.explode(F.sequence(F.lit(0), (F.length("one.wins") / 16).cast("int") - 1)).alias("i"),
-    )
-    wins = scratch.put(each.select(F.substring("one.wins", F.col("i") * 16 + 1, F.lit(16)).alias("w"), "single", "key", "h", (F.col("first") + F.col("i")).alias("first")))
-    twice = wins.groupBy("w").agg(F.count("*").alias("times")).filter("times > 1").select("w")
-    parts = wins.filter("single").join(twice, "w").select("key", "h", "first", F.col("first").alias("last"))
-    return whole.union(parts)
-
-
-def ranges(found: Found, hits: DataFrame) -> DataFrame:
-    """(key, h, marks): marks hold the spans (kind 1, pos), single edges among them (kind 0, pos) and the repeated
-    windows of edges (kind 2, first, last)."""
-    zero = F.lit(0).cast("long")
-    parts = [
-        found.spans.select("key", "h", F.struct(F.lit(1).alias("kind"), F.col("pos").alias("x"), zero.alias("y")).alias("mark")),
-        found.edges.filter("n = 1").select("key", "h", F.struct(F.lit(0).alias("kind"), F.col("pos").alias("x"), zero.alias("y")).alias("mark")),
-        hits.select("key", "h", F.struct(F.lit(2).alias("kind"), F.col("first").alias("x"), F.col("last").alias("y")).alias("mark")),
-    ]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("key", "h").agg(F.collect_list("mark").alias("marks"))
+
+#: Kinds of marks on a text: a span, a span taken back, a range of repeated windows, a window taken back.
+SPAN, NOT_SPAN, WINDOWS, NOT_WINDOW = range(4)
+
+
+def mark(kind: int, x: Column, y: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("x"), (F.lit(0) if y is None else y).cast("long").alias("y"))
 
 
 def removed(kind: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal removed token ranges [from, to) of one document's marks."""
-    single = set(x[kind == 0].tolist())
-    full = [p for p in x[kind == 1].tolist() if p not in single]
-    got = [(p >> 18, (p >> 18) + (p >> 9 & 511) - 1 + width) for p in full]
-    got += zip(x[kind == 2].tolist(), (y[kind == 2] + width).tolist())
+    """Maximal removed token ranges [from, to) of one text's marks."""
+    span = kind <= NOT_SPAN
+    first, last = np.where(span, x >> 18, x), np.where(kind == WINDOWS, y, x)
+    last = np.where(span, first + (x >> 9 & 511) - 1, last)
+    step = np.zeros(int(last.max()) + 2, np.int32)
+    for add in (SPAN, WINDOWS):
+        np.add.at(step, first[kind == add], 1)
+        np.add.at(step, last[kind == add] + 1, -1)
+    # spans taken back were marked as spans, windows taken back as part of one: they are marked by nothing else
+    for sub in (NOT_SPAN, NOT_WINDOW):
+        np.add.at(step, first[kind == sub], -1)
+        np.add.at(step, last[kind == sub] + 1, 1)
+    hit = np.concatenate([[False], np.cumsum(step) > 0, [False]])
+    edge = np.flatnonzero(hit[1:] != hit[:-1])
     out: list[tuple[int, int]] = []
-    for a, b in sorted(got):
+    for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1 + width).tolist()):
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
     return out
 
 
-def apply(docs: DataFrame, marks: DataFrame, finish: Callable, result: str, text: str, key: str) -> DataFrame:
-    """Every row of docs with a struct column `_cut` that finish(raw texts, list of marks or None) gives, without the
-    text itself, which finish may put into the struct."""
-    body = docs[text].cast("string")
-    rows = docs.select(
-        *[docs[c] for c in docs.columns if c != text], F.xxhash64(F.coalesce(body, F.lit(""))).alias("_h"), packed(body).alias("_z")
-    )
-    own = marks.select(F.col("key").alias("_k"), F.col("h").alias("_kh"), F.col("marks").alias("_marks"))
-    met = rows.join(own, rows[key].eqNullSafe(own["_k"]) & (rows["_h"] == own["_kh"]), "left")
-
-    @F.arrow_udf(result)
-    def cut(z: pa.Array, m: pa.Array) -> pa.Array:
-        raw = unpacked(z)
-        each: list = [None] * len(raw)
-        flat = pc.list_flatten(m)
-        kind, x, y = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        at = 0
-        for i, n in enumerate(pc.fill_null(pc.list_value_length(m), 0).to_pylist()):
-            if n:
-                each[i] = (kind[at : at + n], x[at : at + n], y[at : at + n])
+def finished(texts: Texts, marks: DataFrame, finish: Callable, result: str) -> DataFrame:
+    """(h, cut) of each text: finish(raw text, removed ranges) gives cut's values."""
+    fields = T._parse_datatype_string(result)
+    own = marks.groupBy("h").agg(F.collect_list("mark").alias("marks"))
+    met = texts.rows.select("h", "z").join(own, "h", "left").select("h", "z", "marks")
+    kind = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
+            raw, at = unpacked(batch.column(1)), 0
+            _, kinds, x, y = flat(batch.column(2), "kind", "x", "y")
+            out = []
+            for text, n in zip(raw, pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_pylist()):
+                out.append(finish(text, (kinds[at : at + n], x[at : at + n], y[at : at + n]) if n else None))
                 at += n
-        return finish(raw, each, z.is_null().to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dict(zip(fields.names, r)) for r in out], kind)], names=["h", "cut"])
+
+    return met.mapInArrow(run, f"h long, cut {result}")
 
-    return met.withColumn("_cut", cut("_z", "_marks")).drop("_h", "_z", "_k", "_kh", "_marks")
 
+def apply(docs: DataFrame, texts: Texts, cut: DataFrame, text: str) -> DataFrame:
+    """(row, empty, cut) of each row of docs: its columns but the text in a struct, whose names clash with nothing, and
+    whether its text is null."""
+    others = [docs[c] for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("row"), docs[text].isNull().alias("empty"), texts.name(docs, text).alias("h"))
+    return rows.join(cut, "h").select("row", "empty", "cut")

@@ -27,7 +27,7 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.dedup(docs).select("doc_id", *fields("_cut", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return suffixes.dedup(docs).select("row.doc_id", *fields("cut", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return recompress.dedup(docs).select("doc_id", *fields("_cut", "n_words", "n_removed", "kept_sha256"))
+    return recompress.dedup(docs).select("row.doc_id", *fields("cut", "n_words", "n_removed", "kept_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,163 +3,374 @@
 Removes each word covered by a window of WIDTH words that also starts anywhere else, in the same document or another
 one. Words are runs of bytes other than space and \\t..\\r, unchanged.
 
-Rounds of recompression name first runs (a word that stands exactly twice), then pairs: a symbol of side 0 joins a
-following symbol of side 1, sides being drawn by a hash of the symbol and the round. A name is a hash of what it
-names, so that all tasks give equal strings equal names with no exchange; symbols that would span over LIMITS words
-stay apart. A boundary is thus set by at most MARGIN words on either side of it, so equal windows hold equal symbols
-inside their margins, at least one of them whole (LIMITS[-1] <= (WIDTH - 2 * MARGIN + 1) // 2). A window's anchor is
-the leftmost of its interior symbols with the least hash, taken with its margins; `passages` counts shared anchors and classes, and the
-windows at the edges of repeats are verified, in stretches and then one by one, by hashes of 128 bits over their words.
+A round of recompression names first runs (a symbol that stands any number of times in a row), then pairs: a symbol of
+side 0 joins a following symbol of side 1, sides being drawn by a hash of the symbol and the round. Rounds go on until
+symbols outgrow the strings in question. What a round makes of a string's inside does not depend on what stands around
+the string: of its symbols, the first and last run may go on outside, as may the pair of a first symbol of side 1 or a
+last one of side 0. These are set apart, round after round, until nothing is left; the symbols set apart, in order,
+spell the string, so that equal strings have equal spellings and others do not (`spellings`).
+
+Shared symbols reveal repeats: a window's anchor is, of the symbols that ANCHOR_ROUNDS rounds leave inside it (or as
+many rounds as leave any), the leftmost of least hash, taken with the words that every window round it holds. They
+verify repeats too: spans of an anchor are classes by their spelling, and so are the windows of spans that stand alone.
+
+A name is a hash of what it names, so that all tasks name alike. That names are one to one is not left to chance: over
+all stretches that hold repeated anchors, the rounds are Spark jobs, one after the other, each of which gathers its
+round's dictionary of names over all tasks (`verified`); where a name stands for two things, all is done again under
+another seed.
 
 Defined results: null text has no words; texts of under WIDTH words stay whole; repeated rows are copies of each
-other; no rows give no rows; extra columns stay.
+other; no rows give no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftline.llm import passages
 from weftline.llm.common import Scratch
-from weftline.llm.passages import Prefix, Unit, mix, removed, runs, sliding_min, unpacked
+from weftline.llm.passages import TOKENS, Prefix, Texts, Unit, mark, mix, removed, runs
 
 WIDTH = 35
-#: Most words of a symbol after the rounds of pairs.
-LIMITS = (4, 8)
-#: 2 for runs, then the longest symbol before each round of pairs (2 and 4).
-MARGIN = 8
-#: Windows of a stretch at the edges of repeats.
-STRETCH = 6
-_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+ANCHOR_ROUNDS = 4
+_BASE = 0x9E3779B97F4A7C15
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
-def _codes(text: bytes) -> np.ndarray:
+def codes_of(seed: int) -> Callable[[bytes], np.ndarray]:
+    """The words' names."""
+
+    def codes(text: bytes) -> np.ndarray:
+        hash_of = xxhash.xxh3_64_intdigest
+        return np.array([hash_of(w, seed) for w in text.split()], np.uint64)
+
+    return codes
+
+
+class Symbols:
+    """The symbols of a buffer of texts: names, first words, lengths in words, texts."""
+
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray, seed: int) -> None:
+        self.name, self.start, self.size = codes, np.arange(len(codes)), np.ones(len(codes), np.int64)
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.seed, self.round = seed, 0
+        self.made: tuple[np.ndarray, ...] = ()
+
+    def find_runs(self) -> None:
+        """block: the run of each symbol; first: where runs begin, and the end."""
+        new = np.ones(len(self.name), bool)
+        new[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1])
+        self.block = np.cumsum(new) - 1
+        self.first = np.append(np.flatnonzero(new), len(new))
+
+    def name_runs(self) -> None:
+        at, count = self.first[:-1], np.diff(self.first)
+        old = self.name[at]
+        self.name = np.where(count > 1, mix(old ^ _RUN * (count.astype(np.uint64) + np.uint64(self.seed))), old)
+        many = count > 1
+        self.made = self.name[many], old[many], count[many].astype(np.uint64)
+        self.size = np.add.reduceat(self.size, at) if len(at) else self.size
+        self.start, self.doc = self.start[at], self.doc[at]
+
+    def find_pairs(self) -> None:
+        """side of each symbol; joined: the left symbols of pairs; into: each symbol's place after the joining."""
+        salt = mix(np.array([self.seed << 8 | self.round + 1], np.uint64))
+        self.side = (mix(self.name ^ salt) & np.uint64(1)).astype(np.int64)
+        self.joined = np.flatnonzero((self.side[:-1] < self.side[1:]) & (self.doc[1:] == self.doc[:-1]))
+        self.keep = np.ones(len(self.name), bool)
+        self.keep[self.joined + 1] = False
+        self.into = np.cumsum(self.keep) - 1
+
+    def name_pairs(self) -> None:
+        a, b = self.name[self.joined], self.name[self.joined + 1]
+        self.name, self.size = self.name.copy(), self.size.copy()
+        self.name[self.joined] = mix(a * _LEFT + b * _RIGHT + np.uint64(self.seed))
+        self.made = self.name[self.joined], a, b
+        self.size[self.joined] += self.size[self.joined + 1]
+        self.name, self.size, self.start, self.doc = (x[self.keep] for x in (self.name, self.size, self.start, self.doc))
+        self.round += 1
+
+
+def least_within(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The leftmost place of the least value in each [low, high), none empty."""
+    out = np.empty(len(low), np.int64)
+    power = np.frexp((high - low).astype(np.float64))[1] - 1
+    best = np.arange(len(x))
+    for k in range(int(power.max()) + 1 if len(power) else 0):
+        own = np.flatnonzero(power == k)
+        a, b = best[low[own]], best[high[own] - (1 << k)]
+        out[own] = np.where(x[b] < x[a], b, a)
+        a, b = best[: len(best) - (1 << k)], best[1 << k :]
+        best = np.where(x[b] < x[a], b, a)
+    return out
+
+
+def spans_under(seed: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
+    def spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        windows = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
+        doc = np.repeat(np.arange(len(windows)), windows)
+        begin = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[:-1][doc]
+        live, low, high = np.arange(len(begin)), begin.copy(), begin + WIDTH
+        place, level, size = (np.zeros(len(begin), np.int64) for _ in range(3))
+        s = Symbols(codes, offsets, seed)
+
+        def settle(stop: np.ndarray, t: int) -> None:
+            own = np.flatnonzero(stop)
+            at = least_within(mix(s.name + _LEFT), low[own], high[own])
+            place[live[own]], level[live[own]], size[live[own]] = s.start[at], t, s.size[at]
+
+        for t in range(2 * ANCHOR_ROUNDS + 1):
+            if not len(live):
+                break
+            if t % 2:
+                s.find_pairs()
+                a = low + s.side[low]
+                b = high - 1 + s.side[high - 1]
+                ok = a < b
+                settle(~ok, t)
+                live, a, b = live[ok], a[ok], b[ok]
+                low, high = s.into[a], s.into[b - 1] + 1
+                s.name_pairs()
+            else:
+                s.find_runs()
+                a, b = s.block[low] + 1, s.block[high - 1]
+                ok = (a < b) & (t < 2 * ANCHOR_ROUNDS)
+                settle(~ok, t)
+                live, low, high = live[ok], a[ok], b[ok]
+                s.name_runs()
+        named = np.zeros(len(codes), np.int64)
+        named[begin] = place << 6 | level
+        doc, first, count = runs(named, offsets, WIDTH)
+        at = np.searchsorted(begin, first)
+        place, level, size = place[at], level[at], size[at]
+        around = (level + 1) // 2  # each round of runs has set a word apart on either side
+        anchor = mix(Prefix(codes, _BASE).of(place - around, place + size + around) + level.astype(np.uint64))
+        return doc, first, count, place, anchor
+
+    return spans
+
+
+def spellings(codes: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> tuple[pa.Array, int]:
+    """The spelling of each string of words [begin, end), none empty, and the rounds that they take.
+
+    A spelling is a sequence of (symbol, times and round and side), 12 bytes each.
+    """
+    s = Symbols(codes, offsets, seed)
+    live, low, high = np.arange(len(begin)), begin, end
+    rows, slots, symbols, times = [], [], [], []
+
+    def apart(own: np.ndarray, at: np.ndarray, count: np.ndarray, slot: int) -> None:
+        rows.append(live[own])
+        symbols.append(s.name[at[own]])
+        times.append(count[own])
+        slots.append(np.full(len(rows[-1]), slot))
+
+    while len(live):
+        t = 4 * s.round
+        s.find_runs()
+        left, right = s.block[low], s.block[high - 1]
+        one = left == right
+        every = np.ones(len(live), bool)
+        apart(every, low, np.where(one, high, s.first[left + 1]) - low, t)
+        apart(~one, high - 1, high - s.first[right], t + 1)
+        ok = left + 1 < right
+        live, low, high = live[ok], left[ok] + 1, right[ok]
+        s.name_runs()
+        s.find_pairs()
+        single = np.ones(len(live), np.int64)
+        out = s.side[low] == 1
+        apart(out, low, single, t + 2)
+        low = low + out
+        out = (low < high) & (s.side[high - 1] == 0)
+        apart(out, high - 1, single, t + 3)
+        high = high - out
+        ok = low < high
+        live, low, high = live[ok], s.into[low[ok]], s.into[high[ok] - 1] + 1
+        s.name_pairs()
+    row, slot = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, slots))
+    by = np.lexsort((slot, row))
+    flat = np.empty(len(row), np.dtype([("symbol", "<u8"), ("how", "<u4")]))
+    if len(row):
+        flat["symbol"] = np.concatenate(symbols)[by]
+        flat["how"] = np.concatenate(times)[by] << 14 | slot[by]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(begin)))]) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]), s.round
+
+
+def _stretches(raw: list[bytes], own: pa.Array, *fields: str) -> Iterator[tuple]:
+    """Spans of texts in buffers of about TOKENS words: the words of stretches that hold spans, the stretches' offsets,
+    each span's first word and end in the buffer, its own first word, its text's place and its fields."""
+    row, pos, *rest = passages.flat(own, "pos", *fields)
+    first = pos >> 18
+    end = first + (pos >> 9 & 511) - 1 + WIDTH
+    by = np.lexsort((first, first // TOKENS, row))
+    cuts = np.flatnonzero((np.diff(row[by]) != 0) | (np.diff(first[by] // TOKENS) != 0)) + 1
+    words: list[bytes] = []
+    held = -1
+    parts: list[tuple] = []
+    size = 0
+
+    def out() -> tuple:
+        texts, offsets = [p[0] for p in parts], np.cumsum([0, *[len(p[0]) for p in parts]])
+        take = np.concatenate([p[1] for p in parts])
+        shift = np.repeat(offsets[:-1] - np.array([p[2] for p in parts]), [len(p[1]) for p in parts])
+        return [w for t in texts for w in t], offsets, first[take] + shift, end[take] + shift, first[take], row[take], *(x[take] for x in rest)
+
+    for part in np.split(by, cuts) if len(by) else []:
+        if row[part[0]] != held:
+            held = row[part[0]]
+            words = raw[held].split()
+        a, b = int(first[part].min()), int(end[part].max())
+        parts.append((words[a:b], part, a))
+        size += b - a
+        if size >= TOKENS:
+            yield out()
+            parts, size = [], 0
+    if parts:
+        yield out()
+
+
+def _named(words: list[bytes], seed: int) -> np.ndarray:
     hash_of = xxhash.xxh3_64_intdigest
-    return np.array([hash_of(w) for w in text.split()], np.uint64)
-
-
-def symbols(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and lengths in words of the last round's symbols."""
-    n = len(codes)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [n]]))
-    keep = np.ones(n, bool)
-    keep[first[count == 2] + 1] = False
-    start = np.flatnonzero(keep)
-    name, length = codes[start], np.diff(np.concatenate([start, [n]]))
-    name = np.where(length == 2, mix(name + _RUN), name)
-    for r, limit in enumerate(LIMITS):
-        side = (mix(name ^ mix(np.full(1, r + 1, np.uint64))) & np.uint64(1)).astype(bool)
-        own = doc[start]
-        join = ~side[:-1] & side[1:] & (own[1:] == own[:-1]) & (length[:-1] + length[1:] <= limit)
-        joined = np.flatnonzero(join)
-        name, length = name.copy(), length.copy()
-        name[joined] = mix(name[joined] * _LEFT + name[joined + 1] * _RIGHT + np.uint64(r))
-        length[joined] += length[joined + 1]
-        keep = np.ones(len(name), bool)
-        keep[joined + 1] = False
-        name, start, length = name[keep], start[keep], length[keep]
-    return name, start, length
-
-
-def _spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    name, start, length = symbols(codes, offsets)
-    low = np.uint64((1 << 22) - 1)
-    rank = mix(name + _LEFT) & ~low | start.astype(np.uint64)
-    windows = len(codes) - WIDTH + 1
-    least = np.full(windows, ~np.uint64(0))
-    for size in range(1, LIMITS[-1] + 1):
-        of = length == size
-        if of.any():
-            at = np.full(len(codes), ~np.uint64(0))
-            at[start[of]] = rank[of]
-            reach = WIDTH - 2 * MARGIN - size + 1  # places at which such a symbol can start inside the margins
-            np.minimum(least, sliding_min(at, reach)[MARGIN : MARGIN + windows], out=least)
-    doc, first, count = runs(least.astype(np.int64), offsets, WIDTH)
-    place = (least[first] & low).astype(np.int64)
-    reach = np.zeros(len(codes), np.int64)
-    reach[start] = length
-    # a symbol alone may be a common word: its margins, which every window that names it holds, go into the anchor
-    around = mix(Prefix(codes, _BASE).of(place - MARGIN, place + reach[place] + MARGIN))
-    whole = mix(Prefix(codes, _SECOND).of(first, first + count - 1 + WIDTH))
-    return doc, first, count, place, around, whole
-
-
-WORDS = Unit(WIDTH, _codes, _spans)
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of edges, in stretches."""
-    digest = xxhash.xxh3_128_digest
+    return np.array([hash_of(w, seed) for w in words], np.uint64)
+
+
+def _classes(seed: int) -> Callable:
+    """Spans with their spellings."""
+
+    def run(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+        for words, offsets, begin, end, first, row, a, m in _stretches(raw, own, "a", "m"):
+            spelt, rounds = spellings(_named(words, seed), offsets, begin, end, seed)
+            cols = [pa.array(a), spelt, h.take(pa.array(row)), pa.array(first << 18 | (end - begin - WIDTH + 1) << 9), pa.array(m), pa.array(np.full(len(a), rounds, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "spelt", "h", "pos", "m", "rounds"])
+
+    return run
+
+
+def _windows(seed: int) -> Callable:
+    """The windows of spans with their spellings."""
+
+    def run(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+        for words, offsets, begin, end, first, row, n in _stretches(raw, own, "n"):
+            count = end - begin - WIDTH + 1
+            of = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            spelt, rounds = spellings(_named(words, seed), offsets, begin[of] + at, begin[of] + at + WIDTH, seed)
+            cols = [spelt, h.take(pa.array(row[of])), pa.array(first[of] + at), pa.array(n[of]), pa.array(np.full(len(of), rounds, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["spelt", "h", "first", "n", "rounds"])
+
+    return run
+
+
+def _sequences(seed: int) -> Callable:
+    """The words of stretches that hold spans, and their names."""
+
+    def run(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+        for words, offsets, *_ in _stretches(raw, own):
+            name = pa.array(_named(words, seed).view(np.int64))
+            cuts = pa.array(offsets.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, name), pa.ListArray.from_arrays(cuts, pa.array(words, pa.binary()))], names=["name", "word"])
+
+    return run
+
+
+def _spelt_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, lists = unpacked(batch.column(2)), batch.column(3).to_pylist()
-        take, single, first, size, own, wins, core = [], [], [], [], [], [], []
-        for i, edges in enumerate(lists):
-            words = raw[i].split()
-            for e in edges:
-                pos = e["pos"]
-                for at, n, low, high in passages.stretches(pos >> 9 & 511, pos & 511, pos >> 18, STRETCH, WIDTH):
-                    take.append(i)
-                    single.append(e["n"] == 1)
-                    first.append(at)
-                    size.append(n)
-                    own.append(digest(b" ".join(words[at : at + n - 1 + WIDTH])))
-                    wins.append(b"".join([digest(b" ".join(words[w : w + WIDTH])) for w in range(at, at + n)]))
-                    core.append(digest(b" ".join(words[low:high])))
-        row = pa.array(take, pa.int64())
-        two = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(wins, pa.binary()), pa.array(core, pa.binary())],
-            names=["d1", "d2", "single", "key", "h", "first", "n", "wins", "core"],
-        )
-
-
-def repeats(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame:
-    """(key, h, marks) of the documents with repeated windows, for `passages.apply`."""
-    rows = passages.keyed(docs, text, key)
-    found = passages.find(rows, WORDS, scratch)
-    kind = rows.schema["key"].dataType.simpleString()
-    schema = f"d1 long, d2 long, single boolean, key {kind}, h long, first long, n long, wins binary, core binary"
-    hits = scratch.put(passages.window_hits(passages.contexts(rows, found.edges, _stretches, schema), scratch))
+        yield pa.RecordBatch.from_arrays([pc.list_flatten(batch.column(0)), pc.list_flatten(batch.column(1))], names=["name", "word"])
+
+
+def _round(number: int, seed: int) -> Callable:
+    """Sequences to the next round's, the first row of each batch with the names that the batch's round makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = pc.list_flatten(batch.column(0)).to_numpy().view(np.uint64)
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(0)).to_numpy())])
+            s = Symbols(names, offsets, seed)
+            s.round = number
+            s.find_runs()
+            s.name_runs()
+            made = [np.stack([*s.made, np.full(len(s.made[0]), 1, np.uint64)])]
+            s.find_pairs()
+            s.name_pairs()
+            made.append(np.stack([*s.made, np.full(len(s.made[0]), 2, np.uint64)]))
+            new = np.unique(np.concatenate(made, 1), axis=1).view(np.int64)
+            sizes = np.concatenate([[0], np.cumsum(np.bincount(s.doc, minlength=batch.num_rows))])
+            cols = [pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(s.name.view(np.int64)))]
+            own = pa.array(np.concatenate([[0], np.full(batch.num_rows, new.shape[1])]).astype(np.int32))
+            cols += [pa.ListArray.from_arrays(own, pa.array(x)) for x in new]
+            yield pa.RecordBatch.from_arrays(cols, names=["name", "made", "left", "right", "kind"])
+
+    return run
+
+
+def verified(texts: Texts, spans: DataFrame, rounds: int, seed: int, scratch: Scratch) -> bool:
+    """Whether each name of these rounds, over all stretches that hold the spans, stands for one thing."""
+    now = scratch.put(passages.with_texts(texts, spans, _sequences(seed), "name array<long>, word array<binary>", "pos"))
+    words = now.mapInArrow(_spelt_words, "name long, word binary").groupBy("name", "word").agg(F.count("*").alias("times"))
+    words = scratch.put(words.select("name", "word"))
+    if words.groupBy("name").count().filter("count > 1").limit(1).count():
+        return False
+    known = words.select("name", F.col("name").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("kind"))
+    for number in range(rounds):
+        after = scratch.put(now.select("name").filter("size(name) > 1").mapInArrow(_round(number, seed), "name array<long>, made array<long>, left array<long>, right array<long>, kind array<long>"))
+        scratch.drop(now)
+        new = after.select(F.inline(F.arrays_zip("made", "left", "right", "kind"))).distinct().withColumnRenamed("made", "name")
+        known = known.unionByName(scratch.put(new))
+        now = after
+    return not known.distinct().groupBy("name").count().filter("count > 1").limit(1).count()
+
+
+def repeats(texts: Texts, scratch: Scratch, seed: int = 0) -> DataFrame | None:
+    """(h, mark) of the texts with repeated windows; None if the seed's names are not one to one."""
+    unit = Unit(WIDTH, codes_of(seed), spans_under(seed))
+    spans = passages.spans_of(texts, unit, scratch)
+    spelt = passages.with_texts(texts, spans, _classes(seed), "a long, spelt binary, h long, pos long, m int, rounds int", "pos", "a", "m")
+    sums = [F.sum("m").cast("long").alias("n"), F.min("h").alias("h"), F.min("pos").alias("pos"), F.max("rounds").alias("rounds")]
+    classes = scratch.put(spelt.groupBy("a", "spelt").agg(*sums))
     scratch.release()
-    return passages.ranges(found, hits)
-
-
-def _finish(raw: list[bytes], marks: list, null: list[bool]) -> pa.Array:
-    size, gone, digest, kept = [], [], [], []
-    for text, m in zip(raw, marks):
-        words = text.split()
-        rest = words
-        if m:
-            at, rest = 0, []
-            for a, b in removed(*m, WIDTH):
-                rest += words[at:a]
-                at = b
-            rest = rest + words[at:]
-        joined = b" ".join(rest)
-        size.append(len(words))
-        gone.append(len(words) - len(rest))
-        digest.append(hashlib.sha256(joined).hexdigest())
-        kept.append(joined)
-    return pa.StructArray.from_arrays(
-        [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
-        names=["n_words", "n_removed", "kept_sha256", "kept"],
-    )
+    edges = passages.contested(classes, scratch).select("h", "pos", "n")
+    each = passages.with_texts(texts, edges, _windows(seed), "spelt binary, h long, first long, n long, rounds int", "pos", "n")
+    alone = each.groupBy("spelt").agg(F.sum("n").alias("n"), F.min("h").alias("h"), F.min("first").alias("first")).filter("n = 1")
+    alone = scratch.put(alone.select("h", "first"))
+    scratch.release()
+    if not verified(texts, spans, classes.agg(F.max("rounds")).first()[0] or 0, seed, scratch):
+        return None
+    marks = spans.select("h", mark(passages.SPAN, F.col("pos")).alias("mark"))
+    return marks.union(alone.select("h", mark(passages.NOT_WINDOW, F.col("first"), F.col("first")).alias("mark")))
+
+
+def _finish(text: bytes, marks: tuple | None) -> tuple:
+    words = text.split()
+    rest = words
+    if marks:
+        at, rest = 0, []
+        for a, b in removed(*marks, WIDTH):
+            rest += words[at:a]
+            at = b
+        rest = rest + words[at:]
+    joined = b" ".join(rest)
+    return len(words), len(words) - len(rest), hashlib.sha256(joined).hexdigest(), joined
 
 
 _RESULT = "struct<n_words: long, n_removed: long, kept_sha256: string, kept: binary>"
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every row of docs without its text, with `_cut`: n_words, n_removed, kept_sha256 and the kept words joined."""
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per row of docs: `row`, its columns but the text, `empty`, whether the text is null, and `cut`: n_words,
+    n_removed, kept_sha256 and the kept words joined."""
     scratch = Scratch(docs.sparkSession)
-    return passages.apply(docs, repeats(docs, text, key, scratch), _finish, _RESULT, text, key)
+    texts = passages.distinct_texts(docs, text, scratch)
+    found = next(m for m in (repeats(texts, scratch, seed) for seed in itertools.count()) if m is not None)
+    return passages.apply(docs, texts, passages.finished(texts, found, _finish, _RESULT), text)

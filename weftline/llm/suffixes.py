@@ -3,21 +3,27 @@
 Removes each byte covered by a string of WIDTH bytes that also starts anywhere else, in the same document or another
 one; matches do not cross documents, overlaps count, and strings are judged on the input.
 
-The plan is that of `passages`: a window's anchor is the leftmost least hash of its GRAM-byte strings. Edges of
-repeated passages come, with their bytes, to their anchor's bucket. There the suffixes that start at the anchor are
-sorted by a mergesort whose comparisons find two suffixes' common extension by binary search over prefix polynomial
-hashes. In suffix order, the windows that start `o` bytes before the anchor are equal where neighbours share the
-WIDTH - o bytes after it and the hash of the o bytes before it; equal windows are then compared byte by byte.
-Buckets of over BUCKET classes are not gathered: their windows go out in stretches under hashes of 128 bits, and
-counting finds the repeated ones.
+The plan is that of `passages`: a window's anchor is the leftmost least hash of its GRAM-byte strings. Spans come, with
+their bytes, to their anchor's bucket, where byte-equal ones are one suffix with a count. There the suffixes that start
+at the anchor are sorted by a mergesort whose comparisons find two suffixes' common extension by binary search over
+prefix polynomial hashes; neighbours' extensions are then compared byte by byte, and a sort that a hash collision
+misled is done again under other bases. In suffix order, the windows that start `o` bytes before the anchor are equal
+where neighbours share the WIDTH - o bytes after it and the hash of the o bytes before it; these windows are compared
+byte by byte as well, and grouped by their bytes where that hash collides.
+
+A bucket of over BUCKET suffixes is split, by the bytes round the anchor: into ranges of o, and in each by the bytes
+that all windows of the range hold. Windows that are equal stay together, and the parts are sorted like any other
+bucket, or split again. A part whose windows all start at one o holds equal windows only, which are counted.
 
 Defined results: null text has no bytes; texts of under WIDTH bytes stay whole; rows repeated with the same key and
-text are copies of each other, and so each loses what the other has; no rows give no rows; extra columns stay.
+text are copies of each other, and so each loses what the other has; no rows give no rows; extra columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +34,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm import passages
 from weftline.llm.common import Scratch
-from weftline.llm.passages import Prefix, Unit, mix, removed, runs, sliding_min, unpacked
+from weftline.llm.passages import Prefix, Texts, Unit, mark, mix, removed, runs, sliding_min
 
 WIDTH = 200
 GRAM = 32
-BUCKET = 1000
-#: Windows of a stretch in such buckets.
-STRETCH = 8
-_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Suffixes of a bucket that are sorted in one place.
+BUCKET = 4096
+_BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -52,23 +57,67 @@ def _spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = (least & low).astype(np.int64)
     doc, first, count = runs(anchor, offsets, WIDTH)
     place = anchor[first] if len(first) else first
-    whole = mix(Prefix(codes, _SECOND).of(first, first + count - 1 + WIDTH))
-    return doc, first, count, place, gram[place], whole
+    return doc, first, count, place, gram[place]
 
 
 BYTES = Unit(WIDTH, _codes, _spans)
 
 
+class Hashes:
+    """Prefix polynomial hashes of bytes modulo two primes; any stretch's hash in constant time."""
+
+    PRIMES = (2147483647, 2147483629)
+
+    def __init__(self, data: np.ndarray, seed: int) -> None:
+        self.parts = []
+        for k, p in enumerate(self.PRIMES):
+            base = int(mix(np.array([97 * seed + k + 1], np.uint64))[0]) % (p - 1000) + 500
+            power, back = self._powers(base, p, len(data)), self._powers(pow(base, -1, p), p, len(data))
+            total = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data.astype(np.int64) + 1) * power[: len(data)] % p, out=total[1:])
+            self.parts.append((total, back, p))
+
+    @staticmethod
+    def _powers(base: int, p: int, n: int) -> np.ndarray:
+        """base**0 to base**n modulo p, by doubling."""
+        out = np.ones(1, np.int64)
+        step = base
+        while len(out) <= n:
+            out = np.concatenate([out, out * step % p])
+            step = step * step % p
+        return out
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Below 2**62."""
+        a, b = ((total[end] - total[start]) % p * back[start] % p for total, back, p in self.parts)
+        return a << 31 | b
+
+
 class SuffixSort:
     """Suffixes of a buffer in order, by a bottom-up mergesort in which all runs of a level merge at once."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> None:
-        """group: not falling; suffixes are sorted within equal groups."""
+        """group: not falling; suffixes are sorted within equal groups. lcp: common prefixes of neighbours in order."""
         self.data, self.start, self.length, self.group = data, start, length, group
-        self.hash = Prefix(_TABLE[data], _BASE)
-        self.order = self._sort()
-        i, j = self.order[:-1], self.order[1:]
-        self.lcp = np.where(group[i] == group[j], self.common(i, j), -1)
+        for seed in itertools.count():
+            self.hash = Hashes(data, seed)
+            self.order = self._sort()
+            i, j = self.order[:-1], self.order[1:]
+            self.lcp = np.where(group[i] == group[j], self.common(i, j), -1)
+            if self._verified():
+                break
+
+    def _verified(self) -> bool:
+        """Whether the neighbours' common prefixes are equal byte by byte, end where they must, and rise in order."""
+        own = np.flatnonzero(self.lcp >= 0)
+        n, x, y = self.lcp[own], self.order[:-1][own], self.order[1:][own]
+        a, b = self.start[x], self.start[y]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not (self.data[np.repeat(a, n) + within] == self.data[np.repeat(b, n) + within]).all():
+            return False
+        short = n >= self.length[x]
+        inside = ~short & (n < self.length[y])
+        return bool((short | inside).all() and (self.data[a[inside] + n[inside]] < self.data[b[inside] + n[inside]]).all())
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Lengths of common prefixes, by binary search over prefix hashes."""
@@ -119,6 +168,21 @@ class SuffixSort:
         return order
 
 
+def _equal_windows(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the windows at x equal those at y, byte by byte."""
+    span = np.arange(WIDTH)
+    return all((data[x[k : k + 4096, None] + span] == data[y[k : k + 4096, None] + span]).all() for k in range(0, len(x), 4096))
+
+
+def _regrouped(data: np.ndarray, at: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows at `at` that puts equal ones of a block together, and whether neighbours are equal."""
+    whole = np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view(f"V{WIDTH}").ravel()
+    _, kind = np.unique(whole, return_inverse=True)
+    by = np.lexsort((kind, block))
+    kind, block = kind[by], block[by]
+    return by, (kind[1:] == kind[:-1]) & (block[1:] == block[:-1])
+
+
 def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, off: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, window) pairs of rows' windows that equal a window of another row of the group.
 
@@ -142,13 +206,9 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, off
         pairs = np.flatnonzero(same)
         if not len(pairs):
             continue
-        step = 4096
-        for k in range(0, len(pairs), step):
-            p = pairs[k : k + step]
-            x, y = place[r[p]] - o, place[r[p + 1]] - o
-            span = np.arange(WIDTH)
-            equal = (data[x[:, None] + span] == data[y[:, None] + span]).all(1)
-            same[p[~equal]] = False
+        if not _equal_windows(data, place[r[pairs]] - o, place[r[pairs + 1]] - o):
+            by, same = _regrouped(data, place[r] - o, block)
+            r = r[by]
         hit = np.zeros(len(r), bool)
         hit[:-1] |= same
         hit[1:] |= same
@@ -160,83 +220,46 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, off
     return np.concatenate(rows), np.concatenate(windows)
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges with their bytes."""
-    for batch in batches:
-        raw, lists = unpacked(batch.column(2)), batch.column(3).to_pylist()
-        take, a, k, single, pos, body = [], [], [], [], [], []
-        for i, own in enumerate(lists):
-            for e in own:
-                first, count = e["pos"] >> 18, e["pos"] >> 9 & 511
-                take.append(i)
-                a.append(e["a"])
-                k.append(e["k"])
-                single.append(e["n"] == 1)
-                pos.append(e["pos"])
-                body.append(raw[i][first : first + count - 1 + WIDTH])
-        row = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(single, pa.bool_()), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int64()), pa.array(body, pa.binary()), pa.array(k, pa.int64())],
-            names=["a", "single", "key", "h", "pos", "body", "k"],
-        )
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of edges in buckets that are too large to sort."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        take, first, size, own, wins, core = [], [], [], [], [], []
-        for i, (pos, body) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-            start = pos >> 18
-            for at, n, low, high in passages.stretches(pos >> 9 & 511, pos & 511, start, STRETCH, WIDTH):
-                take.append(i)
-                first.append(at)
-                size.append(n)
-                own.append(digest(body[at - start : at - start + n - 1 + WIDTH]))
-                wins.append(b"".join([digest(body[w : w + WIDTH]) for w in range(at - start, at - start + n)]))
-                core.append(digest(body[low - start : high - start]))
-        row = pa.array(take, pa.int64())
-        two = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(two[:, 0]), pa.array(two[:, 1]), *(batch.column(c).take(row) for c in (1, 2, 3)), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(wins, pa.binary()), pa.array(core, pa.binary())],
-            names=["d1", "d2", "single", "key", "h", "first", "n", "wins", "core"],
-        )
+def _bodies(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Spans with their bytes."""
+    row, a, pos, m = passages.flat(own, "a", "pos", "m")
+    first = pos >> 18
+    ends = first + (pos >> 9 & 511) - 1 + WIDTH
+    body = [raw[i][x:y] for i, x, y in zip(row.tolist(), first.tolist(), ends.tolist())]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(pos & 511), pa.array(body, pa.binary()), h.take(pa.array(row)), pa.array(first), pa.array(m)], names=["a", "off", "body", "h", "first", "m"]
+    )
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a; a bucket that runs over a batch's end is carried on."""
+    """Rows (b, off, body, n, h, first) sorted by b to the repeated windows of those with n = 1; a bucket that runs over
+    a batch's end is carried on."""
     rest = None
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a = batch.column(0).to_numpy()
-        pos = batch.column(4).to_numpy()
-        single = batch.column(1).to_numpy(zero_copy_only=False)
-        bodies = batch.column(5).to_pylist()
-        begin = np.cumsum([0, *map(len, bodies)])[:-1]
-        group = np.concatenate([[0], np.cumsum(a[1:] != a[:-1])])
-        rows, windows = repeated_windows(np.frombuffer(b"".join(bodies), np.uint8), begin, pos >> 9 & 511, pos & 511, group)
-        mine = single[rows]
-        rows, windows = rows[mine], windows[mine] + (pos >> 18)[rows[mine]]
+        b, off, n, first = (batch.column(i).to_numpy() for i in (0, 1, 3, 5))
+        bodies = batch.column(2).to_pylist()
+        size = np.array([len(x) for x in bodies], np.int64)
+        group = np.concatenate([[0], np.cumsum(b[1:] != b[:-1])])
+        rows, windows = repeated_windows(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(size) - size, size - WIDTH + 1, off, group)
+        mine = n[rows] == 1
+        rows, windows = rows[mine], windows[mine]
         if not len(rows):
             return None
         by = np.lexsort((windows, rows))
         rows, windows = rows[by], windows[by]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-        last = np.concatenate([first[1:], [len(rows)]]) - 1
-        row = pa.array(rows[first])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(2).take(row), batch.column(3).take(row), pa.array(windows[first]), pa.array(windows[last])], names=["key", "h", "first", "last"]
-        )
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1] + 1)]))
+        end = np.concatenate([new[1:], [len(rows)]]) - 1
+        at = first[rows[new]]
+        return pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(rows[new])), pa.array(at + windows[new]), pa.array(at + windows[end])], names=["h", "x", "y"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if rest is not None:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        a = batch.column(0).to_numpy()
-        edge = np.flatnonzero(a[1:] != a[:-1])
+        b = batch.column(0).to_numpy()
+        edge = np.flatnonzero(b[1:] != b[:-1])
         cut = int(edge[-1]) + 1 if len(edge) else 0
         rest = batch.slice(cut)
         if cut and (out := solve(batch.slice(0, cut))) is not None:
@@ -245,64 +268,102 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out
 
 
-def repeats(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame:
-    """(key, h, marks) of the documents with repeated strings, for `passages.apply`."""
-    rows = passages.keyed(docs, text, key)
-    found = passages.find(rows, BYTES, scratch)
-    kind = rows.schema["key"].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = f"a long, single boolean, key {kind}, h long, pos long, body binary, k long"
-    bodies = scratch.put(passages.contexts(rows, found.edges, _bodies, schema))
-    scratch.release()
-    small = bodies.filter(F.col("k") <= BUCKET).drop("k").repartition(parts, "a").sortWithinPartitions("a", "key", "h", "pos")
-    hits = small.mapInArrow(_sorted_buckets, f"key {kind}, h long, first long, last long")
-    hot = bodies.filter(F.col("k") > BUCKET)
-    if not hot.isEmpty():
-        cut = hot.mapInArrow(_stretches, f"d1 long, d2 long, single boolean, key {kind}, h long, first long, n long, wins binary, core binary")
-        hits = hits.union(passages.window_hits(cut, scratch))
-    hits = scratch.put(hits)
+def _split(step: int):
+    """Rows (b, off, body, n, h, first) to their parts in each range of `step` places of o, named by b, the range and
+    the bytes that all windows of the range hold."""
+    name = xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, b, off, body, first = [], [], [], [], []
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5)))
+            for i, (bucket, o, text, start) in enumerate(rows):
+                least = o - (len(text) - WIDTH)  # o falls from window to window
+                for low in range(least // step * step, o + 1, step):
+                    high = low + step - 1
+                    x, y = max(low, least), min(high, o)
+                    take.append(i)
+                    b.append(name(text[o - low : o - high + WIDTH], seed=(bucket ^ low) & (1 << 64) - 1))
+                    off.append(y)
+                    body.append(text[o - y : o - x + WIDTH])
+                    first.append(start + o - y)
+            row = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(off, pa.int64()), pa.array(body, pa.binary()), batch.column(3).take(row), batch.column(4).take(row), pa.array(first, pa.int64())],
+                names=["b", "off", "body", "n", "h", "first"],
+            )
+
+    return run
+
+
+_VIEW = "b long, off long, body binary, n long, h long, first long"
+
+
+def bucket_hits(edges: DataFrame, scratch: Scratch, limit: int | None = None) -> list[DataFrame]:
+    """Tables (h, x, y) of the repeated windows of rows (b, off, body, n, h, first) with n = 1; bodies of a b differ."""
+    limit = limit or BUCKET
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, step = [], WIDTH - GRAM + 1
+    while True:
+        size = scratch.put(edges.groupBy("b").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("open")).filter("k > 1 and open > 0"))
+        small = edges.join(size.filter(F.col("k") <= limit).select("b"), "b")
+        ordered = small.repartition(parts, "b").sortWithinPartitions("b", "h", "first")
+        out.append(scratch.put(ordered.mapInArrow(_sorted_buckets, "h long, x long, y long")))
+        large = size.filter(F.col("k") > limit).select("b")
+        if large.isEmpty():
+            return out
+        rest = edges.join(large, "b")
+        if step == 1:
+            twice = scratch.put(rest.groupBy("b", "off", "body").agg(F.sum("n").alias("all")).filter("all > 1").select("b", "off", "body"))
+            hits = rest.filter("n = 1").join(twice, ["b", "off", "body"])
+            return [*out, scratch.put(hits.select("h", F.col("first").alias("x"), F.col("first").alias("y")))]
+        step = max(1, step // 8)
+        edges = scratch.put(rest.select("b", "off", "body", "n", "h", "first").mapInArrow(_split(step), _VIEW))
+
+
+def repeats(texts: Texts, scratch: Scratch) -> DataFrame:
+    """(h, mark) of the texts with repeated strings."""
+    spans = passages.spans_of(texts, BYTES, scratch)
+    bodies = passages.with_texts(texts, spans, _bodies, "a long, off long, body binary, h long, first long, m int", "a", "pos", "m")
+    n = F.sum("m").cast("long")
+    classes = scratch.put(bodies.groupBy("a", "off", "body").agg(n.alias("n"), F.min("h").alias("h"), F.min("first").alias("first")))
     scratch.release()
-    return passages.ranges(found, hits)
-
-
-def _finish(raw: list[bytes], marks: list, null: list[bool]) -> pa.Array:
-    size, gone, spans, digest, kept = [], [], [], [], []
-    for text, m in zip(raw, marks):
-        cut = removed(*m, WIDTH) if m else []
-        rest = text
-        if cut:
-            at, parts = 0, []
-            for a, b in cut:
-                parts.append(text[at:a])
-                at = b
-            rest = b"".join([*parts, text[at:]])
-        size.append(len(text))
-        gone.append(len(text) - len(rest))
-        spans.append(len(cut))
-        digest.append(hashlib.sha256(rest).hexdigest())
-        kept.append(rest)
-    return pa.StructArray.from_arrays(
-        [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
-        names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-    )
+    hits = bucket_hits(classes.withColumnRenamed("a", "b"), scratch)
+    count = (F.length("body") - WIDTH + 1).cast("long")
+    single = F.shiftleft(F.col("first"), 18).bitwiseOR(F.shiftleft(count, 9)).bitwiseOR(F.col("off"))
+    marks = spans.select("h", mark(passages.SPAN, F.col("pos")).alias("mark"))
+    marks = marks.union(classes.filter("n = 1").select("h", mark(passages.NOT_SPAN, single).alias("mark")))
+    for found in hits:
+        marks = marks.union(found.select("h", mark(passages.WINDOWS, F.col("x"), F.col("y")).alias("mark")))
+    return marks
+
+
+def _finish(text: bytes, marks: tuple | None) -> tuple:
+    cut = removed(*marks, WIDTH) if marks else []
+    at, parts = 0, []
+    for a, b in cut:
+        parts.append(text[at:a])
+        at = b
+    rest = b"".join([*parts, text[at:]]) if cut else text
+    return len(text), len(text) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest
 
 
 _RESULT = "struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept: binary>"
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every row of docs without its text, with `_cut`: n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per row of docs: `row`, its columns but the text, `empty`, whether the text is null, and `cut`: n_bytes,
+    n_removed, n_spans, kept_sha256 and the kept bytes."""
     scratch = Scratch(docs.sparkSession)
-    return passages.apply(docs, repeats(docs, text, key, scratch), _finish, _RESULT, text, key)
+    texts = passages.distinct_texts(docs, text, scratch)
+    return passages.apply(docs, texts, passages.finished(texts, repeats(texts, scratch), _finish, _RESULT), text)
 
 
-def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each text reduced to what stays (a character cut in two goes as a whole). Null text stays null."""
     @F.arrow_udf("string")
     def decoded(kept: pa.Array) -> pa.Array:
         return pa.array([None if k is None else k.decode("utf-8", errors="ignore") for k in kept.to_pylist()], pa.string())
 
-    null = docs.select(*docs.columns, docs[text].isNull().alias("_null"))
-    out = dedup(null, text, key)
-    body = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(decoded(F.col("_cut.kept")))
-    return out.withColumn(text, body).select(*docs.columns)
+    kept = F.when(~F.col("empty"), decoded(F.col("cut.kept")))
+    return dedup(docs, text).select(*[kept.alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
