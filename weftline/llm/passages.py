@@ -11,8 +11,8 @@ anchor is a span.
    (`classes_of`). A class of two or more is repeated as a whole.
 4. The windows of single spans are compared with those of the anchor's other classes by the caller's method.
 
-No hash decides: anchors only bring together what may be equal. No step gathers a hot anchor's rows: they are counted,
-and joined with a key's single row (which Spark may split).
+Anchors only bring together what may be equal. No step gathers a hot anchor's rows: they are counted, and joined with a
+key's single row (which Spark may split). Tables that grow with the input are merged, never broadcast.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def spans_of(texts: Texts, unit: Unit, scratch: Scratch) -> DataFrame:
     """(a, h, pos, m) of every span whose anchor occurs twice or more."""
     rows = scratch.put(span_rows(texts.rows, unit))
     often = scratch.put(rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a"))
-    spans = scratch.put(rows.join(often, "a"))
+    spans = scratch.put(rows.join(often.hint("merge"), "a"))
     scratch.drop(rows)
     scratch.drop(often)
     scratch.release()
@@ -203,7 +203,7 @@ def with_texts(texts: Texts, rows: DataFrame, per_text: Callable, schema: str, *
     """rows (h, fields) gathered by text and met with it: per_text(raw texts, batch of (h, z, own)) makes rows of
     schema. A text's rows are bounded by its length."""
     own = rows.groupBy("h").agg(F.collect_list(F.struct(*fields)).alias("own"))
-    met = texts.rows.select("h", "z").join(own, "h").select("h", "z", "own")
+    met = texts.rows.select("h", "z").join(own.hint("merge"), "h").select("h", "z", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("passages")
@@ -262,7 +262,7 @@ def finished(texts: Texts, marks: DataFrame, finish: Callable, result: str) -> D
     """(h, cut) of each text: finish(raw text, removed ranges) gives cut's values."""
     fields = T._parse_datatype_string(result)
     own = marks.groupBy("h").agg(F.collect_list("mark").alias("marks"))
-    met = texts.rows.select("h", "z").join(own, "h", "left").select("h", "z", "marks")
+    met = texts.rows.select("h", "z").join(own.hint("merge"), "h", "left").select("h", "z", "marks")
     kind = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

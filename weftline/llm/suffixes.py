@@ -3,8 +3,9 @@
 Removes each byte covered by a string of WIDTH bytes that also starts anywhere else, in the same document or another
 one; matches do not cross documents, overlaps count, and strings are judged on the input.
 
-The plan is that of `passages`: a window's anchor is the leftmost least hash of its GRAM-byte strings. Spans come, with
-their bytes, to their anchor's bucket, where byte-equal ones are one suffix with a count. There the suffixes that start
+The plan is that of `passages`: a window's anchor is the leftmost least hash of its GRAM-byte strings. Spans are one class
+where the bytes at which their windows start are equal, byte by byte, and a digest of 128 bits of all their bytes is. The
+classes of an anchor come, with their bytes, to its bucket, each one suffix with a count. There the suffixes that start
 at the anchor are sorted by a mergesort whose comparisons find two suffixes' common extension by binary search over
 prefix polynomial hashes; neighbours' extensions are then compared byte by byte, and a sort that a hash collision
 misled is done again under other bases. In suffix order, the windows that start `o` bytes before the anchor are equal
@@ -12,8 +13,8 @@ where neighbours share the WIDTH - o bytes after it and the hash of the o bytes
 byte by byte as well, and grouped by their bytes where that hash collides.
 
 A bucket of over BUCKET suffixes is split, by the bytes round the anchor: into ranges of o, and in each by the bytes
-that all windows of the range hold. Windows that are equal stay together, and the parts are sorted like any other
-bucket, or split again. A part whose windows all start at one o holds equal windows only, which are counted.
+that all windows of the range hold. Windows that are equal stay together. Parts that are equal byte by byte are repeated
+and go on as one, and buckets of parts are sorted like any other, or split again, down to single windows.
 
 Defined results: null text has no bytes; texts of under WIDTH bytes stay whole; rows repeated with the same key and
 text are copies of each other, and so each loses what the other has; no rows give no rows; extra columns stay, whatever
@@ -220,15 +221,29 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, off
     return np.concatenate(rows), np.concatenate(windows)
 
 
-def _bodies(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Spans with their bytes."""
-    row, a, pos, m = passages.flat(own, "a", "pos", "m")
+def _cut(raw: list[bytes], h: pa.Array, own: pa.Array, *fields: str) -> tuple:
+    """Spans' bytes, first windows and fields, and their texts' names."""
+    row, pos, *rest = passages.flat(own, "pos", *fields)
     first = pos >> 18
     ends = first + (pos >> 9 & 511) - 1 + WIDTH
     body = [raw[i][x:y] for i, x, y in zip(row.tolist(), first.tolist(), ends.tolist())]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(pos & 511), pa.array(body, pa.binary()), h.take(pa.array(row)), pa.array(first), pa.array(m)], names=["a", "off", "body", "h", "first", "m"]
-    )
+    return body, first, pos & 511, h.take(pa.array(row)), *rest
+
+
+def _own(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Spans with the bytes at which their windows start and a digest of all their bytes."""
+    digest = xxhash.xxh3_128_digest
+    body, first, off, name, a, m = _cut(raw, h, own, "a", "m")
+    two = np.frombuffer(b"".join(map(digest, body)), np.int64).reshape(-1, 2)
+    start = [x[: len(x) - WIDTH + 1] for x in body]
+    cols = [pa.array(a), pa.array(off), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(start, pa.binary()), name, pa.array(first), pa.array(m)]
+    yield pa.RecordBatch.from_arrays(cols, names=["a", "off", "d1", "d2", "own", "h", "first", "m"])
+
+
+def _bodies(raw: list[bytes], h: pa.Array, own: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Spans with their bytes."""
+    body, first, off, name, a, n = _cut(raw, h, own, "a", "n")
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(off), pa.array(body, pa.binary()), pa.array(n), name, pa.array(first)], names=["b", "off", "body", "n", "h", "first"])
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,36 +318,44 @@ def bucket_hits(edges: DataFrame, scratch: Scratch, limit: int | None = None) ->
     """Tables (h, x, y) of the repeated windows of rows (b, off, body, n, h, first) with n = 1; bodies of a b differ."""
     limit = limit or BUCKET
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out, step = [], WIDTH - GRAM + 1
+    same, out, step = ["b", "off", "body"], [], WIDTH - GRAM + 1
     while True:
         size = scratch.put(edges.groupBy("b").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("open")).filter("k > 1 and open > 0"))
         small = edges.join(size.filter(F.col("k") <= limit).select("b"), "b")
         ordered = small.repartition(parts, "b").sortWithinPartitions("b", "h", "first")
         out.append(scratch.put(ordered.mapInArrow(_sorted_buckets, "h long, x long, y long")))
+        scratch.release()
         large = size.filter(F.col("k") > limit).select("b")
         if large.isEmpty():
             return out
-        rest = edges.join(large, "b")
-        if step == 1:
-            twice = scratch.put(rest.groupBy("b", "off", "body").agg(F.sum("n").alias("all")).filter("all > 1").select("b", "off", "body"))
-            hits = rest.filter("n = 1").join(twice, ["b", "off", "body"])
-            return [*out, scratch.put(hits.select("h", F.col("first").alias("x"), F.col("first").alias("y")))]
+        # the parts of large buckets: those with equal bytes are repeated as a whole, and one of them goes on
         step = max(1, step // 8)
-        edges = scratch.put(rest.select("b", "off", "body", "n", "h", "first").mapInArrow(_split(step), _VIEW))
+        split = scratch.put(edges.join(large, "b").select(*same, "n", "h", "first").mapInArrow(_split(step), _VIEW))
+        edges = scratch.put(split.groupBy(*same).agg(F.sum("n").alias("n"), F.min("h").alias("h"), F.min("first").alias("first")))
+        hits = split.filter("n = 1").join(edges.filter("n > 1").select(*same), same)
+        out.append(scratch.put(hits.select("h", F.col("first").alias("x"), (F.col("first") + F.length("body") - WIDTH).alias("y"))))
+        if step == 1:  # all windows of a bucket were one
+            return out
 
 
 def repeats(texts: Texts, scratch: Scratch) -> DataFrame:
     """(h, mark) of the texts with repeated strings."""
     spans = passages.spans_of(texts, BYTES, scratch)
-    bodies = passages.with_texts(texts, spans, _bodies, "a long, off long, body binary, h long, first long, m int", "a", "pos", "m")
-    n = F.sum("m").cast("long")
-    classes = scratch.put(bodies.groupBy("a", "off", "body").agg(n.alias("n"), F.min("h").alias("h"), F.min("first").alias("first")))
+    each = scratch.put(passages.with_texts(texts, spans, _own, "a long, off long, d1 long, d2 long, own binary, h long, first long, m int", "pos", "a", "m"))
+    scratch.release()
+    sums = [F.sum("m").cast("long").alias("n"), F.min("h").alias("h"), F.min_by("first", "h").alias("first")]
+    classes = each.groupBy("a", "off", "d1", "d2", "own").agg(*sums)
+    count = F.length("own").cast("long")
+    pos = F.shiftleft(F.col("first"), 18).bitwiseOR(F.shiftleft(count, 9)).bitwiseOR(F.col("off"))
+    classes = scratch.put(classes.select("a", pos.alias("pos"), "n", "h"))
+    scratch.drop(each)
+    scratch.release()
+    met = passages.contested(classes, scratch).select("h", "pos", "a", "n")
+    edges = scratch.put(passages.with_texts(texts, met, _bodies, _VIEW, "pos", "a", "n"))
     scratch.release()
-    hits = bucket_hits(classes.withColumnRenamed("a", "b"), scratch)
-    count = (F.length("body") - WIDTH + 1).cast("long")
-    single = F.shiftleft(F.col("first"), 18).bitwiseOR(F.shiftleft(count, 9)).bitwiseOR(F.col("off"))
+    hits = bucket_hits(edges, scratch)
     marks = spans.select("h", mark(passages.SPAN, F.col("pos")).alias("mark"))
-    marks = marks.union(classes.filter("n = 1").select("h", mark(passages.NOT_SPAN, single).alias("mark")))
+    marks = marks.union(classes.filter("n = 1").select("h", mark(passages.NOT_SPAN, F.col("pos")).alias("mark")))
     for found in hits:
         marks = marks.union(found.select("h", mark(passages.WINDOWS, F.col("x"), F.col("y")).alias("mark")))
     return marks
