@@ -11,7 +11,10 @@ variant only fingerprints that differ in the deleted bit are compared, as the ot
 Groups pass on a spanning star of their links, never all pairs. A group of over GROUP_ROWS fingerprints is dealt out
 in tiles, each pair of tiles a group of its own, so that no task holds more than two tiles and no pair is lost.
 
-Null text is the empty text. Rows with null keys get fingerprints like any other. Repeated rows get equal results.
+Defined results: null text is the empty text; rows with null keys get fingerprints like any other, and a component of
+null keys alone has a null component_id; repeated rows get equal results; texts of any length are taken whole; of equal
+keys the smallest is the same whichever row has it; extra columns stay out of the results, whatever their names; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, by_batch, claim
@@ -66,16 +69,21 @@ def fingerprint_arrays(raw: list[bytes]) -> np.ndarray:
     return out
 
 
+def text_hash(docs: DataFrame, text: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key and fingerprint (the 64 bits as a long)."""
+    """Per row: key, h (the text's hash) and fp, the fingerprint (the 64 bits as a long)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         claim("simhash")
-        raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_arrays(raw).view(np.int64))], names=["key", "fp"])
+        raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprint_arrays(raw).view(np.int64))], names=["key", "h", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(by_batch(run, 1), f"key {kind}, fp long")
+    rows = docs.select(docs[key].alias("key"), text_hash(docs, text).alias("h"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(by_batch(run, 2), f"key {kind}, h long, fp long")
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +180,21 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return components(together.mapInArrow(_verify, "u long, v long"), scratch)
 
 
+def _rooted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, ...) rows to (fp, root): each distinct fingerprint with one fingerprint that names its component."""
+    distinct = scratch.put(rows.select("fp").distinct())
+    stars = link_fingerprints(distinct, scratch)
+    rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+    return scratch.put(rooted.select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, fingerprint (16 hexadecimal digits) and component_id, the smallest key reachable over links."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put(fingerprints(docs, text, key))
-    distinct = scratch.put(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    stars = link_fingerprints(distinct, scratch)
-    rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    rooted = scratch.put(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = _rooted(rows, scratch)
+    least = rows.groupBy("fp").agg(F.min("key").alias("least")).join(rooted, "fp")
+    least = scratch.put(least.groupBy("root").agg(F.min("least").alias("component_id")))
     named = scratch.put(rooted.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -188,9 +202,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component: that of the smallest key. Repeated rows stay once; rows with a null key stay if none of
-    their component has one."""
-    found = near_duplicates(docs, text, key)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    joined = docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
+    """One row of each component, whole: of its rows the one of the smallest key (null keys last), and there of the
+    smallest text hash. Rows that agree in key and text stay once."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(fingerprints(docs, text, key))
+    own = rows.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("one"))
+    best = own.join(_rooted(rows, scratch), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    # a row is named by key and text hash, and how often it stands decides whether its copies must be told apart
+    kept = best.select("one.key", "one.h").join(rows.groupBy(F.col("key").alias("k"), F.col("h").alias("g")).agg(F.count("*").alias("n")), F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")))
+    kept = scratch.put(kept.select(F.col("k").alias("key"), F.col("g").alias("h"), "n"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs[key].alias("own"), text_hash(docs, text).alias("mine"))
+    met = whole.join(kept, F.col("own").eqNullSafe(F.col("key")) & (F.col("mine") == F.col("h"))).select("row", "own", "mine", "n")
+    out = met.filter("n = 1").select("row").unionAll(met.filter("n > 1").dropDuplicates(["own", "mine"]).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
