@@ -14,7 +14,8 @@ stray further from any reference by chance, so that wider limits hold below LONG
 the document or the reference has fewer than CHAR_GUARD characters or WORD_GUARD words.
 
 Defined results: null text is the empty text and fails the base rules; rows with a null language share one reference;
-repeated rows get equal verdicts; no rows give no rows; extra columns stay out of the features.
+repeated rows get equal verdicts; texts of any length are taken whole; no rows give no rows; extra columns stay out of
+the verdicts, and with the rows that `keep_good` keeps, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, by_batch, claim, texts
+from weftline.llm.common import Scratch, by_batch, claim, small_batches, texts
 
 MIN_WORDS = 50
 CHAR_GUARD, WORD_GUARD = 200, 50
@@ -111,26 +112,31 @@ def measure(text: str, lang: str | None) -> tuple:
     return len(words), points - int(hist[_BLANK].sum()), int(hist[_SYMBOL].sum()), dup, _repeats(words), classes, common
 
 
+def base_failed(n_words: tuple, n_repeat_words: tuple) -> np.ndarray:
+    n, r = np.array(n_words), np.array(n_repeat_words)
+    return (n < MIN_WORDS) | (100 * r > 50 * n)
+
+
 def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row: key, h (the text's hash), grp (language), base counts, base_failed, both histograms."""
+    """Per row: key, grp (language), base counts, base_failed, both histograms."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         claim("quality")
-        langs = batch.column(2).to_pylist()
-        rows = [measure(t, g) for t, g in zip(texts(batch.column(3)), langs)]
+        langs = batch.column(1).to_pylist()
+        rows = [measure(t, g) for t, g in zip(texts(batch.column(2)), langs)]
         cols = list(zip(*rows))
         ints = [pa.array(c, pa.int64()) for c in cols[:5]]
-        failed = pa.array([n < MIN_WORDS or 100 * r > 50 * n for n, r in zip(cols[0], cols[4])])
+        failed = pa.array(base_failed(cols[0], cols[4]))
         hists = [pa.array(list(c), pa.list_(pa.int64())) for c in cols[5:]]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *ints, failed, *hists], names=names)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, failed, *hists], names=names)
 
-    names = ["key", "h", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common"]
+    names = ["key", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common"]
     kind = docs.schema[key].dataType.simpleString()
     body = docs[text].cast("string")
-    rows = docs.select(docs[key].alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), docs[lang].cast("string").alias("lang"), body.alias("text"))
+    rows = docs.select(docs[key].alias("key"), docs[lang].cast("string").alias("lang"), body.alias("text"))
     return rows.mapInArrow(
-        by_batch(run, 3),
-        f"key {kind}, h long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        by_batch(run, 2),
+        f"key {kind}, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, classes array<long>, common array<long>",
     )
 
@@ -154,58 +160,82 @@ def distance(count: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0))
 
 
+def _sides(counts: pa.Array, groups: list[np.ndarray], refs: pa.Array, guard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distance to its group's reference, and whether it counts."""
+    rows = np.array(counts.to_pylist(), np.float64).reshape(len(counts), -1)
+    out, use = np.zeros(len(counts)), np.zeros(len(counts), bool)
+    for own in groups:
+        reference = np.array(refs[int(own[0])].as_py() or [0], np.float64)
+        if reference.sum() >= guard:
+            out[own] = distance(rows[own], reference)
+            use[own] = rows[own].sum(1) >= guard
+    return out, use
+
+
+def _decide(langs: list, n_words: np.ndarray, failed: np.ndarray, classes: pa.Array, common: pa.Array, ref_classes: pa.Array, ref_common: pa.Array) -> list[pa.Array]:
+    """char_distance, word_distance and kept."""
+    places: dict[str | None, list[int]] = {}
+    for i, g in enumerate(langs):
+        places.setdefault(g, []).append(i)
+    groups = [np.array(x) for x in places.values()]
+    c, use_c = _sides(classes, groups, ref_classes, CHAR_GUARD)
+    w, use_w = _sides(common, groups, ref_common, WORD_GUARD)
+    long = n_words >= LONG
+    alone = c > np.where(long, ALONE[True], ALONE[False])
+    both = (c > np.where(long, PAIR[True][0], PAIR[False][0])) & (w > np.where(long, PAIR[True][1], PAIR[False][1]))
+    return [pa.array(c, mask=~use_c), pa.array(w, mask=~use_w), pa.array(~(failed | use_c & alone | use_c & use_w & both))]
+
+
 def judged(measured: DataFrame, refs: DataFrame) -> DataFrame:
     """measured with char_distance, word_distance (null under their guards) and kept."""
 
-    def side(counts: pa.Array, groups: list[np.ndarray], refs: pa.Array, guard: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.array(counts.to_pylist(), np.float64).reshape(len(counts), -1)
-        out, use = np.zeros(len(counts)), np.zeros(len(counts), bool)
-        for own in groups:
-            reference = np.array(refs[int(own[0])].as_py() or [0], np.float64)
-            if reference.sum() >= guard:
-                out[own] = distance(rows[own], reference)
-                use[own] = rows[own].sum(1) >= guard
-        return out, use
-
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            places: dict[str | None, list[int]] = {}
-            for i, g in enumerate(batch.column(at["grp"]).to_pylist()):
-                places.setdefault(g, []).append(i)
-            groups = [np.array(x) for x in places.values()]
-            c, use_c = side(batch.column(at["classes"]), groups, batch.column(at["ref_classes"]), CHAR_GUARD)
-            w, use_w = side(batch.column(at["common"]), groups, batch.column(at["ref_common"]), WORD_GUARD)
-            failed = batch.column(at["base_failed"]).to_numpy(zero_copy_only=False)
-            long = batch.column(at["n_words"]).to_numpy() >= LONG
-            alone = c > np.where(long, ALONE[True], ALONE[False])
-            both = (c > np.where(long, PAIR[True][0], PAIR[False][0])) & (w > np.where(long, PAIR[True][1], PAIR[False][1]))
-            kept = ~(failed | use_c & alone | use_c & use_w & both)
-            extra = [pa.array(c, mask=~use_c), pa.array(w, mask=~use_w), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(at[n]) for n in own_names], *extra], names=[*own_names, "char_distance", "word_distance", "kept"])
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            failed = col["base_failed"].to_numpy(zero_copy_only=False)
+            extra = _decide(col["grp"].to_pylist(), col["n_words"].to_numpy(), failed, col["classes"], col["common"], col["ref_classes"], col["ref_common"])
+            yield pa.RecordBatch.from_arrays([*[col[n] for n in own_names], *extra], names=[*own_names, "char_distance", "word_distance", "kept"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema)
     own_names = measured.columns
     return measured.join(refs, measured["grp"].eqNullSafe(refs["ref_grp"]), "left").mapInArrow(run, schema + ", char_distance double, word_distance double, kept boolean")
 
 
-def verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row: key, h, base counts, base_failed, both distances, kept."""
-    scratch = Scratch(docs.sparkSession)
-    measured = scratch.put(features(docs, text, key, lang))
-    # Written, so that Spark knows their size and broadcasts them only where they are small.
+def final_references(measured: DataFrame, scratch: Scratch) -> DataFrame:
+    """The second references, as a table, so that Spark knows their size and broadcasts them only where they are small."""
     wide = scratch.put(references(measured))
     first = judged(measured, wide)
     near = first.filter((F.coalesce("char_distance", F.lit(0.0)) <= TRIM[0]) & (F.coalesce("word_distance", F.lit(0.0)) <= TRIM[1]))
     trimmed = references(near).select(F.col("ref_grp").alias("_g"), F.col("ref_classes").alias("_c"), F.col("ref_common").alias("_w"))
-    second = wide.join(trimmed, wide["ref_grp"].eqNullSafe(trimmed["_g"]), "left").select("ref_grp", F.coalesce("_c", "ref_classes").alias("ref_classes"), F.coalesce("_w", "ref_common").alias("ref_common"))
-    return judged(measured, scratch.put(second)).drop("classes", "common").withColumnRenamed("key", key)
+    second = wide.join(trimmed, wide["ref_grp"].eqNullSafe(trimmed["_g"]), "left")
+    return scratch.put(second.select("ref_grp", F.coalesce("_c", "ref_classes").alias("ref_classes"), F.coalesce("_w", "ref_common").alias("ref_common")))
+
+
+def verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """Per row: key, base counts, base_failed, both distances, kept."""
+    scratch = Scratch(docs.sparkSession)
+    measured = scratch.put(features(docs, text, key, lang))
+    return judged(measured, final_references(measured, scratch)).drop("classes", "common", "grp").withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The rows of docs that are kept."""
-    good = verdicts(docs, text, key, lang).filter("kept").select(F.col(key).alias("_k"), F.col("h").alias("_h")).distinct()
-    own = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    return docs.join(good, docs[key].eqNullSafe(good["_k"]) & (own == good["_h"]), "left_semi")
+    """The rows of docs that are kept. Texts are measured once more beside the references, rather than shuffled to meet
+    their verdicts."""
+    scratch = Scratch(docs.sparkSession)
+    refs = final_references(scratch.put(features(docs, text, key, lang)), scratch)
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def good(body: pa.Array, own: pa.Array, ref_classes: pa.Array, ref_common: pa.Array) -> pa.Array:
+        claim("quality")
+        if not len(body):
+            return pa.array([], pa.bool_())
+        langs = own.to_pylist()
+        cols = list(zip(*[measure(t, g) for t, g in zip(texts(body), langs)]))
+        return _decide(langs, np.array(cols[0]), base_failed(cols[0], cols[4]), *(pa.array(list(c)) for c in cols[5:]), ref_classes, ref_common)[2]
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[text].cast("string").alias("body"), docs[lang].cast("string").alias("own"))
+    met = rows.join(refs, F.col("own").eqNullSafe(F.col("ref_grp")), "left")
+    return met.filter(good("body", "own", "ref_classes", "ref_common")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
