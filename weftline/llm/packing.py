@@ -1,12 +1,14 @@
 """Packing token sequences by first-fit decreasing with a tournament tree, in randomised groups.
 
-A document's ids, then the end id, are cut at every CAPACITY ids; full pieces are sequences of their own. The rests go
-through first-fit decreasing: a tournament tree over the bins' free capacities, each node the larger of its two,
-leads to the first bin that holds a rest in logarithmic time. Rests are dealt at random into groups of about GROUP
-documents, each packed by itself, so that no task sees more than its groups; only pieces' sizes are shuffled.
-
-Defined results: null text is the empty text, whose only id is the end id; repeated rows are packed as often as they
-occur; ties of size go by the order of key, text hash and start; no rows give no pieces.
+A document's ids, then the end id, are cut at every CAPACITY ids; full pieces are sequences of their own, numbered below
+zero. The rests, one a document at most, go through first-fit decreasing: a tournament tree over the bins' free
+capacities, each node the larger of its two, leads to the first bin that holds a rest in logarithmic time. Rests are
+dealt at random into groups of about GROUP documents, each packed by itself, so that no task holds more than a group;
+only rests' sizes are shuffled. Sequences of a group are numbered from the group's number times 2**32 on.
+
+Defined results: null text is the empty text, whose only id is the end id; texts of any length are cut whole; repeated
+rows are packed as often as they occur; ties of size go by the order of key, text hash and start; extra columns stay out
+of the result, whatever their names; no rows give no pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import codec
-from weftline.llm.common import by_batch, texts
+from weftline.llm.common import Scratch, by_batch, texts
 
 CAPACITY = 2048
 GROUP = 4096
@@ -137,5 +139,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, text: str = "tex
         end = pack_ids([end_id])
         return [b"".join(x) + end for x in c.fill(batch, pack_ids, b"".join)]
 
-    groups = max(1, -(-docs.count() // GROUP))
-    return pack(pieces(docs, ids_of, text, key, capacity), groups, capacity).drop("h").withColumnRenamed("key", key)
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.put(pieces(docs, ids_of, text, key, capacity))
+    rests = cut.filter(F.col("length") < capacity)
+    number = -1 - F.monotonically_increasing_id()
+    full = cut.filter(F.col("length") == capacity).select("*", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = pack(rests, max(1, -(-rests.count() // GROUP)), capacity)
+    return packed.unionByName(full).drop("h").withColumnRenamed("key", key)
