@@ -63,17 +63,99 @@ def test_suffix_sort():
     assert [body(i) for i in s.order] == [body(i) for i in want]
 
 
-def test_symbols_are_consistent():
-    r = random.Random(4)
-    part = [r.randrange(30) for _ in range(35)]
-    a, b = [r.randrange(30) for _ in range(50)] + part + [1, 2, 3], [7] * 20 + part + [5] * 9
-    found = []
-    for words, at in ((a, 50), (b, 20)):
-        name, start, length = recompress.symbols(np.array(words, np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([0, len(words)]))
-        m = recompress.MARGIN
-        inside = (start >= at + m) & (start + length <= at + 35 - m)
-        found.append(list(zip(name[inside].tolist(), (start[inside] - at).tolist())))
-    assert found[0] == found[1] and found[0]
+def literal_windows(words, width):
+    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+
+
+@pytest.mark.parametrize("letters", [2, 5, 1000])
+def test_spellings_are_equal_where_strings_are(letters):
+    r = random.Random(letters)
+    w = recompress.WIDTH
+    part = [b"w%d" % r.randrange(letters) for _ in range(80)]
+    texts = [[b"w%d" % r.randrange(letters) for _ in range(60)] + part, part + [b"x"] * 60, part[5:] + part, [b"x"] * 90, [b"a", b"b"] * 50]
+    words, offsets = [x for t in texts for x in t], np.cumsum([0, *map(len, texts)])
+    begin = np.concatenate([np.arange(a, b - w + 1) for a, b in zip(offsets, offsets[1:])])
+    two, rounds = recompress.spellings(recompress.names_of(words), offsets, begin, begin + w)
+    kinds = {}
+    for key, text in zip(map(tuple, two.tolist()), [x for t in texts for x in literal_windows(t, w)]):
+        kinds.setdefault(key, set()).add(text)
+    assert all(len(v) == 1 for v in kinds.values()) and len(kinds) == len({next(iter(v)) for v in kinds.values()})
+    assert rounds >= 5 or letters < 1000
+    # equal windows name equal anchors
+    doc, first, count, place, anchor = recompress._spans(recompress.names_of(words), offsets)
+    at = {}
+    for f, c, a in zip(first.tolist(), count.tolist(), anchor.tolist()):
+        for i in range(f, f + c):
+            at.setdefault(b" ".join(words[i : i + w]), set()).add(a)
+    assert sum(count) == len(begin) and all(len(v) == 1 for v in at.values())
+
+
+def test_ambiguous_names_are_told_apart_by_words():
+    plain = recompress.names_of
+    words = [b"w%d" % i for i in range(40)] + [b"cat"] + [b"w%d" % i for i in range(40)] + [b"dog"]
+    names = plain([b"cat" if x == b"dog" else x for x in words])
+    offsets, begin, end = np.array([0, 41, 82]), np.array([3, 44]), np.array([41, 82])
+    two, _ = recompress.spellings(names, offsets, begin, end)
+    told, _ = recompress.spellings(names, offsets, begin, end, plain([b"cat"]), lambda a, b: words[a:b])
+    assert (two[0] == two[1]).all() and (told[0] != told[1]).any()
+
+
+def test_names_in_are_those_of_split_words(monkeypatch):
+    r = random.Random(7)
+    texts = [bytes(r.choice(b"ab \t\r\x0b\x1c\x85\xc3\xa9") for _ in range(n)) for n in (0, 1, 5, 300, 4000)]
+    for chunk in (1 << 21, 64):
+        monkeypatch.setattr(recompress, "CHUNK", chunk)
+        names, offsets = recompress.names_in(texts)
+        assert [b - a for a, b in zip(offsets, offsets[1:])] == [len(t.split()) for t in texts]
+        assert names.tolist() == [recompress.names_of([w])[0] for t in texts for w in t.split()]
+
+
+def test_repeated_windows_under_colliding_hashes(monkeypatch):
+    r = random.Random(8)
+    w, g = suffixes.WIDTH, suffixes.GRAM
+    anchor, common = bytes(r.choice(b"xy") for _ in range(g)), [bytes(r.choice(b"ab") for _ in range(260)) for _ in range(3)]
+    bodies = []
+    for i in range(24):
+        left, right = common[i % 3][-100 - i % 5 :], common[(i // 3) % 3][: 150 - i % 7]
+        whole, o = left + anchor + right, len(left)
+        low, high = max(0, o - (w - g)), min(o, len(whole) - w)
+        bodies.append((o - low, whole[low : high + w]))
+    bodies = list(dict.fromkeys(bodies))
+    size = np.array([len(b) for _, b in bodies])
+    data, begin, off = np.frombuffer(b"".join(b for _, b in bodies), np.uint8), np.cumsum(size) - size, np.array([o for o, _ in bodies])
+    count = size - w + 1
+    want = Counter()
+    for b, c, o, k in zip(begin, count, off, range(len(off))):
+        for i in range(c):
+            if 0 <= o - i <= w - g:
+                want[(o - i, data[b + i : b + i + w].tobytes())] += 1
+    expected = sorted((k, i) for k, (b, c, o) in enumerate(zip(begin, count, off)) for i in range(c) if want.get((o - i, data[b + i : b + i + w].tobytes()), 0) > 1)
+    for primes in (suffixes.Hashes.PRIMES, (10007, 10009)):
+        monkeypatch.setattr(suffixes.Hashes, "PRIMES", primes)
+        rows, windows = suffixes.repeated_windows(data, begin, count, off, np.zeros(len(off), np.int64))
+        assert sorted(zip(rows.tolist(), windows.tolist())) == expected and expected
+
+
+def test_split_keeps_windows_together():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    common = bytes(r.choice(b"abc") for _ in range(230))
+    bodies = [bytes([65 + i]) * 20 + common + bytes([97 + i]) * 15 for i in range(6)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 6), pa.array([60] * 6), pa.array(bodies, pa.binary()), pa.array([1] * 6), pa.array(range(6)), pa.array([1000] * 6)], names=["b", "off", "body", "n", "h", "first"]
+    )
+    w = suffixes.WIDTH
+    whole = Counter(b[i : i + w] for b in bodies for i in range(len(b) - w + 1))
+    for step in (21, 2, 1):
+        (out,) = suffixes._split(step)([batch])
+        seen, where = Counter(), {}
+        for b, off, body, h, first in zip(*(out.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+            assert bodies[h][first - 1000 :].startswith(body) and bodies[h].find(common) + 40 == off + first - 1000
+            for i in range(len(body) - w + 1):
+                seen[body[i : i + w]] += 1
+                where.setdefault((off - i, body[i : i + w]), set()).add(b)
+        assert seen == whole and all(len(v) == 1 for v in where.values())
 
 
 def test_fingerprints():

@@ -96,40 +96,39 @@ def runs(anchor: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
 
 @dataclass(frozen=True)
 class Unit:
-    """Tokens of a text, the window width, and the spans of a buffer of tokens.
+    """Tokens of texts, the window width, and the spans of a buffer of tokens.
 
-    codes: text bytes to an array of uint64. spans: (codes, offsets) to document, first window, number of windows,
-    anchor place and anchor hash of each span.
+    codes: bytes of texts to an array of uint64 and each text's offset in it. spans: (codes, offsets) to document, first
+    window, number of windows, anchor place and anchor hash of each span.
     """
 
     width: int
-    codes: Callable[[bytes], np.ndarray]
+    codes: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     spans: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
-def _pieces(unit: Unit, raw: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
-    """Buffers of about TOKENS tokens: documents, their first token in it, tokens, offsets."""
-    docs: list[int] = []
-    base: list[int] = []
-    parts: list[np.ndarray] = []
-    size = 0
-
-    def out():
-        return docs, base, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-
-    for d, text in enumerate(raw):
-        codes = unit.codes(text)
-        for a in range(0, max(len(codes) - unit.width + 1, 0), TOKENS):
+def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum to about `most`."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _pieces(unit: Unit, raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of a few TOKENS tokens at most: documents, their first token in it, tokens, offsets."""
+    for start, end in groups([len(t) for t in raw], 4 * TOKENS):
+        codes, offsets = unit.codes(raw[start:end])
+        if end - start > 1 or len(codes) <= 2 * TOKENS:
+            yield np.arange(start, end), np.zeros(end - start, np.int64), codes, offsets
+            continue
+        for a in range(0, len(codes) - unit.width + 1, TOKENS):
             part = codes[a : a + TOKENS + unit.width - 1]
-            docs.append(d)
-            base.append(a)
-            parts.append(part)
-            size += len(part)
-            if size >= TOKENS:
-                yield out()
-                docs, base, parts, size = [], [], [], 0
-    if parts:
-        yield out()
+            yield np.array([start]), np.array([a]), part, np.array([0, len(part)])
 
 
 def body_of(docs: DataFrame, text: str) -> Column:
@@ -167,8 +166,8 @@ def span_rows(texts: DataFrame, unit: Unit) -> DataFrame:
         for batch in chain.from_iterable(slices(b, 2) for b in batches):
             for ids, base, codes, offsets in _pieces(unit, unpacked(batch.column(2))):
                 doc, first, count, place, a = unit.spans(codes, offsets)
-                local = first - offsets[:-1][doc] + np.array(base, np.int64)[doc]
-                row = pa.array(np.array(ids, np.int64)[doc])
+                local = first - offsets[:-1][doc] + base[doc]
+                row = pa.array(ids[doc])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a.view(np.int64)), batch.column(0).take(row), pa.array(pack(local, count, place - first)), batch.column(1).take(row)], names=["a", "h", "pos", "m"]
                 )

@@ -45,11 +45,14 @@ _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _codes(text: bytes) -> np.ndarray:
-    return _TABLE[np.frombuffer(text, np.uint8)]
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0, *map(len, texts)])
 
 
 def _spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    if len(codes) < WIDTH:
+        e = np.zeros(0, np.int64)
+        return e, e, e, e, e.view(np.uint64)
     hashes = Prefix(codes, _BASE)
     at = np.arange(len(codes) - GRAM + 1)
     gram = mix(hashes.of(at, at + GRAM))
