@@ -39,23 +39,29 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each node's least neighbour, as a table: what then joins it are plain exchanges, of which Spark can split those
+    of hubs."""
+    return scratch.put(links.groupBy("u").agg(F.min("v").alias("m")))
+
+
+def _large(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both, scratch).select("u", F.least("u", "m").alias("m"))
+    return scratch.put(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).mapInArrow(_contract, "u long, v long"))
 
 
-def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+def _small(links: DataFrame, scratch: Scratch) -> DataFrame:
+    least = _least(links, scratch)
     moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).mapInArrow(_contract, "u long, v long").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) long links to (u, v): each linked node that is not its component's least, with that least node.
 
-    Both star steps keep components and end at stars round the least nodes in O(log^2 n) rounds. Each round is a
-    table in the shared folder. Nodes with no link do not appear; self-links and repeated links are allowed; no
+    Both star steps keep components and end at stars round the least nodes in O(log^2 n) rounds; what a task holds is
+    contracted in between. Each step is a table in the shared folder. Nodes with no link do not appear; self-links and repeated links are allowed; no
     links give no rows.
     """
     ordered = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -66,5 +72,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if mark == seen or not mark[0]:
             return now
         seen, old = mark, now
-        now = scratch.put(_small(_large(now)))
+        now = scratch.put(_small(_large(now, scratch), scratch))
         scratch.drop(old)

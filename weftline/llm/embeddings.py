@@ -4,15 +4,16 @@ Vectors link when their labels are equal and not null and their cosine, in doubl
 Vectors that are null, zero, or hold null or non-finite components link with nothing.
 
 Equal vectors of a label become one class with a count. Unit vectors are turned onto the principal axes of all of
-them, which keeps products. Two unit vectors at cosine t differ by at most sqrt(2 - 2t) on the first axis, so classes
-go to bins of half that width along it, bins to tiles of about TILE classes, and only tiles at most two bins apart
-meet. In a pair of tiles, products are summed over leading axes first; what the other axes can add is bounded by the
+them, which keeps products. Two unit vectors at cosine t are at most sqrt(2 - 2t) apart, so classes go to bins of half
+that width along the first axis, and bins, in ranges of the second axis, to tiles of about TILE classes. Tiles at most
+two bins apart meet if their boxes over the first BOX axes are near enough. In a pair of tiles, products are summed over leading axes first; what the other axes can add is bounded by the
 product of the suffix norms, and a pair is dropped once the bound stays under the threshold. Pairs left are computed
 from the vectors as they are. A pair of tiles passes on link counts and a spanning star, never its pairs.
 
 Defined results: n_links counts the other vectors linked directly (copies among them), component_id is the smallest
 vec_id reachable (itself where nothing is), null ids are kept; vectors of unlike lengths do not link; repeated rows
-count as vectors of their own; no rows give no rows.
+count as vectors of their own; vectors of any length are compared whole; extra columns stay out of the result, whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from weftline.llm.common import Scratch
 from weftline.llm.components import components, spanning
 
 TILE = 1024
+BOX = 8
+#: Ranges of the second axis that a bin is cut into at most; larger ones are dealt by hash.
+RANGES = 64
 #: Products are bounded after each of these shares of the axes.
 STEPS = (8, 4, 2, 1)
 
@@ -97,33 +101,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     valid = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < math.inf)
     rows = vectors.select(vectors[key].alias("key"), vectors[label].alias("label"), v.alias("v"))
-    rows = scratch.put(rows.withColumn("ok", F.coalesce(valid, F.lit(False))))
+    rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
+    rows = scratch.put(rows.withColumn("v", F.when(F.col("ok"), F.col("v"))))
     same = rows.filter("ok").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("key").alias("least"))
     classes = scratch.put(same.withColumn("c", F.monotonically_increasing_id()))
     turns = axes(classes)
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
 
-    def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            bins = np.zeros(len(sizes), np.int64)
+            box = np.zeros((len(sizes), max(BOX, 2)))
             for d in np.unique(sizes):
                 own = sizes == d
                 x = _matrix(batch.column(2).filter(pa.array(own)))
-                bins[own] = np.floor(x @ turns[int(d)][:, 0] / np.linalg.norm(x, axis=1) / (reach / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int64)), pa.array(bins)], names=[*batch.schema.names, "d", "bin"])
+                turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turns[int(d)][:, : box.shape[1]]
+                box[own, : turned.shape[1]] = turned
+            bins = np.floor(box[:, 0] / (reach / 2)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int64)), pa.array(bins), pa.array(list(box), pa.list_(pa.float64()))], names=[*batch.schema.names, "d", "bin", "box"])
 
     kind = vectors.schema[label].dataType.simpleString()
-    binned = scratch.put(classes.select("c", "label", "v", "n").mapInArrow(first_axis, f"c long, label {kind}, v array<double>, n long, d long, bin long"))
-    # tiles: hashed parts of a bin
-    bins = binned.groupBy("label", "d", "bin").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-    bins = scratch.put(bins)
-    other = bins.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("bin").alias("b2"), F.col("tiles").alias("t2"))
-    meets = bins.withColumn("b2", F.explode(F.array(*[F.col("bin") + k for k in range(3)])))
-    meets = meets.join(other.withColumnsRenamed({"l2": "label", "d2": "d"}), ["label", "d", "b2"])
-    tile = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    pairs = meets.select("*", tile.alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t2") - 1)).alias("j"))
-    pairs = pairs.filter("bin < b2 or i <= j").select("label", "d", "bin", "i", "b2", "j")
+    binned = scratch.put(classes.select("c", "label", "v", "n").mapInArrow(placed, f"c long, label {kind}, v array<double>, n long, d long, bin long, box array<double>"))
+    second = F.col("box")[1]
+    cuts = F.percentile_approx(second, [k / RANGES for k in range(1, RANGES)], 1000)
+    bins = binned.groupBy("label", "d", "bin").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), cuts.alias("cuts"))
+    ranges = F.least("tiles", F.lit(RANGES))
+    # of the RANGES - 1 cuts, those that part a bin into as many ranges as it has tiles
+    chosen = F.transform(F.when(ranges > 1, F.sequence(F.lit(1), ranges - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.element_at("cuts", (k * RANGES / ranges).cast("int")))
+    bins = scratch.put(bins.select("label", "d", "bin", chosen.alias("cuts"), F.ceil(F.col("tiles") / RANGES).cast("long").alias("deal")))
+    place = F.size(F.filter("cuts", lambda x: x < second)).cast("long")
+    tiled = binned.join(bins, ["label", "d", "bin"]).withColumn("i", place * F.col("deal") + F.pmod(F.xxhash64("c"), F.col("deal")))
+    tiled = scratch.put(tiled.select("c", "label", "v", "n", "d", "bin", "i", "box"))
+    ends = [f(F.col("box")[k]).alias(f"{name}{k}") for k in range(BOX) for name, f in (("low", F.min), ("high", F.max))]
+    boxes = scratch.put(tiled.groupBy("label", "d", "bin", "i").agg(*ends))
+    other = boxes.withColumnsRenamed({"bin": "b2", "i": "j"} | {f"{x}{k}": f"{x}_{k}" for x in ("low", "high") for k in range(BOX)})
+    gap = sum((F.pow(F.greatest(F.col(f"low_{k}") - F.col(f"high{k}"), F.col(f"low{k}") - F.col(f"high_{k}"), F.lit(0.0)), 2) for k in range(BOX)), F.lit(0.0))
+    meets = boxes.withColumn("b2", F.explode(F.array(*[F.col("bin") + k for k in range(3)]))).join(other, ["label", "d", "b2"])
+    pairs = meets.filter("bin < b2 or i <= j").filter(gap <= reach * reach).select("label", "d", "bin", "i", "b2", "j")
     sides = scratch.put(
         pairs.withColumn("pair", F.monotonically_increasing_id()).select(
             "pair", "label", "d", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("bin"), F.col("i")), F.struct(F.lit(1).alias("side"), F.col("b2").alias("bin"), F.col("j").alias("i")))).alias("t")
@@ -131,7 +145,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     )
     # a tile that meets itself has one side
     alone = sides.groupBy("pair", "label", "d", "bin", "i").agg(F.min("side").alias("side"))
-    tiled = binned.join(bins, ["label", "d", "bin"]).withColumn("i", F.pmod(F.xxhash64("c"), F.col("tiles")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = tiled.join(alone, ["label", "d", "bin", "i"]).select("pair", "side", "c", "n", "v")
     met = met.repartition(parts, "pair").sortWithinPartitions("pair", "side")
