@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import json as J
 from weftline.functions import text as X
-from weftline.operators import folds, history, lists, merging, ranking, sessions, vectors
+from weftline.operators import folds, history, lists, merging, personas, ranking, sessions, vectors
 
 
 def literal_sessions(items):
@@ -218,3 +218,125 @@ def test_vectors(spark):
     assert near[(1, 1)] == 3 and near[(3, 1)] == 1
     row = spark.range(1).select(vectors.find_sequence(F.array(*map(F.lit, [1, 2, 3, 2])), F.array(F.lit(3), F.lit(2))).alias("i")).first()
     assert row.i == 2
+
+
+def test_merging_errors_and_counters(spark):
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(Exception, match="duplicate key: 1"):
+        merging.replace_or_append(base, base.filter("k = 2"), "k").collect()
+    nulls = spark.createDataFrame([(None, 1), (3, 2)], "k int, v int")
+    assert merging.require_unique(nulls, "k").count() == 2
+    with pytest.raises(Exception, match="duplicate key: null"):
+        merging.require_unique(nulls.union(nulls.filter("k is null")), "k").collect()
+    # lines in the order they are read: rank 1, rank 0 (skipped), rank 1 and 2 (replace)
+    rows = spark.createDataFrame([("x", 1, 1, "a"), ("x", 0, 2, "b"), ("x", 1, 3, "c"), ("x", 2, 4, "d"), ("y", 0, 5, "e")], "id string, source_rank int, seq int, v string")
+    got = {r.id: (r.v, r.replaced, r.skipped) for r in merging.rank_aware(rows, ["id"], "source_rank", "seq", read="seq").collect()}
+    assert got == {"x": ("d", 2, 1), "y": ("e", 0, 0)}
+    with pytest.raises(Exception, match="missing key"):
+        merging.assigned(rows, spark.createDataFrame([("x", 0)], "id string, shard int"), "id").collect()
+
+
+def test_empty_and_too_small_inputs(spark):
+    none = spark.createDataFrame([], "rank int")
+    row = ranking.mean_metrics(none, "rank").first()
+    assert row.n == 0 and row.recall_1 == 0.0 and row.mrr_50 == 0.0
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="too few vectors"):
+        vectors.knn_distance(few, 2, "id", "v").collect()
+    with pytest.raises(Exception, match="too few members"):
+        vectors.cluster_entropy(spark.createDataFrame([(1,), (1,)], "n int"), "n", 3).collect()
+    with pytest.raises(ValueError):
+        personas.nonempty_texts(spark.createDataFrame([(" ",), (None,)], "t string"), "t")
+
+
+def test_nearest_against_all_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(90, 3)), 1)
+    x[40:50] = x[:10]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    d = np.round(1 - u @ u.T, 9)
+    want = {(i, k + 1): j for i in range(90) for k, (_, j) in enumerate(sorted((d[i, j], j) for j in range(90) if j != i)[:4])}
+    block = vectors.BLOCK
+    try:
+        vectors.BLOCK = 25
+        got = {(g["query"], g["rank"]): g.neighbour for g in vectors.nearest(df, 4, "id", "v").collect()}
+    finally:
+        vectors.BLOCK = block
+    assert got == want
+
+
+@pytest.mark.parametrize("said,letter", [("**Answer**: B", "B"), ("final: (B)", "B"), ("Option B", "B"), ("The answer: [B]", "B"), ("answer is c", "C"), ("x Y z", None), ("index-d, b", "D"), ("", None), ("<THINK>A</THINK>e", "E")])
+def test_plain_answers(spark, said, letter):
+    row = spark.range(1).select(X.plain_answer_at(F.lit(said)).alias("a")).first().a
+    assert (row.letter if row else None) == letter and (row is None or said.strip()[row.place].upper() == letter)
+
+
+def test_repair_by_hand():
+    broken = '{"episodic_memory":["a"},"updated_recommendation_history":[{"item":"i"}]}}'
+    assert J.repair('{"memory":' + broken) == '{"memory":' + broken.replace('"a"}', '"a"]') and J.repair(broken) == broken
+    assert J.repair('["a"] x') == '["a"] x' and J.repair(' "[1]" ') == "[1]" and J.repair("{'a'}") == "{'a'}"
+
+
+def test_until_done(spark):
+    work = spark.createDataFrame([(i,) for i in range(6)], "k int")
+    run = lambda rows, n: (rows.filter(F.col("k") <= n), rows.filter(F.col("k") > n))
+    assert folds.until_done(work, run, rounds=6).count() == 6 and folds.until_done(work, run, rounds=2, allow_pending=True).count() == 3
+    with pytest.raises(ValueError, match="3 rows"):
+        folds.until_done(work, run, rounds=2)
+
+
+def test_failed_calls_and_answers(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")], "u int, n int, v string")
+    seed = rows.filter("n = 1").select("u", F.col("v").alias("state"))
+    bad = folds.with_backoff(lambda p, k: 1 / 0, attempts=2, sleep=lambda s: None)
+    valid = lambda r: F.get_json_object(r, "$.code").isNotNull()
+    args = ("u", "n", "v", lambda s, v: F.concat_ws("|", s, v), bad, valid, lambda r: F.get_json_object(r, "$.code"), 2)
+    states, failed = folds.update_states(rows, seed, *args)
+    assert states.count() == 2 and [(r.u, r.n, r.attempts, r.response) for r in failed.collect()] == [(1, 2, 2, "{}")]
+    states, _ = folds.update_states(rows, seed, *args, fallback=lambda s, v: F.concat(s, v))
+    assert {(r.u, r.n): (r.state, r.source) for r in states.collect()} == {(1, 1): ("a", "seed"), (2, 1): ("d", "seed"), (1, 2): ("ab", "fallback"), (1, 3): ("abc", "fallback")}
+    judged = personas.judge(spark.createDataFrame([("u", "t", "p")], "user_id string, dataset_type string, persona string"), {"a": "x", "b": "y"}, lambda p, k: ["oops"] * len(p))
+    assert [(r.metric, r.score) for r in judged.orderBy("metric").collect()] == [("a", 0), ("b", 0)]
+    with pytest.raises(Exception, match="no personas"):
+        spark.range(1).select(personas.sections_of(F.lit('{"behavior_persona":[],"dialogue_persona":[]}'))).collect()
+
+
+def test_persona_extraction_by_hand(spark):
+    names = ["limited", "stats", "content_log", "production_log", "union_log", "usage_log"]
+    rows = spark.createDataFrame([tuple(names)], ", ".join(f"{n} string" for n in names))
+    asked = []
+    answer = lambda p, k=0: [folds.json.dumps({f: f"{f}<{x}>" for s in personas.SECTIONS.values() for f in s.values()}) for x in p]
+    p = personas.extract(rows, answer).first().persona
+    content, production = (answer([f"{n} | limited | {n}_log"])[0] for n in ("content", "production"))
+    assert p.positive_preference.content_material == "positive_content_material<content | limited | content_log>"
+    assert p.usage_patterns.immersion_style == "immersion_style<immersion | stats | usage_log>" and p.historical_stats == "stats" and not asked
+    assert p.decision_drivers.motivations == f"behavioral_motivation<motives | {content} {production} | limited | union_log>"
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folds.shared(Session)
+
+
+def test_training_arithmetic(spark):
+    ids = F.array(*[F.lit(i).cast("long") for i in (5, 6, 7, 8)])
+    cut, place = vectors.truncate_left(ids, 2, F.lit(3))
+    _, gone = vectors.truncate_left(ids, 2, F.lit(1))
+    letters = F.array(F.lit(6).cast("long"), F.lit(5).cast("long"))
+    seek = lambda *p: vectors.find_sequence(ids, F.array(*[F.lit(i).cast("long") for i in p]))
+    row = spark.range(1).select(
+        cut.alias("a"), place.alias("b"), gone.alias("c"), vectors.fit_right(ids, 6, 0).alias("d"), seek(9, 6).alias("e"), seek(9, 5).alias("f"), seek(1, 2).alias("g"), seek(7, 8, 9, 1, 2).alias("h"),
+        vectors.rank_target(ids, F.lit(1), letters).alias("i"), vectors.rank_target(ids, F.lit(3), letters).alias("j"), vectors.rank_target(ids, F.lit(0), F.array(F.lit(5).cast("long"))).alias("k"),
+    ).first()
+    assert tuple(row[:8]) == ([7, 8], 1, -1, [5, 6, 7, 8, 0, 0], 0, 0, -1, -1)
+    assert tuple(row.i) == (1, 6) and tuple(row.j) == (1, 6) and row.k is None

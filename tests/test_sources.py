@@ -64,3 +64,24 @@ def test_streams(spark, tmp_path):
     S.run_once(S.windowed_counts(events), "windows", "complete", str(tmp_path / "c"))
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert spark.table("windows").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_document_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("é", 1.5, None), ('q"', None, "x\ny"), ("z", float("nan"), "")], "k string, x double, t string").withColumn("v", F.struct("x", "t"))
+    K.write_document(rows, str(tmp_path / "d"), "k", "v")
+    back = R.json_map(spark, str(tmp_path / "d"), "struct<x: double, t: string>")
+    assert {(r.key, r.value.x, r.value.t) for r in back.collect()} == {("é", 1.5, None), ('q"', None, "x\ny"), ("z", None, "")}
+    K.write_document(rows.limit(0), str(tmp_path / "e"), "k", "v")
+    assert R.json_map(spark, str(tmp_path / "e"), "struct<x: double, t: string>").count() == 0
+    K.write_document(rows.select("k", F.lit(None).cast("string").alias("v")), str(tmp_path / "n"), "k", "v")
+    assert R.json_map(spark, str(tmp_path / "n"), "string").filter("value is null").count() == 3
+
+
+def test_report(spark):
+    text = K.report(spark.createDataFrame([("a", 1)], "name string, n int"), "Counts")
+    assert text.startswith("Counts") and "|a   |1  |" in text
+
+
+def test_catalogue_skips_spelt_out_nulls(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("item_id,title\n1,a\n nan ,b\nNone,c\n2.0,d\n")
+    assert [r.title for r in R.catalogue(spark, str(tmp_path / "c.csv")).collect()] == ["a", "d"]

@@ -111,28 +111,32 @@ def updated_errors(text: str | None) -> list[str]:
     return errors + memory_errors(value["memory"], "updated.memory", "session_events", "recommendation_history")
 
 
+_HISTORY = re.compile(r'\}\s*,\s*(?="updated_recommendation_history"\s*:)')
+
+
+def _read(text: str) -> tuple[bool, object]:
+    try:
+        return True, json.loads(text)
+    except ValueError:
+        return False, None
+
+
 def repair(text: str | None) -> str | None:
-    """Valid JSON stripped (a JSON string once unwrapped); else list ends closed, what follows the last brace cut, a
-    missing brace added; what cannot be mended comes back as it was."""
+    """JSON comes back stripped, a JSON string unwrapped once. Of what is not JSON, the brace that closes a list before
+    the recommendation history becomes a bracket, what follows the last brace goes, and an outermost brace that is missing
+    behind a closed list of objects is added; if that makes an object, it comes back in compact form, and anything else as
+    it was."""
     if text is None:
         return None
     body = text.strip()
-
-    def ok(t: str) -> object:
-        try:
-            return json.loads(t)
-        except ValueError:
-            return None
-
-    got = ok(body)
-    if got is not None:
-        return got.strip() if isinstance(got, str) else body
-    mended = re.sub(r'\}\s*,\s*("updated_recommendation_history"\s*:)', r"}],\1", body)
-    for t in (mended, mended[: mended.rfind("}") + 1], mended[: mended.rfind("}") + 1] + "}" if mended[: mended.rfind("}") + 1].endswith("}]}") else ""):
-        got = ok(t) if t else None
-        if got is not None:
-            return json.dumps(got, ensure_ascii=False, separators=(",", ":"))
-    return text
+    valid, value = _read(body)
+    if valid:
+        return value.strip() if isinstance(value, str) else body
+    body = _HISTORY.sub("],", body)
+    head, brace, _ = body.rpartition("}")
+    body = (head + brace).strip() if brace else body
+    valid, value = _read(body + "}" if body.endswith("}]}") else body)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if valid and isinstance(value, dict) else text
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -157,7 +161,7 @@ def repaired(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def values_text(text: pd.Series) -> pd.Series:
-    """The values of nested JSON, space-joined."""
+    """The values of nested JSON, space-joined; null and what is not JSON are empty."""
 
     def flat(v: object) -> list[str]:
         if isinstance(v, dict):
@@ -166,7 +170,7 @@ def values_text(text: pd.Series) -> pd.Series:
             return [x for e in v for x in flat(e)]
         return [] if v is None else [str(v)]
 
-    return text.map(lambda t: None if t is None else " ".join(flat(json.loads(t))))
+    return text.map(lambda t: " ".join(flat(_read(t)[1])) if isinstance(t, str) else "")
 
 
 def kind_of(variant: Column) -> Column:

@@ -12,7 +12,7 @@ NULLS = ("", "nan", "none", "null")
 TRUE = ("1", "true", "t", "yes", "y")
 FALSE = ("0", "false", "f", "no", "n")
 # Countries whose original titles are English.
-ENGLISH = ("usa", "us", "united states", "uk", "united kingdom", "canada", "australia")
+ENGLISH = ("usa", "uk", "great britain", "canada", "australia", "new zealand", "ireland")
 BLANKS = r"^\s+|\s+$"
 
 
@@ -44,7 +44,7 @@ def parts(x: Column, by: str = ",") -> Column:
 
 
 def from_english_country(countries: Column) -> Column:
-    return F.coalesce(F.exists(parts(F.lower(countries)), lambda p: p.isin(*ENGLISH)), F.lit(False))
+    return F.coalesce(F.exists(parts(F.lower(clean(countries))), lambda p: p.isin(*ENGLISH)), F.lit(False))
 
 
 def preferred_title(title: Column, original: Column, countries: Column) -> Column:
@@ -81,21 +81,57 @@ def without_role(x: Column) -> Column:
     return F.regexp_replace(strip(x), r"(?i)^(assistant|agent)\s*:\s*", "")
 
 
-def tagged_answer(x: Column, letters: str = "ABCDEFGHIJKLMNOPQRST") -> Column:
-    """The letter in <answer>..</answer>; null where it is none of the allowed ones."""
-    got = F.upper(F.regexp_extract(x, r"(?is)<answer>\s*([A-Za-z])\s*</answer>", 1))
-    return F.when(F.array_contains(F.array(*map(F.lit, letters)), got), got)
+LETTERS = "ABCDEFGHIJKLMNOPQRST"
 
 
-def plain_answer(x: Column, letters: str = "ABCDEFGHIJKLMNOPQRST") -> Column:
-    """The last allowed letter after 'answer:' behind the thoughts, else the last that stands alone on a line."""
-    said = F.element_at(F.split(x, "</think>"), -1)
-    allowed = "[" + letters + "]"
+def _answer(text: Column, pattern: str, letters: str) -> Column:
+    """(letter, place) for a pattern of what stands before the letter and the letter; null without a match."""
+    letter = F.upper(F.regexp_extract(text, pattern, 2))
+    found = F.array_contains(F.array(*map(F.lit, letters)), letter)
+    return F.when(found, F.struct(letter.alias("letter"), F.length(F.regexp_extract(text, pattern, 1)).alias("place")))
 
-    def last(pattern: str) -> Column:
-        return F.try_element_at(F.regexp_extract_all(said, F.lit(pattern), F.lit(1)), F.lit(-1))
 
-    return F.coalesce(last(rf"(?i:answer)\s*(?i:is)?\s*[:=]?\s*({allowed})\b"), last(rf"(?m)^\s*({allowed})\s*[.)]?\s*$"))
+def tagged_answer_at(x: Column, letters: str = LETTERS) -> Column:
+    """(letter, place in the stripped text) of the first <answer>..</answer>; null where the letter is none of the allowed ones."""
+    return _answer(strip(x), r"(?is)^(.*?<answer>\s*)([A-Z])\s*</answer>", letters)
+
+
+def plain_answer_at(x: Column, letters: str = LETTERS) -> Column:
+    """(letter, place in the stripped text) behind the thoughts: the last allowed letter that follows 'answer', 'index'
+    or 'final answer', a colon or dash between them or not; else the last allowed letter that stands by itself."""
+    text = strip(x)
+    gone = F.length(F.regexp_extract(text, r"(?is)^(.*?</think>)", 1))
+    said = F.substring(text, gone + 1, F.length(text))
+    one = f"([{letters}])(?![A-Z])"
+    found = F.coalesce(
+        _answer(said, rf"(?is)^(.*(?<![A-Z])(?:final answer|answer|index)\s*[:\-]?\s*){one}", letters), _answer(said, rf"(?is)^(.*(?<![A-Z])){one}", letters)
+    )
+    return F.when(found.isNotNull(), F.struct(found.letter.alias("letter"), (found.place + gone).alias("place")))
+
+
+def tagged_answer(x: Column, letters: str = LETTERS) -> Column:
+    return tagged_answer_at(x, letters).letter
+
+
+def plain_answer(x: Column, letters: str = LETTERS) -> Column:
+    return plain_answer_at(x, letters).letter
+
+
+def answer_blocks(x: Column) -> Column:
+    """(answer, think): what stands in the first <answer> block, or the whole stripped text without one, and what stands
+    in the first <think> block, empty without one."""
+    text = strip(x)
+    block = lambda name: F.regexp_extract(text, rf"(?is)<{name}>(.*?)</{name}>", 1)
+    return F.struct(F.when(text.rlike(r"(?is)<answer>.*?</answer>"), strip(block("answer"))).otherwise(text).alias("answer"), strip(block("think")).alias("think"))
+
+
+def chat_text(messages: Column, family: str = "qwen2.5", generate: bool = False) -> Column:
+    """Messages as a model family's prompt text; with `generate`, up to where the assistant begins."""
+    # The families' marks before and after a role and after a message.
+    start, mid, end = {"llama": ("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>")}.get(family, ("<|im_start|>", "\n", "<|im_end|>\n"))
+    each = F.transform(messages, lambda m: F.concat(F.lit(start), m.role, F.lit(mid), m.content, F.lit(end)))
+    text = F.array_join(each, "")
+    return F.concat(text, F.lit(f"{start}assistant{mid}")) if generate else text
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -1,16 +1,19 @@
 """Calls to outside models and the folds, retries and resumes around them.
 
 A caller is a plain function from a list of prompts (and the attempt's number) to a list of texts. It runs on the
-executors, a batch at a time, with at most `spark.task` slots in flight; `offline` is a deterministic stand-in.
-Results are written before they are used again, so that no call is made twice.
+executors, a batch at a time; `offline` and its kin are deterministic stand-ins, made of MD5 so that SQL can follow them.
+Results are written before they are used again, so that no call is made twice. Tables of folds lie in the shared folder
+and go when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
+import tempfile
 import time
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,17 +25,26 @@ Caller = Callable[[list[str], int], list[str]]
 NO_EVENT = "No event selected."
 
 
+def code_of(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:7], 16)
+
+
 def offline(prompts: list[str], attempt: int = 0) -> list[str]:
     """Deterministic JSON for each prompt."""
-    return [json.dumps({"text": p[:40], "code": zlib.crc32(p.encode()) % 1000, "attempt": attempt}) for p in prompts]
+    return [json.dumps({"text": p[:40], "code": code_of(p) % 1000, "attempt": attempt}) for p in prompts]
 
 
 def offline_choice(prompts: list[str], attempt: int = 0) -> list[str]:
     """Deterministic selections for each prompt; some name no event."""
-    codes = [zlib.crc32(p.encode()) for p in prompts]
+    codes = [code_of(p) for p in prompts]
     return [json.dumps({"refined_event": f"event {c}"} if c % 5 else {}) for c in codes]
 
 
+def offline_fields(*names: str) -> Caller:
+    """A caller whose answers hold these fields, eight digits of a digest each."""
+    return lambda prompts, attempt=0: [json.dumps({n: hashlib.md5(f"{n}|{p}".encode()).hexdigest()[:8] for n in names}) for p in prompts]
+
+
 def with_backoff(call: Caller, attempts: int = 6, first: float = 1.0, longest: float = 60.0, sleep=time.sleep) -> Caller:
     """Repeats a failing call after growing pauses; in the end '{}' for each prompt."""
 
@@ -61,14 +73,30 @@ def call_model(rows: DataFrame, prompt: str, call: Caller, attempt: int = 0) ->
     return rows.mapInArrow(run, schema + ", response string")
 
 
-def shared(spark: SparkSession) -> str:
-    import tempfile
+def limited(rows: DataFrame, most: int) -> DataFrame:
+    """rows in at most so many tasks, each of which has one call in flight."""
+    return rows.coalesce(most)
+
 
+def shared(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Only a local session may do without that setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at}/weftline-folds/{uuid.uuid4().hex}"
+    path = f"{at}/weftline-folds/{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended first
+        pass
 
 
 def written(rows: DataFrame) -> DataFrame:
@@ -89,6 +117,19 @@ def cached_calls(rows: DataFrame, prompt: str, cache: DataFrame | None, call: Ca
     return keyed.join(grown, "digest", "left").drop("digest"), grown
 
 
+def persistent_calls(rows: DataFrame, prompt: str, path: str, call: Caller) -> DataFrame:
+    """cached_calls over a cache that lies at path from run to run; what is new is appended to it."""
+    from weftline.sources.readers import exists
+
+    spark = rows.sparkSession
+    schema = "digest string, response string"
+    cache = spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+    out, grown = cached_calls(rows, prompt, cache, call)
+    new = grown if cache is None else grown.join(cache.select("digest"), "digest", "left_anti")
+    written(new).write.mode("append").parquet(path)
+    return out
+
+
 def retry_until_valid(rows: DataFrame, prompt: str, call: Caller, valid: Callable[[Column], Column], attempts: int = 3) -> DataFrame:
     """Adds response, attempts used and is_valid; only rows still invalid are called again. Attempt 0 is greedy, later
     ones may sample. Each round is a table, so that the lineage stays short."""
@@ -125,6 +166,91 @@ def fold_sessions(sessions: DataFrame, seed: DataFrame, user: str, step: str, va
     return out
 
 
+def update_states(
+    extracted: DataFrame, seed: DataFrame, user: str, step: str, value: str, prompt: Callable[[Column, Column], Column], call: Caller,
+    valid: Callable[[Column], Column], parse: Callable[[Column], Column], attempts: int = 2, fallback: Callable[[Column, Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """States by a model's updates, session after session, and the failures.
+
+    State n takes state n - 1, session n's extraction and a call for both, tried until its answer is valid. A session
+    whose answers all fail freezes its user, or, with a fallback, has the fallback's state. extracted: (user, step,
+    value); seed: (user, state) at step 1. Returns (user, step, state, source) and (user, step, attempts, response).
+    """
+    state = written(seed.select(user, F.lit(1).alias(step), "state", F.lit("seed").alias("source")))
+    out, failed = state, None
+    for n in range(2, longest(extracted, step) + 1):
+        rows = extracted.filter(F.col(step) == n).select(user, F.col(value).alias("_v"))
+        asked = state.select(user, "state").join(rows, user).withColumn("prompt", prompt(F.col("state"), F.col("_v")))
+        tried = retry_until_valid(written(asked), "prompt", call, valid, attempts)
+        good = tried.filter("is_valid").select(user, F.lit(n).alias(step), parse(F.col("response")).alias("state"), F.lit("updated").alias("source"))
+        bad = tried.filter("not is_valid")
+        if fallback is not None:
+            good = good.unionByName(bad.select(user, F.lit(n).alias(step), fallback(F.col("state"), F.col("_v")).alias("state"), F.lit("fallback").alias("source")))
+        lost = bad.select(user, F.lit(n).alias(step), "attempts", "response")
+        failed = lost if failed is None else failed.unionByName(lost)
+        state = written(good)
+        if state.isEmpty():
+            break
+        out = out.unionByName(state)
+    if failed is None:
+        failed = out.filter("false").select(user, step, F.lit(0).alias("attempts"), F.lit("").alias("response"))
+    return out, failed
+
+
+def until_done(work: DataFrame, run: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]], rounds: int = 2, allow_pending: bool = False) -> DataFrame:
+    """A run over work and up to `rounds` retries of what failed: run(rows, round) gives done rows and failed ones, the
+    latter as rows to run again. Failures that are left are an error unless allowed."""
+    done, left = run(work, 0)
+    for k in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        more, left = run(left, k)
+        done = done.unionByName(more)
+    if not allow_pending and (n := left.count()):
+        raise ValueError(f"{n} rows are still pending")
+    return done
+
+
+def fold_dialogues(sessions: DataFrame, seed: DataFrame, user: str, step: str, generate: Caller, extract: Caller, update: Caller) -> DataFrame:
+    """Dialogues of users' sessions, each with the state that the sessions before left.
+
+    sessions: (user, step, prompt), the session's part of the prompt; seed: (user, persona), a JSON list. The state is
+    the persona, the list of episodes and the last session's outcomes, of which accepted ones are shown. A session takes
+    three calls: the dialogue, what it tells of persona and memory, and the persona brought up to date (which stays as it
+    was where the answer names none). A user whose generating call gives no JSON object drops out with all sessions.
+    Returns (user, step, persona, extracted, updated, episodes, strategy, dialogue).
+    """
+    turn = F.row_number().over(Window.partitionBy(user).orderBy(step))
+    ranked = written(sessions.join(seed.select(user), user, "left_semi").select(user, step, "prompt", turn.alias("_n")))
+    empty = F.array().cast("array<string>")
+    state = written(seed.select(user, "persona", empty.alias("episodes"), F.lit("[]").alias("outcomes")))
+    out = lost = None
+    field = lambda path: F.get_json_object("response", path)
+    outcome = "array<struct<item: string, reaction: string, reason: string>>"
+    for n in range(1, longest(ranked, "_n") + 1):
+        rows = ranked.filter(F.col("_n") == n).drop("_n").withColumnRenamed("prompt", "_told").join(state, user)
+        accepted = F.to_json(F.filter(F.from_json("outcomes", outcome), lambda o: o.reaction == "Accept"))
+        asked = rows.withColumn("prompt", F.concat_ws(" | ", "_told", "persona", F.to_json("episodes"), accepted))
+        made = call_model(asked, "prompt", generate)
+        is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("response")).startswith("OBJECT"), F.lit(False))
+        made = written(made.withColumn("_ok", is_object).withColumn("dialogue", field("$.Dialogue")).withColumn("strategy", F.coalesce(field("$['Dialogue Design Strategy']"), F.lit(""))).drop("response", "prompt"))
+        gone = made.filter("not _ok").select(user)
+        lost = gone if lost is None else lost.unionByName(gone)
+        told = call_model(made.filter("_ok").withColumn("prompt", F.concat_ws(" | ", F.lit("extract"), F.coalesce("dialogue", F.lit("[]")))), "prompt", extract)
+        told = told.withColumn("extracted", F.coalesce(field("$.dialogue_persona"), F.lit("[]"))).withColumn("_event", field("$.memory.session_event"))
+        told = told.withColumn("_outcomes", F.coalesce(field("$.memory.recommendation_outcomes"), F.lit("[]"))).drop("response", "prompt")
+        kept = call_model(told.withColumn("prompt", F.concat_ws(" | ", F.lit("update"), "persona", "extracted")), "prompt", update)
+        kept = written(kept.withColumn("updated", F.coalesce(field("$.updated_dialogue_persona"), "persona")).drop("response", "prompt"))
+        wave = kept.select(user, step, "persona", "extracted", "updated", "episodes", "strategy", "dialogue")
+        out = wave if out is None else out.unionByName(wave)
+        grown = F.when(F.coalesce(F.col("_event"), F.lit("")) != "", F.concat("episodes", F.array("_event"))).otherwise(F.col("episodes"))
+        # a user without a session in this wave has none in later ones either
+        state = kept.select(user, F.col("updated").alias("persona"), grown.alias("episodes"), F.col("_outcomes").alias("outcomes"))
+    if out is None:
+        raise ValueError("no sessions")
+    return out.join(lost.distinct(), user, "left_anti")
+
+
 def chain_events(sessions: DataFrame, user: str, step: str, item: str, generate: Caller, select: Caller) -> DataFrame:
     """Waves of event texts, wave n for the n-th session of every user that has one.
 

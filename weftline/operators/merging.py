@@ -4,6 +4,7 @@ they combine before the shuffle."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,10 +26,23 @@ def first_wins(rows: DataFrame, keys: list[str], rank: str, seq: str) -> DataFra
     return _pick(rows, keys, [F.col(rank), F.col(seq)], False)
 
 
-def rank_aware(rows: DataFrame, keys: list[str], rank: str, seq: str) -> DataFrame:
-    """A row replaces its key's earlier one if its source ranks no lower: the highest rank's latest row stays.
-    Adds replaced, how often the key was written after the first time."""
-    return last_wins(rows, keys, rank, seq).join(rows.groupBy(*keys).agg((F.count("*") - 1).alias("replaced")), keys)
+def rank_aware(rows: DataFrame, keys: list[str], rank: str, seq: str, read: str | None = None) -> DataFrame:
+    """Lines are read in the order of `read` (by source and line, unless given). A line replaces its key's earlier one if
+    its source ranks no lower than that one's, else it is skipped: the highest rank's latest line stays. Adds `replaced`
+    and `skipped`, how often each befell the key."""
+    order = [F.col(read)] if read else [F.col(rank), F.col(seq)]
+    before = F.max(rank).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("_kept", before.isNull() | (F.col(rank) >= before)).withColumn("_order", F.struct(*order))
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.when(F.col("_kept"), F.struct(*rest)), F.when(F.col("_kept"), F.col("_order")))
+    out = marked.groupBy(*keys).agg(best.alias("_x"), (F.count_if("_kept") - 1).alias("replaced"), F.count_if(~F.col("_kept")).alias("skipped"))
+    return out.select(*[F.col(k) if k in keys else F.col(f"_x.{k}").alias(k) for k in rows.columns], "replaced", "skipped")
+
+
+def merge_counters(rows: DataFrame) -> DataFrame:
+    """rank_aware's audit: keys added, lines that replaced one, lines skipped."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(F.count("*").alias("added"), total("replaced").alias("replaced"), total("skipped").alias("skipped"))
 
 
 def latest_state(rows: DataFrame, user: str, step: str, seq: str) -> DataFrame:
@@ -37,7 +51,9 @@ def latest_state(rows: DataFrame, user: str, step: str, seq: str) -> DataFrame:
 
 
 def replace_or_append(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """base with rows of patch in place of equal keys and patch's other rows added; status says which is which."""
+    """base with rows of patch in place of equal keys and patch's other rows added; status says which is which. A key that
+    base or patch holds twice is an error."""
+    base, patch = require_unique(base, key), require_unique(patch, key)
     cols = [c for c in base.columns if c != key]
     b, p = base.withColumn("_b", F.lit(True)).alias("b"), patch.withColumn("_p", F.lit(True)).alias("p")
     met = b.join(p, F.col(f"b.{key}").eqNullSafe(F.col(f"p.{key}")), "full_outer")
@@ -52,11 +68,18 @@ def uniqueness(rows: DataFrame, *keys: str) -> DataFrame:
     return total.select("*", (F.col("n_rows") == F.col("n_keys")).alias("is_unique"))
 
 
+def replace_counters(merged: DataFrame) -> DataFrame:
+    """replace_or_append's audit."""
+    status = F.col("status")
+    return merged.agg(F.count_if(status != "kept").alias("applied"), F.count_if(status == "replaced").alias("replaced"), F.count_if(status == "appended").alias("appended"))
+
+
 def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, with an error at run time if a key occurs twice."""
-    twice = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    fail = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key: "), F.concat_ws("/", *keys)))).otherwise(F.lit(True))
-    return rows.join(twice.filter(F.coalesce(fail.cast("boolean"), F.lit(True))).drop("_n"), list(keys), "left_semi")
+    """rows, with an error at run time if a key occurs twice, null keys among them."""
+    own = W.partitionBy(*keys)
+    name = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    fail = F.when(F.count("*").over(own) > 1, F.raise_error(F.concat(F.lit("duplicate key: "), name)).cast("boolean")).otherwise(True)
+    return rows.withColumn("_one", fail).filter("_one").drop("_one")
 
 
 def pending_latest_round(failures: DataFrame, round_no: str) -> DataFrame:
@@ -96,6 +119,17 @@ def resume(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def assigned(rows: DataFrame, shard_of: DataFrame, user: str) -> DataFrame:
+    """rows with their user's shard; a user without one is an error."""
+    return strict_join(rows, shard_of.select(user, "shard"), user)
+
+
+def rebuilt_shards(rows: DataFrame, needed: DataFrame, n: int, user: str = "user_id") -> DataFrame:
+    """rows under the shards that n of them give: users whose last needed session is over 1, in order, dealt in turn."""
+    eligible = needed.filter(F.array_max("sessions") > 1)
+    return assigned(rows, shards(eligible.select(user), user, n), user)
+
+
 def first_match(rows: DataFrame, candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Inner join with the first candidate of each key."""
     return rows.join(_pick(candidates, keys, [F.col(o) for o in order], False), keys)
@@ -110,8 +144,6 @@ def ordered_lookup(lists: DataFrame, items: DataFrame, key: str, ids: str, item_
 
 def shards(users: DataFrame, user: str, n: int) -> DataFrame:
     """Explicit shard numbers by the users' order, modulo n: a global order for exports, else repartition is enough."""
-    from pyspark.sql import Window as W
-
     ordered = users.select(user).distinct()
     part = ordered.repartitionByRange(user).sortWithinPartitions(user).withColumn("_p", F.spark_partition_id())
     own = F.row_number().over(W.partitionBy("_p").orderBy(user))

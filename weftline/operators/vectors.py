@@ -7,7 +7,6 @@ block leave a task.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,25 +53,45 @@ def nearest(vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
         side, key_, v = keys["side"].to_numpy(), keys["key"].to_numpy(), np.array(keys["v"].to_pylist(), np.float64)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = [[], [], []]
+        others = key_[x]
+        out: list[list] = [[key_[:0]], [key_[:0]], [v[:0, 0] if v.size else np.zeros(0)]]
+        if not len(x):
+            q = q[:0]
         for i in range(0, len(q), 256):
             d = np.round(1 - v[q[i : i + 256]] @ v[x].T, 9)
-            for row, a in zip(d, key_[q[i : i + 256]]):
-                best = heapq.nsmallest(k, ((e, c) for e, c in zip(row.tolist(), key_[x].tolist()) if c != a))
-                out[0] += [a] * len(best)
-                out[1] += [c for _, c in best]
-                out[2] += [e for e, _ in best]
-        return pa.table({"query": pa.array(out[0], pa.int64()), "neighbour": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+            own = key_[q[i : i + 256]]
+            d[own[:, None] == others[None, :]] = np.inf
+            # the k-th least distance, and among all that reach it the least keys
+            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            row, col = np.nonzero((d <= edge[:, None]) & (d < np.inf))
+            by = np.lexsort((others[col], d[row, col], row))
+            row, col = row[by], col[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            out[0].append(own[row])
+            out[1].append(others[col])
+            out[2].append(d[row, col])
+        return pa.table({n: np.concatenate(o) for n, o in zip(("query", "neighbour", "distance"), out)})
 
     met = sides[0].union(sides[1]).groupBy("b", "o").applyInArrow(solve, "query long, neighbour long, distance double")
     best = met.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("x"))
     return best.select("query", F.posexplode("x").alias("r", "e")).select("query", (F.col("r") + 1).alias("rank"), "e.neighbour", "e.distance")
 
 
+def knn_distance(vectors: DataFrame, k: int, key: str, vector: str, digits: int = 6) -> DataFrame:
+    """Mean distance to the k nearest others; no more than k vectors are an error."""
+    found = nearest(vectors, k, key, vector)
+    n = vectors.filter(F.col(vector).isNotNull()).agg(F.count("*").alias("_n"))
+    mean = found.agg(F.count("*").alias("n"), F.round(F.avg("distance"), digits).alias("avg_distance")).crossJoin(n)  # one row each
+    fail = F.when(F.col("_n") <= k, F.raise_error(F.concat(F.lit("too few vectors: "), F.col("_n").cast("string"))).cast("boolean")).otherwise(True)
+    return mean.filter(fail).drop("_n")
+
+
 def cluster_entropy(sizes: DataFrame, n: str, clusters: int, digits: int = 6) -> DataFrame:
-    """-sum p ln p / ln K over the sizes of clusters; empty ones drop out."""
+    """-sum p ln p / ln K over the sizes of clusters; empty ones drop out. Fewer members than clusters are an error."""
     kept = sizes.filter(F.col(n) > 0)
-    sums = kept.agg(F.sum(n).alias("t"), F.sum(F.col(n) * F.log(F.col(n).cast("double"))).alias("x"))
+    sums = kept.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t"), F.sum(F.col(n) * F.log(F.col(n).cast("double"))).alias("x"))
+    sums = sums.filter(F.when(F.col("t") < clusters, F.raise_error(F.concat(F.lit("too few members: "), F.col("t").cast("string"))).cast("boolean")).otherwise(True))
     return sums.select(F.round((F.log(F.col("t").cast("double")) - F.col("x") / F.col("t")) / F.log(F.lit(float(clusters))), digits).alias("entropy"))
 
 
@@ -96,7 +115,11 @@ def score_report(scores: DataFrame, digits: int = 6) -> DataFrame:
 def masked_mean(tokens: Column, mask: Column, dims: int) -> Column:
     """Mean of token vectors whose mask is 1."""
     kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x.m == 1)
-    return F.array(*[F.aggregate(kept, F.lit(0.0), lambda s, x, i=i: s + x.t[i]) / F.greatest(F.size(kept), F.lit(1)) for i in range(dims)])
+
+    def total(i: int) -> Column:
+        return F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.t[i])
+
+    return F.array(*[total(i) / F.greatest(F.size(kept), F.lit(1)) for i in range(dims)])
 
 
 def infonce(pairs: DataFrame, batch: str, row: str, query: str, item: str, temperature: float = 0.05, digits: int = 6) -> DataFrame:
@@ -131,13 +154,36 @@ def label_mask(ids: Column, from_place: Column, ignore: int = -100) -> Column:
     return F.transform(ids, lambda x, i: F.when(i < from_place, F.lit(ignore).cast("long")).otherwise(x.cast("long")))
 
 
+def fit_right(ids: Column, n: int, pad: int) -> Column:
+    """The first n ids, filled up to n."""
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), n)), 1, n)
+
+
 def truncate_left(ids: Column, n: int, place: Column) -> tuple[Column, Column]:
-    """The last n ids and the place shifted with them."""
+    """The last n ids and the place shifted with them; a place that is cut off is -1."""
     gone = F.greatest(F.size(ids) - n, F.lit(0))
-    return F.slice(ids, gone + 1, F.lit(n)), place - gone
+    return F.slice(ids, gone + 1, F.lit(n)), F.when(place >= gone, place - gone).otherwise(-1)
+
+
+def _find(ids: Column, part: Column) -> Column:
+    last = F.size(ids) - F.size(part)
+    at = F.when((last >= 0) & (F.size(part) > 0), F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.try_element_at(F.filter(at, lambda i: F.slice(ids, i + 1, F.size(part)) == part), F.lit(1))
 
 
 def find_sequence(ids: Column, part: Column) -> Column:
-    """First place (from 0) of part in ids; -1 where it is not."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(ids) - F.size(part), F.lit(0)))
-    return F.coalesce(F.try_element_at(F.filter(at, lambda i: F.slice(ids, i + 1, F.size(part)) == part), F.lit(1)), F.lit(-1))
+    """First place (from 0) of part in ids; else of part without its first id, one earlier (tokenizers may split a lead
+    differently); -1 where neither is."""
+    rest = F.when(F.size(part) >= 2, _find(ids, F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(1)))))
+    long_enough = F.size(ids) >= F.size(part)
+    near = F.when(rest.isNotNull(), F.greatest(rest - 1, F.lit(0)))
+    return F.coalesce(F.when(long_enough, F.coalesce(_find(ids, part), near)), F.lit(-1))
+
+
+def rank_target(labels: Column, place: Column, candidates: Column) -> Column:
+    """(place, id) of the answer's letter among labels: the given place if it is past the first and holds a candidate id,
+    else the last candidate's; null where there is none past the first place."""
+    given = F.when((place > 0) & (place < F.size(labels)), F.try_element_at(labels, (place + 1).cast("int")))
+    all_ = F.filter(F.transform(labels, lambda v, i: F.when(F.array_contains(candidates, v), i).otherwise(-1)), lambda i: i >= 0)
+    at = F.when(F.coalesce(F.array_contains(candidates, given), F.lit(False)), place.cast("int")).otherwise(F.try_element_at(all_, F.lit(-1)))
+    return F.when(at > 0, F.struct(at.alias("place"), F.element_at(labels, at + 1).alias("id")))

@@ -51,14 +51,19 @@ def nine_components(states: DataFrame, extracted: DataFrame, seed: Column) -> Da
 
 
 def item_catalogue(rows: DataFrame) -> DataFrame:
-    """The catalogue's typed form from a CSV's texts."""
-    c = lambda n: X.clean(F.col(n))
-    return rows.select(
-        F.trim("item_id").alias("item_id"), F.trim("item_id").try_cast("long").alias("item_number"), c("content_type").alias("content_type"),
-        X.preferred_title(F.col("title"), F.col("title_orig"), F.col("countries")).alias("title"), X.to_double(F.col("release_year")).alias("release_year"),
-        c("genres").alias("genres"), c("countries").alias("countries"), X.to_boolean(F.col("for_kids")).alias("for_kids"), X.to_double(F.col("age_rating")).alias("age_rating"),
-        c("description").alias("description"), c("keywords").alias("keywords"), X.first_value(F.col("actors"), F.col("actors_translated")).alias("actors"),
-        X.first_value(F.col("directors"), F.col("directors_translated")).alias("directors"),
+    """The catalogue's typed form from a CSV's texts; rows without an id drop out, and columns that are not there are null.
+    Numeric ids lose their decimals."""
+    raw = lambda n: F.col(n) if n in rows.columns else F.lit(None).cast("string")
+    c = lambda n: X.clean(raw(n)).alias(n)
+    key = X.clean(F.col("item_id"))
+    number = F.when(key.rlike(r"^(?:[0-9]+[.]?[0-9]*|[.][0-9]+)$"), key.cast("double").cast("long"))
+    # Columns that may hold actors and directors, in this order.
+    actors, directors = ("actors_transliterated", "actors_translated", "actors"), ("directors_translated", "directors_transliterated", "directors", "transliterated")
+    return rows.filter(key.isNotNull()).select(
+        F.coalesce(number.cast("string"), key).alias("item_id"), number.alias("item_number"), c("content_type"),
+        X.preferred_title(raw("title"), raw("title_orig"), raw("countries")).alias("title"), X.to_double(raw("release_year")).alias("release_year"),
+        c("genres"), c("countries"), X.to_boolean(raw("for_kids")).alias("for_kids"), X.to_double(raw("age_rating")).alias("age_rating"),
+        c("description"), c("keywords"), X.first_value(*map(raw, actors)).alias("actors"), X.first_value(*map(raw, directors)).alias("directors"),
     )
 
 
@@ -97,8 +102,11 @@ def update_samples(crs: DataFrame, split: DataFrame, system: str, state: str, ex
     return extraction_samples(rows, split, system, "{old}\n{new}", {"old": F.col(state), "new": F.col(extracted)}, F.col(f"next_{state}"))
 
 
-def ranking_samples(crs: DataFrame, candidates: DataFrame, items: DataFrame, seed: int = 0, skip: int = 0) -> DataFrame:
-    """Listwise samples: four windows per session, candidates in a seeded order, the target's letter as the answer.
+def ranking_samples(
+    crs: DataFrame, candidates: DataFrame, items: DataFrame, seed: int = 0, skip: int = 0, order: Column | None = None, parts: tuple[str, ...] = ("persona", "dialogue", "movies")
+) -> DataFrame:
+    """Listwise samples: four windows per session, candidates in a seeded order (or in `order`, of item_id and w), the
+    target's letter as the answer. parts: what the prompt holds; ablations leave some out. skip: persona lines left out.
 
     crs: (user_id, session_num, turns with is_target, persona array<string>); candidates: (user_id, session_num, seq,
     target_id, top50); items: (item_id, title, genres). Sessions count by their place, the first candidate list wins,
@@ -112,15 +120,15 @@ def ranking_samples(crs: DataFrame, candidates: DataFrame, items: DataFrame, see
         lists.drop_first(F.col("persona"), skip).alias("persona"),
     )
     each = ranking.candidate_windows(shown, "top50", "target_id").drop("top50")
-    each = each.withColumn("id", F.concat_ws("_", "user_id", "session_num", F.concat(F.lit("w"), F.col("w").cast("string"))))
-    cand = each.select("id", F.explode("window").alias("item_id")).join(items, "item_id")
-    order = F.row_number().over(W.partitionBy("id").orderBy(ranking.shuffled(seed, "id", "item_id"), "item_id")) - 1
-    cand = cand.withColumn("pos", order).filter(F.col("pos") < ranking.WINDOW)
+    each = each.withColumn("id", F.concat_ws("_", "user_id", "session_num", F.concat(F.lit("w"), (F.col("w") + 1).cast("string"))))
+    cand = each.select("id", "w", F.explode("window").alias("item_id")).join(items, "item_id")
+    drawn = ranking.shuffled(seed, "id", "item_id") if order is None else order
+    cand = cand.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy(drawn, "item_id")) - 1).filter(F.col("pos") < ranking.WINDOW)
     answers = each.select("id", F.col("target_id").alias("item_id")).join(items, "item_id").select("id", "title", "genres")
     letters = ranking.letter_answers(cand, answers, "id", ["title", "genres"], "pos")
     listed = cand.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("x")).select("id", F.array_join("x.title", "\n").alias("movies"))
     out = each.join(listed, "id").join(letters.select("id", "letter"), "id")
-    user = X.fill("{persona}\n{dialogue}\n{movies}", {"persona": F.array_join("persona", "\n"), "dialogue": F.col("dialogue"), "movies": F.col("movies")})
+    user = X.fill("\n".join(f"{{{p}}}" for p in parts), {"persona": F.array_join("persona", "\n"), "dialogue": F.col("dialogue"), "movies": F.col("movies")})
     return out.select("id", lists.chat(F.lit("rank"), user, F.col("letter")).alias("messages"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,21 +12,9 @@ from weftline.operators import folds, history, lists, merging, ranking, sessions
 from weftline.plans import adapters as A
 from weftline.plans import builders
 from weftline.plans.adapters import ATTEMPTS, CANDIDATES, ORDERS, SESSION, WATCH, load
+from weftline.plans.registry import ORACLES, QUERIES, code, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return put
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.sessionize(A.watch_log(spark, d))
@@ -178,9 +164,18 @@ def dedupe_first_wins(spark, d):
     return merging.first_wins(A.attempts(spark, d), ["key"], "source_rank", "seq")
 
 
-@query(f"WITH {ATTEMPTS} SELECT key, source_rank, seq, payload, n - 1 AS replaced FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_rank DESC, seq DESC) AS r, count(*) OVER (PARTITION BY key) AS n FROM att) WHERE r = 1")
+_READ = f"""WITH {ATTEMPTS}, k AS (SELECT *, source_rank >= coalesce(max(source_rank) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept FROM att),
+w AS (SELECT key, arg_max(source_rank, seq) FILTER (kept) AS source_rank, max(seq) FILTER (kept) AS seq, arg_max(payload, seq) FILTER (kept) AS payload, count(*) FILTER (kept) - 1 AS replaced, count(*) FILTER (NOT kept) AS skipped FROM k GROUP BY 1)"""
+
+
+@query(_READ + " SELECT * FROM w")
 def dedupe_rank_aware(spark, d):
-    return merging.rank_aware(A.attempts(spark, d), ["key"], "source_rank", "seq")
+    return merging.rank_aware(A.attempts(spark, d), ["key"], "source_rank", "seq", read="seq")
+
+
+@query(_READ + " SELECT count(*) AS added, CAST(sum(replaced) AS BIGINT) AS replaced, CAST(sum(skipped) AS BIGINT) AS skipped FROM w")
+def merge_counters(spark, d):
+    return merging.merge_counters(merging.rank_aware(A.attempts(spark, d), ["key"], "source_rank", "seq", read="seq"))
 
 
 @query(f"WITH {ORDERS} SELECT user_id, step, o_orderkey, memory, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step DESC, o_orderkey) AS r FROM ol) WHERE r = 1")
@@ -198,6 +193,28 @@ def merge_replace_or_append(spark, d):
     return merging.replace_or_append(base, patch, "key")
 
 
+@query("""WITH b AS (SELECT p_partkey AS key FROM part WHERE p_size < 30), p AS (SELECT p_partkey AS key FROM part WHERE p_size > 20)
+SELECT (SELECT count(*) FROM p) AS applied, (SELECT count(*) FROM p JOIN b USING (key)) AS replaced, (SELECT count(*) FROM p ANTI JOIN b USING (key)) AS appended""")
+def replace_counters(spark, d):
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("v"))
+    return merging.replace_counters(merging.replace_or_append(part.filter("v < 30"), part.filter("v > 20"), "key"))
+
+
+@query("""WITH u AS (SELECT o_custkey AS user_id, row_number() OVER (ORDER BY o_custkey) - 1 AS i FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1))
+SELECT o_orderkey, CAST(i % 4 AS INTEGER) AS shard FROM orders JOIN u ON user_id = o_custkey""")
+def rebuild_shards(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    n = o.groupBy("user_id").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    needed = n.select("user_id", F.sequence(F.lit(1), "n").alias("sessions"))
+    return merging.rebuilt_shards(o.join(n.select("user_id"), "user_id", "left_semi"), needed, 4).select("o_orderkey", "shard")
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
+def keyed_duplicate_guard(spark, d):
+    rows = merging.require_unique(load(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return rows.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
 @query("SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys, count(*) = count(DISTINCT l_orderkey) AS is_unique FROM lineitem")
 def uniqueness_audit(spark, d):
     return merging.uniqueness(load(spark, d, "lineitem"), "l_orderkey")
@@ -233,12 +250,12 @@ def offset_join_prev_session(spark, d):
     return merging.previous_session(o.select("user_id", "step", "o_orderkey"), o.select("user_id", "step", F.col("memory").alias("previous")), "user_id", "step")
 
 
-@query(f"""WITH {ORDERS}, u AS (SELECT * FROM ol WHERE o_orderkey % 3 = 0), e AS (SELECT * FROM ol WHERE o_orderkey % 2 = 0)
+@query(f"""WITH {ORDERS}, u AS (SELECT * FROM ol WHERE status = 'F'), e AS (SELECT * FROM ol WHERE memory <> '5-LOW')
 SELECT a.user_id, a.step, coalesce(u.memory, e.memory) AS memory, CASE WHEN u.memory IS NOT NULL THEN 'updated' ELSE 'extracted' END AS source
 FROM ol a LEFT JOIN u ON a.user_id = u.user_id AND u.step = a.step - 1 LEFT JOIN e ON a.user_id = e.user_id AND e.step = a.step - 1 WHERE coalesce(u.memory, e.memory) IS NOT NULL""")
 def fallback_join(spark, d):
     o = A.orders_log(spark, d)
-    out = merging.with_fallback(o.select("user_id", "step"), o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0"), "user_id", "step", "memory")
+    out = merging.with_fallback(o.select("user_id", "step"), o.filter("status = 'F'"), o.filter("memory <> '5-LOW'"), "user_id", "step", "memory")
     return out.select("user_id", "step", "memory", "source")
 
 
@@ -304,7 +321,7 @@ SELECT query, k AS w, string_agg(CAST(CASE WHEN has = 0 AND r = 10 * k + 20 THEN
 @query(_WINDOWS)
 def candidate_windows(spark, d):
     top = ranking.top_candidates(A.candidates(spark, d), "query", "item", "score")
-    out = ranking.candidate_windows(top.filter("size(items) = 50 or true").withColumn("target", F.array_max("items")), "items", "target")
+    out = ranking.candidate_windows(top.withColumn("target", F.array_max("items")), "items", "target")
     return out.select("query", F.col("w").cast("long").alias("w"), F.array_join(F.col("window").cast("array<string>"), ",").alias("items"))
 
 
@@ -334,10 +351,7 @@ _MEANS = "count(*) AS n, " + ", ".join(
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     want = load(spark, d, "supplier").select(F.col("s_suppkey").alias("query"), (F.col("s_nationkey") % 5).alias("session_idx"), (F.col("s_suppkey") * 37 % 200 + 1).alias("target"))
-    met = want.join(_reranked(spark, d), "query", "left")
-    status = F.when(F.col("items").isNull(), "FAIL_DATA_MISSING").when(~F.array_contains("items", F.col("target")), "IGNORED_TARGET_ABSENCE").otherwise("SUCCESS")
-    rank = F.coalesce(ranking.rank_of(F.col("items"), F.col("target")), F.lit(51))
-    return met.select("query", "session_idx", rank.alias("rank"), status.alias("status"))
+    return ranking.ranked(want, _reranked(spark, d), "query", "target").select("query", "session_idx", "rank", "status")
 
 
 @query(_RANKS + f" SELECT {_MEANS} FROM rk")
@@ -351,9 +365,31 @@ def rank_metrics_by_session(spark, d):
 
 
 @query(_RANKS + """, st AS (SELECT CASE WHEN rank <= 50 THEN 'SUCCESS' WHEN query IN (SELECT query FROM fin) THEN 'IGNORED_TARGET_ABSENCE' ELSE 'FAIL_DATA_MISSING' END AS status FROM rk)
-SELECT status, count(*) AS n FROM st GROUP BY 1""")
+SELECT status, count(*) AS n, status LIKE 'FAIL%' AS true_fail FROM st GROUP BY 1""")
 def rank_status_counts(spark, d):
-    return _ranks(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    return ranking.status_counts(_ranks(spark, d))
+
+
+@query("""WITH w AS (SELECT s_suppkey AS id, s_nationkey % 5 AS session_idx FROM supplier), r AS (SELECT p_partkey AS id, CAST(p_size AS INTEGER) AS rank FROM part WHERE p_size <= 40),
+m AS (SELECT w.*, coalesce(rank, 51) AS rank FROM w LEFT JOIN r USING (id)) SELECT session_idx, """ + _MEANS + " FROM m GROUP BY 1")
+def rerank_report_by_session(spark, d):
+    wanted = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("session_idx"))
+    ranks = load(spark, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("rank"), F.lit("SUCCESS").alias("status"))
+    return builders.rerank_report(wanted, ranks)[1]
+
+
+@query(_RERANK + " SELECT query, item, rank FROM fin")
+def rerank_with_scorer(spark, d):
+    top = ranking.top_candidates(A.candidates(spark, d), "query", "item", "score").filter(F.size("items") == 50)
+    out = ranking.rerank_with(top.select("query", "items"), "query", "items", _window_scores)
+    return out.select("query", F.posexplode("items").alias("p", "item")).select("query", "item", (F.col("p") + 1).cast("long").alias("rank"))
+
+
+def _window_scores(prompts: list[str], attempt: int = 0) -> list[str]:
+    """A stand-in for a scorer: a score for each item of a window."""
+    import json
+
+    return [json.dumps([i * 7919 % 1009 for i in json.loads(p)["items"]]) for p in prompts]
 
 
 @query("""WITH c AS (SELECT l_orderkey AS key, p_brand, p_size % 3 AS g, l_linenumber - 1 AS pos FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -454,7 +490,7 @@ def knn_neighbours(spark, d):
 @query("""WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.i, b.i AS j, round(1 - list_cosine_similarity(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.i <> b.i),
 r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk FROM p) SELECT count(*) AS n, round(avg(dist), 6) AS avg_distance FROM r WHERE rk <= 10""")
 def knn_avg_distance(spark, d):
-    return vectors.nearest(A.vectors(spark, d), 10, "vec_id", "v").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("avg_distance"))
+    return vectors.knn_distance(A.vectors(spark, d), 10, "vec_id", "v")
 
 
 @query("WITH s AS (SELECT count(*) AS n FROM embeddings GROUP BY label), t AS (SELECT sum(n) AS t FROM s) SELECT round(-sum(n / t * ln(n / t)) / ln(10), 6) AS entropy FROM s, t")
@@ -507,9 +543,9 @@ def perplexity(spark, d):
     return A.vectors(spark, d).groupBy("label").agg(F.round(F.exp(F.avg(F.abs(F.col("v")[0]))), 6).alias("perplexity"))
 
 
-@query("SELECT vec_id, string_agg(CAST(CASE WHEN k < 5 THEN -100 ELSE CAST(round(x * 100) AS BIGINT) END AS VARCHAR), ',' ORDER BY k) AS labels FROM (SELECT vec_id, unnest(CAST(embedding[1:12] AS DOUBLE[])) AS x, generate_subscripts(embedding[1:12], 1) - 1 AS k FROM embeddings) GROUP BY 1")
+@query("SELECT vec_id, string_agg(CAST(CASE WHEN k < 5 THEN -100 ELSE CAST(round(x * 100) AS BIGINT) END AS VARCHAR), ',' ORDER BY k) AS labels FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY 1")
 def label_masking(spark, d):
-    ids = F.transform(F.slice("v", 1, 12), lambda x: F.round(x * 100).cast("long"))
+    ids = F.transform("v", lambda x: F.round(x * 100).cast("long"))
     return A.vectors(spark, d).select("vec_id", F.array_join(vectors.label_mask(ids, F.lit(5)).cast("array<string>"), ",").alias("labels"))
 
 
@@ -523,9 +559,11 @@ def normalize_catalog(spark, d):
     return load(spark, d, "part").select("p_partkey", X.clean(F.col("p_type")).alias("item_type"), X.to_double(F.col("p_size").cast("string")).alias("size"), X.to_boolean(said).alias("for_kids"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS title FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 10 IN (0, 1, 2, 3, 4) THEN p_name ELSE p_brand END AS title FROM part")
 def title_preference(spark, d):
-    countries = F.when(F.col("p_size") % 2 == 0, "France, USA ").otherwise("France,Usability")
+    # Lists with and without an English-speaking country.
+    lists_ = ["France, USA ", "Great Britain", "new zealand,India", "Ireland", "UK", "US", "United States", "United Kingdom, France", " NaN ", "France,Usability"]
+    countries = F.element_at(F.array(*map(F.lit, lists_)), (F.col("p_size") % 10 + 1).cast("int"))
     return load(spark, d, "part").select("p_partkey", X.preferred_title(F.col("p_brand"), F.col("p_name"), countries).alias("title"))
 
 
@@ -553,16 +591,57 @@ def strip_role_prefix(spark, d):
     return c.select("conv_id", "turn", X.without_role(said).alias("text"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 26 < 20 THEN chr(CAST(65 + p_size % 26 AS INTEGER)) END AS letter FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 26 < 20 THEN chr(CAST(65 + p_size % 26 AS INTEGER)) END AS letter, CASE WHEN p_size % 26 < 20 THEN 26 END AS place FROM part")
 def parse_answer_tag(spark, d):
-    said = F.concat(F.lit("<think>x</think> <Answer> "), F.lower(F.char(65 + F.col("p_size") % 26)), F.lit("</answer> rest"))
-    return load(spark, d, "part").select("p_partkey", X.tagged_answer(said).alias("letter"))
+    said = F.concat(F.lit(" <think>x</think> <Answer> "), F.lower(F.char(65 + F.col("p_size") % 26)), F.lit("</answer> rest <answer>A</answer>"))
+    at = X.tagged_answer_at(said)
+    return load(spark, d, "part").select("p_partkey", at.letter.alias("letter"), at.place.alias("place"))
+
+
+# What stands before and after a letter in an answer, and the letter that is read if that one is not allowed.
+_SAID = [
+    ("**Answer**: ", " so", None), ("final: (", ")", None), ("Option ", "", None), ("The answer: [", "]", None), ("answer is ", ".", None), ("B or a: Index - ", "", "A"),
+    ("answer: Q</THINK>Answer: B, no. Final answer ", " or C?", "B"), ("C, I think, d ", "e", "D"),
+]
+
 
+def _said_sql() -> tuple[str, str]:
+    """SQL for the letter read in each form and its place in the text."""
+    letter, place = [], []
+    for i, (lead, tail, other) in enumerate(_SAID):
+        own = "chr(CAST(65 + p_size % 20 AS INTEGER))" if i != 7 else "'D'"
+        letter.append(f"WHEN {i} THEN {own}")
+        place.append(f"WHEN {i} THEN {len(lead) if i != 7 else lead.index('d ')}")
+    return f"CASE p_partkey % {len(_SAID)} {' '.join(letter)} END", f"CASE p_partkey % {len(_SAID)} {' '.join(place)} END"
 
-@query("SELECT p_partkey, CASE WHEN p_size % 26 < 20 THEN chr(CAST(65 + p_size % 26 AS INTEGER)) ELSE 'B' END AS letter FROM part")
+
+@query(f"SELECT p_partkey, {_said_sql()[0]} AS letter, CAST({_said_sql()[1]} AS INTEGER) AS place FROM part")
 def parse_plain_answer(spark, d):
-    said = F.concat(F.lit("answer: Q</think>Answer: B, no. answer is "), F.char(65 + F.col("p_size") % 26), F.lit(" so"))
-    return load(spark, d, "part").select("p_partkey", X.plain_answer(said).alias("letter"))
+    form = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SAID]), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
+    at = X.plain_answer_at(F.concat(form(0), F.char(65 + F.col("p_size") % 20), form(1)))
+    return load(spark, d, "part").select("p_partkey", at.letter.alias("letter"), at.place.alias("place"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '<b>' || p_name END AS answer, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS think FROM part")
+def answer_blocks(spark, d):
+    whole = F.concat(F.lit("<think> "), F.col("p_brand"), F.lit("</think>\n<Answer>"), F.col("p_name"), F.lit(" </ANSWER> rest"))
+    got = X.answer_blocks(F.when(F.col("p_size") % 2 == 0, whole).otherwise(F.concat(F.lit(" <b>"), F.col("p_name"), F.lit("\n"))))
+    return load(spark, d, "part").select("p_partkey", got.answer.alias("answer"), got.think.alias("think"))
+
+
+@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10) AS prompt,
+ string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' ORDER BY turn, role, text) AS other FROM conversations GROUP BY 1""")
+def chat_template(spark, d):
+    messages = F.transform("turns", lambda t: F.struct(t.speaker.alias("role"), t.text.alias("content")))
+    rows = A.turns(spark, d).select("conv_id", messages.alias("m"))
+    return rows.select("conv_id", X.chat_text(F.col("m"), "qwen2.5", True).alias("prompt"), X.chat_text(F.col("m"), "llama").alias("other"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'qwen2.5' WHEN 1 THEN 'qwen3' WHEN 2 THEN 'qwen' ELSE 'llama' END AS family, CASE WHEN p_size % 4 < 3 THEN p_size END AS step FROM part""")
+def model_names(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ["Qwen2.5-7B", "QWEN3", "my-Qwen", "Llama-3"])), (F.col("p_size") % 4 + 1).cast("int"))
+    name = F.concat(kind, F.when(F.col("p_size") % 4 < 3, F.concat(F.lit("_step-"), F.col("p_size").cast("string"))).otherwise(F.lit("_step-x")))
+    return load(spark, d, "part").select("p_partkey", X.model_family(name).alias("family"), X.number_after(name, "step").alias("step"))
 
 
 @query("SELECT c_custkey, 'User ' || c_name || ' of ' || c_mktsegment || ' {' || c_nationkey || '}' AS prompt FROM customer")
@@ -577,45 +656,110 @@ def json_props(spark, d):
     return load(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), J.kind_of(v).alias("kind"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_errors FROM events")
+_FINE = '"positive_preference":{"content_material":"a","production_context":"b"},"negative_preference":{"content_material":"a","production_context":"b"},"usage_patterns":{"temporal_patterns":"a","immersion_style":"b"},'
+# Extractions, and the errors in them.
+_EXTRACTED = [
+    ("behavior", "{" + _FINE + '"decision_drivers":{"selection_priority":"a","motivations":"m"}}', []),
+    ("behavior", "{" + _FINE + '"decision_drivers":{"selection_priority":"a","motivations":3}}', ["behavior.decision_drivers.motivations: not a string"]),
+    ("behavior", '{"usage_patterns":[]}', [f"behavior.{x}: not an object" for x in ("positive_preference", "negative_preference", "usage_patterns", "decision_drivers")]),
+    ("behavior", "[1]", ["behavior: not an object"]),
+    ("behavior", "{", ["behavior: not JSON"]),
+    ("dialogue", '{"dialogue_persona":["x",1],"memory":{"episodic_memory":[],"recommendation_outcomes":[{"item":"i","reaction":"Accept","reason":"r"}]}}', ["dialogue.dialogue_persona[1]: not a string"]),
+    ("dialogue", '{"dialogue_persona":[],"memory":{"episodic_memory":"e","recommendation_outcomes":[7,{"item":"i","reason":"r"}]}}',
+     ["dialogue.memory.episodic_memory: not a list", "dialogue.memory.recommendation_outcomes[0]: not an object", "dialogue.memory.recommendation_outcomes[1].reaction: not a string"]),
+    ("dialogue", '{"dialogue_persona":{}}', ["dialogue.dialogue_persona: not a list", "dialogue.memory: not an object"]),
+]
+
+
+def _case(column: str, values: list[str]) -> str:
+    """SQL for the value of a list that a number modulo its length names."""
+    quoted = [v.replace("'", "''") for v in values]
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(quoted)) + " END"
+
+
+def _pick(column: str, values: list[str]):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(column) % len(values) + 1).cast("int"))
+
+
+@query(f"SELECT event_id, {_case('event_id', [chr(59).join(e) for _, _, e in _EXTRACTED])} AS errors FROM events")
 def json_validate_errors(spark, d):
-    fields = '"positive_preference":{"content_material":"a","production_context":"b"},"negative_preference":{"content_material":"a","production_context":"b"},"usage_patterns":{"temporal_patterns":"a","immersion_style":"b"},'
-    body = F.concat(F.lit("{" + fields + '"decision_drivers":{"selection_priority":"a","motivations":'), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.lit('"m"')), F.lit("}}"))
-    return load(spark, d, "events").select("event_id", F.size(J.validate_behavior(body)).alias("n_errors"))
+    body, kind = _pick("event_id", [b for _, b, _ in _EXTRACTED]), _pick("event_id", [k for k, _, _ in _EXTRACTED])
+    errors = F.when(kind == "behavior", J.validate_behavior(body)).otherwise(J.validate_dialogue(body))
+    return load(spark, d, "events").select("event_id", F.array_join(errors, ";").alias("errors"))
+
+
+# Updated states under alias names, and the errors in them.
+_BEHAVIOR = "{" + _FINE + '"decision_drivers":{"selection_priority":"a","motivations":"m"}}'
+_UPDATED = [
+    ('{"behavior_persona":' + _BEHAVIOR + ',"dialogue_persona":["x"],"memory":{"session_events":["e"],"recommendation_history":[]}}', ""),
+    ('{"updated_memory":{"updated_behavior_persona":' + _BEHAVIOR + ',"updated_dialogue_persona":["x"],"memory":{"episodic_memory":["e"],"recommendation_outcomes":[]}}}', ""),
+    ('{"behavioral_persona":' + _BEHAVIOR + ',"dialogue_persona":["x"],"updated_session_events":[2],"updated_recommendation_history":[]}', "updated.memory.session_events[0]: not a string"),
+    ("nothing", "updated: not JSON"),
+]
+
+
+@query(f"SELECT event_id, {_case('event_id', [e for _, e in _UPDATED])} AS errors FROM events")
+def json_validate_updated(spark, d):
+    return load(spark, d, "events").select("event_id", F.array_join(J.validate_updated(_pick("event_id", [b for b, _ in _UPDATED])), ";").alias("errors"))
 
 
-@query("SELECT event_id, props AS body FROM events WHERE props IS NOT NULL")
+# Answers of models, and what mending makes of them.
+_BROKEN = [
+    (' {"a": 1} ', '{"a": 1}'), ('"{\\"a\\":1} "', '{"a":1}'), ('{"a": "é"} and so on', '{"a":"é"}'), ("no json", "no json"), ("[1, 2] tail", "[1, 2] tail"),
+    ('{"memory":{"episodic_memory":["a"} , "updated_recommendation_history": [{"item":"i"}]}} done', '{"memory":{"episodic_memory":["a"],"updated_recommendation_history":[{"item":"i"}]}}'),
+    ('{"episodic_memory":["a"},"updated_recommendation_history":[7]}}', '{"episodic_memory":["a"},"updated_recommendation_history":[7]}}'),
+    ('{"memory":{"episodic_memory":["a"},"updated_recommendation_history":[{"item":"i"}]}', '{"memory":{"episodic_memory":["a"],"updated_recommendation_history":[{"item":"i"}]}}'),
+    ('{"a":{"b":[{"c":1}]}', '{"a":{"b":[{"c":1}]}}'),
+]
+
+
+@query(f"SELECT event_id, {_case('event_id', [e for _, e in _BROKEN])} AS body FROM events")
 def json_repair(spark, d):
-    rows = load(spark, d, "events").filter("props is not null")
-    return rows.select("event_id", J.repaired(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.col("props"), F.lit("\n"))).otherwise(F.col("props"))).alias("body"))
+    return load(spark, d, "events").select("event_id", J.repaired(_pick("event_id", [b for b, _ in _BROKEN])).alias("body"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') || ' ' || event_type || ' x' AS body FROM events")
+def nested_values_text(spark, d):
+    nested = F.concat(F.lit('{"a":['), F.col("props"), F.lit(',null],"b":{"c":"'), F.col("event_type"), F.lit('","d":["x"]}}'))
+    return load(spark, d, "events").select("event_id", J.values_text(nested).alias("body"))
 
 
 # --- calls, retries, folds
 
 
-@query("SELECT c_mktsegment, count(*) AS n, count(*) AS n_answered FROM customer GROUP BY 1")
+@query(f"SELECT c_mktsegment, count(*) AS n, {code("'segment ' || c_mktsegment")} % 1000 AS code FROM customer GROUP BY 1")
 def prompt_cache(spark, d):
+    """Two runs over one cache: the second calls for nothing that the first has asked."""
+    path = folds.shared(spark)
     rows = load(spark, d, "customer").select("c_mktsegment", F.concat(F.lit("segment "), F.col("c_mktsegment")).alias("prompt"))
-    out, _ = folds.cached_calls(rows, "prompt", None, folds.offline)
-    return out.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count("response").alias("n_answered"))
+    folds.persistent_calls(rows.filter("c_mktsegment < 'F'"), "prompt", path, folds.offline)
+    out = folds.persistent_calls(rows, "prompt", path, lambda p, k: [x if "segment A" not in q else "asked twice" for q, x in zip(p, folds.offline(p, k))])
+    return out.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.max(F.get_json_object("response", "$.code").cast("long")).alias("code"))
 
 
-@query()
+@query(f"SELECT {code('s_name')} % 1000 % 3 + 1 AS attempts, true AS is_valid, count(*) AS n FROM supplier GROUP BY 1")
 def retry_until_valid(spark, d):
     rows = load(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("prompt"))
     out = folds.retry_until_valid(rows, "prompt", folds.offline, lambda r: F.get_json_object(r, "$.code").cast("int") % 3 == F.get_json_object(r, "$.attempt").cast("int"))
-    return out.groupBy("attempts", "is_valid").agg(F.count("*").alias("n"))
+    return out.groupBy(F.col("attempts").cast("long").alias("attempts"), "is_valid").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SESSION}, RECURSIVE_FREE AS (SELECT user_id, session_num, n_items, sum(n_items) OVER (PARTITION BY user_id ORDER BY session_num) AS total FROM sess)
-SELECT user_id, session_num, CAST(total AS BIGINT) AS state FROM RECURSIVE_FREE WHERE session_num <= 4""")
+@query(f"WITH {SESSION} SELECT user_id, session_num, CAST(sum(n_items) OVER (PARTITION BY user_id ORDER BY session_num) AS BIGINT) AS state FROM sess")
 def fold_user_state(spark, d):
     rows = folds.written(sessions.summarize_sessions(_sessions(spark, d)).select("user_id", "session_num", "n_items"))
     seed = rows.filter("session_num = 1").select("user_id", F.col("n_items").alias("state"))
     return folds.fold_sessions(rows, seed, "user_id", "session_num", "n_items", lambda s, v: s + v)
 
 
-@query()
+_TOLD = "CASE WHEN e = [] THEN 'initial | ' || item ELSE 'next | ' || item || ' | ' || to_json(e) || ' | ' || e[-1] END"
+_PROPOSED = """'{"text": "' || replace(substr(told, 1, 40), '"', chr(92) || '"') || '", "code": ' || """ + code("told") + """ % 1000 || ', "attempt": 0}'"""
+
+
+@query(f"""WITH RECURSIVE {SESSION}, it AS (SELECT user_id, session_num, date AS item, row_number() OVER (PARTITION BY user_id ORDER BY session_num) AS n FROM sess),
+ch(user_id, session_num, n, e) AS (SELECT user_id, CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM it WHERE n = 1 UNION ALL
+ SELECT user_id, session_num, n, list_append(e, CASE WHEN c % 5 > 0 THEN 'event ' || c ELSE 'No event selected.' END) FROM (
+  SELECT *, {code("'select | ' || told || ' | ' || " + _PROPOSED)} AS c FROM (SELECT it.user_id, it.session_num, it.n, ch.e, {_TOLD} AS told FROM ch JOIN it ON it.user_id = ch.user_id AND it.n = ch.n + 1)))
+SELECT user_id, session_num, e[-1] AS event FROM ch WHERE n > 0""")
 def event_chain(spark, d):
     rows = folds.written(sessions.summarize_sessions(_sessions(spark, d)).select("user_id", "session_num", F.col("date").alias("item")))
     return folds.chain_events(rows, "user_id", "session_num", "item", folds.offline, folds.offline_choice)
@@ -642,14 +786,14 @@ def build_behavior_windows(spark, d):
     return out.select("user_id", "session_num", F.array_join(F.col("log").cast("array<string>"), ",").alias("log"))
 
 
-@query(f"""WITH {ORDERS}, x AS (SELECT * FROM ol WHERE o_orderkey % 4 > 0)
+@query(f"""WITH {ORDERS}, x AS (SELECT * FROM ol WHERE status <> 'P')
 SELECT user_id, step, coalesce(lag(memory) OVER w, 'seed') AS b0, memory AS b2, coalesce(string_agg(status, ',') OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS o0,
  string_agg(status, ',') OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS o2, step - coalesce(lag(step) OVER w, 0) AS n_new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY step)""")
 def build_nine_components(spark, d):
     o = A.orders_log(spark, d)
     w = history.along("user_id", "step").rowsBetween(W.unboundedPreceding, 0)
     states = o.select("user_id", "step", F.col("memory").alias("after_behavior"), F.collect_list("memory").over(w).alias("events"), F.array("status").alias("outcomes"))
-    extracted = o.filter("o_orderkey % 4 > 0").select("user_id", "step", F.lit("x").alias("current_behavior"))
+    extracted = o.filter("status <> 'P'").select("user_id", "step", F.lit("x").alias("current_behavior"))
     out = builders.nine_components(states, extracted, F.lit("seed"))
     return out.select(
         "user_id", "step", F.col("behavior.before_update").alias("b0"), F.col("behavior.after_update").alias("b2"), F.array_join("outcomes.before_update", ",").alias("o0"),
@@ -693,19 +837,38 @@ def build_dialogue_samples(spark, d):
     return out.select("id", F.col("messages")[2].content.alias("answer"))
 
 
-@query(f"""WITH {CANDIDATES}, n AS (SELECT query FROM top GROUP BY 1 HAVING count(*) = 50) SELECT query || '_1_w' || k AS id FROM n, range(4) AS g(k)""")
+_SAMPLES = f"""WITH {CANDIDATES}, n AS (SELECT query FROM top GROUP BY 1 HAVING count(*) = 50), t AS (SELECT query, item AS target FROM top JOIN n USING (query) WHERE r = 25),
+w AS (SELECT top.query, k, CASE WHEN r = 10 * k + 20 AND NOT (25 > 10 * k AND 25 <= 10 * k + 20) THEN target ELSE item END AS item, target FROM top JOIN t USING (query), range(4) AS g(k) WHERE r > 10 * k AND r <= 10 * k + 20),
+o AS (SELECT w.*, p_name, p_brand, row_number() OVER (PARTITION BY w.query, k ORDER BY (item * 7919 + k) % 10007, item) - 1 AS pos FROM w JOIN part ON p_partkey = item),
+l AS (SELECT o.query, k, max(pos) AS pos FROM o JOIN part q ON q.p_partkey = target AND q.p_name = o.p_name AND q.p_brand = o.p_brand GROUP BY 1, 2),
+m AS (SELECT query, k, string_agg(p_name, chr(10) ORDER BY pos) AS movies FROM o GROUP BY 1, 2)"""
+
+
+@query(_SAMPLES + """ SELECT query || '_1_w' || (k + 1) AS id, substr('ABCDEFGHIJKLMNOPQRST', CAST(pos + 1 AS INTEGER), 1) AS letter,
+ s_name || chr(10) || 'user: ' || s_name || chr(10) || chr(10) || movies AS whole, 'user: ' || s_name || chr(10) || chr(10) || movies AS plain FROM l JOIN m USING (query, k) JOIN supplier ON s_suppkey = query""")
 def build_ranking_samples(spark, d):
     top = ranking.top_candidates(A.candidates(spark, d), "query", "item", "score").filter(F.size("items") == 50)
     candidates = top.select(F.col("query").alias("user_id"), F.lit(1).alias("session_num"), F.lit(0).alias("seq"), F.element_at("items", 25).alias("target_id"), F.col("items").alias("top50"))
-    turn = F.struct(F.lit("user").alias("speaker"), F.col("s_name").alias("text"), F.lit(False).alias("is_target"))
-    crs = load(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.lit(7).alias("session_num"), F.array(turn).alias("turns"), F.array("s_name").alias("persona"))
+    turn = lambda hit: F.struct(F.lit("user").alias("speaker"), F.col("s_name").alias("text"), F.lit(hit).alias("is_target"))
+    crs = load(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.lit(7).alias("session_num"), F.array(turn(False), turn(True)).alias("turns"), F.array(F.lit("first"), F.col("s_name")).alias("persona"))
     items = load(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("genres"))
-    return builders.ranking_samples(crs, candidates, items).select("id")
+    order = (F.col("item_id") * 7919 + F.col("w")) % 10007
+    whole = builders.ranking_samples(crs, candidates, items, skip=1, order=order).select("id", F.col("messages")[2].content.alias("letter"), F.col("messages")[1].content.alias("whole"))
+    plain = builders.ranking_samples(crs, candidates, items, order=order, parts=("dialogue", "movies")).select("id", F.col("messages")[1].content.alias("plain"))
+    return whole.join(plain, "id")
+
 
+_GOLD = """l AS (SELECT conv_id AS id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS last FROM conversations GROUP BY 1),
+k AS (SELECT conv_id, turn, c.role, c.text FROM conversations c JOIN l ON id = conv_id WHERE CASE WHEN l.role = 'assistant' THEN turn < last ELSE c.role <> 'assistant' END)"""
 
-@query("SELECT conv_id AS id, CASE WHEN arg_max(role, turn) = 'assistant' THEN arg_max(text, turn) ELSE '' END AS gold FROM conversations WHERE conv_id % 3 > 0 GROUP BY 1")
+
+@query(f"""WITH {_GOLD} SELECT id, CASE WHEN l.role = 'assistant' THEN l.text ELSE '' END AS gold,
+ {code("coalesce((SELECT to_json(list(json_object('role', k.role, 'content', k.text) ORDER BY turn)) FROM k WHERE conv_id = id), '[]')")} % 1000 AS code FROM l WHERE role <> 'system'""")
 def build_responses(spark, d):
     messages = F.transform("turns", lambda t: F.struct(t.speaker.alias("role"), t.text.alias("content")))
     samples = A.turns(spark, d).select(F.col("conv_id").alias("id"), messages.alias("messages"))
-    done = samples.filter("id % 3 = 0").select("id")
-    return builders.responses(samples, done, folds.offline).select("id", "gold")
+    done = samples.filter(F.element_at("messages", -1).role == "system").select("id")
+    return builders.responses(samples, done, folds.offline).select("id", "gold", F.get_json_object("response", "$.code").cast("long").alias("code"))
+
+
+from weftline.plans import catalog_models, catalog_tables  # noqa: E402, F401  (they register further queries)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.text import clean
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the path names a file or folder that is not empty, in whatever store it lies."""
@@ -24,7 +26,8 @@ def optional(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
 
 
 def json_map(spark: SparkSession, path: str, value: str, nan_as_null: bool = True) -> DataFrame:
-    """One JSON object of objects to rows (pos, key, value) in the file's order. Bare NaN is read as a number."""
+    """JSON objects of objects, one a file, to rows (pos, key, value), pos being the place in the file. Bare NaN is read as
+    a number."""
     text = spark.read.text(path, wholetext=True)
     kind = f"map<string,{value}>"
     entries = F.map_entries(F.from_json("value", kind, {"allowNonNumericNumbers": "true"}))
@@ -70,18 +73,18 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, path: str, key: str = "item_id") -> DataFrame:
-    """CSV with a header; rows without a key are skipped, a header without it is an error."""
+    """CSV with a header; rows without a key, or with a spelt-out null for one, are skipped, a header without it is an error."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if key not in rows.columns:
         raise ValueError(f"{path}: no column {key}")
-    return rows.filter(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
+    return rows.filter(clean(F.col(key)).isNotNull())
 
 
 def numbered(spark: SparkSession, paths: str | list[str], schema: str, word: str = "retry") -> DataFrame:
-    """Files whose names hold a number after word, as rows with source_rank (0 without a number) and seq, their order
-    within the file's split."""
-    rows = spark.read.schema(schema).json(paths).select("*", F.col("_metadata.file_name").alias("_f"), F.monotonically_increasing_id().alias("seq"))
-    rank = F.coalesce(F.regexp_extract("_f", word + r"[-_]?(\d+)", 1).try_cast("int"), F.lit(0))
+    """Files, or folders of part files, whose names hold a number after word, as rows with source_rank (0 without a
+    number) and seq, their order within the file's split."""
+    rows = spark.read.schema(schema).json(paths).select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("seq"))
+    rank = F.coalesce(F.regexp_extract("_f", "^.*" + word + r"[-_]?(\d+)", 1).try_cast("int"), F.lit(0))
     return rows.withColumn("source_rank", rank).drop("_f")
 
 

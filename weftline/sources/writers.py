@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +19,23 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def write_document(rows: DataFrame, path: str, key: str, value: str) -> None:
-    """Rows as JSON object members, a line each, in parts: {"key": value}; one object per line keeps the write parallel."""
-    rows.select(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))).alias("value")).write.mode("overwrite").text(path)
+    """Rows as members of JSON objects, one object a part file, so that the write stays parallel; `json_map` reads them
+    back. Characters other than ASCII stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            lines = []
+            for k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                lines.append(f"{lead}{json.dumps(k, ensure_ascii=False)}: {v if v is not None else 'null'}")
+                lead = ","
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"], pa.string())], names=["value"])
+
+    members = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(F.col(value).alias("v"))).alias("value"))
+    members = members.select("key", F.regexp_extract("value", r'(?s)^\{"v":(.*)\}$', 1).alias("value")).withColumn("value", F.nullif("value", F.lit("")))
+    members.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:
@@ -76,3 +95,10 @@ def summary(results: list[DataFrame], path: str) -> None:
     for r in results[1:]:
         out = out.unionByName(r)
     write_json(out, path)
+
+
+def report(rows: DataFrame, title: str, limit: int = 50) -> str:
+    """A report table as text, also printed; limit is the report's length."""
+    text = f"{title}\n{rows._show_string(limit, False)}"
+    print(text)
+    return text

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -39,5 +40,16 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """All that is there, into an in-memory table, for tests and demonstrations."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """All that is there, batch by batch into a table beside the checkpoint, and a view of it by this name: in complete
+    mode of the last batch, else of all. A batch that runs again writes over what it wrote."""
+    spark, root = stream.sparkSession, f"{checkpoint}/table"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(root)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    rows.drop("batch").createOrReplaceTempView(name)
