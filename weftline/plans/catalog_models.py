@@ -54,7 +54,7 @@ def usage_log_payload(spark, d):
     return out.select("user_id", "session_num", F.array_join(each, ",").alias("log"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'new' || c_name ELSE 'b' END AS behavior, CASE WHEN c_nationkey % 3 = 0 THEN 'init,' ELSE '' END || 'x,' || c_mktsegment AS dialogue, 0.0 AS mean FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'new' || c_name ELSE 'b' END AS behavior, CASE WHEN c_nationkey % 3 = 0 THEN 'init,' ELSE '' END || 'x,' || c_mktsegment AS dialogue, CAST(0 AS DOUBLE) AS mean FROM customer")
 def persona_override(spark, d):
     c, n = load(spark, d, "customer"), F.col("c_nationkey")
     updated = F.to_json(F.struct(F.struct(F.when(n % 2 == 0, F.concat(F.lit("new"), "c_name")).otherwise("b").alias("v")).alias("behavior_persona"), F.array(F.lit("x"), F.col("c_mktsegment")).alias("dialogue_persona")))
