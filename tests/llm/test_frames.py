@@ -72,7 +72,34 @@ def test_suffixes_hot_buckets(docs, monkeypatch):
     assert check_suffixes(docs) > 0
 
 
+@pytest.fixture(scope="module")
+def structured(spark):
+    """Texts on which weak hashes and minimisers go astray."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(3000))
+    words = " ".join("xy"[bin(i).count("1") % 2] for i in range(300))
+    fib = ["a", "ab"]
+    while len(fib[-1]) < 900:
+        fib.append(fib[-1] + fib[-2])
+    texts = [morse, "b" + morse[700:1500], morse[:300] + "c" + morse[301:600], "a" * 1500, "b" * 199 + "a" * 300, "abcd" * 200, "x" + "abcd" * 120 + "y", fib[-1], fib[-1][5:400], "b" * 198,
+             words, "z " + words[40:200], words.replace("x y", "x  y")[:180], "q " * 120, "q " * 40 + "r", "u v w " * 40, "v w u " * 30]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+
+
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_suffixes_structured(structured, monkeypatch, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    assert check_suffixes(structured) > 0
+
+
+def test_recompress_structured(structured):
+    check_words(structured)
+
+
 def test_recompress(docs):
+    check_words(docs)
+
+
+def check_words(docs):
     rows = [(r.doc_id, raw(r.text).split()) for r in docs.select("doc_id", "text").collect()]
     count = windows([t for _, t in rows], recompress.WIDTH)
     want = []

@@ -37,6 +37,22 @@ def test_codec_odd(name):
     assert codec.encode(ODD) == [e.ids for e in lib.encode_batch(ODD, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.sampled_from(ODD), st.text("ab ,.\n\t'1é", max_size=80)), max_size=5))
+def test_packed_ids(name, texts):
+    import pyarrow as pa
+
+    codec, lib = CODECS[name]
+    want = [packing.pack_ids(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    held, codec.cache = codec.cache, {}
+    try:
+        assert codec.packed(pa.array(texts, pa.string())) == want
+        assert codec.packed(pa.array(texts, pa.string())) == want
+    finally:
+        codec.cache = held
+
+
 def test_first_fit_decreasing():
     r = random.Random(2)
     sizes = sorted((r.randint(1, 100) for _ in range(300)), reverse=True)

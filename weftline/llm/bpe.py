@@ -5,8 +5,9 @@ is the leftmost pair of lowest rank. A merge changes two pairs, and each change
 logarithmic time; a word is done when its root holds no mergeable pair. Many words are encoded at once: one
 tree per row of a matrix, so that a step is one array operation over all words that still merge.
 
-Defined results: null text is the empty text, which has no ids and decodes to the empty string. Texts of any
-length are taken whole. Repeated rows give repeated results.
+Defined results: null text is the empty text, which has no ids and decodes to the empty string; texts of any length are
+taken whole; repeated rows give repeated results; ties of rank go to the leftmost pair; extra columns stay out of the
+results, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from weftline.llm.common import by_batch, claim, texts
 
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Chunks that a worker's cache holds, and their longest length.
+CACHE_WORDS = 700_000
+CACHE_CHARS = 64
 #: First characters of chunks' keys: the chunk alone, one word, a special token. Texts that hold them are cut into words.
 AS_IS, WORD, SPECIAL = "\x1c", "\x1d", "\x1e"
 #: Marks that are words of their own behind a word of letters.
@@ -65,8 +68,8 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_of[at], -1)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word (not empty)."""
+    def encode(self, words: list[bytes], packed: bool = False) -> list:
+        """Ids of each word (not empty), as a list, or packed as little-endian 32-bit."""
         out: list = [None] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(lengths, kind="stable")
@@ -76,16 +79,17 @@ class Merger:
             step = max(1, (1 << 18) // width)
             for i in range(start, end, step):
                 part = order[i : min(end, i + step)]
-                flat, ends = self._rows([words[j] for j in part], lengths[part], width)
+                ids, ends = self._rows([words[j] for j in part], lengths[part], width)
+                flat, ends = (ids.astype("<u4").tobytes(), 4 * ends) if packed else (ids.tolist(), ends)
                 at = 0
-                for k, to in zip(part.tolist(), ends, strict=True):
+                for k, to in zip(part.tolist(), ends.tolist(), strict=True):
                     out[k] = flat[at:to]
                     at = to
             start = max(start, end)
             width *= 2
         return out
 
-    def _rows(self, words: list[bytes], length: np.ndarray, width: int) -> tuple[list[int], list[int]]:
+    def _rows(self, words: list[bytes], length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         rows = len(words)
         symbols = np.full((rows, width), -1, np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -128,7 +132,7 @@ class Merger:
             self._point(tree, who, p, np.where(r >= 0, r << _POS | p, NONE), width)
             live = live[tree[live, 1] < NONE]
         kept = symbols >= 0
-        return symbols[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return symbols[kept], np.cumsum(kept.sum(1))
 
     @staticmethod
     def _point(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -161,25 +165,25 @@ class Codec:
         self.strange = re.compile("[\x1c-\x1f\u0250-\U0010ffff]").search
         self.library = Tokenizer.from_file(path)
         self.byte = {c: b for b, c in enumerate(byte_chars())}
-        self.cache: dict[str, object] = {}  # chunks
-        self.known: dict[str, object] = {}  # words
+        self.marks = re.compile("[\x1c-\x1e]").search
+        self.cache: dict[str, object] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Keys of chunks whose encodings, put together, are the text's encoding.
 
         Where white space is dropped, chunks are what stands between it, in NFC and lower case (of each code point
-        alone). Else a single space starts a word of its own: a key stands
-        for itself behind a space, or for itself alone behind AS_IS; a text with longer or rare white space is cut into
-        words right away (behind WORD). Texts with code points above Latin are normalised and cut by the library.
+        alone). Else a single space starts a word of its own: a key stands for itself behind a space, or for itself alone
+        behind AS_IS or WORD; a text with longer or rare white space is cut into words right away. Texts with code points
+        above Latin are normalised and cut by the library.
         """
         if self.strange(text):
             if self.lower:
                 return [AS_IS + w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
-            return [WORD + w for w in self.library_words(text)]
+            return list(map(self.key_of, self.library_words(text)))
         if self.lower:
             return unicodedata.normalize("NFC", text).lower().split()
         if "  " in text or "\x85" in text or "\xa0" in text:
-            return [WORD + w for w in self.words.findall(text)]
+            return list(map(self.key_of, self.words.findall(text)))
         out = text.split(" ")
         out[0] = AS_IS + out[0]
         return out
@@ -189,19 +193,31 @@ class Codec:
         cut = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(self.byte[c] for c in w).decode() for w, _ in cut]
 
+    def word_of(self, key: str) -> str:
+        """The word that a key of one word stands for."""
+        return key[1:] if key[:1] in (AS_IS, WORD) else key if self.lower else " " + key
+
+    def key_of(self, word: str) -> str:
+        """The key of a word."""
+        if self.marks(word):
+            return WORD + word
+        if self.lower:
+            return word
+        return word[1:] if word[:1] == " " else AS_IS + word
+
     def words_of(self, key: str) -> list[str]:
-        """The words of a chunk."""
-        if key[:1] == WORD:
-            return [key[1:]]
+        """The keys of a chunk's words; the chunk's own where it is one word."""
+        if key[:1] == WORD or key.isalpha():
+            return [key]
         lead = "" if self.lower or key[:1] == AS_IS else " "
         body = key[1:] if key[:1] == AS_IS else key
         if self.strange(body):
-            return self.library_words(lead + body)
+            return list(map(self.key_of, self.library_words(lead + body)))
         if body.isalpha():
-            return [lead + body]
+            return [self.key_of(lead + body)]
         if body[-1:] in PLAIN_MARKS and body[:-1].isalpha():
-            return [lead + body[:-1], body[-1]]
-        return self.words.findall(lead + body)
+            return [self.key_of(lead + body[:-1]), self.key_of(body[-1])]
+        return list(map(self.key_of, self.words.findall(lead + body)))
 
     def split(self, text: str) -> list[str]:
         """The text's ordinary stretches and, at odd places, special tokens."""
@@ -209,13 +225,8 @@ class Codec:
             return [text]
         return self.split_special.split(text)
 
-    def fill(self, texts: list[str], make: Callable[[list[int]], object], join: Callable[[list], object]) -> list[list]:
-        """For each text the values of its chunks: make(ids) gives a word's value, join(values) a chunk's.
-
-        The caches keep the first CACHE_WORDS chunks and words, which hold the frequent ones; later ones are made each
-        time.
-        """
-        cache, known = self.cache, self.known
+    def fill(self, texts: list[str], make: Callable[[list[int]], object] | None, join: Callable[[list], object]) -> list[list]:
+        """For each text the values of its chunks: make(ids) gives a word's value (see `values`), join(values) a chunk's."""
         flat: list = []
         ends = []
         for text in texts:
@@ -225,32 +236,80 @@ class Codec:
                 elif part:
                     flat += self.pieces(part)
             ends.append(len(flat))
-        values = list(map(cache.get, flat))
+        values = self.values(flat, make, join)
+        return [values[a:b] for a, b in zip([0, *ends], ends)]
+
+    def values(self, keys: list[str], make: Callable[[list[int]], object] | None, join: Callable[[list], object]) -> list:
+        """The values of chunks by their keys; without make, their ids packed as little-endian 32-bit.
+
+        The cache keeps the first CACHE_WORDS chunks, words among them, of up to CACHE_CHARS characters, which hold the
+        frequent ones; others are made each time.
+        """
+        cache, words_of = self.cache, self.words_of
+        values = list(map(cache.get, keys))
         gaps = [i for i, v in enumerate(values) if v is None]
-        new = {flat[i] for i in gaps}
-        made = {p: make([self.special[p[1:]]]) for p in new if p[:1] == SPECIAL}
-        cut = {p: self.words_of(p) for p in new if p[:1] != SPECIAL}
-        fresh = list({w for ws in cut.values() for w in ws} - known.keys())
-        words = dict(zip(fresh, map(make, self.merger.encode([w.encode() for w in fresh])), strict=True))
-        room = len(known) < CACHE_WORDS
-        known.update(words)
-        for p, ws in cut.items():
-            made[p] = known[ws[0]] if len(ws) == 1 else join([known[w] for w in ws])
-        if not room:
-            for w in fresh:
-                del known[w]
+        if not gaps:
+            return values
+        made: dict[str, object] = {}
+        fresh: dict[str, None] = {}
+        parts: list[tuple[str, list[str]]] = []
+        for key in {keys[i] for i in gaps}:
+            if key.isalpha():
+                fresh[key] = None
+                continue
+            if key[:1] == SPECIAL:
+                ids = [self.special[key[1:]]]
+                made[key] = make(ids) if make else np.array(ids, "<u4").tobytes()
+                continue
+            own = words_of(key)
+            if own == [key]:
+                fresh[key] = None
+            else:
+                parts.append((key, own))
+                for w in own:
+                    if w not in cache:
+                        fresh[w] = None
+        words = list(fresh)
+        ids = self.merger.encode([self.word_of(w).encode() for w in words], packed=make is None)
+        made.update(zip(words, map(make, ids) if make else ids, strict=True))
+        for key, own in parts:
+            held = [cache[w] if w in cache else made[w] for w in own]
+            made[key] = held[0] if len(held) == 1 else join(held)
         if len(cache) < CACHE_WORDS:
-            cache.update(made)
+            cache.update([(k, v) for k, v in made.items() if len(k) <= CACHE_CHARS])
         for i in gaps:
-            values[i] = made[flat[i]]
-        return [values[a:b] for a, b in zip([0, *ends], ends)]
+            values[i] = made[keys[i]]
+        return values
+
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """The texts' ids as little-endian 32-bit. Texts that are cut at single spaces alone are cut, and their different chunks
+        found, by Arrow; null is the empty text."""
+        body = pc.fill_null(texts.cast(pa.string()), "")
+        if self.lower:
+            return [b"".join(x) for x in self.fill(body.to_pylist(), None, b"".join)]
+        hard = pc.match_substring_regex(body, r"[\x1c-\x1f\x{85}\x{a0}\x{250}-\x{10ffff}]|  |<\|")
+        out = np.empty(len(body), object)
+        for own, easy in ((pc.invert(hard), True), (hard, False)):
+            at = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            part = body.filter(own)
+            if easy:
+                chunks = pc.split_pattern(pc.binary_join_element_wise(AS_IS, part, ""), " ")
+                coded = pc.list_flatten(chunks).dictionary_encode()
+                each = pa.array(self.values(coded.dictionary.to_pylist(), None, b"".join), pa.binary())
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy())]).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), each.take(coded.indices)), b"")
+                out[at] = joined.to_pylist()
+            else:
+                out[at] = [b"".join(x) for x in self.fill(part.to_pylist(), None, b"".join)]
+        return out.tolist()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, with caches of their own."""
-        held = self.cache, self.known
-        self.cache, self.known = {}, {}
+        """Ids of each text, with a cache of their own."""
+        held, self.cache = self.cache, {}
         got = self.fill(texts, list, lambda parts: [i for p in parts for i in p])
-        self.cache, self.known = held
+        self.cache = held
         return [[i for ids in x for i in ids] for x in got]
 
     def decode(self, ids) -> str:

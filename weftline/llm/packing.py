@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import codec
-from weftline.llm.common import Scratch, by_batch, texts
+from weftline.llm.common import Scratch, by_batch
 
 CAPACITY = 2048
 GROUP = 4096
@@ -69,12 +69,12 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
     return bins, offsets
 
 
-def pieces(docs: DataFrame, ids_of: Callable[[list[str]], list[bytes]], text: str, key: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, ids_of: Callable[[pa.Array], list[bytes]], text: str, key: str, capacity: int) -> DataFrame:
     """Per piece: key, h, start, length, ids_crc32, doc_tokens. ids_of gives each text's ids as little-endian 32-bit."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, length, crc, total = [], [], [], [], []
-        for i, ids in enumerate(ids_of(texts(batch.column(2)))):
+        for i, ids in enumerate(ids_of(batch.column(2))):
             n, view = len(ids) // 4, memoryview(ids)
             for a in range(0, n, capacity):
                 part = view[4 * a : 4 * (a + capacity)]
@@ -134,10 +134,9 @@ def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Per piece of each document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
-    def ids_of(batch: list[str]) -> list[bytes]:
-        c = codec(path)
+    def ids_of(column: pa.Array) -> list[bytes]:
         end = pack_ids([end_id])
-        return [b"".join(x) + end for x in c.fill(batch, pack_ids, b"".join)]
+        return [ids + end for ids in codec(path).packed(column, pack_ids)]
 
     scratch = Scratch(docs.sparkSession)
     cut = scratch.put(pieces(docs, ids_of, text, key, capacity))
