@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,10 +85,15 @@ _owner: list = [None, None]
 
 def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
     """Called by an operator's function in a Python worker: a worker serves one stage after another, and what an earlier
-    operator keeps in it (a tokenizer's caches) goes when another one begins."""
+    operator keeps in it (a tokenizer's caches, freed memory) goes back when another one begins."""
     if _owner[0] != owner:
         if _owner[1] is not None:
             _owner[1]()
+        if _owner[0] is not None:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
         _owner[:] = [owner, clear]
 
 
@@ -104,19 +110,34 @@ def by_batch(fn: Callable[..., pa.RecordBatch | None], text_at: int) -> Callable
     return run
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts come to about `most` bytes, and cut where one has more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, text_at, most):
+            held.append(part)
+            size += part.column(text_at).nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def slices(batch: pa.RecordBatch, text_at: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
         return
     col = batch.column(text_at)
-    if col.nbytes <= CHUNK_BYTES:
+    if col.nbytes <= most:
         yield batch
         return
     import pyarrow.compute as pc
 
     start = size = 0
     for i, b in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
-        if size + b > CHUNK_BYTES and i > start:
+        if size + b > most and i > start:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += b

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import codec
-from weftline.llm.common import Scratch, by_batch
+from weftline.llm.common import Scratch, gathered
 
 CAPACITY = 2048
 GROUP = 4096
+#: Bytes of texts that are encoded at once: the more, the fewer times a word is looked up.
+GATHER = 12 << 20
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -72,7 +74,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 def pieces(docs: DataFrame, ids_of: Callable[[pa.Array], list[bytes]], text: str, key: str, capacity: int) -> DataFrame:
     """Per piece: key, h, start, length, ids_crc32, doc_tokens. ids_of gives each text's ids as little-endian 32-bit."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, length, crc, total = [], [], [], [], []
         for i, ids in enumerate(ids_of(batch.column(2))):
             n, view = len(ids) // 4, memoryview(ids)
@@ -88,11 +90,14 @@ def pieces(docs: DataFrame, ids_of: Callable[[pa.Array], list[bytes]], text: str
             [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=names
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(cut, gathered(batches, 2, GATHER))
+
     names = ["key", "h", "start", "length", "ids_crc32", "doc_tokens"]
     kind = docs.schema[key].dataType.simpleString()
     body = docs[text].cast("string")
     rows = docs.select(docs[key].alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), body.alias("text"))
-    return rows.mapInArrow(by_batch(run, 2), f"key {kind}, h long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(run, f"key {kind}, h long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
@@ -136,7 +141,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, text: str = "tex
 
     def ids_of(column: pa.Array) -> list[bytes]:
         end = pack_ids([end_id])
-        return [ids + end for ids in codec(path).packed(column, pack_ids)]
+        return [ids + end for ids in codec(path).packed(column)]
 
     scratch = Scratch(docs.sparkSession)
     cut = scratch.put(pieces(docs, ids_of, text, key, capacity))
