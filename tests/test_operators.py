@@ -340,3 +340,25 @@ def test_training_arithmetic(spark):
     ).first()
     assert tuple(row[:8]) == ([7, 8], 1, -1, [5, 6, 7, 8, 0, 0], 0, 0, -1, -1)
     assert tuple(row.i) == (1, 6) and tuple(row.j) == (1, 6) and row.k is None
+
+
+def test_user_stats_fold_exact_covers_every_session(spark):
+    from statistics import fmean, pvariance
+
+    from weftline.plans import catalog
+
+    d, held = "/root/testdata/sf0.001", {}
+    for r in catalog._sessions(spark, d).orderBy("user_id", "pos").collect():
+        held.setdefault(r.user_id, {}).setdefault(r.session_num, []).append(r.watched_pct or 0.0)
+    want = {}
+    for user, own in held.items():
+        mean, var, n = 0.0, 0.0, 0
+        for s in sorted(own):
+            x, m = own[s], len(own[s])
+            both = (n * mean + m * fmean(x)) / (n + m)
+            spread = (n * (var + (mean - both) ** 2) + m * (pvariance(x) + (fmean(x) - both) ** 2)) / (n + m)
+            mean, var, n = round(both, 2), round(spread, 2), n + m
+            want[user, s] = (mean, var, n)
+    got = {(r.user_id, r.step if "step" in r else r.session_num): (r.avg, r["var"], r.n) for r in catalog.QUERIES["user_stats_fold_exact"](spark, d).collect()}
+    assert got.keys() == want.keys()
+    assert all(g[2] == want[k][2] and g[:2] == pytest.approx(want[k][:2], abs=0.0101) for k, g in got.items())
