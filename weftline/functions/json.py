@@ -173,6 +173,21 @@ def values_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(flat(_read(t)[1])) if isinstance(t, str) else "")
 
 
+def encoded(text: Column, indent: int | None = None, ascii_only: bool = False) -> Column:
+    """JSON in the spacing of Python's encoder, indented or on one line, other characters than ASCII escaped or not; what
+    is not JSON is null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(column: pd.Series) -> pd.Series:
+        def one(t: object) -> str | None:
+            valid, value = _read(t) if isinstance(t, str) else (False, None)
+            return json.dumps(value, indent=indent, ensure_ascii=ascii_only) if valid else None
+
+        return column.map(one)
+
+    return run(text)
+
+
 def kind_of(variant: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT ... of a variant value."""
     return F.regexp_extract(F.schema_of_variant(variant), r"^[A-Z]+", 0)

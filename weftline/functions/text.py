@@ -72,6 +72,18 @@ def key_session(key: Column) -> Column:
     return F.regexp_extract(key, r"(?s)^(.*)_([^_]+)$", 2)
 
 
+def key_pair(key: Column) -> Column:
+    """(user, session) of a key with one underscore; any other key is an error."""
+    p = F.split(key, "_")
+    fail = F.raise_error(F.concat(F.lit("not a user and a session: "), F.coalesce(key, F.lit("null"))))
+    return F.when(F.size(p) == 2, F.struct(p[0].alias("user"), p[1].alias("session"))).otherwise(fail)
+
+
+def key_last(key: Column) -> Column:
+    """What stands after the last underscore; the whole key without one."""
+    return F.element_at(F.split(key, "_"), -1)
+
+
 def day_of(date: Column, weekday: Column) -> Column:
     """'date, weekday' without the commas of what is missing."""
     return F.btrim(F.concat_ws(", ", F.coalesce(date, F.lit("")), F.coalesce(weekday, F.lit(""))), F.lit(", "))

@@ -21,6 +21,11 @@ def union_in_order(left: Column, right: Column) -> Column:
     return F.array_distinct(F.concat(left, right))
 
 
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps' entries, right's where both hold a key."""
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+
 def drop_first(values: Column, n: int) -> Column:
     return F.slice(values, n + 1, F.greatest(F.size(values), F.lit(1))) if n else values
 

@@ -96,6 +96,12 @@ def strict_join(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
     return met.filter(fail).drop("_met")
 
 
+def by_id_list(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of listed ids with the list's other columns (its place and split); an id without a row is an error. The
+    place restores the list's order where it is written."""
+    return strict_join(ids, rows, on)
+
+
 def previous_session(rows: DataFrame, state: DataFrame, user: str, step: str, how: str = "inner") -> DataFrame:
     """Rows of session n with the state of session n - 1."""
     return rows.join(state.withColumn(step, F.col(step) + 1), [user, step], how)

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import json as J
+from weftline.functions import text as X
 from weftline.operators import folds, history, lists, merging, personas, ranking, sessions, vectors
 from weftline.plans import adapters as A
 from weftline.plans import builders
@@ -334,6 +336,40 @@ def multi_key_sort(spark, d):
     return part.withColumn("i", own).join(starts, "p").select("o_orderkey", (F.col("start") + F.col("i")).alias("place"))
 
 
+@query("""WITH l AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_acctbal DESC, c_custkey) AS place, c_nationkey % 3 AS split FROM customer WHERE c_acctbal > 0)
+SELECT split, place, c_custkey, c_name FROM l JOIN customer USING (c_custkey)""")
+def users_by_id_list(spark, d):
+    from pyspark.sql import Window as W
+
+    c = load(spark, d, "customer")
+    split = (F.col("c_nationkey") % 3).alias("split")
+    place = F.row_number().over(W.partitionBy(F.col("c_nationkey") % 3).orderBy(F.desc("c_acctbal"), "c_custkey"))
+    ids = c.filter("c_acctbal > 0").select("c_custkey", split, place.alias("place"))
+    return merging.by_id_list(c.select("c_custkey", "c_name"), ids, "c_custkey").select("split", "place", "c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS user, CAST(o_orderkey AS VARCHAR) AS session, CAST(o_orderkey AS VARCHAR) AS last FROM orders")
+def id_split_variants(spark, d):
+    key = X.session_key(F.col("o_custkey"), F.col("o_orderkey"))
+    pair = X.key_pair(key)
+    return load(spark, d, "orders").select("o_orderkey", pair.user.alias("user"), pair.session.alias("session"), X.key_last(F.concat(F.lit("a_b_"), key)).alias("last"))
+
+
+@query("SELECT p_partkey, 'a=' || p_size || ',b=2,c=' || p_size AS merged FROM part")
+def map_merge(spark, d):
+    size = F.col("p_size")
+    merged = lists.merge_maps(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), size), F.create_map(F.lit("c"), size, F.lit("b"), F.lit(2)))
+    each = F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
+    return load(spark, d, "part").select("p_partkey", F.array_join(each, ",").alias("merged"))
+
+
+@query("""SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || ', "é": ["x", null]}' AS line, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || ',' || chr(10) || '  "' || chr(92) || 'u00e9": 1.5' || chr(10) || '}' AS pretty FROM events""")
+def json_encoding(spark, d):
+    k = F.get_json_object("props", "$.k")
+    line, pretty = F.concat(F.lit('{"k":'), k, F.lit(',"é":["x",null]}')), F.concat(F.lit('{"k":'), k, F.lit(',"é":1.5}'))
+    return load(spark, d, "events").select("event_id", J.encoded(line).alias("line"), J.encoded(pretty, 2, True).alias("pretty"))
+
+
 # --- training arithmetic
 
 _IDS = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(round(x * 100) AS BIGINT))"
