@@ -28,7 +28,7 @@ from weftline.llm.common import Scratch, gathered
 CAPACITY = 2048
 GROUP = 4096
 #: Bytes of texts that are encoded at once: the more, the fewer times a word is looked up.
-GATHER = 12 << 20
+GATHER = 4 << 20
 
 
 def pack_ids(ids: list[int]) -> bytes:
