@@ -334,9 +334,9 @@ def _forget() -> None:
     gc.collect()
 
 
-def codec(path: str) -> Codec:
-    """The worker's codec of a file, with its caches."""
-    claim("codec", _forget)
+def codec(path: str, kind: str) -> Codec:
+    """The worker's codec of a file, with its cache of values of one kind; another kind begins anew."""
+    claim(f"codec {kind}", _forget)
     gc.disable()  # a worker's cache holds no cycles, and walking it again and again costs more than all merges
     return _codec(path)
 
@@ -345,7 +345,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     """Per document: key, ids (array of int) and the text that they decode to."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
+        c = codec(path, "ids")
         got = [[i for ids in x for i in ids] for x in c.fill(texts(batch.column(1)), list, lambda parts: [i for p in parts for i in p])]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(got, pa.list_(pa.int32())), pa.array([c.decode(x) for x in got])], names=["key", "ids", "decoded"]
@@ -365,7 +365,7 @@ def round_trips(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
+        c = codec(path, "digests")
         joined = c.lower
         number = [str(i) for i in range(max(c.token) + 1)]
 

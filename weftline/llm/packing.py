@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, text: str = "tex
 
     def ids_of(column: pa.Array) -> list[bytes]:
         end = pack_ids([end_id])
-        return [ids + end for ids in codec(path).packed(column)]
+        return [ids + end for ids in codec(path, "packed").packed(column)]
 
     scratch = Scratch(docs.sparkSession)
     cut = scratch.put(pieces(docs, ids_of, text, key, capacity))
