@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker holds at once are cut to about this many bytes.
 CHUNK_BYTES = 4 << 20
@@ -80,6 +81,22 @@ class Scratch:
             pass
 
 
+def numbered(rows: DataFrame, by: list[Column], within: list[Column], scratch: Scratch) -> DataFrame:
+    """rows as a table with _at, their places (from 0) in the order of `by`, then `within`.
+
+    Rows are dealt by ranges of `by`, so that no task holds more than one range, and rows that agree in it stay together;
+    what is collected into one place is a count per range.
+    """
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, *within)
+    held = scratch.put(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))  # a row per range
+    at = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return held.join(F.broadcast(starts), part == F.col("_part")).withColumn("_at", at).drop("_id", "_part", "_start")
+
+
 _owner: list = [None, None]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, embeddings, licenses, packing, pieces, pii, quality, recompress, simhash, suffixes, urls
+from weftline.llm import bpe, embeddings, licenses, packing, pieces, pii, quality, recompress, simhash, suffixes, tries, urls
 from weftline.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op12_sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "op12_sentencepiece_roundtrip": op12_sentencepiece_roundtrip,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE}
