@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, embeddings, licenses, packing, pieces, pii, quality, recompress, simhash, suffixes, tries, urls
+from weftline.llm import bpe, embeddings, licenses, packing, pieces, pii, quality, recompress, resample, simhash, suffixes, tries, urls
 from weftline.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -86,8 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_sentencepiece_roundtrip": op12_sentencepiece_roundtrip,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE, "op11_importance_resampling": resample.ORACLE}
