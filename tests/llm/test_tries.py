@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import oracle
 import pytest
 
 from weftline.llm import tries
-from weftline.llm.queries import QUERIES
+from weftline.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, node string, member long, pos int"
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -103,4 +104,7 @@ def test_none_and_turnless(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    assert rows_of(QUERIES["op13_conversation_trie"](spark, sf)) == sorted(brute(rebuilt(sequences(rows))), key=repr)
+    want = sorted(brute(rebuilt(sequences(rows))), key=repr)
+    assert rows_of(QUERIES["op13_conversation_trie"](spark, sf)) == want
+    con = oracle.views(sf)
+    assert sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({ORACLES['op13_conversation_trie']})").fetchall(), key=repr) == want

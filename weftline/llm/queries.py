@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE, "op11_importance_resampling": resample.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE, "op11_importance_resampling": resample.ORACLE, "op13_conversation_trie": tries.ORACLE}

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, numbered
+from weftline.llm.resample import CRC_SQL, crc_sql
 
 #: Ids of one row on their way into a node's digest.
 IDS = 4096
@@ -190,3 +191,25 @@ def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """The trie of conversations that `rebuild` makes."""
     scratch = Scratch(conversations.sparkSession)
     return trie(*rebuild(placed_turns(conversations, scratch), scratch), scratch)
+
+
+ORACLE = f"""
+WITH {CRC_SQL},
+given AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, sha256(length(role) || ':' || role || text) AS k,
+  len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM given),
+convs AS (SELECT c, {crc_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM turns), crc_table),
+rebuilt AS (
+  SELECT v.c, b.pos, b.k, b.words FROM convs v JOIN turns b ON b.c = v.c - v.c % 20 AND b.pos < v.h
+  UNION ALL SELECT v.c, t.pos + 1000000000, t.k, t.words FROM convs v JOIN turns t ON t.c = v.c AND t.pos >= v.h),
+grown AS (SELECT c, row_number() OVER w AS d, sha256(string_agg(k, ',') OVER w) AS path, words FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY pos)),
+paths AS (SELECT c, 0 AS d, '' AS path, 0 AS words, NULL AS up FROM convs UNION ALL SELECT c, d, path, words, coalesce(lag(path) OVER (PARTITION BY c ORDER BY d), '') FROM grown),
+ends AS (SELECT c, max(d) AS last FROM paths GROUP BY c),
+nodes AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = last), '')) AS ends_sha256 FROM paths JOIN ends USING (c) GROUP BY d, path),
+children AS (SELECT d - 1 AS d, up AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT n.conv_id, n.d, (n.n_convs - 1) * n.words AS saved, CAST(c.n IS NULL AS BIGINT) AS leaf FROM nodes n LEFT JOIN children c USING (d, path)),
+below AS (SELECT p.d, p.path, sum(o.saved) AS saved, sum(o.leaf) AS leaves FROM own o JOIN paths p ON p.c = o.conv_id AND p.d <= o.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (d, path) LEFT JOIN children c USING (d, path) LEFT JOIN nodes u ON u.d = n.d - 1 AND u.path = n.up
+"""
