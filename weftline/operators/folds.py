@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.numbers import let
+
 Caller = Callable[[list[str], int], list[str]]
 #: The event of a session whose selecting call names none.
 NO_EVENT = "No event selected."
@@ -150,20 +152,48 @@ def longest(sessions: DataFrame, step: str) -> int:
 
 
 def fold_sessions(sessions: DataFrame, seed: DataFrame, user: str, step: str, value: str, update: Callable[[Column, Column], Column], last: int | None = None) -> DataFrame:
-    """Per-user state along sessions: state n needs state n - 1 and a row of session n, so that a gap ends the user.
+    """Per-user state along sessions by a column expression: state n needs state n - 1 and a row of session n, so that a
+    gap ends the user; of repeated sessions the first by value counts.
 
-    sessions: (user, step, value); seed: (user, state) at step 1. A wave per step joins the users still going with
-    their next session, up to their last one or to step `last` where it is given; each wave is a table.
+    sessions: (user, step, value); seed: (user, state) at step 1. One shuffle: a user's values are sorted and folded in
+    the JVM, up to the last session or to step `last` where it is given.
     """
-    state = written(seed.select(user, F.lit(1).alias(step), "state"))
-    out = state
-    for n in range(2, (longest(sessions, step) if last is None else last) + 1):
-        rows = sessions.filter(F.col(step) == n).select(user, F.col(value).alias("_v"))
-        state = written(state.join(rows, user).select(user, F.lit(n).alias(step), update(F.col("state"), F.col("_v")).alias("state")))
-        if state.isEmpty():
-            break
-        out = out.unionByName(state)
-    return out
+    kind = seed.schema["state"].dataType.simpleString()
+    later = sessions.filter(F.col(step) > 1) if last is None else sessions.filter(F.col(step).between(2, last))
+    own = later.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(step).cast("int").alias("step"), F.col(value).alias("value")))).alias("_rows"))
+    met = seed.select(user, "state").join(own, user, "left").withColumn("_rows", F.coalesce("_rows", F.array().cast(own.schema["_rows"].dataType)))
+    row = lambda n, s: F.struct(n.cast("int").alias("step"), s.cast(kind).alias("state"))
+    start = F.struct(F.col("state").alias("state"), F.array(row(F.lit(1), F.col("state"))).alias("out"))
+
+    def next_(a: Column, r: Column) -> Column:
+        grown = let(update(a.state, r.value).cast(kind), lambda s: F.struct(s.alias("state"), F.concat(a.out, F.array(row(r.step, s))).alias("out")))
+        return F.when(r.step == F.size(a.out) + 1, grown).otherwise(a)
+
+    folded = met.select(user, F.aggregate("_rows", start, next_, lambda a: a.out).alias("_out"))
+    return folded.select(user, F.inline("_out")).withColumnRenamed("step", step)
+
+
+class Waves:
+    """What the waves of a fold write: a table with a folder a wave, of which a wave reads the one before and the end all."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.schema = spark, shared(spark), None
+
+    def put(self, n: int, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/_wave={n}"
+        rows.write.parquet(path)
+        self.schema = rows.schema
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.root).select(*self.schema.names)
+
+
+def by_wave(rows: DataFrame, wave: str) -> DataFrame:
+    """rows as a table with a folder for each value of wave, so that a wave's filter reads its own rows alone."""
+    path = shared(rows.sparkSession)
+    rows.repartition(wave, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.partitionBy(wave).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def update_states(
@@ -176,9 +206,12 @@ def update_states(
     whose answers all fail freezes its user, or, with a fallback, has the fallback's state. extracted: (user, step,
     value); seed: (user, state) at step 1. Returns (user, step, state, source) and (user, step, attempts, response).
     """
-    state = written(seed.select(user, F.lit(1).alias(step), "state", F.lit("seed").alias("source")))
-    out, failed = state, None
-    for n in range(2, longest(extracted, step) + 1):
+    spark, steps = extracted.sparkSession, longest(extracted, step)
+    extracted = by_wave(extracted.select(user, step, value), step)
+    made, lost = Waves(spark), Waves(spark)
+    state = made.put(1, seed.select(user, F.lit(1).alias(step), "state", F.lit("seed").alias("source")))
+    lost.put(1, state.filter("false").select(user, step, F.lit(0).alias("attempts"), F.lit("").alias("response")))
+    for n in range(2, steps + 1):
         rows = extracted.filter(F.col(step) == n).select(user, F.col(value).alias("_v"))
         asked = state.select(user, "state").join(rows, user).withColumn("prompt", prompt(F.col("state"), F.col("_v")))
         tried = retry_until_valid(written(asked), "prompt", call, valid, attempts)
@@ -186,15 +219,11 @@ def update_states(
         bad = tried.filter("not is_valid")
         if fallback is not None:
             good = good.unionByName(bad.select(user, F.lit(n).alias(step), fallback(F.col("state"), F.col("_v")).alias("state"), F.lit("fallback").alias("source")))
-        lost = bad.select(user, F.lit(n).alias(step), "attempts", "response")
-        failed = lost if failed is None else failed.unionByName(lost)
-        state = written(good)
+        lost.put(n, bad.select(user, F.lit(n).alias(step), "attempts", "response"))
+        state = made.put(n, good)
         if state.isEmpty():
             break
-        out = out.unionByName(state)
-    if failed is None:
-        failed = out.filter("false").select(user, step, F.lit(0).alias("attempts"), F.lit("").alias("response"))
-    return out, failed
+    return made.all(), lost.all()
 
 
 def until_done(work: DataFrame, run: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]], rounds: int = 2, allow_pending: bool = False) -> DataFrame:
@@ -221,10 +250,11 @@ def fold_dialogues(sessions: DataFrame, seed: DataFrame, user: str, step: str, g
     Returns (user, step, persona, extracted, updated, episodes, strategy, dialogue).
     """
     turn = F.row_number().over(Window.partitionBy(user).orderBy(step))
-    ranked = written(sessions.join(seed.select(user), user, "left_semi").select(user, step, "prompt", turn.alias("_n")))
+    ranked = by_wave(sessions.join(seed.select(user), user, "left_semi").select(user, step, "prompt", turn.alias("_n")), "_n")
+    waves = Waves(sessions.sparkSession)
     empty = F.array().cast("array<string>")
     state = written(seed.select(user, "persona", empty.alias("episodes"), F.lit("[]").alias("outcomes")))
-    out = lost = None
+    lost = None
     field = lambda path: F.get_json_object("response", path)
     outcome = "array<struct<item: string, reaction: string, reason: string>>"
     for n in range(1, longest(ranked, "_n") + 1):
@@ -241,14 +271,13 @@ def fold_dialogues(sessions: DataFrame, seed: DataFrame, user: str, step: str, g
         told = told.withColumn("_outcomes", F.coalesce(field("$.memory.recommendation_outcomes"), F.lit("[]"))).drop("response", "prompt")
         kept = call_model(told.withColumn("prompt", F.concat_ws(" | ", F.lit("update"), "persona", "extracted")), "prompt", update)
         kept = written(kept.withColumn("updated", F.coalesce(field("$.updated_dialogue_persona"), "persona")).drop("response", "prompt"))
-        wave = kept.select(user, step, "persona", "extracted", "updated", "episodes", "strategy", "dialogue")
-        out = wave if out is None else out.unionByName(wave)
+        waves.put(n, kept.select(user, step, "persona", "extracted", "updated", "episodes", "strategy", "dialogue"))
         grown = F.when(F.coalesce(F.col("_event"), F.lit("")) != "", F.concat("episodes", F.array("_event"))).otherwise(F.col("episodes"))
         # a user without a session in this wave has none in later ones either
         state = kept.select(user, F.col("updated").alias("persona"), grown.alias("episodes"), F.col("_outcomes").alias("outcomes"))
-    if out is None:
+    if lost is None:
         raise ValueError("no sessions")
-    return out.join(lost.distinct(), user, "left_anti")
+    return waves.all().join(lost.distinct(), user, "left_anti")
 
 
 def chain_events(sessions: DataFrame, user: str, step: str, item: str, generate: Caller, select: Caller) -> DataFrame:
@@ -259,8 +288,8 @@ def chain_events(sessions: DataFrame, user: str, step: str, item: str, generate:
     the last one. Each call's answers are a table.
     """
     turn = F.row_number().over(Window.partitionBy(user).orderBy(step))
-    ranked = written(sessions.select(user, step, F.col(item).cast("string").alias("_item"), turn.alias("_n")))
-    out = previous = None
+    ranked = by_wave(sessions.select(user, step, F.col(item).cast("string").alias("_item"), turn.alias("_n")), "_n")
+    waves, previous = Waves(sessions.sparkSession), None
     for n in range(1, longest(ranked, "_n") + 1):
         rows = ranked.filter(F.col("_n") == n)
         if previous is None:
@@ -273,11 +302,8 @@ def chain_events(sessions: DataFrame, user: str, step: str, item: str, generate:
         choice = proposed.withColumn("prompt", F.concat_ws(" | ", F.lit("select"), "_told", "_candidates"))
         event = F.coalesce(F.get_json_object("response", "$.refined_event"), F.lit(NO_EVENT))
         chosen = call_model(choice, "prompt", select).withColumn("event", event)
-        made = written(chosen.select(user, step, "event", F.concat("events", F.array("event")).alias("events")))
-        previous = made.select(user, "events")
-        wave = made.select(user, step, "event")
-        out = wave if out is None else out.unionByName(wave)
-    return ranked.select(user, step, F.col("_item").alias("event")).limit(0) if out is None else out
+        previous = waves.put(n, chosen.select(user, step, "event", F.concat("events", F.array("event")).alias("events"))).select(user, "events")
+    return ranked.select(user, step, F.col("_item").alias("event")).limit(0) if previous is None else waves.all().select(user, step, "event")
 
 
 def resume_state(log: DataFrame, user: str, step: str) -> DataFrame:

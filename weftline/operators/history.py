@@ -7,17 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import numbers as N
+
 
 def along(user: str, *order: str) -> W:
     return W.partitionBy(user).orderBy(*order)
 
 
 def initial_stats(items: DataFrame, user: str, pct: str) -> DataFrame:
-    """Mean and population variance to two digits, and count; a user with a null share is left out."""
-    out = items.groupBy(user).agg(
-        F.round(F.avg(pct), 2).alias("watched_pct_avg"), F.round(F.var_pop(pct), 2).alias("watched_pct_var"), F.count("*").alias("total_count"), F.count(pct).alias("_n")
-    )
-    return out.filter("_n = total_count").drop("_n")
+    """Mean and population variance to two digits (rounded as Python does), and count; a user with a null share is left
+    out. Sums are exact, so that partial ones combine in any order."""
+    u = N.units(F.col(pct))
+    sums = items.groupBy(user).agg(F.sum(u).alias("_s1"), F.sum(u * u).cast("decimal(38,0)").alias("_s2"), F.count("*").alias("total_count"), F.count(pct).alias("_n"))
+    s1, s2, n = F.col("_s1"), F.col("_s2"), F.col("total_count")
+    stats = [N.round2(N.mean_of(s1, n)).alias("watched_pct_avg"), N.round2(N.variance_of(s1, s2, n)).alias("watched_pct_var")]
+    return sums.filter("_n = total_count").select(user, *stats, "total_count")
 
 
 def moments(items: DataFrame, user: str, pct: str) -> DataFrame:
@@ -43,35 +47,36 @@ def running_moments(items: DataFrame, user: str, order: tuple[str, ...], pct: st
 
 
 def fold_stats(sessions: DataFrame, user: str, step: str, pcts: str) -> DataFrame:
-    """Statistics merged session by session, rounded to two digits at each step and carried on rounded.
+    """Statistics merged session by session, rounded to two digits (as Python does) at each step and carried on rounded.
 
-    sessions: (user, step, pcts array<double>); null shares count as zero, an empty session changes nothing. A user's
-    sessions are one bounded group.
+    sessions: (user, step, pcts array<double>); null shares count as zero, an empty session changes nothing. What is
+    gathered of a session is three numbers, in order of its user's steps; the fold over them runs in the JVM.
     """
-    kind = sessions.schema[user].dataType.simpleString()
-
-    def fold(pdf):
-        mean = var = 0.0
-        n = 0
-        out = []
-        for s, values in sorted(zip(pdf["step"], pdf["pcts"]), key=lambda x: x[0]):
-            x = [0.0 if v is None or v != v else float(v) for v in values]
-            if x:
-                m = len(x)
-                mu = sum(x) / m
-                own = sum((v - mu) ** 2 for v in x) / m
-                total = n + m
-                joined = (n * mean + m * mu) / total
-                spread = (n * (var + (mean - joined) ** 2) + m * (own + (mu - joined) ** 2)) / total
-                mean, var, n = round(joined, 2), round(spread, 2), total
-            out.append((pdf["user"].iloc[0], int(s), mean, var, n))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["user", "step", "avg", "var", "n"])
-
-    rows = sessions.select(F.col(user).alias("user"), F.col(step).cast("int").alias("step"), F.col(pcts).cast("array<double>").alias("pcts"))
-    out = rows.groupBy("user").applyInPandas(fold, f"user {kind}, step int, avg double, var double, n long")
-    return out.withColumnsRenamed({"user": user})
+    share = F.transform(F.coalesce(F.col(pcts), F.array().cast("array<double>")), lambda v: N.units(F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)))
+    zero = F.lit(0).cast("decimal(38,0)")
+    s1 = F.aggregate("_u", zero, lambda s, v: (s + v).cast("decimal(38,0)"))
+    s2 = F.aggregate("_u", zero, lambda s, v: (s + v * v).cast("decimal(38,0)"))
+    m = F.size("_u").cast("long")
+    own = sessions.select(user, F.col(step).cast("int").alias("step"), share.alias("_u"))
+    own = own.select(user, F.struct("step", m.alias("m"), N.mean_of(s1, m).alias("mu"), N.variance_of(s1, s2, m).alias("own")).alias("_s"))
+    steps = own.groupBy(user).agg(F.array_sort(F.collect_list("_s")).alias("_steps"))
+    kind = "array<struct<step: int, avg: double, var: double, n: bigint>>"
+    start = F.struct(F.lit(0.0).alias("avg"), F.lit(0.0).alias("var"), F.lit(0).cast("long").alias("n"), F.array().cast(kind).alias("out"))
+
+    def merged(a: Column, s: Column) -> Column:
+        total = a.n + s.m
+        return N.let((a.n * a.avg + s.m * s.mu) / total, lambda mean: F.struct(
+            N.round2(mean).alias("avg"),
+            N.round2((a.n * (a["var"] + (a.avg - mean) * (a.avg - mean)) + s.m * (s.own + (s.mu - mean) * (s.mu - mean))) / total).alias("var"),
+            total.alias("n"),
+        ))
+
+    def next_(a: Column, s: Column) -> Column:
+        now = F.when(s.m > 0, merged(a, s)).otherwise(F.struct(a.avg.alias("avg"), a["var"].alias("var"), a.n.alias("n")))
+        return N.let(now, lambda x: F.struct(x.avg.alias("avg"), x["var"].alias("var"), x.n.alias("n"), F.concat(a.out, F.array(F.struct(s.step.alias("step"), x.avg.alias("avg"), x["var"].alias("var"), x.n.alias("n")))).alias("out")))
+
+    folded = F.aggregate("_steps", start, next_, lambda a: a.out)
+    return steps.select(user, F.inline(folded))
 
 
 def trailing(rows: DataFrame, user: str, order: str, k: int, *aggs: Column) -> DataFrame:

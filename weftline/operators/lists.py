@@ -73,10 +73,22 @@ def split_gold(messages: Column) -> tuple[Column, Column]:
     return rest, F.when(mine, last.content).otherwise(F.lit(""))
 
 
+def memory(behavior: Column, dialogue: Column, events: Column, episodic: Column, history: Column, outcomes: Column) -> Column:
+    """A state with both names of its memory's lists; a list that is absent is null."""
+    names = ("behavior", "dialogue", "session_events", "episodic_memory", "recommendation_history", "recommendation_outcomes")
+    return F.struct(*[c.alias(n) for n, c in zip(names, (behavior, dialogue, events, episodic, history, outcomes))])
+
+
 def fallback_memory(past: Column, extracted: Column) -> Column:
-    """The last-resort update: past behaviour (the new one only if there is none), dialogue lists united in order,
-    memories joined. Both are structs of behavior, dialogue, events, outcomes."""
+    """The last-resort update of two `memory` states: past behaviour (the new one only if there is none), and of dialogue,
+    events and outcomes both states' lists under both names, past first, each value once as first seen."""
+
+    def united(*names: str) -> Column:
+        every = [s[n] for s in (past, extracted) for n in names]
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(*[F.coalesce(c, none) for c in every]))
+
     return F.struct(
-        F.coalesce(past.behavior, extracted.behavior).alias("behavior"), union_in_order(past.dialogue, extracted.dialogue).alias("dialogue"),
-        F.concat(past.events, extracted.events).alias("events"), F.concat(past.outcomes, extracted.outcomes).alias("outcomes"),
+        F.coalesce(past.behavior, extracted.behavior).alias("behavior"), united("dialogue").alias("dialogue"),
+        united("session_events", "episodic_memory").alias("events"), united("recommendation_history", "recommendation_outcomes").alias("outcomes"),
     )

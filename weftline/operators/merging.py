@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.places import numbered
+
 
 def _pick(rows: DataFrame, keys: list[str], by: list[Column], largest: bool) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
@@ -150,10 +152,5 @@ def ordered_lookup(lists: DataFrame, items: DataFrame, key: str, ids: str, item_
 
 def shards(users: DataFrame, user: str, n: int) -> DataFrame:
     """Explicit shard numbers by the users' order, modulo n: a global order for exports, else repartition is enough."""
-    ordered = users.select(user).distinct()
-    part = ordered.repartitionByRange(user).sortWithinPartitions(user).withColumn("_p", F.spark_partition_id())
-    own = F.row_number().over(W.partitionBy("_p").orderBy(user))
-    numbered = part.withColumn("_i", own)
-    before = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = before.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_start"))  # a row per partition
-    return numbered.join(starts, "_p").select(user, F.pmod(F.col("_i") - 1 + F.col("_start"), F.lit(n)).cast("int").alias("shard"))
+    order = numbered(users.select(user).distinct(), user)
+    return order.select(user, F.pmod("place", F.lit(n)).cast("int").alias("shard"))

@@ -139,14 +139,12 @@ def fold(extracted: DataFrame, seed: DataFrame, user: str, step: str, call: fold
     from pyspark.sql import Window
 
     turn = F.row_number().over(Window.partitionBy(user).orderBy(step))
-    ranked = folds.written(extracted.select(user, step, F.col("persona").alias("extracted"), turn.alias("_n")))
-    now, out = seed.select(user, F.col("persona").alias("current")), None
+    ranked = folds.by_wave(extracted.select(user, step, F.col("persona").alias("extracted"), turn.alias("_n")), "_n")
+    now, waves, n = seed.select(user, F.col("persona").alias("current")), folds.Waves(extracted.sparkSession), 0
     for n in range(1, folds.longest(ranked, "_n") + 1):
         rows = ranked.filter(F.col("_n") == n).drop("_n").join(now, user)
-        made = folds.written(update(rows, call).select(user, step, "persona"))
-        out = made if out is None else out.unionByName(made)
-        now = made.select(user, F.col("persona").alias("current"))
-    return seed.select(user, F.lit(0).alias(step), "persona").filter("false") if out is None else out
+        now = waves.put(n, update(rows, call).select(user, step, "persona")).select(user, F.col("persona").alias("current"))
+    return waves.all() if n else seed.select(user, F.lit(0).alias(step), "persona").filter("false")
 
 
 def judge(personas: DataFrame, metrics: dict[str, str], call: folds.Caller) -> DataFrame:

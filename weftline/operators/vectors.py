@@ -132,6 +132,12 @@ def infonce(pairs: DataFrame, batch: str, row: str, query: str, item: str, tempe
     return rows.groupBy(batch).agg(F.round(F.avg(log_sum - F.col("own")), digits).alias("loss"))
 
 
+def cross_entropy(logits: Column, gold: Column) -> Column:
+    """log of the sum of exponentials less the gold letter's logit."""
+    top = F.array_max(logits)
+    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v - top))) - F.element_at(logits, gold)
+
+
 def softplus_rank_loss(logits: Column, gold: Column) -> Column:
     """Mean of softplus(l_i - l_gold) over the other letters."""
     own = F.element_at(logits, gold)

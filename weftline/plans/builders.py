@@ -147,11 +147,11 @@ def merge_extractions(rows: DataFrame, failures: DataFrame, allow_pending: bool
     return merging.last_wins(rows, ["id"], "source_rank", "seq").orderBy("user_id", "session_num", "id")
 
 
-def update_run(extracted: DataFrame, users: DataFrame, last: int, update) -> DataFrame:
+def update_run(extracted: DataFrame, users: DataFrame, update) -> DataFrame:
     """The fold of states over users with more than one needed session, from the first session's extraction."""
     own = extracted.join(users.filter(F.array_max("sessions") > 1).select("user_id"), "user_id", "left_semi")
     seed = own.filter("session_num = 1").select("user_id", F.col("value").alias("state"))
-    return folds.fold_sessions(own, seed, "user_id", "session_num", "value", update, last)
+    return folds.fold_sessions(own, seed, "user_id", "session_num", "value", update)
 
 
 def responses(samples: DataFrame, done: DataFrame, call: folds.Caller) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import json as J
 from weftline.functions import text as X
+from weftline.functions.numbers import UNITS, round2_sql, units_sql
 from weftline.operators import folds, history, lists, merging, ranking, sessions, vectors
 from weftline.plans import adapters as A
 from weftline.plans import builders
@@ -92,7 +93,15 @@ def user_stats_cumulative(spark, d):
     return history.running_moments(A.watch_log(spark, d), "user_id", ("pos",), "watched_pct").select("user_id", "event_id", "run_n", "run_s1", "run_s2")
 
 
-@query()
+_JOINED = "(n * mean + m * mu) / (n + m)"
+
+
+@query(f"""WITH RECURSIVE {SESSION}, sh AS (SELECT user_id, session_num, {units_sql("coalesce(watched_pct, 0)")} AS c FROM s),
+x AS (SELECT user_id, session_num AS step, count(*) AS m, sum(c)::DOUBLE / (count(*) * {UNITS}e0) AS mu, (count(*) * sum(c * c) - sum(c) * sum(c))::DOUBLE / (count(*)::DOUBLE * count(*) * {UNITS * UNITS}e0) AS own FROM sh GROUP BY 1, 2),
+st(user_id, step, mean, v, n) AS (SELECT DISTINCT user_id, 0, 0e0, 0e0, CAST(0 AS BIGINT) FROM x UNION ALL
+ SELECT user_id, step, {round2_sql("j")}, {round2_sql("w")}, n + m FROM (SELECT *, (n * (v + (mean - j) * (mean - j)) + m * (own + (mu - j) * (mu - j))) / (n + m) AS w FROM (
+  SELECT x.user_id, x.step, st.mean, st.v, st.n, x.m, x.mu, x.own, {_JOINED} AS j FROM st JOIN x ON x.user_id = st.user_id AND x.step = st.step + 1)))
+SELECT user_id, step, mean AS avg, v AS var, n FROM st WHERE step > 0""")
 def user_stats_fold_exact(spark, d):
     rows = _sessions(spark, d).groupBy("user_id", "session_num").agg(F.array_sort(F.collect_list(F.struct("pos", "watched_pct"))).alias("x"))
     return history.fold_stats(rows.select("user_id", "session_num", F.col("x.watched_pct").alias("pcts")), "user_id", "session_num", "pcts")
@@ -524,13 +533,6 @@ def infonce_loss(spark, d):
     return vectors.infonce(e, "batch", "r", "v", "i")
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding[1:20] AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, label + 1 AS g, unnest(v) AS l, generate_subscripts(v, 1) AS k, v FROM e)
-SELECT vec_id, round(sum(CASE WHEN k <> g THEN ln(1 + exp(l - v[g])) ELSE 0 END) / 19, 6) AS rank_loss FROM x GROUP BY 1""")
-def softplus_rank_loss(spark, d):
-    e = A.vectors(spark, d).select("vec_id", (F.col("label") + 1).alias("g"), F.slice("v", 1, 20).alias("v"))
-    return e.select("vec_id", F.round(vectors.softplus_rank_loss(F.col("v"), F.col("g")), 6).alias("rank_loss"))
-
-
 @query("SELECT lang, CAST(ceil(least(max(n_chars), 13507) / 8.0) * 8 AS BIGINT) AS padded FROM documents GROUP BY 1")
 def padded_lengths(spark, d):
     rows = load(spark, d, "documents")
@@ -538,11 +540,6 @@ def padded_lengths(spark, d):
     return rows.groupBy("lang").agg((F.ceil(found / 8) * 8).cast("long").alias("padded"))
 
 
-@query("SELECT label, round(exp(avg(abs(CAST(embedding[1] AS DOUBLE)))), 6) AS perplexity FROM embeddings GROUP BY 1")
-def perplexity(spark, d):
-    return A.vectors(spark, d).groupBy("label").agg(F.round(F.exp(F.avg(F.abs(F.col("v")[0]))), 6).alias("perplexity"))
-
-
 @query("SELECT vec_id, string_agg(CAST(CASE WHEN k < 5 THEN -100 ELSE CAST(round(x * 100) AS BIGINT) END AS VARCHAR), ',' ORDER BY k) AS labels FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY 1")
 def label_masking(spark, d):
     ids = F.transform("v", lambda x: F.round(x * 100).cast("long"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import json as J
 from weftline.functions import text as X
-from weftline.operators import folds, history, lists, merging, personas, ranking, sessions, vectors
+from weftline.functions.numbers import UNITS, round2_sql, units_sql
+from weftline.operators import folds, history, lists, merging, personas, places, ranking, sessions, vectors
 from weftline.plans import adapters as A
 from weftline.plans import builders
 from weftline.plans.adapters import ORDERS, SESSION, WATCH, load
@@ -78,14 +79,12 @@ def targets_and_accepted(spark, d):
     return rows.select("user_id", "session_num", lists.first_target(F.col("w")).event_id.alias("first_target"), F.when(F.size(good) > 0, F.array_join(good, ",")).alias("accepted"))
 
 
-@query(f"""WITH {WATCH}, c AS (SELECT user_id, CAST(round(coalesce(watched_pct, 0)) AS BIGINT) AS v FROM wl), m AS (SELECT user_id, count(*) AS n, sum(v) AS s FROM c GROUP BY 1)
-SELECT user_id, CAST((200 * s + n) // (2 * n) AS DOUBLE) / 100 AS mean, true AS near, n FROM m""")
+@query(f"""WITH {WATCH}, m AS (SELECT user_id, count(*) AS n, sum(c)::DOUBLE AS s, count(*) * sum(c * c) - sum(c) * sum(c) AS q FROM (SELECT user_id, {units_sql("coalesce(watched_pct, 0)")} AS c FROM wl) GROUP BY 1),
+x AS (SELECT user_id, n, s / (n * {UNITS}e0) AS a, q::DOUBLE / (n::DOUBLE * n * {UNITS * UNITS}e0) AS b FROM m) SELECT user_id, {round2_sql("a")} AS mean, {round2_sql("b")} AS var, n FROM x""")
 def user_stats_rounded(spark, d):
-    rows = A.watch_log(spark, d).select("user_id", F.round(F.coalesce("watched_pct", F.lit(0.0))).alias("v"))
-    exact = rows.groupBy("user_id").agg(F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"))
-    out, n = history.initial_stats(rows, "user_id", "v").join(exact, "user_id"), F.col("total_count")
-    near = F.abs(F.col("watched_pct_var") - (n * F.col("s2") - F.col("s1") * F.col("s1")) / (n * n)) < 0.0051
-    return out.select("user_id", F.col("watched_pct_avg").alias("mean"), near.alias("near"), n.alias("n"))
+    rows = A.watch_log(spark, d).withColumn("watched_pct", F.coalesce("watched_pct", F.lit(0.0)))
+    out = history.initial_stats(rows, "user_id", "watched_pct")
+    return out.select("user_id", F.col("watched_pct_avg").alias("mean"), F.col("watched_pct_var").alias("var"), F.col("total_count").alias("n"))
 
 
 # --- personas by calls
@@ -285,23 +284,26 @@ def extraction_merge(spark, d):
     return builders.merge_extractions(rows, failures).select("id", "user_id", "v")
 
 
-@query(f"WITH {ORDERS}, u AS (SELECT user_id FROM ol GROUP BY 1 HAVING count(*) > 1) SELECT user_id, CAST(step AS INTEGER) AS step, CAST(sum(o_orderkey) OVER (PARTITION BY user_id ORDER BY step) AS BIGINT) AS state FROM ol WHERE user_id IN (SELECT user_id FROM u) AND step <= 3")
+@query(f"WITH {ORDERS}, u AS (SELECT user_id FROM ol GROUP BY 1 HAVING count(*) > 1) SELECT user_id, CAST(step AS INTEGER) AS step, CAST(sum(o_orderkey) OVER (PARTITION BY user_id ORDER BY step) AS BIGINT) AS state FROM ol WHERE user_id IN (SELECT user_id FROM u)")
 def update_run_eligible(spark, d):
     o = folds.written(A.orders_log(spark, d).select("user_id", F.col("step").alias("session_num"), F.col("o_orderkey").alias("value")))
     users = o.groupBy("user_id").agg(F.sequence(F.lit(1), F.count("*").cast("int")).alias("sessions"))
-    out = builders.update_run(o, users, 3, lambda s, v: s + v)
+    out = builders.update_run(o, users, lambda s, v: s + v)
     return out.select("user_id", F.col("session_num").cast("int").alias("step"), "state")
 
 
-@query(f"""WITH {ORDERS}, x AS (SELECT a.user_id, a.step, a.memory AS p, b.memory AS q, a.status AS s, b.status AS t FROM ol a JOIN ol b ON b.user_id = a.user_id AND b.step = a.step + 1)
-SELECT user_id, step, coalesce(CASE WHEN s <> 'P' THEN p END, q) AS behavior, CASE WHEN p = q THEN p ELSE p || ',' || q END AS dialogue, s || ',' || t AS events FROM x""")
+@query(f"""WITH {ORDERS}, x AS (SELECT a.user_id, a.step, a.memory AS p, b.memory AS q, a.status AS s, b.status AS t FROM ol a JOIN ol b ON b.user_id = a.user_id AND b.step = a.step + 1),
+y AS (SELECT user_id, step, coalesce(CASE WHEN s <> 'P' THEN p END, q) AS behavior, [p, q] AS d, [s, p, s, 'x', t, q, t, 'y'] AS e, ['h', s, t, 'h', q, q] AS o FROM x)
+SELECT user_id, step, behavior, {", ".join(f"array_to_string(list_filter({c}, lambda v, i: list_position({c}, v) = i), ',') AS {n}" for c, n in (("d", "dialogue"), ("e", "events"), ("o", "outcomes")))} FROM y""")
 def fallback_row(spark, d):
+    """Lists with repeats in themselves and between each other, under both of their names."""
     o = A.orders_log(spark, d)
     pair = merging.previous_session(o.select("user_id", "step", F.col("memory").alias("q"), F.col("status").alias("t")), o.select("user_id", "step", F.col("memory").alias("p"), F.col("status").alias("s")), "user_id", "step")
-    state = lambda b, m, s: F.struct(b.alias("behavior"), F.array(m).alias("dialogue"), F.array(s).alias("events"), F.array(s).alias("outcomes"))
-    out = lists.fallback_memory(state(F.when(F.col("s") != "P", F.col("p")), F.col("p"), F.col("s")), state(F.col("q"), F.col("q"), F.col("t")))
-    rows = pair.select("user_id", (F.col("step") - 1).alias("step"), out.alias("m"))
-    return rows.select("user_id", "step", "m.behavior", F.array_join("m.dialogue", ",").alias("dialogue"), F.array_join("m.events", ",").alias("events"))
+    p, q, s, t = map(F.col, "pqst")
+    past = lists.memory(F.when(s != "P", p), F.array(p), F.array(s, p), F.array(s, F.lit("x")), F.array(F.lit("h")), F.array(s, t))
+    new = lists.memory(q, F.array(q), F.array(t, q, t), F.array(F.lit("y")), F.array(F.lit("h")), F.array(q, q))
+    rows = pair.select("user_id", (F.col("step") - 1).alias("step"), lists.fallback_memory(past, new).alias("m"))
+    return rows.select("user_id", "step", "m.behavior", *[F.array_join(f"m.{c}", ",").alias(c) for c in ("dialogue", "events", "outcomes")])
 
 
 @query(f"""WITH {ORDERS}, b AS (SELECT user_id, step FROM ol WHERE status = 'F'), u AS (SELECT * FROM ol WHERE memory <> '1-URGENT')
@@ -325,15 +327,8 @@ def required_ids(spark, d):
 
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS place FROM s""")
 def multi_key_sort(spark, d):
-    """A global order, numbered without one task that holds all rows: ranges first, then offsets per range."""
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    part = folds.written(o.repartitionByRange("o_custkey", "o_orderdate", "o_orderkey").withColumn("p", F.spark_partition_id()))
-    from pyspark.sql import Window as W
-
-    own = F.row_number().over(W.partitionBy("p").orderBy("o_custkey", "o_orderdate", "o_orderkey"))
-    sizes = part.groupBy("p").agg(F.count("*").alias("n"))
-    starts = sizes.select("p", (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("start"))  # a row per range
-    return part.withColumn("i", own).join(starts, "p").select("o_orderkey", (F.col("start") + F.col("i")).alias("place"))
+    return places.numbered(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
 @query("""WITH l AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_acctbal DESC, c_custkey) AS place, c_nationkey % 3 AS split FROM customer WHERE c_acctbal > 0)
@@ -380,18 +375,38 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_filter(range(0, 16), lambda i: (i + label) % 3 > 0) AS k FROM e)
-SELECT vec_id, round(list_sum(list_transform(k, lambda i: v[4 * i + 1])) / len(k), 6) AS a, round(list_sum(list_transform(k, lambda i: v[4 * i + 4])) / len(k), 6) AS d FROM m""")
+SELECT vec_id, """ + ", ".join(f"round(list_sum(list_transform(k, lambda i: v[4 * i + {j}])) / len(k), 6) AS {c}" for j, c in enumerate("abcd", 1)) + " FROM m")
 def masked_mean_pooling(spark, d):
     places = F.sequence(F.lit(0), F.lit(15))
     tokens = F.transform(places, lambda i: F.slice("v", i * 4 + 1, 4))
     mask = F.transform(places, lambda i: F.when((i + F.col("label")) % 3 > 0, 1).otherwise(0))
     out = A.vectors(spark, d).select("vec_id", vectors.masked_mean(tokens, mask, 4).alias("m"))
-    return out.select("vec_id", F.round(F.col("m")[0], 6).alias("a"), F.round(F.col("m")[3], 6).alias("d"))
+    return out.select("vec_id", *[F.round(F.col("m")[j], 6).alias(c) for j, c in enumerate("abcd")])
+
+
+_LOGITS = """e AS (SELECT vec_id, label + 1 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, g, v, unnest(v) AS l, generate_subscripts(v, 1) AS k FROM e),
+ r AS (SELECT vec_id, ln(sum(exp(l))) - any_value(v[g]) AS ce, sum(CASE WHEN k <> g THEN ln(1 + exp(l - v[g])) ELSE 0 END) / (count(*) - 1) AS rank_loss FROM x GROUP BY 1)"""
+
 
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    """Cross entropy and rank loss of every vector as logits of as many letters."""
+    v, g = F.col("v"), (F.col("label") + 1)
+    return A.vectors(spark, d).select("vec_id", "label", vectors.cross_entropy(v, g).alias("ce"), vectors.softplus_rank_loss(v, g).alias("rank_loss"))
 
-@query("SELECT vec_id, round(abs(CAST(embedding[1] AS DOUBLE)) + 10 * abs(CAST(embedding[2] AS DOUBLE)), 6) AS loss FROM embeddings")
+
+@query(f"WITH {_LOGITS} SELECT vec_id, round(rank_loss, 6) AS rank_loss FROM r")
+def softplus_rank_loss(spark, d):
+    return _losses(spark, d).select("vec_id", F.round("rank_loss", 6).alias("rank_loss"))
+
+
+@query(f"WITH {_LOGITS} SELECT vec_id, round(ce + 10 * rank_loss, 6) AS loss FROM r")
 def combined_loss(spark, d):
-    return A.vectors(spark, d).select("vec_id", F.round(vectors.combined_loss(F.abs(F.col("v")[0]), F.abs(F.col("v")[1])), 6).alias("loss"))
+    return _losses(spark, d).select("vec_id", F.round(vectors.combined_loss(F.col("ce"), F.col("rank_loss")), 6).alias("loss"))
+
+
+@query(f"WITH {_LOGITS} SELECT label, round(exp(avg(ce)), 6) AS perplexity FROM r JOIN embeddings USING (vec_id) GROUP BY 1")
+def perplexity(spark, d):
+    return _losses(spark, d).groupBy("label").agg(F.round(F.exp(F.avg("ce")), 6).alias("perplexity"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, {_IDS} AS ids FROM embeddings) SELECT vec_id, array_to_string(ids[45:64], ',') AS kept, CAST(CASE WHEN label + 40 >= 44 THEN label - 4 ELSE -1 END AS INTEGER) AS place,
