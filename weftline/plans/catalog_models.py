@@ -185,6 +185,47 @@ def update_rerun_fallback(spark, d):
     return _updates(spark, d, lambda s, v: F.concat_ws("+", s, v))[0]
 
 
+def _stream_fold(fallback=None):
+    from weftline.streaming.state_fold import SessionFold, field
+
+    code_ = field("code")
+    return SessionFold(lambda s, v: f"{s}|{v}", folds.offline, lambda a, k: code_(a) % 3 == k, lambda a: f"s{code_(a)}", 2, fallback)
+
+
+def _in_pieces(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Extractions of all sessions, and a folder for them."""
+    rows = _summaries(spark, d).select("user_id", F.col("session_num").alias("step"), F.col("date").alias("value"))
+    return rows, folds.shared(spark)
+
+
+@query(f"WITH RECURSIVE {SESSION}, " + _STATE.format(go="st.c % 3 < 2", keep="") + """ SELECT user_id, step, CASE WHEN source = 'fallback' THEN NULL ELSE state END AS state, CASE WHEN source = 'fallback' THEN 'failed' ELSE source END AS source FROM st""")
+def stream_update_run(spark, d):
+    """Two runs over one checkpoint: the first sees half of the sessions, in no order; the second goes on with the rest."""
+    from weftline.streaming import state_fold as S
+
+    rows, at = _in_pieces(spark, d)
+    half = F.pmod(F.xxhash64("user_id", "step"), F.lit(2))
+    for k in range(2):
+        rows.filter(half == k).repartition(3).write.mode("append").parquet(f"{at}/in")
+        out = S.run_fold(spark, f"{at}/in", f"{at}/run", _stream_fold(), files_per_trigger=2)
+    return out.select("user_id", "step", F.when(F.col("source") != "failed", F.col("state")).alias("state"), "source")
+
+
+@query(f"WITH RECURSIVE {SESSION}, " + _STATE.format(go="true", keep="") + " SELECT user_id, step, state, source FROM st")
+def stream_resume_from_log(spark, d):
+    """A new run that starts from the log of another: first each user's sessions up to the third, then, with a checkpoint of
+    its own, all later ones."""
+    from weftline.streaming import state_fold as S
+
+    rows, at = _in_pieces(spark, d)
+    fold = _stream_fold(lambda s, v: f"{s}+{v}")
+    rows.filter("step <= 3").write.parquet(f"{at}/first")
+    one = S.run_fold(spark, f"{at}/first", f"{at}/one", fold)
+    rows.filter("step > 3").write.parquet(f"{at}/later")
+    two = S.run_fold(spark, f"{at}/later", f"{at}/two", fold, S.last_states(one))
+    return one.unionByName(two).select("user_id", "step", "state", "source")
+
+
 @query(f"""WITH x AS (SELECT p_partkey, list_filter([0, 1, 2], lambda k: {code("k || '|' || p_name")} % 2 = 0)[1] AS r FROM part) SELECT p_partkey, CAST(r AS INTEGER) AS round FROM x WHERE r IS NOT NULL""")
 def retry_rounds(spark, d):
     def run(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -18,20 +14,10 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, s1, s2 = state.get if state.exists else (0, 0, 0)
-    for b in batches:
-        c = (b["value"].fillna(0.0) * 100).round().astype("int64")
-        n, s1, s2 = n + len(c), s1 + int(c.sum()), s2 + int((c * c).sum())
-    state.update((n, s1, s2))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "s1": [s1], "s2": [s2]})
-
-
 def running_moments(events: DataFrame) -> DataFrame:
     """Integer moments of each user's values so far, a row per user and trigger that touches it."""
-    return events.groupBy("user_id").applyInPandasWithState(
-        _fold, "user_id long, n long, s1 long, s2 long", "n long, s1 long, s2 long", "update", GroupStateTimeout.NoTimeout
-    )
+    c = F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(c).alias("s1"), F.sum(c * c).alias("s2"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
