@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import json as J
 from weftline.functions import text as X
-from weftline.operators import folds, history, lists, merging, personas, ranking, sessions, vectors
+from weftline.operators import folds, history, lists, merging, neighbours, personas, ranking, sessions, vectors
 
 
 def literal_sessions(items):
@@ -259,12 +259,12 @@ def test_nearest_against_all_pairs(spark):
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     d = np.round(1 - u @ u.T, 9)
     want = {(i, k + 1): j for i in range(90) for k, (_, j) in enumerate(sorted((d[i, j], j) for j in range(90) if j != i)[:4])}
-    block = vectors.BLOCK
+    block = neighbours.BLOCK
     try:
-        vectors.BLOCK = 25
+        neighbours.BLOCK = 25
         got = {(g["query"], g["rank"]): g.neighbour for g in vectors.nearest(df, 4, "id", "v").collect()}
     finally:
-        vectors.BLOCK = block
+        neighbours.BLOCK = block
     assert got == want
 
 

@@ -51,10 +51,11 @@ def units_sql(share: str) -> str:
 
 
 def mean_of(s1: Column, n: Column) -> Column:
-    """The mean from the sum of units."""
-    return s1.cast("double") / (n * float(UNITS))
+    """The mean from the sum of units; 0 for none."""
+    return s1.cast("double") / (F.greatest(n, F.lit(1)) * float(UNITS))
 
 
 def variance_of(s1: Column, s2: Column, n: Column) -> Column:
     """The population variance from the sums of units and their squares: one rounding, by the division."""
-    return (n * s2 - s1 * s1).cast("double") / (n.cast("double") * n * float(UNITS * UNITS))
+    own = F.greatest(n, F.lit(1)).cast("double")
+    return (n * s2 - s1 * s1).cast("double") / (own * own * float(UNITS * UNITS))

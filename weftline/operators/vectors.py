@@ -1,20 +1,15 @@
 """Vector measures: diversity of embeddings, judge scores, and the training losses' arithmetic.
 
-Pairwise means have closed forms over unit vectors, so that no pair is ever formed. Nearest neighbours compare all
-pairs by definition: queries are dealt out in blocks against every block of the table, and only k rows per query and
-block leave a task.
+Pairwise means have closed forms over unit vectors, so that no pair is ever formed; nearest neighbours are found in
+`neighbours`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from weftline.operators.neighbours import nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,45 +34,6 @@ def mean_pairwise_distance(vectors: DataFrame, vector: str, digits: int = 6) ->
     return total.select(n.alias("n"), F.round(1 - (F.col("a") - F.col("b")) / (n * (n - 1)), digits).alias("avg_distance"))
 
 
-def nearest(vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """(query, neighbour, distance) of each vector's k nearest others by cosine distance (ties: lowest key)."""
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and key is not null")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    sides = [
-        own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), F.col("b").alias("b"), F.lit(0).alias("side"), "key", "v").select("b", "o", "side", "key", "v"),
-        own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.col("b").alias("o"), F.lit(1).alias("side"), "key", "v").select(F.col("q").alias("b"), "o", "side", "key", "v"),
-    ]
-
-    def solve(keys: pa.Table) -> pa.Table:
-        side, key_, v = keys["side"].to_numpy(), keys["key"].to_numpy(), np.array(keys["v"].to_pylist(), np.float64)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        others = key_[x]
-        out: list[list] = [[key_[:0]], [key_[:0]], [v[:0, 0] if v.size else np.zeros(0)]]
-        if not len(x):
-            q = q[:0]
-        for i in range(0, len(q), 256):
-            d = np.round(1 - v[q[i : i + 256]] @ v[x].T, 9)
-            own = key_[q[i : i + 256]]
-            d[own[:, None] == others[None, :]] = np.inf
-            # the k-th least distance, and among all that reach it the least keys
-            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            row, col = np.nonzero((d <= edge[:, None]) & (d < np.inf))
-            by = np.lexsort((others[col], d[row, col], row))
-            row, col = row[by], col[by]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            out[0].append(own[row])
-            out[1].append(others[col])
-            out[2].append(d[row, col])
-        return pa.table({n: np.concatenate(o) for n, o in zip(("query", "neighbour", "distance"), out)})
-
-    met = sides[0].union(sides[1]).groupBy("b", "o").applyInArrow(solve, "query long, neighbour long, distance double")
-    best = met.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("x"))
-    return best.select("query", F.posexplode("x").alias("r", "e")).select("query", (F.col("r") + 1).alias("rank"), "e.neighbour", "e.distance")
-
-
 def knn_distance(vectors: DataFrame, k: int, key: str, vector: str, digits: int = 6) -> DataFrame:
     """Mean distance to the k nearest others; no more than k vectors are an error."""
     found = nearest(vectors, k, key, vector)
