@@ -8,7 +8,8 @@ them, which keeps products. Two unit vectors at cosine t are at most sqrt(2 - 2t
 that width along the first axis, and bins, in ranges of the second axis, to tiles of about TILE classes. Tiles at most
 two bins apart meet if their boxes over the first BOX axes are near enough. In a pair of tiles, products are summed over leading axes first; what the other axes can add is bounded by the
 product of the suffix norms, and a pair is dropped once the bound stays under the threshold. Pairs left are computed
-from the vectors as they are. A pair of tiles passes on link counts and a spanning star, never its pairs.
+from the vectors as they are, a block of a few rows at a time. A pair of tiles passes on link counts and a spanning star,
+and holds no more of its pairs than a block's.
 
 Defined results: n_links counts the other vectors linked directly (copies among them), component_id is the smallest
 vec_id reachable (itself where nothing is), null ids are kept; vectors of unlike lengths do not link; repeated rows
@@ -31,6 +32,8 @@ from weftline.llm.common import Scratch
 from weftline.llm.components import components, spanning
 
 TILE = 1024
+#: Rows and columns of a block within a pair of tiles.
+ROWS, COLUMNS = 64, 1024
 BOX = 8
 #: Ranges of the second axis that a bin is cut into at most; larger ones are dealt by hash.
 RANGES = 64
@@ -70,27 +73,29 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def near(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of x and y whose cosine reaches the threshold."""
+def near(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of x and y whose cosine reaches the threshold, a block of ROWS x COLUMNS pairs at a time."""
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     a, b = (x / nx[:, None]) @ turn, (y / ny[:, None]) @ turn
     d = x.shape[1]
     least = threshold - 1e-9
     cuts = sorted({max(1, d // s) for s in STEPS})
-    c = cuts[0]
-
-    def rest(m: np.ndarray, k: int) -> np.ndarray:
-        return np.sqrt((m[:, k:] ** 2).sum(1))
-
-    i, j = np.nonzero(a[:, :c] @ b[:, :c].T + np.outer(rest(a, c), rest(b, c)) >= least)
-    part = (a[i, :c] * b[j, :c]).sum(1)
-    for k in cuts[1:]:
-        part = part + (a[i, c:k] * b[j, c:k]).sum(1)
-        keep = part + rest(a, k)[i] * rest(b, k)[j] >= least
-        i, j, part, c = i[keep], j[keep], part[keep], k
-    cosine = (x[i] * y[j]).sum(1) / (nx[i] * ny[j])
-    keep = cosine >= threshold
-    return i[keep], j[keep]
+    rest_a, rest_b = ({k: np.sqrt((m[:, k:] ** 2).sum(1)) for k in cuts} for m in (a, b))
+    for lo in range(0, len(x), ROWS):
+        for at in range(0, len(y), COLUMNS):
+            p, q, c = a[lo : lo + ROWS], b[at : at + COLUMNS], cuts[0]
+            ra, rb = ({k: r[o : o + n] for k, r in rest.items()} for rest, o, n in ((rest_a, lo, ROWS), (rest_b, at, COLUMNS)))
+            lead = p[:, :c] @ q[:, :c].T
+            i, j = np.nonzero(lead + np.outer(ra[c], rb[c]) >= least)
+            part = lead[i, j]
+            for k in cuts[1:]:
+                part = part + np.einsum("ij,ij->i", p[i, c:k], q[j, c:k])
+                keep = part + ra[k][i] * rb[k][j] >= least
+                i, j, part, c = i[keep], j[keep], part[keep], k
+            i, j = i + lo, j + at
+            cosine = (x[i] * y[j]).sum(1) / (nx[i] * ny[j])
+            keep = cosine >= threshold
+            yield i[keep], j[keep]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -132,6 +137,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     place = F.size(F.filter("cuts", lambda x: x < second)).cast("long")
     tiled = binned.join(bins, ["label", "d", "bin"]).withColumn("i", place * F.col("deal") + F.pmod(F.xxhash64("c"), F.col("deal")))
     tiled = scratch.put(tiled.select("c", "label", "v", "n", "d", "bin", "i", "box"))
+    # ranges of more than TILE, as of ties on the second axis, are dealt by hash
+    deal = tiled.groupBy("label", "d", "bin", "i").agg(F.ceil(F.count("*") / TILE).cast("long").alias("deal")).filter("deal > 1")
+    again = F.pmod(F.xxhash64("c", F.lit(1)), F.coalesce("deal", F.lit(1)))
+    tiled = tiled.join(deal, ["label", "d", "bin", "i"], "left").withColumn("i", F.shiftleft("i", 32) + again).drop("deal")
+    tiled = scratch.put(tiled.select("c", "label", "v", "n", "d", "bin", "i", "box"))
     ends = [f(F.col("box")[k]).alias(f"{name}{k}") for k in range(BOX) for name, f in (("low", F.min), ("high", F.max))]
     boxes = scratch.put(tiled.groupBy("label", "d", "bin", "i").agg(*ends))
     other = boxes.withColumnsRenamed({"bin": "b2", "i": "j"} | {f"{x}{k}": f"{x}_{k}" for x in ("low", "high") for k in range(BOX)})
@@ -154,20 +164,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
         x = _matrix(batch.column(4))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         own = not len(right)
-        i, j = near(x[left], x[left] if own else x[right], turns[x.shape[1]], threshold)
-        i, j = left[i], (left if own else right)[j]
-        if own:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        if not len(i):
+        right = left if own else right
+        degree = np.zeros(len(c), np.int64)
+        star = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in near(x[left], x[right], turns[x.shape[1]], threshold):
+            i, j = left[i], right[j]
+            if own:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            degree += np.bincount(i, n[j], len(c)).astype(np.int64) + np.bincount(j, n[i], len(c)).astype(np.int64)
+            # what is held of the links is a spanning star
+            star = spanning(np.concatenate([star[0], c[i]]), np.concatenate([star[1], c[j]]))
+        linked = np.flatnonzero(degree)
+        if not len(linked):
             return None
-        u = np.concatenate([c[i], c[j]])
-        w = np.concatenate([n[j], n[i]])
-        ids, at = np.unique(u, return_inverse=True)
-        total = np.bincount(at, weights=w).astype(np.int64)
-        a, b = spanning(c[i], c[j])
+        a, b = star
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([ids, b])), pa.array(np.concatenate([total, np.zeros(len(a), np.int64)]))], names=["u", "v", "w"]
+            [pa.array(np.concatenate([c[linked], a])), pa.array(np.concatenate([c[linked], b])), pa.array(np.concatenate([degree[linked], np.zeros(len(a), np.int64)]))], names=["u", "v", "w"]
         )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
