@@ -8,7 +8,7 @@ candidate whose probability reaches its kind's threshold is a span.
 
 Trees and thresholds are trained here, on TRAIN_ROWS labelled candidates that `labelled` writes from templates with a
 fixed seed; thresholds are the least that keep precision at PRECISION on the half held out from the trees, lowered where
-recall would fall under RECALL.
+recall would fall under RECALL, and one half at least.
 
 Defined results: null text is the empty text and has no spans; texts of any length are searched whole, and each
 pattern takes linear time; ties of start go by kind; repeated rows get equal results; extra columns stay out of the
@@ -37,7 +37,7 @@ ADDED = ("address", "national", "identity", "account", "hardware", "secret")
 #: Labelled candidates that the trees and thresholds are fitted on.
 TRAIN_ROWS = 12_000
 #: Thresholds keep this precision where that leaves this recall; else recall comes first.
-PRECISION, RECALL = 0.99, 0.95
+PRECISION, RECALL = 0.995, 0.95
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -266,7 +266,7 @@ class Trees:
         return 1 / (1 + np.exp(-out))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.3) -> Trees:
     """Newton boosting of the logistic loss, cuts taken at 31 quantiles of each feature."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.03, 0.97, 31))) for j in range(x.shape[1])]
     start = math.log(y.mean() / (1 - y.mean()))
@@ -317,7 +317,7 @@ def model(rows: int = TRAIN_ROWS) -> tuple[Trees, dict[str, float]]:
         right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= PRECISION)
         precise = float(p[order[good[-1]]]) if len(good) else 2.0
-        limits[kind] = min(precise, float(np.quantile(p[own][truth[own] == 1], 1 - RECALL)))
+        limits[kind] = max(0.5, min(precise, float(np.quantile(p[own][truth[own] == 1], 1 - RECALL))))
     return trees, limits
 
 
