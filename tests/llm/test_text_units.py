@@ -244,3 +244,15 @@ def test_gate_covers_templates():
 def test_repeat_words_by_hand():
     assert quality._repeats(b"a b c d a b c".split()) == 6
     assert Counter([1])[2] == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(["ab", "aab", "aeiou", "abcdefghijklmnop", "é", "hax"]), st.integers(240, 900), st.integers(0, 10**6))
+def test_long_words(name, letters, size, seed):
+    """Words that are merged a pair's places at a time, with runs whose places overlap."""
+    codec, lib = CODECS[name]
+    r = random.Random(seed)
+    word = "".join(r.choice([r.choice(letters), letters, r.choice(letters) * 3]) for _ in range(size))
+    assert codec.merger.rising
+    assert codec.encode([word]) == [lib.encode(word, add_special_tokens=False).ids]

@@ -3,7 +3,8 @@
 A word is a row of symbols. A segment tree over its adjacent pairs holds (merge rank, position); the root
 is the leftmost pair of lowest rank. A merge changes two pairs, and each change climbs the tree in
 logarithmic time; a word is done when its root holds no mergeable pair. Many words are encoded at once: one
-tree per row of a matrix, so that a step is one array operation over all words that still merge.
+tree per row of a matrix, so that a step is one array operation over all words that still merge. In a long word a step merges
+all places of the root's pair.
 
 Defined results: null text is the empty text, which has no ids and decodes to the empty string; texts of any length are
 taken whole; repeated rows give repeated results; ties of rank go to the leftmost pair; extra columns stay out of the
@@ -36,6 +37,8 @@ CACHE_CHARS = 64
 AS_IS, WORD, SPECIAL = "\x1c", "\x1d", "\x1e"
 #: Marks that are words of their own behind a word of letters.
 PLAIN_MARKS = tuple(",.!?;:|")
+#: Words of so many bytes are encoded one at a time, all places of a pair in one step.
+LONG = 256
 #: No merge: larger than any rank and position.
 NONE = np.int64(1) << 62
 _POS = 32  # low bits of a tree entry hold the position
@@ -62,6 +65,10 @@ class Merger:
         self.order = np.argsort(key, kind="stable")
         self.keys, self.rank_of = key[self.order], self.order.astype(np.int64)
         self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        first = np.full(max(vocab.values()) + 1, -1, np.int64)
+        np.maximum.at(first, self.made, np.arange(len(pairs)))
+        #: Whether every merge ranks behind those that make its parts.
+        self.rising = bool((np.maximum(first[a], first[b]) < np.arange(len(pairs))).all())
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -77,6 +84,11 @@ class Merger:
         while start < len(order):
             end = int(np.searchsorted(lengths[order], width, side="right"))
             step = max(1, (1 << 18) // width)
+            if width >= LONG and self.rising:
+                for k in order[start:end].tolist():
+                    ids = self._long(words[k], width)
+                    out[k] = ids.astype("<u4").tobytes() if packed else ids.tolist()
+                start = end
             for i in range(start, end, step):
                 part = order[i : min(end, i + step)]
                 ids, ends = self._rows([words[j] for j in part], lengths[part], width)
@@ -134,6 +146,52 @@ class Merger:
         kept = symbols >= 0
         return symbols[kept], np.cumsum(kept.sum(1))
 
+    def _long(self, word: bytes, width: int) -> np.ndarray:
+        """One long word: a step merges all places of the root's pair, left to right without overlaps.
+
+        Where every merge ranks behind those that make its parts (`rising`), a merge leaves only pairs that rank behind
+        it, so that the places of one pair follow each other in any case.
+        """
+        n = len(word)
+        symbols = np.full(width, -1, np.int64)
+        symbols[:n] = self.plain[np.frombuffer(word, np.uint8)]
+        symbols[n - 1] = self.last[word[-1]]
+        after, before = np.arange(1, width + 1), np.arange(-1, width - 1)
+        tree = np.full(2 * width, NONE, np.int64)
+        rank = self.ranks(symbols[:-1], symbols[1:])
+        tree[width : 2 * width - 1] = np.where(rank >= 0, rank << _POS | np.arange(width - 1), NONE)
+        half = width // 2
+        while half:
+            tree[half : 2 * half] = np.minimum(tree[2 * half : 4 * half : 2], tree[2 * half + 1 : 4 * half : 2])
+            half //= 2
+        while tree[1] < NONE:
+            best = tree[1] >> _POS
+            node = np.array([1])
+            while node[0] < width:  # down to all leaves of the root's rank
+                node = (2 * node[:, None] + (0, 1)).ravel()
+                node = node[tree[node] >> _POS == best]
+            at = node - width
+            # of a run of overlapping places every other one
+            fresh = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - head) % 2 == 0]
+            gone = after[at]
+            nxt = after[gone]
+            symbols[at], symbols[gone], after[at] = self.made[best], -1, nxt
+            inner = nxt < width
+            before[nxt[inner]] = at[inner]
+            prev = before[at]
+            left = np.concatenate([at, prev[prev >= 0]])
+            right = after[left]
+            rank = self.ranks(symbols[left], np.where(right < width, symbols[np.minimum(right, width - 1)], -1))
+            tree[gone + width] = NONE
+            tree[left + width] = np.where(rank >= 0, rank << _POS | left, NONE)
+            node = np.concatenate([gone, left]) + width
+            while node[0] > 1:
+                node = np.unique(node >> 1) if len(node) > 8 else node >> 1
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return symbols[symbols >= 0]
+
     @staticmethod
     def _point(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
         node = at + width
