@@ -48,12 +48,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "f")).count() == 1
     K.write_quarantined(df.filter("ok"), "ok", str(tmp_path / "v"), str(tmp_path / "f"))
     assert not (tmp_path / "f").exists()
-    assert [K.write_versioned(df, str(tmp_path / "w"))[-3:] for _ in range(2)] == ["v=1", "v=2"]
+    assert [K.write_versioned(df, str(tmp_path / "w")) for _ in range(2)] == [1, 2]
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "a.json").write_text("[]")
     (tmp_path / "e" / "b.json").write_text("[1]")
     (tmp_path / "e" / "c.json").write_text("")
-    assert [p[-6:] for p in K.empty_artefacts(spark, str(tmp_path / "e"), remove=True)] == ["a.json", "c.json"]
+    assert sorted(r.name for r in K.empty_artefacts(spark, str(tmp_path / "e"), remove=True).collect()) == ["a.json", "c.json"]
     assert not (tmp_path / "e" / "a.json").exists()
     K.write_partitioned(df.withColumn("variant", F.col("ok").cast("string")), str(tmp_path / "p"), "variant")
     assert (tmp_path / "p" / "variant=true").exists()

@@ -13,6 +13,8 @@ from weftline.plans.adapters import ORDERS, WATCH, load
 from weftline.plans.registry import query
 from weftline.sources import readers as R
 from weftline.sources import writers as K
+from weftline.sources.store import KeyStore
+from weftline.sources.versions import Versions
 
 
 def _file(spark: SparkSession, path: str, text: str = "") -> None:
@@ -91,12 +93,17 @@ def numbered_sources(spark, d):
     return merging.last_wins(found, ["key"], "source_rank", "seq").select("key", "source_rank", "payload")
 
 
-@query("SELECT * FROM (VALUES (10), (20)) AS t(step)")
+@query("SELECT CAST(o_custkey AS INTEGER) AS step, count(*) AS n FROM orders WHERE o_custkey % 10 = 0 AND o_custkey >= 20 GROUP BY 1")
 def checkpoint_listing(spark, d):
+    """A checkpoint folder for each customer's orders, and others; those of the stride, from a bound on, are read back."""
     at = folds.shared(spark)
-    for n in ("checkpoint-5", "checkpoint-10", "checkpoint-20", "checkpoint-30", "checkpoint-x", "other"):
+    orders = load(spark, d, "orders").select("o_orderkey", F.concat(F.lit("checkpoint-"), F.col("o_custkey").cast("string")).alias("name"))
+    K.write_checkpoints(orders.filter("name like '%0'"), "name", at)
+    for n in ("checkpoint-x", "other-20"):
         _file(spark, f"{at}/{n}/state")
-    return R.checkpoints(spark, at, stride=10, low=10, high=20).select("step")
+    found = R.checkpoints(spark, at, stride=10, low=20)
+    rows = R.checkpoint_rows(spark, found, "o_orderkey long")
+    return rows.groupBy("step").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_name AS query, 'Tell ' || n_name || ' of ' || r_name || '.' AS prompt FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -108,21 +115,47 @@ def templates_and_pairs(spark, d):
     return R.pairs(spark, at).select("query", X.fill(told, {"query": F.col("query"), "item": F.col("item")}).alias("prompt"))
 
 
-@query(f"WITH {ORDERS} SELECT user_id, arg_max(memory, step) AS state, CAST(max(step) AS INTEGER) AS step FROM ol WHERE step <= 3 GROUP BY 1")
+_STORE = "user_id bigint, step int, state string"
+
+
+def _store(spark: SparkSession, d: str, parts: int) -> KeyStore:
+    """orders as states by user and step, in several runs."""
+    o = A.orders_log(spark, d).select("user_id", F.col("step").cast("int").alias("step"), F.col("memory").alias("state"), "status")
+    o, store = folds.written(o), KeyStore(spark, folds.shared(spark), _STORE, "user_id", "step", 8)
+    for k in range(parts):
+        store.put(o.filter(F.col("step") % parts == k))
+    store.put(o.filter("status = 'F'").withColumn("state", F.concat("state", F.lit("!"))))
+    return store
+
+
+_STORED = ORDERS + ", st AS (SELECT user_id, step, memory || CASE WHEN status = 'F' THEN '!' ELSE '' END AS state FROM ol)"
+
+
+@query(f"WITH {_STORED} SELECT user_id, arg_max(state, step) AS state, CAST(max(step) AS INTEGER) AS step FROM st GROUP BY 1")
 def user_step_store(spark, d):
-    at, o = folds.shared(spark), A.orders_log(spark, d)
-    for n in range(1, 4):
-        K.checkpoint_state(o.filter(F.col("step") == n).select("user_id", "step", F.col("memory").alias("state")), at)
-    return folds.resume_state(spark.read.parquet(at), "user_id", "step")
+    """Every step of every user in three runs, a fourth over some of them; the last state after compaction."""
+    store = _store(spark, d, 3)
+    store.compact()
+    return store.latest().select("user_id", "state", "step")
+
 
+@query(f"WITH {_STORED} SELECT a.user_id, CAST(b.step AS INTEGER) AS step, a.state AS before, b.state AS now FROM st a JOIN st b ON b.user_id = a.user_id AND b.step = a.step + 1")
+def store_wave_join(spark, d):
+    """State n - 1 beside session n, for all n, from two stores that lie in the same buckets."""
+    met = _store(spark, d, 2).beside(_store(spark, d, 1))
+    return met.select(F.col("key").alias("user_id"), "step", F.col("before.state").alias("before"), F.col("now.state").alias("now"))
 
-@query("SELECT 1 AS v, count(*) AS n FROM region UNION ALL SELECT 2, count(*) FROM nation")
+
+@query("SELECT 1 AS v, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT 2, count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer UNION ALL SELECT 3, count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_acctbal > 0")
 def versioned_sink(spark, d):
-    at = folds.shared(spark)
-    one = K.write_versioned(load(spark, d, "region").select(F.col("r_name").alias("name")), at)
-    two = K.write_versioned(load(spark, d, "nation").select(F.col("n_name").alias("name")), at)
-    count = lambda p, v: spark.read.schema("name string").json(p).agg(F.lit(v).alias("v"), F.count("*").alias("n"))
-    return count(one, 1).unionByName(count(two, 2))
+    """A first version, one that adds to it and one that takes its place, each read back by its number."""
+    at, c = Versions(spark, folds.shared(spark)), load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    at.commit(c.filter("c_nationkey % 2 = 0"))
+    at.commit(c.filter("c_nationkey % 2 <> 0"), append=True)
+    at.commit(c.filter("c_acctbal > 0"))
+    at.stage(c)  # a writer that never came to its commit
+    count = lambda v: at.snapshot("c_custkey long", v).agg(F.lit(v).alias("v"), F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
+    return count(1).unionByName(count(2)).unionByName(count(3))
 
 
 @query("SELECT c_acctbal >= 0 AS ok, count(*) AS n FROM customer GROUP BY 1")
@@ -134,13 +167,15 @@ def quarantine_sink(spark, d):
     return count(f"{at}/valid", True).unionByName(count(f"{at}/failed", False)).groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a.json'), ('b.json')) AS t(name)")
+@query("SELECT n_name || '.json' AS name, CASE WHEN count(c_custkey) = 0 THEN 'empty' ELSE 'full' END AS kind FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name")
 def empty_artefacts(spark, d):
+    """A list of rich customers a nation, some of them empty; the empty ones are found."""
     at = folds.shared(spark)
-    for name, text in (("a.json", ""), ("b.json", "[]"), ("c.json", "[1]"), ("d.json", "[ 1, 2 ]")):
-        _file(spark, f"{at}/{name}", text)
+    rich = load(spark, d, "customer").filter("c_acctbal > 9000").select("c_custkey", "c_nationkey")
+    lists = load(spark, d, "nation").join(rich, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.to_json(F.collect_list("c_custkey")).alias("text"))
+    K.write_named(lists.select(F.concat("n_name", F.lit(".json")).alias("name"), "text"), "name", "text", at)
     found = K.empty_artefacts(spark, at, remove=False)
-    return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in found], "name string")
+    return lists.select(F.concat("n_name", F.lit(".json")).alias("name")).join(found.select("name", F.lit("empty").alias("k")), "name", "left").select("name", F.coalesce("k", F.lit("full")).alias("kind"))
 
 
 @query("SELECT c_mktsegment AS split, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer GROUP BY 1")

@@ -109,6 +109,15 @@ def checkpoints(spark: SparkSession, root: str, stride: int = 1, low: int | None
     return rows.orderBy("step")
 
 
+def checkpoint_rows(spark: SparkSession, found: DataFrame, schema: str) -> DataFrame:
+    """The rows of listed checkpoints, each with its step: a name a folder reaches the driver."""
+    paths = [r.path for r in found.select("path").collect()]
+    if not paths:
+        return empty(spark, f"{schema}, step int")
+    rows = spark.read.schema(schema).parquet(*paths)
+    return rows.withColumn("step", F.regexp_extract(F.col("_metadata.file_path"), r"/checkpoint-(\d+)/", 1).cast("int"))
+
+
 def templates(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
     """A literal table of prompt templates by name."""
     return spark.createDataFrame(sorted(rows.items()), "name string, template string")

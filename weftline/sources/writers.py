@@ -43,25 +43,29 @@ def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_versioned(rows: DataFrame, root: str) -> str:
-    """The next version's folder; older versions stay."""
-    spark = rows.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    n = max([int(x[2:]) for x in names if x.startswith("v=") and x[2:].isdigit()], default=0) + 1
-    rows.write.json(f"{root}/v={n}")
-    return f"{root}/v={n}"
+def write_versioned(rows: DataFrame, root: str) -> int:
+    """rows as the table's next version, whoever else writes one; older versions stay."""
+    from weftline.sources.versions import Versions
+
+    return Versions(rows.sparkSession, root).commit(rows)
 
 
 def write_quarantined(rows: DataFrame, valid: str, path: str, failed: str) -> None:
-    """Valid rows to path, the others to failed, which goes if there are none."""
-    rows.filter(F.col(valid)).drop(valid).write.mode("overwrite").json(path)
-    bad = rows.filter(~F.coalesce(F.col(valid), F.lit(False))).drop(valid)
-    if bad.isEmpty():
-        delete(rows.sparkSession, failed)
-    else:
-        bad.write.mode("overwrite").json(failed)
+    """Valid rows to path, the others to failed, which goes if there are none. The input runs once, into a folder a
+    verdict, and the folders are moved."""
+    spark, both = rows.sparkSession, f"{path}.parts"
+    verdict = F.coalesce(F.col(valid), F.lit(False)).alias("_verdict")
+    rows.select(verdict, *[c for c in rows.columns if c != valid]).write.mode("overwrite").partitionBy("_verdict").json(both)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = name(both).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for to, part in ((path, "true"), (failed, "false")):
+        fs.delete(name(to), True)
+        found = name(f"{both}/_verdict={part}")
+        if fs.exists(found):
+            fs.rename(found, name(to))
+        elif part == "true":
+            fs.mkdirs(name(to))
+    fs.delete(name(both), True)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -69,19 +73,37 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def empty_artefacts(spark: SparkSession, root: str, remove: bool = False) -> list[str]:
-    """Files under root with nothing in them or an empty list; removed unless this is a dry run."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for s in fs.listStatus(at) if fs.exists(at) else []:
-        path = s.getPath().toString()
-        small = s.isFile() and s.getLen() <= 4
-        if small and (s.getLen() == 0 or "".join(r.value for r in spark.read.text(path).collect()).strip() == "[]"):
-            found.append(path)
-            if remove:
-                fs.delete(s.getPath(), False)
-    return sorted(found)
+def write_checkpoints(rows: DataFrame, name: str, root: str) -> None:
+    """rows under root in a folder for each name."""
+    rows.repartition(name).write.mode("overwrite").partitionBy(name).parquet(f"{root}/.parts")
+    path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(path(f"{root}/.parts")):
+        if s.isDirectory():
+            fs.rename(s.getPath(), path(f"{root}/{s.getPath().getName().split('=', 1)[1]}"))
+    delete(rows.sparkSession, f"{root}/.parts")
+
+
+def write_named(rows: DataFrame, name: str, text: str, root: str) -> None:
+    """A folder under root for each name, with its text as a file."""
+    rows.select(name, text).repartition(name).write.mode("append").partitionBy(name).text(root)
+
+
+def empty_artefacts(spark: SparkSession, root: str, remove: bool = False) -> DataFrame:
+    """(path, name) of files under root with nothing in them or an empty list, name being the folder's value where there
+    is one, else the file's; removed unless this is a dry run. The files are listed and read on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    small = F.when(F.col("length") <= 4, F.col("content").cast("string"))
+    found = files.filter((F.col("length") == 0) | F.trim(F.regexp_replace(small, r"\s", "")).isin("[]", ""))
+    folder = F.regexp_extract("path", r"/[^/=]+=([^/]+)/[^/]*$", 1)
+    out = found.select("path", F.when(folder != "", folder).otherwise(F.regexp_extract("path", "([^/]+)$", 1)).alias("name"))
+    if remove:
+        from weftline.operators.folds import written
+
+        out = written(out)
+        for r in out.select("path").toLocalIterator():
+            delete(spark, r.path)
+    return out
 
 
 def checkpoint_state(state: DataFrame, path: str, user: str = "user_id") -> None:
