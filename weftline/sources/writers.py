@@ -91,10 +91,18 @@ def write_named(rows: DataFrame, name: str, text: str, root: str) -> None:
 
 def empty_artefacts(spark: SparkSession, root: str, remove: bool = False) -> DataFrame:
     """(path, name) of files under root with nothing in them or an empty list, name being the folder's value where there
-    is one, else the file's; removed unless this is a dry run. The files are listed and read on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = F.when(F.col("length") <= 4, F.col("content").cast("string"))
-    found = files.filter((F.col("length") == 0) | F.trim(F.regexp_replace(small, r"\s", "")).isin("[]", ""))
+    is one, else the file's; removed unless this is a dry run. Small files are read on the executors; files of no length,
+    which Spark does not scan, come from the store's listing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    none, listed = [], fs.listFiles(at, True) if fs.exists(at) else None
+    while listed is not None and listed.hasNext():
+        s = listed.next()
+        if not s.getLen() and s.getPath().getName()[:1] not in "._":
+            none.append((s.getPath().toString(),))
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter("length <= 4")
+    found = small.filter(F.regexp_replace(F.col("content").cast("string"), r"\s", "").isin("[]", "")).select("path")
+    found = found.unionByName(spark.createDataFrame(none, "path string"))
     folder = F.regexp_extract("path", r"/[^/=]+=([^/]+)/[^/]*$", 1)
     out = found.select("path", F.when(folder != "", folder).otherwise(F.regexp_extract("path", "([^/]+)$", 1)).alias("name"))
     if remove:
