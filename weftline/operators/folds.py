@@ -14,7 +14,10 @@ import json
 import tempfile
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,37 +50,97 @@ def offline_fields(*names: str) -> Caller:
     return lambda prompts, attempt=0: [json.dumps({n: hashlib.md5(f"{n}|{p}".encode()).hexdigest()[:8] for n in names}) for p in prompts]
 
 
-def with_backoff(call: Caller, attempts: int = 6, first: float = 1.0, longest: float = 60.0, sleep=time.sleep) -> Caller:
-    """Repeats a failing call after growing pauses; in the end '{}' for each prompt."""
+@dataclass(frozen=True)
+class Limits:
+    """How calls run: in_flight at once on the whole cluster, so many of them in one task; tries of a call that fails, the
+    pauses between them, and the longest answer that is taken."""
 
-    def run(prompts: list[str], attempt: int = 0) -> list[str]:
-        for k in range(attempts):
-            try:
-                return call(prompts, attempt)
-            except Exception:
-                if k + 1 < attempts:
-                    sleep(min(longest, first * 2**k))
-        return ["{}"] * len(prompts)
+    in_flight: int = 64
+    per_task: int = 8
+    tries: int = 6
+    first: float = 1.0
+    longest: float = 60.0
+    most_chars: int = 1 << 20
 
-    return run
+    @property
+    def tasks(self) -> int:
+        return max(1, self.in_flight // self.per_task)
+
+
+#: What a call that never succeeds, or whose answer is too long, comes to.
+NOTHING = "{}"
+
+
+def one_call(call: Caller, prompt: str, attempt: int, limits: Limits, sleep=time.sleep) -> tuple[str, int]:
+    """A call's answer and the tries it took. Pauses double and are cut short by a share that the prompt's digest sets, so
+    that callers that fail together do not come back together."""
+    for k in range(limits.tries):
+        try:
+            out = call([prompt], attempt)[0]
+            return (out if len(out) <= limits.most_chars else NOTHING), k + 1
+        except Exception:
+            if k + 1 < limits.tries:
+                jitter = code_of(f"{k}|{prompt}") / 16**7 / 2
+                sleep(min(limits.longest, limits.first * 2**k) * (1 - jitter))
+    return NOTHING, limits.tries
+
+
+def with_backoff(call: Caller, attempts: int = 6, first: float = 1.0, longest: float = 60.0, sleep=time.sleep) -> Caller:
+    """Repeats a failing call after growing pauses; in the end NOTHING. A batch that fails is called prompt by prompt."""
+    limits = Limits(tries=attempts, first=first, longest=longest)
+    return lambda prompts, attempt=0: [one_call(call, p, attempt, limits, sleep)[0] for p in prompts]
 
 
 def call_model(rows: DataFrame, prompt: str, call: Caller, attempt: int = 0) -> DataFrame:
-    """Adds response to every row."""
+    """Adds response to every row, a batch a call; a batch that fails goes prompt by prompt, with pauses, and a prompt that
+    fails for good comes to NOTHING."""
     at = rows.columns.index(prompt)
+    again = with_backoff(call)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = call([p or "" for p in b.column(at).to_pylist()], attempt)
+            prompts = [p or "" for p in b.column(at).to_pylist()]
+            try:
+                out = call(prompts, attempt)
+            except Exception:
+                out = again(prompts, attempt)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "response"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, schema + ", response string")
 
 
-def limited(rows: DataFrame, most: int) -> DataFrame:
-    """rows in at most so many tasks, each of which has one call in flight."""
-    return rows.coalesce(most)
+def pooled_calls(rows: DataFrame, prompt: str, call: Caller, limits: Limits = Limits(), attempt: int = 0) -> DataFrame:
+    """Adds response and tries to every row, each prompt a call of its own, limits.in_flight at once.
+
+    The stage has limits.tasks tasks, each with a pool of limits.per_task threads: the bound holds however many executors
+    there are. Answers keep their rows' order within a task; a task holds a batch of prompts.
+    """
+    at = rows.columns.index(prompt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(limits.per_task) as pool:
+            for b in batches:
+                got = list(pool.map(lambda p: one_call(call, p or "", attempt, limits), b.column(at).to_pylist()))
+                text, tries = pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns, text, tries], names=[*b.schema.names, "response", "tries"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(limits.tasks).mapInArrow(run, schema + ", response string, tries int")
+
+
+def flaky(call: Caller, fails: Callable[[str], int]) -> Caller:
+    """A stand-in that fails so many times a prompt before it answers; retries of a prompt are one task's."""
+    seen: Counter = Counter()
+
+    def run(prompts: list[str], attempt: int = 0) -> list[str]:
+        for p in prompts:
+            seen[p] += 1
+            if seen[p] <= fails(p):
+                raise ConnectionError("try again")
+        return call(prompts, attempt)
+
+    return run
 
 
 def shared(spark: SparkSession) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.numbers import let
 from weftline.operators.neighbours import nearest
 
 
@@ -51,15 +52,6 @@ def cluster_entropy(sizes: DataFrame, n: str, clusters: int, digits: int = 6) ->
     return sums.select(F.round((F.log(F.col("t").cast("double")) - F.col("x") / F.col("t")) / F.log(F.lit(float(clusters))), digits).alias("entropy"))
 
 
-def kmeans_sizes(vectors: DataFrame, vector: str, clusters: int, seed: int = 42) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.filter(F.col(vector).isNotNull()).select(array_to_vector(unit(F.col(vector).cast("array<double>"))).alias("features"))
-    fitted = KMeans(k=clusters, seed=seed, maxIter=20).fit(rows)
-    return fitted.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
-
-
 def score_report(scores: DataFrame, digits: int = 6) -> DataFrame:
     """(dataset_type, metric, score) to means by metric and by dataset and metric; scores of 0 are errors."""
     return (
@@ -128,9 +120,30 @@ def truncate_left(ids: Column, n: int, place: Column) -> tuple[Column, Column]:
 
 
 def _find(ids: Column, part: Column) -> Column:
-    last = F.size(ids) - F.size(part)
-    at = F.when((last >= 0) & (F.size(part) > 0), F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.try_element_at(F.filter(at, lambda i: F.slice(ids, i + 1, F.size(part)) == part), F.lit(1))
+    """First place of part in ids, null where there is none or part is empty: an automaton with a state for each matched
+    length, of which each state's row is that of its longest proper border with one more step, and one fold over ids."""
+    kind = "array<map<bigint, int>>"
+    ids, part = ids.cast("array<bigint>"), part.cast("array<bigint>")
+    start = F.struct(F.array().cast(kind).alias("rows"), F.lit(0).alias("border"))
+
+    def state(a: Column, p: Column) -> Column:
+        n = F.size(a.rows)
+        back = F.when(n > 0, F.try_element_at(a.rows, a.border + 1)).otherwise(F.create_map().cast("map<bigint, int>"))
+        row = F.map_concat(F.map_filter(back, lambda k, v: k != p), F.create_map(p, n + 1))
+        return F.struct(F.concat(a.rows, F.array(row)).cast(kind).alias("rows"), F.when(n > 0, F.coalesce(F.try_element_at(back, p), F.lit(0))).otherwise(F.lit(0)).alias("border"))
+
+    def step(a: Column, x: Column, rows: Column) -> Column:
+        to = F.coalesce(F.try_element_at(F.try_element_at(rows, a.state + 1), x), F.lit(0))
+        done = a["at"].isNotNull()
+        return F.struct(
+            F.when(done, a.state).otherwise(to).alias("state"), (a.i + 1).alias("i"), F.when(done, a["at"]).when(to == F.size(rows), a.i + 1 - to).alias("at")
+        )
+
+    def search(rows: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("state"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("at"))
+        return F.aggregate(ids, begin, lambda a, x: step(a, x, rows), lambda a: a["at"])
+
+    return F.when(F.size(part) > 0, let(F.aggregate(part, start, state, lambda a: a.rows), search))
 
 
 def find_sequence(ids: Column, part: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import json as J
 from weftline.functions import text as X
 from weftline.functions.numbers import UNITS, round2_sql, units_sql
-from weftline.operators import folds, history, lists, merging, ranking, sessions, vectors
+from weftline.operators import clusters, folds, history, lists, merging, ranking, sessions, vectors
 from weftline.plans import adapters as A
 from weftline.plans import builders
 from weftline.plans.adapters import ATTEMPTS, CANDIDATES, ORDERS, SESSION, WATCH, load
@@ -507,9 +507,18 @@ def cluster_entropy(spark, d):
     return vectors.cluster_entropy(A.vectors(spark, d).groupBy("label").agg(F.count("*").alias("n")), "n", 10)
 
 
-@query()
+_KMEANS = "WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), " + clusters.kmeans_sql("e", "vec_id", "v", 10)
+
+
+@query(_KMEANS + " SELECT key AS vec_id, cluster FROM km")
+def kmeans_clusters(spark, d):
+    return clusters.kmeans(A.vectors(spark, d), "vec_id", "v", 10).select(F.col("key").alias("vec_id"), "cluster")
+
+
+@query(_KMEANS + ", z AS (SELECT count(*) AS n FROM km GROUP BY cluster), t AS (SELECT sum(n) AS t FROM z) SELECT round(-sum(n / t * ln(n / t)) / ln(10), 6) AS entropy FROM z, t")
 def kmeans_entropy(spark, d):
-    return vectors.cluster_entropy(vectors.kmeans_sizes(A.vectors(spark, d), "v", 10), "n", 10)
+    found = clusters.kmeans(A.vectors(spark, d), "vec_id", "v", 10)
+    return vectors.cluster_entropy(found.groupBy("cluster").agg(F.count("*").alias("n")), "n", 10)
 
 
 _SCORES = """sc AS (SELECT lang AS dataset_type, 'quality' AS metric, quality + 1 AS score FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, 'toxicity', toxic * 3 FROM labels JOIN documents USING (doc_id))"""

@@ -87,6 +87,18 @@ def user_stats_rounded(spark, d):
     return out.select("user_id", F.col("watched_pct_avg").alias("mean"), F.col("watched_pct_var").alias("var"), F.col("total_count").alias("n"))
 
 
+# --- calls
+
+
+@query(f"""WITH c AS (SELECT s_suppkey, s_name, {code("s_name")} AS c FROM supplier)
+SELECT s_suppkey, CAST(least(c % 9 + 1, 6) AS INTEGER) AS tries, CASE WHEN c % 9 >= 6 THEN '{{}}' ELSE '{{"text": "' || substr(s_name, 1, 40) || '", "code": ' || c % 1000 || ', "attempt": 0}}' END AS response FROM c""")
+def pooled_calls(spark, d):
+    """Calls that fail up to eight times, which six tries do not always outlast."""
+    calls = folds.flaky(folds.offline, lambda p: folds.code_of(p) % 9)
+    rows = load(spark, d, "supplier").select("s_suppkey", "s_name")
+    return folds.pooled_calls(rows, "s_name", calls, folds.Limits(in_flight=12, per_task=4, first=0.001)).select("s_suppkey", "tries", "response")
+
+
 # --- personas by calls
 
 

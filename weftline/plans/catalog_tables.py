@@ -34,6 +34,22 @@ def jsonl_strict(spark, d):
     return R.jsonl(spark, [f"{at}/a", f"{at}/b"], "p_partkey long, p_name string, p_size int")
 
 
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS line, p_partkey FROM part QUALIFY p_size % 10 = 0")
+def jsonl_malformed(spark, d):
+    """Lines of one file, some of them cut short, found with their numbers over many splits."""
+    at, p = folds.shared(spark), F.col("p_size") % 10 == 0
+    line = F.to_json(F.struct("p_partkey", "p_name"))
+    rows = load(spark, d, "part").orderBy("p_partkey").select(F.when(p, F.concat(F.lit('{"p_partkey": '), F.col("p_partkey").cast("string"))).otherwise(line).alias("value"))
+    rows.coalesce(1).write.text(at)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = folds.written(R.malformed(spark, at, "p_partkey long, p_name string"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    return found.select("line", F.regexp_extract("text", r"(\d+)$", 1).cast("long").alias("p_partkey"))
+
+
 @query("SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size >= 10")
 def jsonl_lenient(spark, d):
     at = folds.shared(spark)

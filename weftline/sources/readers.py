@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,33 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def malformed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(path, line, text) of the lines that are no JSON object of this schema, numbered from 1 in their file.
+
+    Files are split; a line's number is its place in its split and the lines of the splits before, which are counted for
+    the files with such lines alone.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")
+    )
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = lines.filter((F.trim("value") != "") & parsed.getField("_bad").isNotNull())
+    files = bad.select("path").distinct()
+    splits = lines.join(files, "path", "left_semi").groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")
+    met = bad.join(splits.select("path", "start", "first", before.alias("before")), ["path", "start"])
+    return met.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def jsonl_checked(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Strict, with the place of the fault: every line is read once before; the first malformed one is an error that names
+    its path and line."""
+    first = malformed(spark, path, schema).orderBy("path", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].path}:{first[0].line}: malformed line {first[0].text[:80]!r}")
+    return jsonl(spark, path, schema)
+
+
 def jsonl_lenient(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Lines that cannot be read are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
