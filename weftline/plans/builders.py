@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions import json as J
 from weftline.functions import text as X
-from weftline.operators import folds, history, lists, merging, ranking, sessions
+from weftline.operators import clusters, folds, history, lists, merging, personas, ranking, sessions, vectors
 
 
 def split_histories(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,3 +167,59 @@ def rerank_report(wanted: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataF
     """Global and per-session means and status counts over all wanted ids."""
     met = ranking.required(wanted, ranks, "id")
     return ranking.mean_metrics(met, "rank"), ranking.mean_metrics(met, "rank", "session_idx"), met.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def event_prompts(items: DataFrame, profiles: DataFrame, titles: DataFrame) -> DataFrame:
+    """(user_id, session_num, prompt): what the event of a session is made from: the user's profile ('{}' without one), the
+    session's date and weekday, its target item and the other items of the session.
+
+    items: (user_id, session_num, pos, date, weekday, item_id, target, in_session); profiles: (user_id, profile text);
+    titles: (item_id, title), unknown ones shown by their ids.
+    """
+    named = items.join(titles, "item_id", "left").withColumn("title", F.coalesce("title", F.col("item_id").cast("string")))
+    item = F.struct("pos", "title", "target", "in_session")
+    shown = named.groupBy("user_id", "session_num").agg(F.array_sort(F.collect_list(item)).alias("watch"), F.max_by("date", "pos").alias("date"), F.max_by("weekday", "pos").alias("weekday"))
+    rows = shown.join(profiles, "user_id", "left")
+    others = F.array_join(F.transform(lists.sources(F.col("watch")), lambda r: r.title), ", ")
+    target = F.coalesce(lists.last_target(F.col("watch")).title, F.lit(""))
+    return rows.select("user_id", "session_num", F.concat_ws(" | ", F.coalesce("profile", F.lit("{}")), X.day_of(F.col("date"), F.col("weekday")), target, others).alias("prompt"))
+
+
+def event_run(items: DataFrame, profiles: DataFrame, titles: DataFrame, generate: folds.Caller, select: folds.Caller) -> DataFrame:
+    """(user_id, session_num, event): every user's chain of events over those prompts."""
+    return folds.chain_events(event_prompts(items, profiles, titles), "user_id", "session_num", "prompt", generate, select)
+
+
+def dialogue_prompts(windows: DataFrame, events: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(user_id, session_num, prompt): what a dialogue is made from: the behaviour of the sessions before (J04: history of
+    session s - 1; none for the first), the session's event (J05: none where none was made) and its items."""
+    history = windows.select("user_id", (F.col("session_num") + 1).alias("session_num"), F.array_join(F.col("log").cast("array<string>"), ",").alias("history"))
+    keys = ["user_id", "session_num"]
+    rows = prompts.join(history, keys, "left").join(events.select(*keys, "event"), keys, "left")
+    return rows.select(*keys, F.concat_ws(" | ", F.coalesce("history", F.lit("[]")), F.coalesce("event", F.lit(folds.NO_EVENT)), "prompt").alias("prompt"))
+
+
+def dialogue_run(windows: DataFrame, events: DataFrame, prompts: DataFrame, seed: DataFrame, *calls: folds.Caller) -> DataFrame:
+    """Every user's dialogues over those prompts, with the persona and the memory that the ones before left."""
+    return folds.fold_dialogues(dialogue_prompts(windows, events, prompts), seed, "user_id", "session_num", *calls)
+
+
+def diversity_report(personas_: DataFrame, key: str, body: str, k: int = 5, clusters_: int = 10, model=personas.offline_vectors) -> DataFrame:
+    """One row: n, the mean pairwise cosine distance, the mean distance to the k nearest and the entropy of clusters of what
+    nested personas (JSON texts) say; blank ones are left out, and none left is an error."""
+    texts = personas_.select(key, J.values_text(F.col(body)).alias("text"))
+    rows = folds.written(personas.embed(personas.nonempty_texts(texts, "text"), "text", model).select(key, "embedding"))
+    found = clusters.kmeans(rows, key, "embedding", clusters_)
+    pairwise = vectors.mean_pairwise_distance(rows, "embedding").withColumnRenamed("avg_distance", "pairwise")
+    knn = vectors.knn_distance(rows, k, key, "embedding").select(F.col("avg_distance").alias("knn"))
+    entropy = vectors.cluster_entropy(found.groupBy("cluster").agg(F.count("*").alias("n")), "n", clusters_)
+    return pairwise.crossJoin(knn).crossJoin(entropy)  # one row each
+
+
+def persona_history(rows: DataFrame, call: folds.Caller, seed: DataFrame, user: str = "user_id", step: str = "session_num") -> DataFrame:
+    """(user, step, persona, source): the seed at step 0, then each session's update, for which the session's persona is
+    first extracted from its logs; rows: (user, step) and the texts that `personas.extract` takes."""
+    extracted = folds.written(personas.extract(rows, call).select(user, step, "persona"))
+    updated = personas.fold(extracted, seed, user, step, call)
+    first = seed.select(user, F.lit(0).cast(extracted.schema[step].dataType).alias(step), "persona", F.lit("seed").alias("source"))
+    return first.unionByName(updated.select(user, step, "persona", F.lit("updated").alias("source")))

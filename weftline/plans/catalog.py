@@ -877,4 +877,4 @@ def build_responses(spark, d):
     return builders.responses(samples, done, folds.offline).select("id", "gold", F.get_json_object("response", "$.code").cast("long").alias("code"))
 
 
-from weftline.plans import catalog_models, catalog_tables  # noqa: E402, F401  (they register further queries)
+from weftline.plans import catalog_models, catalog_runs, catalog_tables  # noqa: E402, F401  (they register further queries)
