@@ -156,3 +156,23 @@ def test_malformed_lines_have_places(spark, tmp_path):
         assert sorted(r.k for r in good.collect()) == [1, 2]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_partials_merge_once_a_shard(spark, tmp_path):
+    from weftline.operators import progress, ranking
+
+    r = random.Random(6)
+    rows = [(i, i % 3, r.randint(1, 51), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, part int, rank int, session_idx int")
+    root, told = str(tmp_path / "s"), {}
+    work = lambda x: progress.partial(x, "rank", "session_idx")
+    assert progress.snapshot(work(df.filter("part = 1")), 1, root, groups=F.count(F.lit(1))) == {"groups": 2}
+    progress.snapshot(work(df.filter("part = 1")), 1, root)
+    out = progress.run_shards(df, "part", 3, root, work, lambda k, m: told.update({k: m["rows"]}))
+    assert told == {0: 2, 2: 2} and progress.done_shards(spark, root, 3) == [0, 1, 2]
+    got = {x.session_idx: x for x in progress.merge(out, "session_idx").collect()}
+    for want in ranking.mean_metrics(df, "rank", "session_idx").collect():
+        assert {c: got[want.session_idx][c] for c in want.__fields__} == pytest.approx(want.asDict(), abs=2e-6)
+    total = progress.merge(out).first()
+    assert total.n == 200
+    assert progress.merge(out.filter("false")).first().n == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import json as J
 from weftline.functions import text as X
 from weftline.functions.numbers import UNITS, round2_sql, units_sql
-from weftline.operators import clusters, folds, history, lists, merging, ranking, sessions, vectors
+from weftline.operators import clusters, folds, history, lists, merging, progress, ranking, sessions, vectors
 from weftline.plans import adapters as A
 from weftline.plans import builders
 from weftline.plans.adapters import ATTEMPTS, CANDIDATES, ORDERS, SESSION, WATCH, load
@@ -368,6 +368,27 @@ def rank_metrics_global(spark, d):
     return ranking.mean_metrics(_ranks(spark, d), "rank")
 
 
+@query(_RANKS + f" SELECT {_MEANS} FROM rk")
+def rank_metrics_merged(spark, d):
+    """Four workers' partial sums, of which one ran twice and two only after a restart."""
+    ranks, at = folds.written(_ranks(spark, d).withColumn("part", F.col("query") % 4)), folds.shared(spark)
+    work = lambda rows: progress.partial(rows, "rank")
+    for k in (0, 2, 0):
+        progress.snapshot(work(ranks.filter(F.col("part") == k)), k, at)
+    return progress.merge(progress.run_shards(ranks, "part", 4, at, work))
+
+
+@query(_RANKS + " SELECT CAST(query % 3 AS INTEGER) AS shard, count(*) AS n, CAST(sum(rank) AS BIGINT) AS rank_sum, count(*) FILTER (rank = 51) AS n_other FROM rk GROUP BY 1")
+def rank_progress(spark, d):
+    """What is observed of each shard while its snapshot is written."""
+    ranks, at = folds.written(_ranks(spark, d)), folds.shared(spark)
+    seen = [
+        (k, *progress.snapshot(ranks.filter(F.col("query") % 3 == k), k, at, n=F.count(F.lit(1)), s=F.sum(F.col("rank").cast("long")), o=F.count_if(F.col("rank") == 51)).values())
+        for k in range(3)
+    ]
+    return spark.createDataFrame(seen, "shard int, n long, rank_sum long, n_other long")
+
+
 @query(_RANKS + f" SELECT session_idx, {_MEANS} FROM rk GROUP BY 1")
 def rank_metrics_by_session(spark, d):
     return ranking.mean_metrics(_ranks(spark, d), "rank", "session_idx")
