@@ -176,3 +176,14 @@ def test_partials_merge_once_a_shard(spark, tmp_path):
     total = progress.merge(out).first()
     assert total.n == 200
     assert progress.merge(out.filter("false")).first().n == 0
+
+
+def test_pending_failures_stop_a_merge(spark):
+    from weftline.plans import builders
+
+    rows = spark.createDataFrame([("a", 1, 1, 0, 1, "x"), ("a", 1, 1, 1, 0, "y")], "id string, user_id int, session_num int, source_rank int, seq int, v string")
+    failures = spark.createDataFrame([(0,), (2,)], "round int")
+    with pytest.raises(ValueError, match="1 failures are still pending"):
+        builders.merge_extractions(rows, failures)
+    assert [r.v for r in builders.merge_extractions(rows, failures, allow_pending=True).collect()] == ["y"]
+    assert [r.v for r in builders.merge_extractions(rows, failures.filter("round > 5")).collect()] == ["y"]

@@ -333,8 +333,8 @@ def extraction_merge(spark, d):
     li = load(spark, d, "lineitem").join(load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")), "l_orderkey")
     seq = F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
     rows = li.select(F.col("l_orderkey").alias("id"), "user_id", F.lit(1).alias("session_num"), (F.col("l_linenumber") % 3).alias("source_rank"), seq.alias("seq"), F.col("l_suppkey").alias("v"))
-    failures = load(spark, d, "lineitem").filter("l_linenumber < 0").select(F.col("l_linenumber").alias("round"))
-    return builders.merge_extractions(rows, failures).select("id", "user_id", "v")
+    failures = load(spark, d, "lineitem").filter("l_returnflag = 'A'").select((F.col("l_linenumber") % 3).alias("round"))
+    return builders.merge_extractions(rows, failures, allow_pending=True).select("id", "user_id", "v")
 
 
 @query(f"WITH {ORDERS}, u AS (SELECT user_id FROM ol GROUP BY 1 HAVING count(*) > 1) SELECT user_id, CAST(step AS INTEGER) AS step, CAST(sum(o_orderkey) OVER (PARTITION BY user_id ORDER BY step) AS BIGINT) AS state FROM ol WHERE user_id IN (SELECT user_id FROM u)")
