@@ -187,3 +187,34 @@ def test_pending_failures_stop_a_merge(spark):
         builders.merge_extractions(rows, failures)
     assert [r.v for r in builders.merge_extractions(rows, failures, allow_pending=True).collect()] == ["y"]
     assert [r.v for r in builders.merge_extractions(rows, failures.filter("round > 5")).collect()] == ["y"]
+
+
+def test_spans_of_tokens_per_character(spark):
+    r = random.Random(8)
+    tokens, spans, want = [], [], {}
+    for key in range(40):
+        n, at = r.randint(0, 60), 0
+        own = sorted(r.sample(range(n + 1), min(n + 1, r.choice([0, 2, 4, 6]))))
+        mine = list(zip(own[::2], own[1::2]))
+        inside = {c for a, b in mine for c in range(a, b)}
+        spans += [(key, a, b) for a, b in mine]
+        place = 0
+        while at < n:
+            to = at + r.choice([0, 1, 1, 2, 5])
+            tokens.append((key, place, 100 + place, at, to))
+            want[key, place] = 100 + place if inside & set(range(at, to)) else -100
+            at, place = to, place + 1
+    t = spark.createDataFrame(tokens, "key int, place int, id long, start long, end long")
+    s = spark.createDataFrame(spans, "key int, start int, end int")
+    assert {(x.key, x.place): x.label for x in vectors.mask_spans(t, s, "key").collect()} == want
+    assert {x.label for x in vectors.mask_spans(t, s.limit(0), "key").collect()} == {-100}
+
+
+def test_chat_spans_hold_the_messages(spark):
+    from weftline.functions import text as X
+
+    said = [("system", "be é"), ("assistant", "first 🙂"), ("user", ""), ("assistant", ""), ("assistant", "last")]
+    df = spark.createDataFrame([(said,), ([],)], "m array<struct<role: string, content: string>>")
+    for family in ("qwen2.5", "llama"):
+        got, none = df.select(X.chat_text(F.col("m"), family).alias("t"), X.chat_spans(F.col("m"), family=family).alias("s")).collect()
+        assert [got.t[x.start : x.end] for x in got.s] == ["first 🙂", "", "last"] and none.s == []

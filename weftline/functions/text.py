@@ -137,10 +137,28 @@ def answer_blocks(x: Column) -> Column:
     return F.struct(F.when(text.rlike(r"(?is)<answer>.*?</answer>"), strip(block("answer"))).otherwise(text).alias("answer"), strip(block("think")).alias("think"))
 
 
+def _marks(family: str) -> tuple[str, str, str]:
+    # The families' marks before and after a role and after a message.
+    return {"llama": ("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>")}.get(family, ("<|im_start|>", "\n", "<|im_end|>\n"))
+
+
+def chat_spans(messages: Column, role: str = "assistant", family: str = "qwen2.5") -> Column:
+    """(start, end) in code points, of what a role's messages hold in `chat_text`."""
+    start, mid, end = _marks(family)
+    none = F.array().cast("array<struct<start: int, end: int>>")
+
+    def step(a: Column, m: Column) -> Column:
+        lead = a["at"] + F.length(m.role) + len(start) + len(mid)
+        to = lead + F.length(m.content)
+        own = F.when(m.role == role, F.array(F.struct(lead.alias("start"), to.alias("end")))).otherwise(none)
+        return F.struct((to + len(end)).alias("at"), F.concat(a.spans, own).alias("spans"))
+
+    return F.aggregate(messages, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a.spans)
+
+
 def chat_text(messages: Column, family: str = "qwen2.5", generate: bool = False) -> Column:
     """Messages as a model family's prompt text; with `generate`, up to where the assistant begins."""
-    # The families' marks before and after a role and after a message.
-    start, mid, end = {"llama": ("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>")}.get(family, ("<|im_start|>", "\n", "<|im_end|>\n"))
+    start, mid, end = _marks(family)
     each = F.transform(messages, lambda m: F.concat(F.lit(start), m.role, F.lit(mid), m.content, F.lit(end)))
     text = F.array_join(each, "")
     return F.concat(text, F.lit(f"{start}assistant{mid}")) if generate else text

@@ -6,7 +6,7 @@ Pairwise means have closed forms over unit vectors, so that no pair is ever form
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import let
@@ -108,6 +108,25 @@ def label_mask(ids: Column, from_place: Column, ignore: int = -100) -> Column:
     return F.transform(ids, lambda x, i: F.when(i < from_place, F.lit(ignore).cast("long")).otherwise(x.cast("long")))
 
 
+def tokens_of(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, place, token, start, end): the pattern's matches, which must make up the whole text, with their offsets."""
+    each = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("place", "token"))
+    to = F.sum(F.length("token")).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("end", to).withColumn("start", F.col("end") - F.length("token"))
+
+
+def mask_spans(tokens: DataFrame, spans: DataFrame, key: str, token: str = "id", ignore: int | str = -100) -> DataFrame:
+    """tokens (key, place, start, end, ..) with label: the token where it overlaps one of its key's spans (start, end), else
+    ignore. A sweep along each text: a token meets a span if, of those that start before its end, one ends behind its
+    start."""
+    at = tokens.select("*", (F.col("end") - 1).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_to"))
+    marks = spans.select(key, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_to")).filter("_to > _at")
+    reach = F.max("_to").over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    swept = at.unionByName(marks, allowMissingColumns=True).withColumn("_reach", reach).filter("_kind = 1")
+    inside = (F.col("_reach") > F.col("start")) & (F.col("end") > F.col("start"))
+    return swept.withColumn("label", F.when(inside, F.col(token)).otherwise(F.lit(ignore))).drop("_at", "_kind", "_to", "_reach")
+
+
 def fit_right(ids: Column, n: int, pad: int) -> Column:
     """The first n ids, filled up to n."""
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), n)), 1, n)

@@ -420,6 +420,26 @@ def json_encoding(spark, d):
 
 # --- training arithmetic
 
+@query("""WITH m AS (SELECT conv_id, role, text, '<|im_start|>' || role || chr(10) AS lead, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY n) - length(piece) AS off FROM m),
+own AS (SELECT conv_id, unnest(range(CAST(off + length(lead) AS BIGINT), CAST(off + length(lead) + length(text) AS BIGINT))) AS c FROM o WHERE role = 'assistant'),
+w AS (SELECT conv_id, regexp_extract_all(string_agg(piece, '' ORDER BY n), '[A-Za-z]+|[^A-Za-z]') AS t FROM m GROUP BY 1), e AS (SELECT conv_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS place FROM w),
+k AS (SELECT *, CAST(sum(length(token)) OVER (PARTITION BY conv_id ORDER BY place) AS BIGINT) AS en FROM e), ch AS (SELECT conv_id, place, token, unnest(range(en - length(token), en)) AS c FROM k),
+h AS (SELECT DISTINCT ch.conv_id, ch.place FROM ch JOIN own USING (conv_id, c))
+SELECT conv_id, count(*) AS n, count(h.place) AS n_own, md5(string_agg(CASE WHEN h.place IS NULL THEN '.' ELSE token END, '|' ORDER BY place)) AS labels FROM k LEFT JOIN h USING (conv_id, place) GROUP BY 1""")
+def chat_label_mask(spark, d):
+    """Tokens of whole conversations, of which those of the assistant's messages are labels."""
+    messages = F.transform("turns", lambda t: F.struct(t.speaker.alias("role"), t.text.alias("content")))
+    rows = folds.written(A.turns(spark, d).select("conv_id", messages.alias("m")))
+    tokens = vectors.tokens_of(rows.select("conv_id", X.chat_text(F.col("m")).alias("text")), "conv_id", "text", "[A-Za-z]+|[^A-Za-z]")
+    spans = rows.select("conv_id", F.inline(X.chat_spans(F.col("m"))))
+    out = vectors.mask_spans(tokens, spans, "conv_id", "token", "")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: F.when(x.label == "", ".").otherwise(x.label)), "|")
+    return out.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") != "").alias("_own"), F.md5(shown).alias("labels")).select(
+        "conv_id", "n", F.col("_own").alias("n_own"), "labels"
+    )
+
+
 _IDS = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(round(x * 100) AS BIGINT))"
 
 
