@@ -7,7 +7,8 @@ bundled, and bundles of many dealt, into blocks of about BLOCK classes. Two roun
 1. within each block, the k + 1 nearest give every class a first radius (pivots give another one);
 2. a class is sent to the bundles with a cell that its radius reaches, and to no other.
 
-Where the bounds prune nothing, a class goes to every block once, as comparing all pairs by blocks would have it.
+Where the bounds prune nothing, a class goes to every block once, as comparing all pairs by blocks would have it. What
+one block holds is compared right away.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _bundles(pivots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def classes(vectors: DataFrame, k: int, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """(id, v, keys): distinct vectors with their k + 1 least keys, the least of which is the id; and (key, id)."""
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and key is not null")
-    marked = written(rows.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.encode(x.cast("string"), "utf-8"))), ","), 256)))
+    marked = rows.withColumn("h", F.sha2(F.array_join(F.col("v").cast("array<string>"), ",", "null"), 256))
     place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
     few = marked.withColumn("_r", place).filter(F.col("_r") <= k + 1)
     own = written(few.groupBy("h").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("key")).alias("keys")).withColumn("id", F.col("keys")[0]))
@@ -195,14 +196,28 @@ def _met(celled: DataFrame, cells: Cells, asked: DataFrame, k: int) -> DataFrame
     return q.groupBy(*by).cogroup(x.groupBy(*by)).applyInArrow(solve, "id long, neighbour long, distance double")
 
 
+def _within(own: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, distance) of classes that one block holds."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        v, ids = shape(t["v"].to_pylist()), t["id"].to_numpy()
+        row, near, dist = (np.concatenate(c) for c in zip(*_best(v, v, t["keys"].to_pylist(), k)))
+        return pa.table({"id": ids[row], "neighbour": near, "distance": dist})
+
+    return own.groupBy(F.lit(0).alias("block")).applyInArrow(solve, "id long, neighbour long, distance double")
+
+
 def nearest(vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     """(query, rank, neighbour, distance) of each vector's k nearest others by cosine distance (ties: lowest key).
 
     Zero vectors are at distance 1 from all; vectors or keys that are null take no part; keys must be distinct.
     """
     own, members = classes(vectors, k, key, vector)
-    celled, cells = layout(own)
-    met = _met(celled, cells, reach(celled, cells, k), k)
+    if own.count() <= BLOCK:
+        met = _within(own, k)
+    else:
+        celled, cells = layout(own)
+        met = _met(celled, cells, reach(celled, cells, k), k)
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     best = met.withColumn("_r", place).filter(F.col("_r") <= k + 1).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("x"))
     found = members.join(best, "id").select("key", F.slice(F.filter("x", lambda e: e.neighbour != F.col("key")), 1, k).alias("x"))
