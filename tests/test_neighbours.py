@@ -64,3 +64,33 @@ def test_few_and_none(spark):
     assert N.nearest(frame(spark, [1], v[:1]), 2, "id", "v").count() == 0
     empty = spark.createDataFrame([(None, [1.0]), (3, None)], "id long, v array<double>")
     assert N.nearest(empty, 2, "id", "v").count() == 0
+
+
+def test_blocks_travel_packed(spark, monkeypatch):
+    """Vectors that nothing can be pruned of: a block is sent once a group of queries, not once a query; results are exact."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "CELL", 16)
+    monkeypatch.setattr(N, "SIDES", 3)
+    monkeypatch.setattr(N, "ROW_BYTES", 4096)  # more than one row a block
+    monkeypatch.setattr(N, "_ROWS", 2)
+    v = np.random.default_rng(3).normal(size=(1000, 16))
+    rows = frame(spark, np.arange(len(v)), v)
+    celled, cells = N.layout(N.classes(rows, 3, "id", "v")[0])
+    packed = N.blocks(celled, cells, 3)
+    span, parts = N.sides(int(cells.parts.sum()), 1)
+    sent = N.meetings(packed, span, parts).select(F.sum(F.length("ids") / 8)).first()[0]
+    one_by_one = N.reach(celled, cells, 3).select(F.explode("bundles")).count()
+    assert sent <= 7 * len(v) < one_by_one
+    got = N.nearest(rows, 3, "id", "v").collect()
+    assert sorted((g.query, g["rank"], g.neighbour, g.distance) for g in got) == brute(np.arange(len(v)), v, 3)
+
+
+def test_near_copies_in_doubt(spark, monkeypatch):
+    """Distances that single precision cannot tell apart."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "CELL", 16)
+    monkeypatch.setattr(N, "_DOUBTS", 100)
+    r = np.random.default_rng(4)
+    v = np.repeat(r.normal(size=(3, 24)), 100, 0) + 3e-5 * r.normal(size=(300, 24))
+    got = N.nearest(frame(spark, np.arange(300), v), 5, "id", "v").collect()
+    assert sorted((g.query, g["rank"], g.neighbour, g.distance) for g in got) == brute(np.arange(300), v, 5)

@@ -5,26 +5,34 @@ between vectors. Equal vectors are one class, with its least keys. Every class g
 bundled, and bundles of many dealt, into blocks of about BLOCK classes. Two rounds follow:
 
 1. within each block, the k + 1 nearest give every class a first radius (pivots give another one);
-2. a class is sent to the bundles with a cell that its radius reaches, and to no other.
+2. blocks travel whole, as a few packed rows: a task holds the queries of up to SPAN blocks and streams past them the blocks
+   that a radius of theirs reaches, nearest bundles first, while radii shrink to the k + 1 nearest found.
 
-Where the bounds prune nothing, a class goes to every block once, as comparing all pairs by blocks would have it. What
-one block holds is compared right away.
+Where the bounds prune nothing, a block goes to every group of SPAN blocks once: a vector is sent n / (SPAN x BLOCK) times,
+not n / BLOCK. Products are taken in single precision, and those that rounding leaves in doubt once more in double. What one
+block holds is compared right away.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.folds import written
 
 #: Classes of a block, pivots at most, and classes of a cell that the number of pivots aims at.
 BLOCK, PIVOTS, CELL = 2048, 1024, 128
+#: Blocks of queries that a task holds at most, bytes of a packed row, bytes of blocks that pass one task, and groups of
+#: queries and parts of what passes them at least (where there are so many blocks), for their product is the tasks.
+SPAN, ROW_BYTES, PASS_BYTES, SIDES = 64, 1 << 20, 256 << 20, 7
+#: Packed rows of an Arrow batch, and products looked at once more in one step.
+_ROWS, _DOUBTS = 16, 1 << 16
 #: Distances are compared to so many digits; ties go to the lowest key.
 DIGITS = 9
 #: What rounding may add to a squared Euclidean distance.
@@ -53,15 +61,24 @@ class Cells:
         at = np.take_along_axis(worst, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
         return np.where(self.n.sum() >= k, at**2 / 2, np.inf)
 
-    def reached(self, far: np.ndarray, own: np.ndarray, radius: np.ndarray) -> list[list[int]]:
-        """The bundles of the cells that a member within the radius may lie in."""
-        near = far[np.arange(len(far)), own]
-        apart = np.maximum(to_pivots(self.pivots, self.pivots), 1e-12)
-        planes = (far**2 - near[:, None] ** 2) / (2 * apart[own])  # the distance to the plane between two pivots
-        planes[np.arange(len(far)), own] = 0
-        low = np.maximum(np.maximum(far - self.high, self.low - far), np.maximum(planes, 0))
-        hit = (low**2 <= 2 * radius[:, None] + _SLACK) & (self.n > 0)
-        return [np.unique(self.bundle[h]).tolist() for h in hit]
+    @property
+    def first(self) -> np.ndarray:
+        """Of each bundle the number of its first block; blocks are numbered along the walk."""
+        return np.cumsum(self.parts) - self.parts
+
+    def apart(self) -> np.ndarray:
+        return np.maximum(to_pivots(self.pivots, self.pivots), 1e-12)
+
+    def hits(self, far: np.ndarray, near: np.ndarray, own: np.ndarray, radius: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether a member within the radius may lie in the cells `at`, at whose pivots' distances `far` is."""
+        planes = (far**2 - near[:, None] ** 2) / (2 * apart[own[:, None], at])  # the distance to the plane between two pivots
+        planes[own[:, None] == at] = 0
+        low = np.maximum(np.maximum(far - self.high[at], self.low[at] - far), np.maximum(planes, 0))
+        return (low**2 <= 2 * radius[:, None] + _SLACK) & (self.n[at] > 0)
+
+    def reached(self, far: np.ndarray, own: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Whether a member within the radius may lie in a cell, all cells."""
+        return self.hits(far, far[np.arange(len(far)), own], own, radius, np.arange(len(self.n)), self.apart())
 
 
 def shape(rows: list) -> np.ndarray:
@@ -128,18 +145,21 @@ def layout(own: DataFrame) -> tuple[DataFrame, Cells]:
     return celled, Cells(pivots, low, high, size, bundle, parts)
 
 
-def _best(q: np.ndarray, x: np.ndarray, keys: list[list[int]], k: int, radius: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each query the k + 1 nearest keys, as (query's place, key, distance), 256 queries at a time."""
+def _flat(keys: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as rows of one width, and which of them are real."""
     width = max(map(len, keys))
-    flat = np.array([ks + [0] * (width - len(ks)) for ks in keys], np.int64)
-    held = np.arange(width) < np.array([len(ks) for ks in keys])[:, None]
+    return np.array([ks + [0] * (width - len(ks)) for ks in keys], np.int64), np.arange(width) < np.array([len(ks) for ks in keys])[:, None]
+
+
+def _best(q: np.ndarray, x: np.ndarray, keys: list[list[int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query the k + 1 nearest keys, as (query's place, key, distance), 256 queries at a time."""
+    flat, held = _flat(keys)
+    width = flat.shape[1]
     q, x = q[:, :-1], x[:, :-1]
     for lo in range(0, len(q), 256):
         d = np.round(1 - q[lo : lo + 256] @ x.T, DIGITS)
         most = min(k + 1, d.shape[1])
         edge = np.partition(d, most - 1, axis=1)[:, most - 1]  # a class has a key at least
-        if radius is not None:
-            edge = np.minimum(edge, radius[lo : lo + 256] + 2 * 10.0**-DIGITS)
         row, col = np.nonzero(d <= edge[:, None])
         real = held[col].ravel()
         dist = np.repeat(d[row, col], width)[real]
@@ -150,50 +170,176 @@ def _best(q: np.ndarray, x: np.ndarray, keys: list[list[int]], k: int, radius: n
         yield row[kept] + lo, own[kept], dist[kept]
 
 
+def _dealt(celled: DataFrame, cells: Cells) -> DataFrame:
+    def of(values: np.ndarray, name: str) -> Column:
+        return F.element_at(F.lit(values.tolist()), (F.col(name) + 1).cast("int")).cast("long")
+
+    bundled = celled.withColumn("bundle", of(cells.bundle, "cell"))
+    return bundled.withColumn("block", of(cells.first, "bundle") + F.pmod(F.xxhash64("id"), of(cells.parts, "bundle")))
+
+
+def _measured(t: pa.Table, cells: Cells, k: int) -> tuple[np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
+    """Of a block's classes the vectors, the keys, a distance that k + 1 keys lie within, and which cells that reaches."""
+    v, keys = shape(t["v"].to_pylist()), t["keys"].to_pylist()
+    far, own = cells.from_pivots(v), t["cell"].to_numpy()
+    found = np.full(len(v), np.inf)
+    for row, _, dist in _best(v, v, keys, k):
+        count = np.bincount(row, minlength=len(v))
+        last = np.cumsum(count) - 1
+        full = count == k + 1
+        found[full] = dist[last[full]]
+    radius = np.minimum(found, cells.radius(far, k + 1))
+    return v, keys, radius, cells.reached(far, own, radius)
+
+
 def reach(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
     """(id, v, radius, bundles): each class, a distance that k + 1 keys lie within, and the bundles which that reaches."""
-    bundle = F.element_at(F.lit(cells.bundle.tolist()), (F.col("cell") + 1).cast("int")).cast("long")
-    parts = F.element_at(F.lit(cells.parts.tolist()), (F.col("bundle") + 1).cast("int"))
-    dealt = celled.withColumn("bundle", bundle).withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")))
 
     def solve(t: pa.Table) -> pa.Table:
-        v, keys = shape(t["v"].to_pylist()), t["keys"].to_pylist()
-        far, own = cells.from_pivots(v), t["cell"].to_numpy()
-        found = np.full(len(v), np.inf)
-        for row, _, dist in _best(v, v, keys, k):
-            count = np.bincount(row, minlength=len(v))
-            last = np.cumsum(count) - 1
-            full = count == k + 1
-            found[full] = dist[last[full]]
-        radius = np.minimum(found, cells.radius(far, k + 1))
-        return pa.table({"id": t["id"], "v": t["v"], "radius": pa.array(radius), "bundles": pa.array(cells.reached(far, own, radius), pa.list_(pa.int64()))})
-
-    return written(dealt.groupBy("bundle", "part").applyInArrow(solve, "id long, v array<double>, radius double, bundles array<long>"))
-
-
-def _met(celled: DataFrame, cells: Cells, asked: DataFrame, k: int) -> DataFrame:
-    """(id, neighbour, distance): each class beside the blocks that it reaches."""
-    bundle = F.element_at(F.lit(cells.bundle.tolist()), (F.col("cell") + 1).cast("int")).cast("long")
-    parts = F.element_at(F.lit(cells.parts.tolist()), (F.col("bundle") + 1).cast("int"))
-    queries = asked.select("id", "v", "radius", F.explode("bundles").alias("bundle"))
-    # queries of a bundle are dealt too, so that no task holds more than about BLOCK of either side
-    loads = written(queries.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rounds")))
-    q = queries.join(loads, "bundle").withColumn("round", F.pmod(F.xxhash64("id", F.lit(1)), F.col("rounds")))
-    q = q.select("bundle", "round", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"), "id", "v", "radius")
-    x = celled.withColumn("bundle", bundle).withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long"))).join(loads, "bundle")
-    x = x.select("bundle", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"), "v", "keys")
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            ids, radius = left["id"].to_numpy(), left["radius"].to_numpy()
-            found = _best(shape(left["v"].to_pylist()), shape(right["v"].to_pylist()), right["keys"].to_pylist(), k, radius)
-            out += [(ids[row], own, dist) for row, own, dist in found]
-        ids, own, dist = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"id": ids, "neighbour": own, "distance": dist})
-
-    by = ["bundle", "part", "round"]
-    return q.groupBy(*by).cogroup(x.groupBy(*by)).applyInArrow(solve, "id long, neighbour long, distance double")
+        _, _, radius, hit = _measured(t, cells, k)
+        bundles = [np.unique(cells.bundle[h]).tolist() for h in hit]
+        return pa.table({"id": t["id"], "v": t["v"], "radius": pa.array(radius), "bundles": pa.array(bundles, pa.list_(pa.int64()))})
+
+    return _dealt(celled, cells).groupBy("bundle", "block").applyInArrow(solve, "id long, v array<double>, radius double, bundles array<long>")
+
+
+#: A packed row: the block, its bundle, the bundles that the row's classes reach, keys a class at most, and arrays as bytes.
+_PACKED = "block long, bundle long, reaches array<long>, width int, ids binary, v binary, keys binary, held binary, cell binary, radius binary"
+
+
+def blocks(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The classes with their radii in packed rows, as a table."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        v, keys, radius, hit = _measured(t, cells, k)
+        flat, held = _flat(keys)
+        rows = []
+        step = max(1, ROW_BYTES // (v.shape[1] * 8 + flat.shape[1] * 8 + 32))
+        for lo in range(0, len(v), step):
+            at = slice(lo, lo + step)
+            reaches = np.unique(cells.bundle[hit[at].any(axis=0)]).tolist()
+            arrays = t["id"].to_numpy()[at], v[at], flat[at], held[at].sum(axis=1), t["cell"].to_numpy()[at], radius[at]
+            rows.append([t["block"][0].as_py(), t["bundle"][0].as_py(), reaches, flat.shape[1], *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 6]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+    return written(_dealt(celled, cells).groupBy("bundle", "block").applyInArrow(solve, _PACKED))
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches, as packed rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Asked:
+    """A task's queries and the k + 1 nearest keys of each so far; what lies beyond the radius is left out."""
+
+    def __init__(self, rows: list[dict], cells: Cells, k: int) -> None:
+        def whole(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+
+        self.cells, self.k, self.apart = cells, k, cells.apart()
+        self.ids, self.own, self.radius = whole("ids", np.int64), whole("cell", np.int64), whole("radius", np.float64)
+        self.v = whole("v", np.float64).reshape(len(self.ids), -1)
+        self.short = self.v[:, :-1].astype(np.float32)
+        self.doubt = (self.v.shape[1] + 8) * 2.0**-22 + 2 * 10.0**-DIGITS
+        self.near = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.v, cells.pivots[self.own]), 0))
+        self.dist, self.key = np.full((len(self.ids), k + 1), np.inf), np.zeros((len(self.ids), k + 1), np.int64)
+
+    def meet(self, row: dict) -> None:
+        at = np.flatnonzero(self.cells.bundle == row["bundle"])
+        far = to_pivots(self.v, self.cells.pivots[at])
+        todo = np.flatnonzero(self.cells.hits(far, self.near, self.own, self.radius, at, self.apart).any(axis=1))
+        if not len(todo):
+            return
+        n = np.frombuffer(row["held"], np.int64)
+        x = np.frombuffer(row["v"], np.float64).reshape(len(n), -1)[:, :-1]
+        keys, held = np.frombuffer(row["keys"], np.int64).reshape(len(n), -1), np.arange(row["width"]) < n[:, None]
+        short = np.ascontiguousarray(x.astype(np.float32).T)
+        for lo in range(0, len(todo), 1024):
+            q = todo[lo : lo + 1024]
+            s = self.short[q] @ short
+            least = (1 - self.radius[q] - self.doubt).astype(np.float32)
+            hit = np.flatnonzero(s >= least[:, None])
+            many = np.bincount(hit // len(n), minlength=len(q)) > 8 * (self.k + 1)
+            if many.any() and len(n) > self.k:  # a class has a key at least: k + 1 nearest classes are enough
+                top = np.partition(s[many], len(n) - self.k - 1, axis=1)[:, len(n) - self.k - 1]
+                least[many] = np.maximum(least[many], top - np.float32(2 * self.doubt))
+                hit = np.flatnonzero(s >= least[:, None])
+            for at in range(0, len(hit), _DOUBTS):
+                r, c = np.divmod(hit[at : at + _DOUBTS], len(n))
+                self._take(q[r], np.round(1 - np.einsum("ij,ij->i", self.v[q[r], :-1], x[c]), DIGITS) + 0.0, keys[c], held[c])
+
+    def _take(self, q: np.ndarray, dist: np.ndarray, keys: np.ndarray, held: np.ndarray) -> None:
+        near = dist <= self.radius[q] + 2 * 10.0**-DIGITS
+        q, dist, keys, held = q[near], dist[near], keys[near], held[near]
+        old = np.unique(q)
+        row = np.concatenate([np.repeat(old, self.k + 1), np.repeat(q, keys.shape[1])[held.ravel()]])
+        far = np.concatenate([self.dist[old].ravel(), np.repeat(dist, keys.shape[1])[held.ravel()]])
+        key = np.concatenate([self.key[old].ravel(), keys.ravel()[held.ravel()]])
+        by = np.lexsort((key, far, row))
+        row, far, key = row[by], far[by], key[by]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place <= self.k
+        self.dist[row[kept], place[kept]], self.key[row[kept], place[kept]] = far[kept], key[kept]
+        self.radius[old] = np.minimum(self.radius[old], self.dist[old, self.k])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.ids), 4096):
+            dist = self.dist[lo : lo + 4096]
+            row, place = np.nonzero(dist < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[lo + row]), pa.array(self.key[lo + row, place]), pa.array(dist[row, place])], names=["id", "neighbour", "distance"])
+
+
+def sides(n_blocks: int, n_bytes: int) -> tuple[int, int]:
+    """Blocks of a group of queries, and parts in which other blocks pass a group."""
+    span = min(SPAN, -(-n_blocks // SIDES))
+    return max(1, span), max(SIDES, -(-n_bytes // PASS_BYTES))
+
+
+def meetings(packed: DataFrame, span: int, parts: int) -> DataFrame:
+    """Packed rows by (group, part), those of the group's queries (kind 0) before those that pass them (kind 1)."""
+    group = F.floor(F.col("block") / span).cast("long").alias("group")
+    reached = packed.select(group, F.explode("reaches").alias("bundle")).distinct()
+    asked = packed.select(group, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(0.0).alias("far"), *packed.columns)
+    passing = packed.join(reached, "bundle").withColumn("far", F.abs(F.col("block") - (F.col("group") + 0.5) * span))
+    passing = passing.select("group", F.pmod("block", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "far", *packed.columns)
+    return asked.unionByName(passing).drop("reaches")
+
+
+def _met(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(id, neighbour, distance): each class beside the blocks that it reaches, as a table."""
+    total = int(cells.parts.sum())
+    span, parts = sides(total, int(cells.n.sum()) * (cells.pivots.shape[1] + k + 1) * 8)
+    task = (F.col("group") * parts + F.col("part")).cast("int")
+    dealt = meetings(blocks(celled, cells, k), span, parts).withColumn("task", task).repartitionById(-(-total // span) * parts, "task").sortWithinPartitions("task", "kind", "far")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows, asked = None, [], None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["task"] != task:
+                    if asked is not None:
+                        yield from asked.found()
+                    task, rows, asked = r["task"], [], None
+                if r["kind"] == 0:
+                    rows.append(r)
+                    continue
+                if asked is None:
+                    rows, asked = [], _Asked(rows, cells, k)
+                asked.meet(r)
+        if asked is not None:
+            yield from asked.found()
+
+    with _few_rows(celled.sparkSession):
+        return written(dealt.mapInArrow(run, "id long, neighbour long, distance double"))
 
 
 def _within(own: DataFrame, k: int) -> DataFrame:
@@ -217,7 +363,7 @@ def nearest(vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
         met = _within(own, k)
     else:
         celled, cells = layout(own)
-        met = _met(celled, cells, reach(celled, cells, k), k)
+        met = _met(celled, cells, k)
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     best = met.withColumn("_r", place).filter(F.col("_r") <= k + 1).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("x"))
     found = members.join(best, "id").select("key", F.slice(F.filter("x", lambda e: e.neighbour != F.col("key")), 1, k).alias("x"))
