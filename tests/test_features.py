@@ -232,3 +232,18 @@ def test_extraction_merge_orders_lines_as_its_sql(spark, tmp_path):
     out = QUERIES["extraction_merge"](spark, str(tmp_path))
     assert {r.id: r.v for r in out.collect()} == {1: 7, 2: 6, 3: 3, 4: None, 5: 2}
     assert oracle.differences(out, ORACLES["extraction_merge"], oracle.views(str(tmp_path))) == []
+
+
+def test_a_persona_takes_two_python_workers_a_task(spark):
+    """Calls that do not see each other's answers share a pass, and a call holds a bounded number of prompts."""
+    from weftline.operators import folds, personas
+
+    names = ["stats", "limited", "content_log", "production_log", "union_log", "usage_log"]
+    rows = spark.range(3).select("id", *[F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in names])
+    made = personas.extract(rows, personas.OFFLINE)
+    again = personas.update(made.select("id", F.col("persona").alias("current"), F.col("persona").alias("extracted")), personas.OFFLINE)
+    passes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert passes(made) == 2 and passes(again) == 4
+    most = lambda prompts, attempt=0: [str(len(prompts))] * len(prompts)
+    sizes = folds.call_model(spark.range(2500).coalesce(1).select(F.col("id").cast("string").alias("p")), "p", most).groupBy("response").count().collect()
+    assert {r.response: r["count"] for r in sizes} == {"1000": 2000, "500": 500}

@@ -28,6 +28,8 @@ from weftline.functions.numbers import let
 Caller = Callable[[list[str], int], list[str]]
 #: The event of a session whose selecting call names none.
 NO_EVENT = "No event selected."
+#: Prompts of a call at most.
+CALL_ROWS = 1000
 
 
 def code_of(text: str) -> int:
@@ -94,20 +96,30 @@ def with_backoff(call: Caller, attempts: int = 6, first: float = 1.0, longest: f
 def call_model(rows: DataFrame, prompt: str, call: Caller, attempt: int = 0) -> DataFrame:
     """Adds response to every row, a batch a call; a batch that fails goes prompt by prompt, with pauses, and a prompt that
     fails for good comes to NOTHING."""
-    at = rows.columns.index(prompt)
+    return call_models(rows, {prompt: "response"}, call, attempt)
+
+
+def call_models(rows: DataFrame, prompts: dict[str, str], call: Caller, attempt: int = 0) -> DataFrame:
+    """call_model for several columns of prompts, each with its response's name, in one pass: every pass is a Python worker
+    beside the others of its task. A call holds CALL_ROWS prompts at most."""
+    at = {rows.columns.index(p): name for p, name in prompts.items()}
     again = with_backoff(call)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prompts = [p or "" for p in b.column(at).to_pylist()]
-            try:
-                out = call(prompts, attempt)
-            except Exception:
-                out = again(prompts, attempt)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "response"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CALL_ROWS):
+                b = batch.slice(lo, CALL_ROWS)
+                out = []
+                for i in at:
+                    asked = [p or "" for p in b.column(i).to_pylist()]
+                    try:
+                        out.append(pa.array(call(asked, attempt), pa.string()))
+                    except Exception:
+                        out.append(pa.array(again(asked, attempt), pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, *at.values()])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, schema + ", response string")
+    return rows.mapInArrow(run, schema + "".join(f", `{name}` string" for name in at.values()))
 
 
 def pooled_calls(rows: DataFrame, prompt: str, call: Caller, limits: Limits = Limits(), attempt: int = 0) -> DataFrame:

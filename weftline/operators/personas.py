@@ -79,10 +79,11 @@ def sections_of(updated: Column) -> Column:
     return F.when(ok, F.struct(F.get_json_object(updated, "$.behavior_persona").alias("behavior_persona"), F.from_json(F.get_json_object(updated, "$.dialogue_persona"), "array<string>").alias("dialogue_persona"))).otherwise(fail)
 
 
-def _ask(rows: DataFrame, name: str, call: folds.Caller, *parts: Column | str) -> DataFrame:
-    """rows with the answer to a prompt of a name and parts, as the column _name."""
-    asked = rows.withColumn("_prompt", F.concat_ws(" | ", F.lit(name), *parts))
-    return folds.call_model(asked, "_prompt", call).withColumnRenamed("response", f"_{name}").drop("_prompt")
+def _ask(rows: DataFrame, call: folds.Caller, asked: dict[str, list[Column | str]]) -> DataFrame:
+    """rows with the answers to prompts of a name and parts, as columns _name; calls that do not see each other's answers
+    share a pass."""
+    prompts = {f"_ask_{name}": F.concat_ws(" | ", F.lit(name), *parts) for name, parts in asked.items()}
+    return folds.call_models(rows.withColumns(prompts), {f"_ask_{name}": f"_{name}" for name in asked}, call).drop(*prompts)
 
 
 def _field(name: str, field: str) -> Column:
@@ -105,13 +106,10 @@ def extract(rows: DataFrame, call: folds.Caller) -> DataFrame:
     """Adds persona by six calls a row, the last two of which see what the first two told of preferences.
 
     rows: stats, limited, content_log, production_log, union_log, usage_log, texts of prompts."""
-    rows = _ask(rows, "content", call, "limited", "content_log")
-    rows = _ask(rows, "production", call, "limited", "production_log")
-    rows = _ask(rows, "temporal", call, "stats", "usage_log")
-    rows = _ask(rows, "immersion", call, "stats", "usage_log")
-    rows = rows.withColumn("_merged", F.concat_ws(" ", "_content", "_production"))
-    rows = _ask(rows, "priority", call, "_merged", "limited", "union_log")
-    return _persona(_ask(rows, "motives", call, "_merged", "limited", "union_log").drop("_merged"), "stats")
+    usage = ["stats", "usage_log"]
+    rows = _ask(rows, call, {"content": ["limited", "content_log"], "production": ["limited", "production_log"], "temporal": usage, "immersion": usage})
+    seen = [F.concat_ws(" ", "_content", "_production"), "limited", "union_log"]
+    return _persona(_ask(rows, call, {"priority": seen, "motives": seen}), "stats")
 
 
 def update(rows: DataFrame, call: folds.Caller) -> DataFrame:
@@ -123,13 +121,14 @@ def update(rows: DataFrame, call: folds.Caller) -> DataFrame:
 
     pos, neg = "positive_preference", "negative_preference"
     pair = lambda f: [F.col(p)[s][f] for p in ("current", "extracted") for s in (pos, neg)]
-    rows = _ask(rows, "content", call, *pair("content_material"))
-    rows = _ask(rows, "production", call, *pair("production_context"))
-    rows = _ask(rows, "temporal", call, *both("usage_patterns", "temporal_patterns"))
-    rows = _ask(rows, "immersion", call, *both("usage_patterns", "immersion_style"))
+    usage = lambda f: both("usage_patterns", f)
+    rows = _ask(
+        rows, call,
+        {"content": pair("content_material"), "production": pair("production_context"), "temporal": usage("temporal_patterns"), "immersion": usage("immersion_style")},
+    )
     seen = [F.concat_ws(" ", _field("content", f"{s}_content_material"), _field("production", f"{s}_production_context")) for s in ("positive", "negative")]
-    rows = _ask(rows, "priority", call, *both("decision_drivers", "selection_priority"), *seen)
-    rows = _ask(rows, "motives", call, *both("decision_drivers", "motivations"), *seen)
+    drivers = lambda f: [*both("decision_drivers", f), *seen]
+    rows = _ask(rows, call, {"priority": drivers("selection_priority"), "motives": drivers("motivations")})
     return _persona(rows.withColumn("_stats", F.col("extracted.historical_stats")), "_stats").drop("_stats")
 
 
