@@ -85,3 +85,16 @@ def test_report(spark):
 def test_catalogue_skips_spelt_out_nulls(spark, tmp_path):
     (tmp_path / "c.csv").write_text("item_id,title\n1,a\n nan ,b\nNone,c\n2.0,d\n")
     assert [r.title for r in R.catalogue(spark, str(tmp_path / "c.csv")).collect()] == ["a", "d"]
+
+
+def test_checkpoints_are_written_by_many_tasks(spark, tmp_path):
+    """Few bytes in many folders: adaptive execution would have one task write them all."""
+    rows = spark.range(60).select("id", F.concat(F.lit("checkpoint-"), F.col("id").cast("string")).alias("name"))
+    K.write_checkpoints(rows, "name", str(tmp_path / "at"))
+    found = R.checkpoints(spark, str(tmp_path / "at"))
+    assert sorted(r.step for r in found.collect()) == list(range(60))
+    assert sorted((r.step, r.id) for r in R.checkpoint_rows(spark, found, "id long").collect()) == [(k, k) for k in range(60)]
+    writers = {p.name.split("-")[1] for p in (tmp_path / "at").glob("checkpoint-*/part-*")}
+    assert len(writers) >= 4 and not (tmp_path / "at" / ".parts").exists()
+    (tmp_path / "at" / "x,y").mkdir()
+    assert len(R.children(spark, str(tmp_path / "at"))) == 61 and R.children(spark, str(tmp_path / "at" / "x,y")) == []

@@ -120,12 +120,22 @@ def tagged(spark: SparkSession, path: str, schema: str, tag: str) -> DataFrame:
     return json_array(spark, path, schema).withColumn("dataset_type", F.lit(tag))
 
 
-def checkpoints(spark: SparkSession, root: str, stride: int = 1, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Folders checkpoint-N under root as (step, path), filtered by stride and bounds, in order."""
+def children(spark: SparkSession, root: str) -> list[str]:
+    """Paths of what lies in a folder, handed over in one call; none where there is no folder."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(at)] if fs.exists(at) else []
+    found = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(at)) if fs.exists(at) else []
+    if not len(found):
+        return []
+    lead = found[0].getParent().toString().rstrip("/") + "/"
+    text = jvm.org.apache.commons.lang3.ArrayUtils.toString(found)  # {lead..,lead..}; no name holds a slash
+    return [lead + n for n in text[1 + len(lead) : -1].split("," + lead)]
+
+
+def checkpoints(spark: SparkSession, root: str, stride: int = 1, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Folders checkpoint-N under root as (step, path), filtered by stride and bounds, in order."""
+    names = [(p.rsplit("/", 1)[1], p) for p in children(spark, root)]
     rows = spark.createDataFrame(names, "name string, path string") if names else empty(spark, "name string, path string")
     step = F.regexp_extract("name", r"^checkpoint-(\d+)$", 1).try_cast("int")
     rows = rows.select(step.alias("step"), "path").filter("step is not null").filter(F.col("step") % stride == 0)

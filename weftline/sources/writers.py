@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that move at once.
+MOVERS = 8
+
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
@@ -74,14 +78,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def write_checkpoints(rows: DataFrame, name: str, root: str) -> None:
-    """rows under root in a folder for each name."""
-    rows.repartition(name).write.mode("overwrite").partitionBy(name).parquet(f"{root}/.parts")
-    path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    for s in fs.listStatus(path(f"{root}/.parts")):
-        if s.isDirectory():
-            fs.rename(s.getPath(), path(f"{root}/{s.getPath().getName().split('=', 1)[1]}"))
-    delete(rows.sparkSession, f"{root}/.parts")
+    """rows under root in a folder for each name. Names are dealt to a fixed number of tasks, as a folder costs time however
+    few its bytes are, by which adaptive execution would put all into one; folders move in threads."""
+    from weftline.sources.readers import children
+
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(tasks, name).write.mode("overwrite").partitionBy(name).parquet(f"{root}/.parts")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with ThreadPoolExecutor(MOVERS) as pool:
+        moved = pool.map(lambda s: fs.rename(path(s), path(f"{root}/{s.rsplit('=', 1)[1]}")), [s for s in children(spark, f"{root}/.parts") if "=" in s.rsplit("/", 1)[1]])
+        for _ in moved:  # a move that failed is an error here
+            pass
+    delete(spark, f"{root}/.parts")
 
 
 def write_named(rows: DataFrame, name: str, text: str, root: str) -> None:
