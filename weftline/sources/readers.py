@@ -151,7 +151,13 @@ def checkpoint_rows(spark: SparkSession, found: DataFrame, schema: str) -> DataF
     paths = [r.path for r in found.select("path").collect()]
     if not paths:
         return empty(spark, f"{schema}, step int")
-    rows = spark.read.schema(schema).parquet(*paths)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))  # else a task a folder, up to 10,000
+    try:
+        rows = spark.read.schema(schema).parquet(*paths)  # lists the folders
+    finally:
+        spark.conf.set(name, before)
     return rows.withColumn("step", F.regexp_extract(F.col("_metadata.file_path"), r"/checkpoint-(\d+)/", 1).cast("int"))
 
 
