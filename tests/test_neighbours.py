@@ -94,3 +94,27 @@ def test_near_copies_in_doubt(spark, monkeypatch):
     v = np.repeat(r.normal(size=(3, 24)), 100, 0) + 3e-5 * r.normal(size=(300, 24))
     got = N.nearest(frame(spark, np.arange(300), v), 5, "id", "v").collect()
     assert sorted((g.query, g["rank"], g.neighbour, g.distance) for g in got) == brute(np.arange(300), v, 5)
+
+
+def shuffled(spark, run):
+    """Bytes that all stages of run shuffle."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_shuffled_bytes_grow_as_the_vectors(spark, monkeypatch):
+    """Twice the vectors, of which nothing can be pruned, shuffle about twice the bytes and not four times."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "CELL", 16)
+    monkeypatch.setattr(N, "SIDES", 3)
+    v = np.random.default_rng(5).normal(size=(2400, 32))
+    small, large = (shuffled(spark, lambda n=n: N.nearest(frame(spark, np.arange(n), v[:n]), 3, "id", "v").collect()) for n in (1200, 2400))
+    assert small > 0 and large < 2.4 * small, (small, large)
