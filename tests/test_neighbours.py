@@ -118,3 +118,25 @@ def test_shuffled_bytes_grow_as_the_vectors(spark, monkeypatch):
     v = np.random.default_rng(5).normal(size=(2400, 32))
     small, large = (shuffled(spark, lambda n=n: N.nearest(frame(spark, np.arange(n), v[:n]), 3, "id", "v").collect()) for n in (1200, 2400))
     assert small > 0 and large < 2.4 * small, (small, large)
+
+
+def test_queries_pass_rows_over_that_lie_beyond_their_radius():
+    """What lies between two cells on their pivots' line spares more than the plane between the pivots, and loses no neighbour."""
+    v = N.shape(np.random.default_rng(6).integers(0, 16, size=(6000, 6)).astype(float))
+    pivots = v[:200]
+    far = N.to_pivots(v, pivots)
+    cell = far.argmin(1)
+    members = [np.flatnonzero(cell == c) for c in range(200)]
+    n = np.array([len(m) for m in members])
+    low, high = (np.array([f(far[m, c]) for c, m in enumerate(members)]) for f in (np.min, np.max))
+    cells = N.Cells(pivots, low, high, n, np.arange(200), np.ones(200, np.int64))
+    near = 1 - v[:, :-1] @ v[:, :-1].T
+    radius = np.partition(near, 4, axis=1)[:, 4]
+    rows = [dict(cell=c, ids=m.tobytes(), v=v[m].tobytes(), radius=radius[m].tobytes(), toward=cells.toward(v[m], c).tobytes()) for c, m in enumerate(members)]
+    asked, own = N._Asked(rows, cells, 4), np.concatenate(members)
+    planes, lines = (cells.reached(far, cell, radius) * n).sum(), 0
+    for c, m in enumerate(members):
+        reaching = own[asked.reaching(c, np.frombuffer(rows[c]["toward"], np.float32))]
+        assert not set(np.flatnonzero((near[:, m] <= radius[:, None]).any(axis=1))) - set(reaching)
+        lines += len(reaching) * len(m)
+    assert lines < 0.8 * planes, (lines, planes)

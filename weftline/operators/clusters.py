@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.folds import written
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+from weftline.operators.neighbours import matrix
 
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -37,7 +34,7 @@ def farthest_first(rows: DataFrame, k: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    far = distances(_matrix(b.column(1)), held).min(1)
+                    far = distances(matrix(b.column(1)), held).min(1)
                     keys = b.column(0).to_numpy()
                     i = np.lexsort((keys, -far))[0]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array(far[i : i + 1])], names=["key", "v", "far"])
@@ -56,7 +53,7 @@ def assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(distances(_matrix(b.column(1)), centroids).argmin(1))], names=["key", "v", "cluster"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(distances(matrix(b.column(1)), centroids).argmin(1))], names=["key", "v", "cluster"])
 
     return rows.mapInArrow(run, "key long, v array<double>, cluster long")
 
@@ -71,9 +68,9 @@ def lloyd(rows: DataFrame, seeds: np.ndarray, rounds: int) -> np.ndarray:
             sums, n = np.zeros_like(held), np.zeros(len(held), np.int64)
             for b in batches:
                 if b.num_rows:
-                    x = _matrix(b.column(1))
+                    x = matrix(b.column(1))
                     own = distances(x, held).argmin(1)
-                    np.add.at(sums, own, x)
+                    sums += np.eye(len(held))[own].T @ x
                     n += np.bincount(own, minlength=len(held))
             at, both = np.flatnonzero(n), np.hstack([sums, n[:, None].astype(float)])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(both[at]), pa.list_(pa.float64()))], names=["cluster", "s"])

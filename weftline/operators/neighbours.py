@@ -5,10 +5,12 @@ between vectors. Equal vectors are one class, with its least keys. Every class g
 bundled, and bundles of many dealt, into blocks of about BLOCK classes. Two rounds follow:
 
 1. within each block, the k + 1 nearest give every class a first radius (pivots give another one);
-2. blocks travel whole, as a few packed rows: a task holds the queries of up to SPAN blocks and streams past them the blocks
-   that a radius of theirs reaches, nearest bundles first, while radii shrink to the k + 1 nearest found.
+2. blocks travel whole, a packed row a cell: a task holds the queries of up to SPAN blocks and streams past them the blocks
+   that a radius of theirs reaches, nearest bundles first, while radii shrink to the k + 1 nearest found. A row tells how far
+   its members go from their pivot toward each other one; a query is as far from them as what is left between the two on the
+   line from its own pivot to theirs, and passes the row over where that is beyond its radius.
 
-Where the bounds prune nothing, a block goes to every group of SPAN blocks once: a vector is sent n / (SPAN x BLOCK) times,
+Where the bounds prune nothing of a block, a block goes to every group of SPAN blocks once: a vector is sent n / (SPAN x BLOCK) times,
 not n / BLOCK. Products are taken in single precision, and those that rounding leaves in doubt once more in double. What one
 block holds is compared right away.
 """
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from weftline.operators.folds import written
 
-#: Classes of a block, pivots at most, and classes of a cell that the number of pivots aims at.
+#: Classes of a block; pivots at most, and classes of a cell that their number aims at: of few and of many classes.
 BLOCK, PIVOTS, CELL = 2048, 1024, 128
+MANY_PIVOTS, MANY_CELL = 4096, 1024
 #: Blocks of queries that a task holds at most, bytes of a packed row, bytes of blocks that pass one task, and groups of
 #: queries and parts of what passes them at least (where there are so many blocks), for their product is the tasks.
 SPAN, ROW_BYTES, PASS_BYTES, SIDES = 64, 1 << 20, 256 << 20, 7
-#: Packed rows of an Arrow batch, and products looked at once more in one step.
-_ROWS, _DOUBTS = 16, 1 << 16
+#: Packed rows of an Arrow batch, products looked at once more in one step, products of a step, and vectors that meet all
+#: pivots in one.
+_ROWS, _DOUBTS, _TILE, _STEP = 16, 1 << 16, 1 << 18, 256
 #: Distances are compared to so many digits; ties go to the lowest key.
 DIGITS = 9
 #: What rounding may add to a squared Euclidean distance.
@@ -54,8 +58,10 @@ class Cells:
         return to_pivots(v, self.pivots)
 
     def radius(self, far: np.ndarray, k: int) -> np.ndarray:
-        """A cosine distance within which k members lie: those of the cells that are sure to be nearest."""
-        worst = far + self.high
+        """A cosine distance within which k members lie: those of one cell, or of the cells that are sure to be nearest."""
+        worst, alone = far + self.high, self.n >= k
+        if alone.any():
+            return worst[:, alone].min(axis=1) ** 2 / 2
         order = np.argsort(worst, axis=1)
         enough = np.argmax(np.cumsum(self.n[order], axis=1) >= k, axis=1)
         at = np.take_along_axis(worst, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
@@ -66,24 +72,39 @@ class Cells:
         """Of each bundle the number of its first block; blocks are numbered along the walk."""
         return np.cumsum(self.parts) - self.parts
 
-    def apart(self) -> np.ndarray:
-        return np.maximum(to_pivots(self.pivots, self.pivots), 1e-12)
-
-    def hits(self, far: np.ndarray, near: np.ndarray, own: np.ndarray, radius: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        """Whether a member within the radius may lie in the cells `at`, at whose pivots' distances `far` is."""
-        planes = (far**2 - near[:, None] ** 2) / (2 * apart[own[:, None], at])  # the distance to the plane between two pivots
-        planes[own[:, None] == at] = 0
-        low = np.maximum(np.maximum(far - self.high[at], self.low[at] - far), np.maximum(planes, 0))
-        return (low**2 <= 2 * radius[:, None] + _SLACK) & (self.n[at] > 0)
+    def apart(self, at: np.ndarray) -> np.ndarray:
+        """Distances of some pivots to all."""
+        return to_pivots(self.pivots[at], self.pivots)
 
     def reached(self, far: np.ndarray, own: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """Whether a member within the radius may lie in a cell, all cells."""
-        return self.hits(far, far[np.arange(len(far)), own], own, radius, np.arange(len(self.n)), self.apart())
-
-
-def shape(rows: list) -> np.ndarray:
+        """Whether a member within the radius may lie in a cell, all cells, at whose pivots' distances `far` is."""
+        held, at = np.unique(own, return_inverse=True)
+        rows = np.arange(len(far))
+        planes = (far**2 - far[rows, own][:, None] ** 2) / (2 * np.maximum(self.apart(held), 1e-12)[at])  # the distance to the plane between two pivots
+        planes[rows, own] = 0
+        low = np.maximum(np.maximum(far - self.high, self.low - far), np.maximum(planes, 0))
+        return (low**2 <= 2 * radius[:, None] + _SLACK) & (self.n > 0)
+
+    def toward(self, v: np.ndarray, cell: int) -> np.ndarray:
+        """How far members of a cell go toward each pivot at most, times the pivots' distance; never less in single precision."""
+        far = np.full(len(self.pivots), -np.inf)
+        for lo in range(0, len(v), _STEP):
+            products = v[lo : lo + _STEP] @ self.pivots.T
+            far = np.maximum(far, (products - products[:, [cell]]).max(axis=0))
+        return np.nextafter(far.astype(np.float32), np.float32(np.inf))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of doubles as rows; lists that are not as long as each other are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.diff(column.offsets.to_numpy())
+    if size.size and (size != size[0]).any():
+        raise ValueError("vectors are not as long as each other")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def shape(v: np.ndarray) -> np.ndarray:
     """Unit vectors with one more axis, on which zero vectors lie, at distance 1 from all others."""
-    v = np.array(rows, np.float64)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.hstack([v / np.maximum(norm, 1e-300), (norm == 0).astype(float)])
 
@@ -94,11 +115,10 @@ def to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _bundles(pivots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells next to each other in a walk from pivot to nearest pivot, up to BLOCK members a bundle; and bundles' parts."""
-    left, at, order = set(range(1, len(pivots))), 0, [0]
-    far = to_pivots(pivots, pivots)
-    while left:
-        at = min(left, key=lambda j: (far[at, j], j))
-        left.remove(at)
+    at, order, gone = 0, [0], np.zeros(len(pivots))
+    for _ in range(1, len(pivots)):
+        gone[at] = np.inf
+        at = int((to_pivots(pivots[at : at + 1], pivots)[0] + gone).argmin())
         order.append(at)
     bundle, size = np.zeros(len(pivots), np.int64), [0]
     for c in order:
@@ -123,20 +143,23 @@ def _celled(own: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                far = to_pivots(shape(b.column(1).to_pylist()), pivots)
-                cell = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far.min(1))], names=["id", "v", "keys", "cell", "far"])
+                v = shape(matrix(b.column(1)))
+                cell, far = np.zeros(len(v), np.int64), np.zeros(len(v))
+                for lo in range(0, len(v), _STEP):
+                    d = to_pivots(v[lo : lo + _STEP], pivots)
+                    cell[lo : lo + _STEP], far[lo : lo + _STEP] = d.argmin(1), d.min(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=["id", "v", "keys", "cell", "far"])
 
     return written(own.mapInArrow(run, "id long, v array<double>, keys array<long>, cell long, far double"))
 
 
 def layout(own: DataFrame) -> tuple[DataFrame, Cells]:
-    """Classes with their cells, and the cells. Pivots are the classes with the least hashes of their ids, PIVOTS at most; of
-    the cells, that many rows reach the driver."""
+    """Classes with their cells, and the cells. Pivots are the classes with the least hashes of their ids, PIVOTS at most, or
+    MANY_PIVOTS of very many; of the cells, that many rows reach the driver."""
     n = own.count()
-    wanted = max(1, min(PIVOTS, n // CELL))
+    wanted = max(1, min(PIVOTS, n // CELL), min(MANY_PIVOTS, n // MANY_CELL))
     chosen = own.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(wanted).collect()
-    pivots = shape([r.v for r in chosen]) if chosen else np.zeros((1, 1))
+    pivots = shape(np.array([r.v for r in chosen], np.float64)) if chosen else np.zeros((1, 1))
     celled = _celled(own, pivots)
     low, high, size = np.full(len(pivots), np.inf), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in celled.groupBy("cell").agg(F.min("far").alias("a"), F.max("far").alias("b"), F.count("*").alias("n")).collect():
@@ -180,16 +203,20 @@ def _dealt(celled: DataFrame, cells: Cells) -> DataFrame:
 
 def _measured(t: pa.Table, cells: Cells, k: int) -> tuple[np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
     """Of a block's classes the vectors, the keys, a distance that k + 1 keys lie within, and which cells that reaches."""
-    v, keys = shape(t["v"].to_pylist()), t["keys"].to_pylist()
-    far, own = cells.from_pivots(v), t["cell"].to_numpy()
+    v, keys, own = shape(matrix(t["v"])), t["keys"].to_pylist(), t["cell"].to_numpy()
     found = np.full(len(v), np.inf)
     for row, _, dist in _best(v, v, keys, k):
         count = np.bincount(row, minlength=len(v))
         last = np.cumsum(count) - 1
         full = count == k + 1
         found[full] = dist[last[full]]
-    radius = np.minimum(found, cells.radius(far, k + 1))
-    return v, keys, radius, cells.reached(far, own, radius)
+    hit = np.zeros((len(v), len(cells.n)), bool)
+    for lo in range(0, len(v), _STEP):
+        at = slice(lo, lo + _STEP)
+        far = cells.from_pivots(v[at])
+        found[at] = np.minimum(found[at], cells.radius(far, k + 1))
+        hit[at] = cells.reached(far, own[at], found[at])
+    return v, keys, found, hit
 
 
 def reach(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
@@ -203,8 +230,9 @@ def reach(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
     return _dealt(celled, cells).groupBy("bundle", "block").applyInArrow(solve, "id long, v array<double>, radius double, bundles array<long>")
 
 
-#: A packed row: the block, its bundle, the bundles that the row's classes reach, keys a class at most, and arrays as bytes.
-_PACKED = "block long, bundle long, reaches array<long>, width int, ids binary, v binary, keys binary, held binary, cell binary, radius binary"
+#: A packed row, of one cell: the block, its bundle, the cell, the bundles that the row's classes reach, keys a class at most,
+#: and arrays as bytes.
+_PACKED = "block long, bundle long, cell long, reaches array<long>, width int, ids binary, v binary, keys binary, held binary, radius binary, toward binary"
 
 
 def blocks(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
@@ -213,14 +241,16 @@ def blocks(celled: DataFrame, cells: Cells, k: int) -> DataFrame:
     def solve(t: pa.Table) -> pa.Table:
         v, keys, radius, hit = _measured(t, cells, k)
         flat, held = _flat(keys)
-        rows = []
-        step = max(1, ROW_BYTES // (v.shape[1] * 8 + flat.shape[1] * 8 + 32))
-        for lo in range(0, len(v), step):
-            at = slice(lo, lo + step)
-            reaches = np.unique(cells.bundle[hit[at].any(axis=0)]).tolist()
-            arrays = t["id"].to_numpy()[at], v[at], flat[at], held[at].sum(axis=1), t["cell"].to_numpy()[at], radius[at]
-            rows.append([t["block"][0].as_py(), t["bundle"][0].as_py(), reaches, flat.shape[1], *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 6]
+        ids, own, rows = t["id"].to_numpy(), t["cell"].to_numpy(), []
+        step = max(1, ROW_BYTES // (v.shape[1] * 8 + flat.shape[1] * 8 + 24))
+        for cell in np.unique(own):
+            members = np.flatnonzero(own == cell)
+            for lo in range(0, len(members), step):
+                at = members[lo : lo + step]
+                reaches = np.unique(cells.bundle[hit[at].any(axis=0)]).tolist()
+                arrays = ids[at], v[at], flat[at], held[at].sum(axis=1), radius[at], cells.toward(v[at], cell)
+                rows.append([t["block"][0].as_py(), t["bundle"][0].as_py(), int(cell), reaches, flat.shape[1], *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 6]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
     return written(_dealt(celled, cells).groupBy("bundle", "block").applyInArrow(solve, _PACKED))
@@ -245,28 +275,51 @@ class _Asked:
         def whole(name: str, kind: type) -> np.ndarray:
             return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
-        self.cells, self.k, self.apart = cells, k, cells.apart()
-        self.ids, self.own, self.radius = whole("ids", np.int64), whole("cell", np.int64), whole("radius", np.float64)
+        self.cells, self.k = cells, k
+        self.ids, self.radius = whole("ids", np.int64), whole("radius", np.float64)
         self.v = whole("v", np.float64).reshape(len(self.ids), -1)
         self.short = self.v[:, :-1].astype(np.float32)
         self.doubt = (self.v.shape[1] + 8) * 2.0**-22 + 2 * 10.0**-DIGITS
-        self.near = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.v, cells.pivots[self.own]), 0))
+        self.row_cell, self.row_n = np.array([r["cell"] for r in rows]), np.array([len(r["ids"]) // 8 for r in rows])
+        self.row_toward, self.row_at = np.stack([np.frombuffer(r["toward"], np.float32) for r in rows]), np.cumsum(self.row_n) - self.row_n
+        self.row_of = np.repeat(np.arange(len(rows)), self.row_n)
+        self.near = np.concatenate([self.v[lo : lo + n] @ cells.pivots[c] for lo, n, c in zip(self.row_at, self.row_n, self.row_cell)])
+        self.room = np.empty(0, np.float32)
         self.dist, self.key = np.full((len(self.ids), k + 1), np.inf), np.zeros((len(self.ids), k + 1), np.int64)
 
+    def _room(self, rows: int, width: int) -> np.ndarray:
+        """Memory that products take in turn."""
+        if len(self.room) < rows * width:
+            self.room = np.empty(rows * width, np.float32)
+        return self.room[: rows * width].reshape(rows, width)
+
+    def reaching(self, cell: int, toward: np.ndarray) -> np.ndarray:
+        """The queries within whose radius a member of a row may lie; toward: how far its members go toward each pivot."""
+        pivot, radius = self.cells.pivots[cell], np.minimum(self.radius, 4)
+        apart = to_pivots(pivot[None], self.cells.pivots[self.row_cell])[0]
+        least = -toward[self.row_cell].astype(np.float64)
+        most = np.sqrt(2 * np.maximum.reduceat(radius, self.row_at) + _SLACK) * apart + 1e-9
+        near = (least - self.row_toward[:, cell] <= most) | (self.row_cell == cell)  # of all queries of a row the farthest
+        at = np.flatnonzero(np.repeat(near, self.row_n))
+        row = self.row_of[at]
+        left = least[row] - (self.v[at] @ pivot - self.near[at])
+        return at[(left <= np.sqrt(2 * radius[at] + _SLACK) * apart[row] + 1e-9) | (self.row_cell[row] == cell)]
+
     def meet(self, row: dict) -> None:
-        at = np.flatnonzero(self.cells.bundle == row["bundle"])
-        far = to_pivots(self.v, self.cells.pivots[at])
-        todo = np.flatnonzero(self.cells.hits(far, self.near, self.own, self.radius, at, self.apart).any(axis=1))
+        todo = self.reaching(row["cell"], np.frombuffer(row["toward"], np.float32))
         if not len(todo):
             return
         n = np.frombuffer(row["held"], np.int64)
         x = np.frombuffer(row["v"], np.float64).reshape(len(n), -1)[:, :-1]
         keys, held = np.frombuffer(row["keys"], np.int64).reshape(len(n), -1), np.arange(row["width"]) < n[:, None]
         short = np.ascontiguousarray(x.astype(np.float32).T)
-        for lo in range(0, len(todo), 1024):
-            q = todo[lo : lo + 1024]
-            s = self.short[q] @ short
+        step = max(64, _TILE // len(n))
+        for lo in range(0, len(todo), step):
+            q = todo[lo : lo + step]
+            s = np.matmul(self.short[q], short, out=self._room(len(q), len(n)))
             least = (1 - self.radius[q] - self.doubt).astype(np.float32)
+            some = np.flatnonzero(s.max(axis=1) >= least)
+            q, s, least = q[some], s[some], least[some]
             hit = np.flatnonzero(s >= least[:, None])
             many = np.bincount(hit // len(n), minlength=len(q)) > 8 * (self.k + 1)
             if many.any() and len(n) > self.k:  # a class has a key at least: k + 1 nearest classes are enough
@@ -299,9 +352,10 @@ class _Asked:
 
 
 def sides(n_blocks: int, n_bytes: int) -> tuple[int, int]:
-    """Blocks of a group of queries, and parts in which other blocks pass a group."""
-    span = min(SPAN, -(-n_blocks // SIDES))
-    return max(1, span), max(SIDES, -(-n_bytes // PASS_BYTES))
+    """Blocks of a group of queries, and parts in which other blocks pass a group: the fewer, the sooner radii shrink."""
+    span = max(1, min(SPAN, -(-n_blocks // SIDES)))
+    groups = max(1, -(-n_blocks // span))
+    return span, max(min(SIDES, -(-SIDES * SIDES // groups)), -(-n_bytes // PASS_BYTES))
 
 
 def meetings(packed: DataFrame, span: int, parts: int) -> DataFrame:
@@ -310,6 +364,7 @@ def meetings(packed: DataFrame, span: int, parts: int) -> DataFrame:
     reached = packed.select(group, F.explode("reaches").alias("bundle")).distinct()
     asked = packed.select(group, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(0.0).alias("far"), *packed.columns)
     passing = packed.join(reached, "bundle").withColumn("far", F.abs(F.col("block") - (F.col("group") + 0.5) * span))
+    passing = passing.withColumn("radius", F.lit(None).cast("binary"))
     passing = passing.select("group", F.pmod("block", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "far", *packed.columns)
     return asked.unionByName(passing).drop("reaches")
 
@@ -346,7 +401,7 @@ def _within(own: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, distance) of classes that one block holds."""
 
     def solve(t: pa.Table) -> pa.Table:
-        v, ids = shape(t["v"].to_pylist()), t["id"].to_numpy()
+        v, ids = shape(matrix(t["v"])), t["id"].to_numpy()
         row, near, dist = (np.concatenate(c) for c in zip(*_best(v, v, t["keys"].to_pylist(), k)))
         return pa.table({"id": ids[row], "neighbour": near, "distance": dist})
 

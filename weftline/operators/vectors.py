@@ -22,8 +22,7 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))  # the norm once, not once an element
 
 
 def mean_pairwise_distance(vectors: DataFrame, vector: str, digits: int = 6) -> DataFrame:
